@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from . import quality
 from .common import table
+from .decontamination import decontamination_query
 from .token_output import token_output
 
 
+def op2_quality(spark, sf_dir):
+    return quality.quality_query(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_token_output": op6_token_output}
-ORACLE_SQL = {}
+def op7_decontamination(spark, sf_dir):
+    return decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op6_token_output, op7_decontamination)}
+ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL}
