@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import quality
 from .common import table
 from .decontamination import decontamination_query
+from .language_id import identify
 from .token_output import token_output
 
 
@@ -20,5 +21,9 @@ def op7_decontamination(spark, sf_dir):
     return decontamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op6_token_output, op7_decontamination)}
+def op8_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op6_token_output, op7_decontamination, op8_language_id)}
 ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL}
