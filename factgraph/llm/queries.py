@@ -6,9 +6,14 @@ from . import quality
 from .common import table
 from .decontamination import decontamination_query
 from .language_id import identify
+from .pii import pii_query
 from .token_output import token_output
 
 
+def op1_pii(spark, sf_dir):
+    return pii_query(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.quality_query(table(spark, sf_dir, "documents"))
 
@@ -25,5 +30,5 @@ def op8_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op6_token_output, op7_decontamination, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op6_token_output, op7_decontamination, op8_language_id)}
 ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL}
