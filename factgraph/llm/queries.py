@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import line_dedup, quality
 from .common import table
 from .decontamination import decontamination_query
 from .language_id import identify
@@ -30,5 +30,9 @@ def op8_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op6_token_output, op7_decontamination, op8_language_id)}
-ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL}
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup)}
+ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
