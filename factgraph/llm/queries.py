@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from . import line_dedup, quality
+from .byte_dedup import byte_dedup_query
 from .common import table
 from .decontamination import decontamination_query
 from .language_id import identify
 from .pii import pii_query
+from .substring_dedup import substring_dedup_query
 from .token_output import token_output
 
 
@@ -18,6 +20,14 @@ def op2_quality(spark, sf_dir):
     return quality.quality_query(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_dedup(spark, sf_dir):
+    return byte_dedup_query(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"))
 
@@ -34,5 +44,5 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_byte_dedup, op5_substring_dedup, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup)}
 ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
