@@ -7,6 +7,7 @@ from .byte_dedup import byte_dedup_query
 from .common import table
 from .decontamination import decontamination_query
 from .language_id import identify
+from .ngram_join import near_duplicates
 from .pii import pii_query
 from .substring_dedup import substring_dedup_query
 from .token_output import token_output
@@ -44,5 +45,9 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_byte_dedup, op5_substring_dedup, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup)}
+def op10_ngram_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_byte_dedup, op5_substring_dedup, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup, op10_ngram_join)}
 ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
