@@ -7,6 +7,7 @@ from .byte_dedup import byte_dedup_query
 from .common import table
 from .decontamination import decontamination_query
 from .language_id import identify
+from .mixing import mix_sources
 from .ngram_join import near_duplicates
 from .pii import pii_query
 from .substring_dedup import substring_dedup_query
@@ -25,6 +26,10 @@ def op3_byte_dedup(spark, sf_dir):
     return byte_dedup_query(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup_query(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_ngram_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_byte_dedup, op5_substring_dedup, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_byte_dedup, op4_mixing, op5_substring_dedup, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup, op10_ngram_join)}
 ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
