@@ -22,6 +22,7 @@ columns are never read.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +38,8 @@ END_ID = 1
 #: Bound on the documents that train the dictionary, and on its size in bytes.
 DICTIONARY_DOCS, DICTIONARY_BYTES = 1000, 64 << 10
 BLOCK_BYTES = 2 << 20
-#: Distinct words that a worker remembers the ids of before it starts afresh.
-MEMO_WORDS = 400_000
+#: Distinct words that a worker remembers the ids of; those not seen for long are forgotten.
+MEMO_WORDS = 800_000
 
 BLOCK_SCHEMA = "shard int, block int, rel_start long, doc_ids array<long>, offsets array<long>, n_tokens array<int>, payload binary, dict_sha256 string"
 
@@ -47,39 +48,103 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
     The vocabulary's own pre-tokenizer drops white space and never joins characters across it, so
-    a text's ids are those of its words in a row.  Words that aren't known yet are encoded by the
-    library in one batch.
+    a text's ids are those of its words in a row; nor does it join a letter or digit with a single
+    full stop or comma at a word's end.  It folds case, so texts in Latin-1 (where folding is one to
+    one) are folded before words are looked up.  Words that aren't known yet are encoded by the
+    library many at a time, with a mark between them, whose id tells where one ends.
     """
 
+    MARKS = "\u00a7\u00b6\u2020\u2021\u2022\u25a0\u25cf\u00a9\u00ae\u2122\u2192\u2605"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        # the newer and the older half of the words that are remembered
         self.memo: dict[str, bytes] = {}
-        #: Texts with these are encoded in one piece: special tokens match across words, and
+        self.older: dict[str, bytes] = {}
+        #: Texts with these are encoded in one piece: special tokens (here by what they all begin
+        #: with, which has no case to fold) match across words, and
         #: str.split() takes four separators for white space that the vocabulary doesn't.
-        self.apart = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = [os.path.commonprefix(special)] if special and os.path.commonprefix(special) else special
+        self.apart += ["\x1c", "\x1d", "\x1e", "\x1f"]
+        #: The first mark that is one id.
+        self.mark, self.mark_id = next(((m, ids[0]) for m in self.MARKS if len(ids := self._ids(m)) == 1), (None, None))
+        #: Folded words in Latin-1 need no further normalizing, if that shows on each such character.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        latin = [c for c in map(chr, range(33, 256)) if not c.isspace()]
+        self.folds = all(self._ids(c) == self._ids(c.lower()) == self._ids(f" {c.lower()} ", True) == self._ids(c.lower(), True) for c in latin)
+
+    def _ids(self, text: str, folded: bool = False) -> list[int]:
+        return (self.plain if folded else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _serialize(self, ids: list[int]) -> bytes:
         return np.asarray(ids, f"<u{self.width}").tobytes()
 
+    def _split(self, text: str) -> list[str]:
+        if self.folds:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that aren't remembered."""
+        alone = words if self.mark is None else [w for w in words if self.mark in w]
+        if self.mark is not None:
+            joined = [w for w in words if self.mark not in w] if alone else words
+            latin = [w for w in joined if max(w) < "\u0100" and w == w.lower()] if self.folds else []
+            other = list(set(joined).difference(latin)) if len(latin) < len(joined) else []
+            for some, folded in ((latin, True), (other, False)):
+                for a in range(0, len(some), 5000):
+                    alone = alone + self._learn_joined(some[a : a + 5000], folded)
+        for word in alone:
+            self.memo[word] = self._serialize(self._ids(word))
+
+    def _learn_joined(self, words: list[str], folded: bool) -> list[str]:
+        """Encode words in one call; returns them if the marks don't tell them apart."""
+        ids = np.array(self._ids(f" {self.mark} ".join(words), folded), f"<u{self.width}")
+        cut = np.flatnonzero(ids == self.mark_id) * self.width
+        if len(cut) != len(words) - 1:
+            return words
+        raw = ids.tobytes()
+        starts, ends = [0, *(cut + self.width).tolist()], [*cut.tolist(), len(raw)]
+        self.memo.update(zip(words, [raw[x:y] for x, y in zip(starts, ends)]))
+        return []
+
+    def _know(self, words: set[str]) -> None:
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missing = words - memo.keys()
+        known = missing & older.keys()
+        memo.update((w, older[w]) for w in known)
+        # a single full stop or comma after a letter or digit is a piece of its own
+        missing -= known
+        ended = {w for w in missing if w[-1] in ".," and w[-2:-1].isalnum() and w[-2:-1] < "\u0100"}
+        stems = (missing - ended) | {w[:-1] for w in ended} | {".", ","}
+        stems -= memo.keys()
+        known = stems & older.keys()
+        memo.update((w, older[w]) for w in known)
+        self._learn(list(stems - known))
+        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in ended)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, without the end id."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.apart)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[word] = self._serialize(e.ids)
-        found = [b"".join([memo[w] for w in words]) for words in split]
-        for i in whole:
-            found[i] = self._serialize(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
-        return found
+        split = []
+        for text in texts:
+            if any(s in text for s in self.apart):
+                split.append(None)
+            else:
+                split.append(self._split(text))
+        self._know(set().union(*(w for w in split if w)))
+        ids = self.memo.__getitem__
+        return [b"".join(map(ids, words)) if words is not None else self._serialize(self._ids(texts[i])) for i, words in enumerate(split)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -133,9 +198,9 @@ def write_tokens(docs: DataFrame, path: str, out: str) -> None:
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a in range(0, len(doc_ids), 256):
-                texts = [t or "" for t in batch.column(1).slice(a, 256).to_pylist()]
-                for doc_id, coded in zip(doc_ids[a : a + 256], encode(texts)):
+            for a in range(0, len(doc_ids), 1000):
+                texts = [t or "" for t in batch.column(1).slice(a, 1000).to_pylist()]
+                for doc_id, coded in zip(doc_ids[a : a + 1000], encode(texts)):
                     frame = compress(coded + end)
                     ids.append(doc_id)
                     frames.append(frame)
