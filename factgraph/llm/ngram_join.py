@@ -4,10 +4,9 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``WIDTH`` w
 text is one shingle).  Two documents link at a similarity of ``PERCENT`` or more.
 
 1. Equal sets are one class, found by a fingerprint; the least doc_id stands for it.
-2. Coarse groups: sets are split by hash into so many parts that a linked pair must agree on a
-   whole part (they differ in fewer shingles than there are parts).  Documents that agree on a part
-   are joined, by its hash, into groups; star edges do, never pairs.  A part in many documents is
-   a row per task, as equal parts meet within each task first.
+2. Coarse groups: sets are split by hash into more parts than a linked pair may differ in, so it
+   agrees on several whole parts.  A document that doesn't share that many parts with any other is
+   done.  The rest are joined by parts into groups; star edges do, never pairs.
 3. In a group, candidates must share a prefix token under each of several global token orders
    (by frequency with hashed ties, and by two independent hashes).  The filters are intersected,
    then the length bound holds, then sets are compared.  A search from document to linked document
@@ -38,8 +37,8 @@ from .common import BASES, FOLDED_TABLES, SPACE_WORDS, input_bytes, materialize,
 WIDTH, PERCENT = 3, 90
 #: Documents searched together in a task; a larger group is searched in pairs of blocks of half that.
 GROUP_DOCS = 4000
-#: Part rows that a task gathers before it joins equal ones.
-GATHER_ROWS = 1 << 21
+#: Fingerprints of sets that a task remembers.
+SEEN_SETS = 1 << 20
 ORDERS = 3
 
 
@@ -53,11 +52,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     place = np.flatnonzero(np.arange(len(h)) + width <= at[1:][doc[: len(h)]]) if len(h) else np.zeros(0, np.int64)
     docs, values = [doc[place]], [h[place]]
     for d in np.flatnonzero((sizes > 0) & (sizes < width)):
-        short = np.uint64(sizes[d])
+        short = np.array([sizes[d]], np.uint64)
         for w in words[at[d] : at[d + 1]]:
             short = short * BASES[1] + w
         docs.append(np.array([d]))
-        values.append(mix(np.array([short], np.uint64)))
+        values.append(mix(short))
     doc, value = np.concatenate(docs), np.concatenate(values)
     order = np.argsort(value)
     order = order[np.argsort(doc[order].astype(np.uint16 if len(sizes) < 1 << 16 else np.int64), kind="stable")]
@@ -79,24 +78,28 @@ def _bands(size: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def part_rows(values: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of each set, and the document of each.
+def part_rows(values: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the parts of each set, the document of each, and what its split asks for.
 
     Sets of sizes a and b with similarity s differ in at most (1 - s) / (1 + s) (a + b) shingles.
     A document is split for its own size band and for the next, and the largest size in the band
-    sets that bound and so the number of parts: one more than may differ, with two to spare where
-    there are many.  So a linked pair has a split in common and agrees on a part.  Empty parts are
-    left out unless a set has so few others that a linked set could differ in all of them.
+    sets that bound; there are a quarter more parts than may differ, and one.  So a linked pair has
+    a split in common and agrees in at least parts - bound of its parts.  Empty parts are left out:
+    a document asks for so many fewer shared parts, and only where nothing would be left to ask
+    for do its empty parts count like others.
+
+    The third array is 2 * (shared parts that a linked document must have) + (0 own band, 1 next).
     """
     sizes = np.diff(at)
-    keys, docs = [], []
+    keys, docs, asks = [], [], []
     band = _bands(sizes, percent)
     doc_of = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix(values * BASES[0])
-    for group in (band, band + 1):
+    for shift in (0, 1):
+        group = band + shift
         most = np.floor((100 / percent) ** (group + 1) + 1e-6)
         differ = np.floor((100 - percent) / (100 + percent) * 2 * most + 1e-9).astype(np.int64)
-        parts = differ + 1 + 2 * (differ >= 8)
+        parts = differ + 1 + differ // 4
         count = np.where(sizes > 0, parts, 0)
         first = np.concatenate([[0], np.cumsum(count)])
         slot = first[doc_of] + (mixed >> np.uint64(33)).astype(np.int64) % parts[doc_of]
@@ -106,11 +109,13 @@ def part_rows(values: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tup
         number = np.arange(first[-1]) - first[owner]
         used = np.bincount(slot, minlength=first[-1]) > 0
         filled = np.bincount(owner[used], minlength=len(sizes))
-        used |= (filled <= differ)[owner]
+        ask = np.maximum(filled - differ, 0)  # parts - differ, less the empty ones
+        used |= (ask == 0)[owner]
         key = mix(total ^ mix((group[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)))
         keys.append(key[used])
         docs.append(owner[used])
-    return np.concatenate(keys), np.concatenate(docs)
+        asks.append(2 * ask[owner[used]] + shift)
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(asks)
 
 
 _SETS = "doc_id long, n long, f1 long, f2 long"
@@ -131,68 +136,76 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _SETS)
 
 
-def coarse_edges(docs: DataFrame, width: int, percent: int, n: int) -> DataFrame:
-    """Edges between documents that agree on a part, as stars."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_PARTS = "key long, doc long, ask int"
+_PARTS_ARROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("ask", pa.int32())])
 
-    def stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted order by key and document, and where a key begins in it."""
-        order = np.lexsort((doc, key))
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        return order, fresh
 
-    def edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pairs[:, 0], pairs[:, 1]
+def shared_parts(docs: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """Parts (key, doc, ask) that more than one document has; equal sets of a task count once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            key, doc = (np.concatenate(x) for x in zip(*held))
-            order, fresh = stars(key, doc)
-            head = order[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(doc[head]), pa.nulls(len(head), pa.int64())], schema=schema)
-            a, b = edges(doc[head][np.cumsum(fresh) - 1], doc[order])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(mix(b.astype(np.uint64)).view(np.int64)), pa.array(a), pa.array(b)], schema=schema)
-
+        seen: set = set()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for x, y in segments(offsets):
                 values, at = shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], width)
-                key, doc = part_rows(values, at, percent)
-                held.append((key.view(np.int64), ids[x + doc].astype(np.int64)))
-                size += len(key)
-                if size >= GATHER_ROWS:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+                new = np.ones(y - x, bool)
+                for d, print_ in enumerate(zip(*(f.tolist() for f in fingerprints(values, at)))):
+                    if print_ in seen:
+                        new[d] = False
+                    seen.add(print_)
+                if len(seen) > SEEN_SETS:
+                    seen.clear()
+                key, doc, ask = part_rows(values, at, percent)
+                keep = new[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ids[x + doc[keep]].astype(np.int64)), pa.array(ask[keep].astype(np.int32))], schema=_PARTS_ARROW)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last key so far, whether it is shared, and its row if that is the only one yet
+        last, shared, pending = None, False, None
+        for batch in batches:
+            key, doc, ask = (batch.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            if pending is not None:
+                key, doc, ask = (np.concatenate([[p], x]) for p, x in zip(pending, (key, doc, ask)))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            known = size > 1
+            known[0] |= shared and key[0] == last
+            keep = np.repeat(known, size)
+            last, shared = key[-1], bool(known[-1])
+            pending = None if shared else (key[-1], doc[-1], ask[-1])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(doc[keep].astype(np.int64)), pa.array(ask[keep].astype(np.int32))], schema=_PARTS_ARROW)
+
+    rows = docs.mapInArrow(scan, _PARTS)
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, _PARTS)
+
+
+def coarse_edges(shared: DataFrame, n: int) -> DataFrame:
+    """Star edges between documents that agree on a part, of those that share enough parts at all."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_doc = None
         for batch in batches:
-            key, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            other = batch.column(2)
-            passed = other.is_valid().to_numpy(zero_copy_only=False)
-            out_a, out_b = [a[passed]], [other.drop_null().to_numpy()]
-            key, a = key[~passed], a[~passed]
-            if len(key):
-                if key[0] == last_key:  # the batch goes on with the key of the one before
-                    key, a = np.concatenate([[last_key], key]), np.concatenate([[last_doc], a])
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                head = np.repeat(a[first], np.diff(np.append(first, len(key))))
-                out_a.append(head)
-                out_b.append(a)
-                last_key, last_doc = key[-1], head[-1]
-            x, y = edges(np.concatenate(out_a), np.concatenate(out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    rows = docs.mapInArrow(scan, "key long, a long, b long")
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, _EDGES)
+            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            if key[0] == last_key:  # the batch goes on with the key of the one before
+                key, doc = np.concatenate([[last_key], key]), np.concatenate([[last_doc], doc])
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            head = np.repeat(doc[first], np.diff(np.append(first, len(key))))
+            last_key, last_doc = key[-1], head[-1]
+            pairs = np.unique(np.stack([head, doc], 1)[head != doc], axis=0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    enough = shared.groupBy("doc", "ask").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") * 2 >= F.col("ask") - F.col("ask") % 2).select("doc").distinct()
+    rows = shared.join(enough, "doc").select("key", "doc")
+    # sorted by document too: the least of a part is its star's centre, so parts of the same
+    # documents give the same edges
+    return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(stars, _EDGES)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -344,12 +357,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     key = ["n", "f1", "f2"]
     heads = materialize(real.join(classes, key).select("doc_id", "head").distinct(), "heads")
     # coarse groups of class heads
-    edges = coarse_edges(named, width, percent, n)
+    edges = coarse_edges(materialize(shared_parts(named, width, percent, n), "parts"), n)
     first, second = heads.select(F.col("doc_id").alias("a"), F.col("head").alias("x")), heads.select(F.col("doc_id").alias("b"), F.col("head").alias("y"))
     coarse = edges.distinct().join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
     groups = components(coarse)
     cells = _cells(groups, group_docs)
-    members = named.join(cells, F.col("doc_id") == F.col("id")).select("cell", "doc_id", "text").repartition(n, "cell").sortWithinPartitions("cell", "doc_id")
+    # never a broadcast of the cells: they grow with the documents
+    members = named.join(cells.hint("merge"), F.col("doc_id") == F.col("id")).select("cell", "doc_id", "text").repartition(n, "cell").sortWithinPartitions("cell", "doc_id")
     links = group_links(members, width, percent)
     # rows that repeat a doc_id with other sets tie their classes together
     ties = heads.where("doc_id <> head").groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a <> b").select("a", "b")
