@@ -203,14 +203,14 @@ def _meet(kind: Kind):
         gone = [(doc[passed], lo[passed], hi[passed])]
         h1, h2, doc, lo, hi = (x[~passed] for x in (h1, h2, doc, lo, hi))
         if len(h1):
-            first, _, more = _resolve(h1, h2, doc, lo, hi, kind.width, kind.same_doc)
-            gone.append(more)
-            # contents of each anchor
-            f1 = h1[first]
-            starts = np.flatnonzero(np.concatenate([[True], f1[1:] != f1[:-1]]))
-            count = np.repeat(np.diff(np.append(starts, len(f1))), np.diff(np.append(starts, len(f1))))
+            first, same, later = _resolve(h1, h2, doc, lo, hi, kind.width, kind.same_doc)
+            gone.append(later)
+            # contents of each anchor; a content's other places in its first document go with it
+            known, contents = np.unique(h1[first], return_counts=True)
+            places = np.concatenate([first, same])
+            count = contents[np.searchsorted(known, h1[places])]
             for tag_out, pick in ((FETCH, (count > 1) & (count <= HOT_CONTENTS)), (HOT, count > HOT_CONTENTS)):
-                f = first[pick]
+                f = places[pick]
                 if len(f):
                     yield _batch(tag_out, h1[f], h2[f], doc[f], lo[f], hi[f])
         doc, lo, hi = (np.concatenate(x) for x in zip(*gone))
