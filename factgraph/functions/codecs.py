@@ -26,12 +26,16 @@ def action_id(version: int | Column, profile: str, a: dict[str, Column]) -> Colu
     )
 
 
-def parse_action_id(c: Column) -> Column:
-    """struct of the fields, or null where the text is no action id."""
-    parts = F.split(c, "\\|")
+def split_id(c: Column) -> Column:
+    """The fields of an id as texts.  Keep them in a column of their own: parsing reads them often."""
+    return F.split(c, "\\|")
+
+
+def parse_action_id(parts: Column) -> Column:
+    """struct of the fields from ``split_id``, or null where the text is no action id."""
     text = lambda i: decode_text(F.get(parts, F.lit(i)))
     number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
-    optional = lambda i: F.nullif(F.trim(text(i)), F.lit(""))
+    optional = lambda i: F.when(F.trim(text(i)) != "", text(i))
     fields = F.struct(
         number(1).alias("version"),
         F.coalesce(optional(2), F.lit("default")).alias("profile"),
@@ -47,7 +51,8 @@ def parse_action_id(c: Column) -> Column:
         number(12).alias("col"),
     )
     numbers = number(1).isNotNull() & number(6).isNotNull() & number(7).isNotNull() & number(11).isNotNull() & number(12).isNotNull()
-    texts = optional(3).isNotNull() & optional(4).isNotNull() & optional(5).isNotNull() & optional(8).isNotNull()
+    # a base64 field is blank only if it is empty or encodes white space
+    texts = (F.trim(text(3)) != "") & (F.trim(text(4)) != "") & (F.trim(text(5)) != "") & (F.trim(text(8)) != "")
     return F.when((F.size(parts) == 13) & (F.get(parts, F.lit(0)) == "v1") & numbers & texts, fields)
 
 
@@ -56,8 +61,8 @@ def fix_id(version: int | Column, diagnostic: Column, start: Column, length: Col
     return F.concat_ws("|", F.lit("v1"), version.cast("string"), F.lit(FIX_OPERATION), diagnostic, start.cast("string"), length.cast("string"), encode_text(file))
 
 
-def parse_fix_id(c: Column) -> Column:
-    parts = F.split(c, "\\|")
+def parse_fix_id(parts: Column) -> Column:
+    """struct of the fields from ``split_id``, or null where the text is no fix id."""
     number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
     fields = F.struct(number(1).alias("version"), F.get(parts, F.lit(3)).alias("diagnostic_id"), number(4).alias("span_start"), number(5).alias("span_len"), decode_text(F.get(parts, F.lit(6))).alias("file"))
     fine = (F.size(parts) == 7) & (F.get(parts, F.lit(0)) == "v1") & (F.get(parts, F.lit(2)) == FIX_OPERATION)

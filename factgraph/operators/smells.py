@@ -61,6 +61,12 @@ def action_ids(actions: DataFrame, version: int = 1, profile: str = "default") -
     return actions.withColumn("action_id", codecs.action_id(version, profile, {c: F.col(c) for c in actions.columns}))
 
 
+def parsed_action_ids(ids: DataFrame) -> DataFrame:
+    """action_id and its fields ``a``; ids that aren't any are left out."""
+    parts = ids.select("action_id", codecs.split_id(F.col("action_id")).alias("parts"))
+    return parts.select("action_id", codecs.parse_action_id(F.col("parts")).alias("a")).where(F.col("a").isNotNull())
+
+
 def code_fixes(diagnostics: DataFrame, version: int = 1, ids: list[str] | None = None, category: str | None = None) -> DataFrame:
     """Distinct fixes of supported diagnostics in scope."""
     df = diagnostics.where(F.upper("code").isin(*S.SUPPORTED_FIXES))
@@ -76,5 +82,5 @@ def code_fixes(diagnostics: DataFrame, version: int = 1, ids: list[str] | None =
 
 def stale(ids: DataFrame, version: int) -> DataFrame:
     """Action ids with whether another snapshot made them; ids that aren't any are left out."""
-    parsed = ids.select("action_id", codecs.parse_action_id(F.col("action_id")).alias("a")).where(F.col("a").isNotNull())
+    parsed = parsed_action_ids(ids)
     return parsed.select("action_id", F.col("a.version").alias("version"), (F.col("a.version") != version).alias("is_stale"))

@@ -31,14 +31,14 @@ def query(sql: str | None = None, name: str | None = None):
 # --- listing -----------------------------------------------------------------------------------
 
 _SHOWN = "in_source AND type_kind IS NOT NULL AND NOT regexp_matches(file, '(?i)/(obj|bin)/') AND NOT regexp_matches(file, '(?i)(\\.g\\.cs|\\.g\\.i\\.cs|\\.generated\\.cs|\\.designer\\.cs|\\.AssemblyAttributes\\.cs|\\.AssemblyInfo\\.cs)$')"
-_TYPE = "symbol_id, display_min AS display_name, containing_namespace AS namespace, type_kind AS kind, accessibility, nullif(arity, 0) AS arity, file, line, col, project_id"
+_TYPE = "symbol_id, display_min AS display_name, containing_namespace AS namespace, type_kind AS kind, accessibility, CAST(nullif(arity, 0) AS VARCHAR) AS arity, file, line, col, project_id"
 
 
 @query(f"""{sql_with('symbols')}, t AS (SELECT {_TYPE} FROM f_symbols WHERE {_SHOWN} AND containing_namespace LIKE 'Brand#1%')
-SELECT *, CAST(row_number() OVER (ORDER BY kind, display_name, coalesce(arity, 0), symbol_id) AS INTEGER) AS pos FROM t
-ORDER BY kind, display_name, coalesce(arity, 0), symbol_id LIMIT 50 OFFSET 10""")
+SELECT *, CAST(row_number() OVER (ORDER BY kind, display_name, coalesce(arity, '0'), symbol_id) AS INTEGER) AS pos FROM t
+ORDER BY kind, display_name, coalesce(arity, '0'), symbol_id LIMIT 50 OFFSET 10""")
 def list_types_page(f: Facts) -> DataFrame:
-    return listing.types_page(f.symbols, limit=50, offset=10, namespace_prefix="Brand#1")
+    return listing.types_page(f.symbols, limit=50, offset=10, namespace_prefix="Brand#1").withColumn("arity", F.col("arity").cast("string"))
 
 
 @query(f"{sql_with('symbols')} SELECT CAST(count(*) AS INTEGER) AS total FROM f_symbols WHERE {_SHOWN} AND accessibility = 'public'")
@@ -48,7 +48,7 @@ def list_types_total(f: Facts) -> DataFrame:
 
 @query(f"{sql_with('symbols')} SELECT {_TYPE} FROM f_symbols WHERE {_SHOWN} AND project_id = '7' AND type_kind = 'interface'")
 def list_types_filtered(f: Facts) -> DataFrame:
-    return listing.types(f.symbols, project_id="7", kind="Interface")
+    return listing.types(f.symbols, project_id="7", kind="Interface").withColumn("arity", F.col("arity").cast("string"))
 
 
 _MEMBER = "symbol_id, name, display_min AS signature, member_kind AS kind, accessibility, is_static"
@@ -403,8 +403,7 @@ _ACTION_ID = "concat_ws('|', 'v1', '3', " + ", ".join(_B.format(x) for x in ("'d
 @query(f"{sql_with('actions')} SELECT {_ACTION_ID} AS action_id, 3 AS version, origin, category, provider_key, span_start, span_len, file, diagnostic_id, refactoring_id, line, col FROM f_actions WHERE category <> ''")
 def action_id_codec(f: Facts) -> DataFrame:
     made = smells.action_ids(f.actions, 3).select("action_id")
-    parsed = made.select("action_id", codecs.parse_action_id(F.col("action_id")).alias("a")).where("a is not null")
-    return parsed.select("action_id", "a.version", "a.origin", "a.category", "a.provider_key", "a.span_start", "a.span_len", "a.file", "a.diagnostic_id", "a.refactoring_id", "a.line", "a.col")
+    return smells.parsed_action_ids(made).select("action_id", "a.version", "a.origin", "a.category", "a.provider_key", "a.span_start", "a.span_len", "a.file", "a.diagnostic_id", "a.refactoring_id", "a.line", "a.col")
 
 
 @query(f"""{sql_with('diagnostics')} SELECT DISTINCT 'v1|2|remove_unused_local|' || code || '|' || span_start || '|' || span_len || '|' || to_base64(encode(file)) AS fix_id,

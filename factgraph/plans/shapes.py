@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Nodes of a traversal step that are kept on the driver, at most.
+LOCAL_NODES = 1000
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, which survives lost executors."""
@@ -29,24 +33,47 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFra
     return rows.withColumn("pos", (F.row_number().over(W.orderBy(*order)) + offset).cast("int"))
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, depth: int | None, local: int = LOCAL_NODES) -> DataFrame:
     """Nodes within ``depth`` steps of ``roots`` (id), with their least distance.
 
-    ``edges`` is (src, dst).  Each hop joins only the newest nodes, and those seen before are left
-    out, so cycles end.  The newest nodes are written each hop: their lineage stays one join long.
+    ``edges`` is (src, dst).  While the newest nodes are few (``local`` at most, checked), each hop
+    is a filter on their ids, which prunes sorted edge files and shuffles no edges.  Beyond that
+    each hop joins only the newest nodes and writes them, so the lineage stays one join long.  Nodes
+    seen before are left out either way, so cycles end.
     """
-    newest = cut_lineage(roots.select("id").distinct().withColumn("distance", F.lit(0)))
-    seen, hop = newest, 0
+    spark = edges.sparkSession
+    few = lambda df, name: [r[0] for r in df.where(F.col(name).isNotNull()).select(name).distinct().limit(local + 1).collect()]
+    known: dict = {}
+    newest, hop = few(roots, "id"), 0
+    while len(newest) <= local and len(known) <= 4 * local:
+        known.update((n, hop) for n in newest)
+        if not newest or hop == depth:
+            return _nodes(spark, known, roots)
+        newest, hop = [n for n in few(edges.where(F.col("src").isin(newest)), "dst") if n not in known], hop + 1
+    # many nodes: the same hop again as a join
+    hop -= 1
+    if hop < 0:
+        frontier = seen = cut_lineage(roots.select("id").distinct().withColumn("distance", F.lit(0)))
+        hop = 0
+    else:
+        seen = cut_lineage(_nodes(spark, known, roots))
+        frontier = seen.where(F.col("distance") == hop)
     while depth is None or hop < depth:
         hop += 1
-        found = edges.join(newest, edges["src"] == newest["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
-        newest = cut_lineage(found.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop)))
-        if newest.isEmpty():
+        found = edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = cut_lineage(found.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop)))
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(newest)
+        seen = seen.unionByName(frontier)
     return seen
 
 
+def _nodes(spark: SparkSession, known: dict, roots: DataFrame) -> DataFrame:
+    """A bounded set of nodes as a local table."""
+    table = pa.table({"id": pa.array(list(known), pa.string()), "distance": pa.array(list(known.values()), pa.int32())})
+    return spark.createDataFrame(table).select(F.col("id").cast(roots.schema["id"].dataType).alias("id"), "distance")
+
+
 def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, length: str, block: int = 1024) -> DataFrame:
     """Rows of points and spans of equal ``key`` where the half-open span holds the point.
 

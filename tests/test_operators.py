@@ -108,7 +108,14 @@ def test_traces_grow_with_depth_and_both_is_the_union(spark, sf_dir):
 
 def test_reach_ends_on_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
-    assert {(r["id"], r["distance"]) for r in shapes.reach(e, shapes.single_row(spark, id="a"), None).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    for local in (0, 1, 1000):  # by joins, changing over, and by filters
+        assert {(r["id"], r["distance"]) for r in shapes.reach(e, shapes.single_row(spark, id="a"), None, local).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_reach_is_the_same_by_filters_and_by_joins(spark, sf_dir):
+    e = Facts(spark, sf_dir).calls.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct().cache()
+    found = [{tuple(r) for r in shapes.reach(e, shapes.single_row(spark, id="T:1"), 3, local).collect()} for local in (0, 5, 100_000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
 
 
 def test_range_join_finds_each_pair_once(spark):
@@ -140,13 +147,13 @@ def test_impact_keeps_the_first_spelling(spark):
 
 def test_action_ids_round_trip(spark):
     a = spark.createDataFrame([("o|x", "c", "k", 1, 2, "/é.cs", None, "r", 3, 4), ("o", " ", "k", 1, 2, "f", "d", None, 3, 4)], "origin string, category string, provider_key string, span_start int, span_len int, file string, diagnostic_id string, refactoring_id string, line int, col int")
-    made = smells.action_ids(a, 7, "default").select("action_id", codecs.parse_action_id(F.col("action_id")).alias("p"), "origin", "file").collect()
+    made = smells.action_ids(a, 7, "default").select("action_id", codecs.parse_action_id(codecs.split_id(F.col("action_id"))).alias("p"), "origin", "file").collect()
     good, blank = made
     assert good["p"]["origin"] == "o|x" and good["p"]["file"] == "/é.cs" and good["p"]["version"] == 7 and good["p"]["diagnostic_id"] is None and good["p"]["refactoring_id"] == "r"
     assert blank["p"] is None
     for text in ("", "v1|a|b", "v2" + good["action_id"][2:], "v1|x" + good["action_id"][4:]):
-        assert spark.range(1).select(codecs.parse_action_id(F.lit(text)).alias("p")).first()["p"] is None
-    fix = spark.range(1).select(codecs.parse_fix_id(codecs.fix_id(2, F.lit("CS0168"), F.lit(5), F.lit(9), F.lit("/a b.cs"))).alias("p")).first()["p"]
+        assert spark.range(1).select(codecs.parse_action_id(codecs.split_id(F.lit(text))).alias("p")).first()["p"] is None
+    fix = spark.range(1).select(codecs.parse_fix_id(codecs.split_id(codecs.fix_id(2, F.lit("CS0168"), F.lit(5), F.lit(9), F.lit("/a b.cs")))).alias("p")).first()["p"]
     assert (fix["version"], fix["diagnostic_id"], fix["span_start"], fix["file"]) == (2, "CS0168", 5, "/a b.cs")
 
 
