@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions import scalars as S
-from ..operators import callgraph, explain, hierarchy, listing, metrics, projects, references, resolve, rewrite, smells
+from ..operators import callgraph, explain, hierarchy, listing, metrics, projects, refactoring, references, resolve, rewrite, smells
 from ..sources.standins import DECISIONS, Facts, sql_with
 from . import shapes
 
@@ -424,6 +424,17 @@ def stale_ids(f: Facts) -> DataFrame:
     return smells.stale(ids, 2)
 
 
+@query(f"""{sql_with('actions')}, t AS (SELECT * FROM f_actions WHERE upper(file) = 'U3' AND span_start <= 3000 AND span_start + span_len > 3000)
+SELECT {_ACTION_ID.replace("'3'", "'1'")} AS action_id, file, span_start, span_len, title, category, provider_key, origin, {_policy('review_required', 'allow', 'block')} AS decision, {_policy('review_required', 'safe', 'blocked')} AS risk FROM t""")
+def refactorings_at_position(f: Facts) -> DataFrame:
+    return refactoring.actions_at(f.actions, "u3", 3000)
+
+
+@query(f"{sql_with('docs')} SELECT min(path) AS path FROM f_docs WHERE (path LIKE '/%' OR path LIKE 'C:%') AND upper(path) NOT IN (SELECT upper(path) FROM f_docs WHERE path LIKE '/repo/d%') GROUP BY upper(path)")
+def missing_files(f: Facts) -> DataFrame:
+    return refactoring.missing_files(f.documents, f.documents.where("path like '/repo/d%'"))
+
+
 # --- rename ------------------------------------------------------------------------------------
 
 _SHAPED = "SELECT symbol_id, name, member_kind, containing_type_id, CASE WHEN member_kind = 'method' THEN shape ELSE '' END AS shape FROM f_members"

@@ -7,7 +7,7 @@ from factgraph.api import Workspace
 from factgraph.errors import QueryError
 from factgraph.functions import codecs
 from factgraph.functions import scalars as S
-from factgraph.operators import callgraph, hierarchy, listing, projects, references, resolve, rewrite, smells
+from factgraph.operators import callgraph, hierarchy, listing, projects, refactoring, references, resolve, rewrite, smells
 from factgraph.plans import registry, shapes
 from factgraph.sources.snapshots import SnapshotStore, conform
 from factgraph.sources.standins import Facts
@@ -192,6 +192,33 @@ def test_smells_dedup_keeps_the_leftmost(spark):
     assert sorted((r["col"], r["risk"]) for r in smells.dedup(rows).collect()) == [(3, "high"), (3, "low")]
 
 
+def test_cleanup_and_refactorings(spark):
+    text = "using Z.B;\nusing static Y.C;\nusing A = Q.D;\nusing Unused;\n\nclass T\n{\n    int spare;\n    void M()\n    {\n        int unused = 1;\n        string name = Get();\n        using var x = Open();\n    }\n}"
+    docs = spark.createDataFrame([("d", "/d.cs", text), ("e", "/e.cs", "class E { }")], "document_id string, path string, text string")
+    found = spark.createDataFrame([("CS8019", "/d.cs", 4), ("CS0219", "/d.cs", 11), ("CS0219", "/d.cs", 13)], "code string, file string, line int")
+    after, changed = refactoring.cleanup(docs, found, 3)
+    lines = after.where("path = '/d.cs'").first()["text"].split("\n")
+    assert lines[:4] == ["using A = Q.D;", "using Z.B;", "using static Y.C;", ""] and lines[10] == "" and lines[11:13] == text.split("\n")[11:13]
+    assert [r["path"] for r in changed.collect()] == ["/d.cs"]
+    with pytest.raises(QueryError, match="workspace_changed"):
+        refactoring.cleanup(docs, found, 3, expected_version=2)
+    with pytest.raises(QueryError, match="invalid_request"):
+        refactoring.cleanup(docs, found, 3, profile="wild")
+    wanted = refactoring.use_var_actions(docs)
+    assert {(r["line"], r["col"], r["length"]) for r in wanted.collect()} == {(11, 9, 3), (12, 9, 6)}
+    rewritten = rewrite.apply_edits(docs, refactoring.use_var_edits(wanted)).where("path = '/d.cs'").first()["text"]
+    assert "var unused = 1;" in rewritten and "var name = Get();" in rewritten
+    a = spark.createDataFrame([("t", "compiler", S.FIX_ORIGIN, "k", "/d.cs", "CS0168", None, 10, 5, 2, 1)], "title string, category string, origin string, provider_key string, file string, diagnostic_id string, refactoring_id string, span_start int, span_len int, line int, col int")
+    here = lambda *x: refactoring.actions_at(a, "/D.cs", *x).collect()
+    assert [r["decision"] for r in here(10)] == ["allow"] and not here(15) and here(12, (0, 11)) and not here(12, (0, 5))
+    ident = here(10)[0]["action_id"]
+    assert refactoring.require_action(a, ident, 1).count() == 1
+    with pytest.raises(QueryError, match="workspace_changed"):
+        refactoring.require_action(a, ident, 2)
+    with pytest.raises(QueryError, match="action_not_found"):
+        refactoring.require_action(a, "nonsense", 1)
+
+
 def test_snapshots_are_versions(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"))
     with pytest.raises(QueryError, match="solution_not_selected"):
