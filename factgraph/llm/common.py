@@ -8,7 +8,7 @@ Python loop runs per word.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,20 @@ def partitions_for(spark: SparkSession, n_bytes: float, target: int = 24 << 20)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // target) + 1)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def working_on(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Tells a Python worker which operator its task is of; ``forget`` empties that one's cache.
+
+    Workers are used again by later tasks, so the caches of all other operators are emptied.
+    """
+    for other in [o for o in _forget if o != operator]:
+        _forget.pop(other)()
+    if forget is not None:
+        _forget[operator] = forget
+
+
 # --- numpy text arrays -------------------------------------------------------------------------
 
 

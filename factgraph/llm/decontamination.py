@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, BASES, FOLDED_TABLES, segments, shingle_hashes, utf8, word_hashes, word_spans
+from .common import ALNUM_WORDS, BASES, FOLDED_TABLES, segments, shingle_hashes, utf8, word_hashes, word_spans, working_on
 
 WINDOW, SHINGLE = 10, 3
 #: Windows of the benchmark that are sent to the tasks at a time, and the bytes a window may take.
@@ -98,6 +98,7 @@ def _count_shingles(docs: DataFrame, block: Windows) -> dict[int, int]:
         return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("decontamination")
         total = np.zeros(len(block.known), np.int64)
         for batch in batches:
             raw, offsets = utf8(batch.column(0))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FOLDED_TABLES, SPACE_WORDS, mix, segments, utf8, word_hashes, word_spans
+from .common import BASES, FOLDED_TABLES, SPACE_WORDS, mix, segments, utf8, word_hashes, word_spans, working_on
 
 #: Bounds of training: rows read, and features of a row used in a step (spread over the whole text).
 TRAIN_ROWS, STEP_FEATURES = 3000, 400
@@ -158,6 +158,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         model = train(training_rows(docs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("language_id")
         for batch in batches:
             raw, offsets = utf8(batch.column(2))
             for a, b in segments(offsets):

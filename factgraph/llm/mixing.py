@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FOLDED_TABLES, SPACE_WORDS, materialize, segments, utf8, word_hashes, word_spans
+from .common import BASES, FOLDED_TABLES, SPACE_WORDS, materialize, segments, utf8, word_hashes, word_spans, working_on
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, TOPIC_DOCS, TOPIC_BUCKETS = 8, 2000, 1 << 12
@@ -74,6 +74,7 @@ def with_topics(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     schema = "doc_id long, source string, lang string, mark long, n_tokens long, topic int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("mixing")
         for batch in batches:
             raw, offsets = utf8(batch.column(4))
             for a, b in segments(offsets, 1 << 20):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FOLDED_TABLES, SPACE_WORDS, input_bytes, materialize, mix, partitions_for, segments, shingle_hashes, utf8, word_hashes, word_spans
+from .common import BASES, FOLDED_TABLES, SPACE_WORDS, input_bytes, materialize, mix, partitions_for, segments, shingle_hashes, utf8, word_hashes, word_spans, working_on
 
 WIDTH, PERCENT = 3, 90
 #: Documents searched together in a task; a larger group is searched in pairs of blocks of half that.
@@ -126,6 +126,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, size and fingerprint of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("ngram_join")
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for a, b in segments(offsets):
@@ -145,6 +146,7 @@ def shared_parts(docs: DataFrame, width: int, percent: int, n: int) -> DataFrame
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        working_on("ngram_join")
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)

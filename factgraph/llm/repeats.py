@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, materialize, mix, partitions_for, segments, utf8
+from .common import BASES, materialize, mix, partitions_for, segments, utf8, working_on
 
 #: Window starts that are hashed at a time.
 PIECE = 1 << 19
@@ -167,6 +167,7 @@ def _scan(kind: Kind):
     """Anchor rows of documents, without those that repeat another row of the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("repeats")
         held, n = [], 0
 
         def flush():

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for, shared_dir, utf8
+from .common import partitions_for, shared_dir, utf8, working_on
 
 END_ID = 1
 #: Bound on the documents that train the dictionary, and on its size in bytes.
@@ -151,7 +151,8 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker."""
+    """One encoder per Python worker, for as long as it works on this operator."""
+    working_on("token_output", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -182,6 +183,7 @@ def write_tokens(docs: DataFrame, path: str, out: str) -> None:
     content = train_dictionary(docs, path)
     digest = hashlib.sha256(content).hexdigest()
     width = encoder(path).width
+    _encoders.clear()  # the driver needs it no more
     spark.createDataFrame([(digest, width, bytearray(content))], "dict_sha256 string, width int, content binary").write.parquet(f"{out}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
