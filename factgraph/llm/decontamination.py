@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORDS, BASES, FOLDED_TABLES, segments, shingle_hashes, utf8, word_hashes, word_spans, working_on
 
 WINDOW, SHINGLE = 10, 3
-#: Windows of the benchmark that are sent to the tasks at a time, and the bytes a window may take.
+#: Windows of the benchmark that are sent to the tasks at a time.
 BLOCK_WINDOWS = 200_000
 
 
@@ -148,11 +148,16 @@ def _runs(places: np.ndarray) -> list[int]:
     return np.column_stack([places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])] + 1]).ravel().tolist()
 
 
-def blocks_of(bench: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks of about ``limit`` windows (never more than its words), split by a hash."""
+def block_count(bench: DataFrame, limit: int = BLOCK_WINDOWS) -> int:
+    """Blocks of about ``limit`` windows, of which there are never more than words."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+"))
+    n = bench.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
+    return max(1, -(-n // limit))
+
+
+def blocks_of(bench: DataFrame, parts: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks, split by a hash of the item."""
     bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    n = bench.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+"))), F.lit(0))).first()[0]
-    parts = max(1, -(-n // limit))
     for k in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else bench
         yield [(r[0], r[1]) for r in rows.collect()]
@@ -161,32 +166,30 @@ def blocks_of(bench: DataFrame, limit: int = BLOCK_WINDOWS) -> Iterator[list[tup
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, hits (runs of hit words: start, end, ...) and items (sorted ids) of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, hits array<int>, items array<string>"
+    parts = block_count(bench, limit)
+    if parts > 1:
+        return _merged(docs, bench, window, parts)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    passes = []
-    for items in blocks_of(bench, limit):
-        block = Windows(items, window)
-        block.order(_count_shingles(docs, block))
+    block = Windows(next(blocks_of(bench, 1)), window)
+    block.order(_count_shingles(docs, block))
 
-        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, offsets = utf8(batch.column(1))
-                for a, b in segments(offsets):
-                    found = list(_find(block, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f[1] for f in found], pa.int64()), pa.array([_runs(f[2]) for f in found], arrow.field("hits").type), pa.array([f[3] for f in found], arrow.field("items").type)], schema=arrow)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("decontamination")
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for a, b in segments(offsets):
+                found = list(_find(block, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f[1] for f in found], pa.int64()), pa.array([_runs(f[2]) for f in found], arrow.field("hits").type), pa.array([f[3] for f in found], arrow.field("items").type)], schema=arrow)
 
-        passes.append(docs.mapInArrow(find, schema))
-    if len(passes) == 1:
-        return passes[0]
-    return _merged(docs, bench, window, limit)
+    return docs.mapInArrow(find, "doc_id long, n_words long, hits array<int>, items array<string>")
 
 
-def _merged(docs: DataFrame, bench: DataFrame, window: int, limit: int) -> DataFrame:
+def _merged(docs: DataFrame, bench: DataFrame, window: int, parts: int) -> DataFrame:
     """Several blocks: each pass adds its hits to the rows of the one before, so rows stay whole."""
     schema = "doc_id long, n_words long, hits array<int>, items array<string>"
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
     df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for items in blocks_of(bench, limit):
+    for items in blocks_of(bench, parts):
         block = Windows(items, window)
         block.order(_count_shingles(docs, block))
 
@@ -221,6 +224,23 @@ def decontamination_query(docs: DataFrame, bench: DataFrame) -> DataFrame:
     )
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g
+      FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM v) ON len(w) >= n)),
+h AS (SELECT doc_id, i, x.n, item FROM x JOIN v ON x.g = v.g AND x.n = v.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
 def brute_force(docs: list[tuple], bench: list[tuple], window: int = WINDOW) -> list[tuple]:
     """The query's rows by plain comparison, for tests."""
     import re

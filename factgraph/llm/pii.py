@@ -108,7 +108,7 @@ _LOOSE = {
 }
 #: Cheap tests that a text can hold a candidate at all.
 _MAYBE_EMAIL = re.compile(r"@|\((?:at|dot)\)|\[(?:at|dot)\]|\bdot\b")
-_DIGIT_AREA = re.compile(r"[^\n]{0,0}(?:[0-9][0-9a-fA-F:.()\[\]/ _-]{6,}[0-9a-fA-F])")
+_DIGIT_AREA = re.compile(r"[0-9][0-9a-fA-F:.()\[\]/ _-]{6,}[0-9a-fA-F]")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import decontamination, line_dedup, ngram_join, quality, substring_dedup
 from .byte_dedup import byte_dedup_query
 from .common import table
 from .decontamination import decontamination_query
@@ -55,4 +55,10 @@ def op10_ngram_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_byte_dedup, op4_mixing, op5_substring_dedup, op6_token_output, op7_decontamination, op8_language_id, op9_line_dedup, op10_ngram_join)}
-ORACLE_SQL = {"op2_quality": quality.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_quality": quality.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
+}

@@ -66,6 +66,19 @@ def substring_dedup_query(docs: DataFrame) -> DataFrame:
     return remove_repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM d WHERE len(w) >= {WIDTH})),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WIDTH})) AS p FROM m WHERE f < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+k AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS t, count(*) AS n, count(gone.p) AS r
+      FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def brute_force(docs: list[tuple], width: int = WIDTH) -> list[tuple]:
     """The query's rows by plain comparison, for tests."""
     import re
