@@ -150,7 +150,3 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for j in range(width):
         h = h * BASES[0] + words[j : j + n]
     return mix(h)
-
-
-def pack_strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())

@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import BASES, FOLDED_TABLES, SPACE_WORDS, input_bytes, materialize, mix, partitions_for, segments, shingle_hashes, utf8, word_hashes, word_spans, working_on
 
 WIDTH, PERCENT = 3, 90
-#: Documents searched together in a task; a larger group is searched in pairs of blocks of half that.
-GROUP_DOCS = 4000
+#: Shingles of a group that is searched in one task; a larger one is searched in pairs of blocks of half that.
+GROUP_SHINGLES = 2_000_000
+#: Text of small groups that is searched together.
+BATCH_BYTES = 1 << 21
 #: Fingerprints of sets that a task remembers.
 SEEN_SETS = 1 << 20
 ORDERS = 3
@@ -237,19 +239,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # --- search within a group ---------------------------------------------------------------------
 
 
-def _prefix_lists(values: np.ndarray, at: np.ndarray, order: np.ndarray, percent: int) -> tuple:
-    """Prefix tokens of each document under a token order, and documents by prefix token."""
+def _prefixes(values: np.ndarray, at: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix tokens of each document under a token order, one after the other, and their offsets."""
     sizes = np.diff(at)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    by = np.lexsort((order[values], doc))
-    rank = np.arange(len(values)) - at[doc]
-    length = sizes - -(-percent * sizes // 100) + 1
-    keep = rank < length[doc]
-    tokens, owners = values[by][keep], doc[keep]
-    own_at = np.concatenate([[0], np.cumsum(np.minimum(length, sizes))])
-    order_by_token = np.argsort(tokens, kind="stable")
-    token_at = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(order)))])
-    return tokens, own_at, owners[order_by_token], token_at
+    by = np.lexsort((rank[values], doc))
+    length = np.minimum(sizes - -(-percent * sizes // 100) + 1, sizes)
+    keep = np.arange(len(values)) - at[doc] < length[doc]
+    return values[by][keep], np.concatenate([[0], np.cumsum(length)])
 
 
 def _gather(at: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -272,11 +269,15 @@ def linked(values: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> np.nda
     count = np.bincount(coded)
     ties = mix(tokens.copy())
     orders = [np.lexsort((ties, count))] + [np.argsort(mix(tokens * b), kind="stable") for b in BASES][: ORDERS - 1]
-    lists = []
+    prefixes = []
     for by in orders:
         rank = np.empty(len(tokens), np.int64)
         rank[by] = np.arange(len(tokens))
-        lists.append(_prefix_lists(coded, at, rank, percent))
+        prefixes.append(_prefixes(coded, at, rank, percent))
+    # documents by prefix token of the first order, whose lists are short as rare tokens come first
+    first, first_at = prefixes[0]
+    owners = np.repeat(np.arange(n), np.diff(first_at))[np.argsort(first, kind="stable")]
+    token_at = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(tokens)))])
     sizes = np.diff(at)
     open_ = sizes > 0
     mark = np.zeros(len(tokens), bool)
@@ -287,15 +288,18 @@ def linked(values: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> np.nda
         queue = [start]
         while queue:
             x = queue.pop()
-            passed = None
-            for own, own_at, owners, token_at in lists:
-                near = _gather(token_at, own[own_at[x] : own_at[x + 1]], owners)
-                hit = np.zeros(n, bool)
-                hit[near] = True
-                passed = hit & open_ if passed is None else passed & hit
-            near = np.flatnonzero(passed)
+            near = _gather(token_at, first[first_at[x] : first_at[x + 1]], owners)
+            near = np.unique(near[open_[near]])
             a, b = sizes[x], sizes[near]
             near = near[(100 * a >= percent * b) & (100 * b >= percent * a)]  # the length bound
+            for own, own_at in prefixes[1:]:  # the filters of the other orders
+                if not len(near):
+                    break
+                mine = own[own_at[x] : own_at[x + 1]]
+                mark[mine] = True
+                theirs = own_at[near + 1] - own_at[near]
+                near = near[np.add.reduceat(mark[_gather(own_at, near, own)].astype(np.int64), np.cumsum(theirs) - theirs) > 0]
+                mark[mine] = False
             if not len(near):
                 continue
             mark[coded[at[x] : at[x + 1]]] = True
@@ -323,14 +327,15 @@ def group_links(members: DataFrame, width: int, percent: int) -> DataFrame:
             far = root != np.arange(len(root))
             return pa.RecordBatch.from_arrays([pa.array(ids[root[far]]), pa.array(ids[far])], ["a", "b"])
 
-        previous = None
+        previous, size = None, 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if row[0] != previous and len(held) >= GROUP_DOCS // 4:
+                if row[0] != previous and size >= BATCH_BYTES:
                     yield solve()
-                    held = []
+                    held, size = [], 0
                 previous = row[0]
                 held.append(row)
+                size += len(row[2])
         if held:
             yield solve()
 
@@ -338,16 +343,16 @@ def group_links(members: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _cells(groups: DataFrame, most: int) -> DataFrame:
-    """id and cell: the group, or for a large group all pairs of its blocks that hold the document."""
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
-    blocks = F.ceil(F.col("n") / (most // 2)).cast("int")
+    """id and cell of ``groups`` (id, component, n): the group, or all pairs of its blocks that hold the document."""
+    sized = groups.join(groups.groupBy("component").agg(F.sum("n").alias("total")), "component")
+    blocks = F.ceil(F.col("total") * 2 / most).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("component", F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
-    cells = F.when(F.col("n") <= most, F.array(F.xxhash64("component"))).otherwise(pairs)
+    cells = F.when(F.col("total") <= most, F.array(F.xxhash64("component"))).otherwise(pairs)
     return sized.withColumn("blocks", blocks).withColumn("own", own).select("id", F.explode(cells).alias("cell"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_docs: int = GROUP_DOCS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -363,7 +368,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     first, second = heads.select(F.col("doc_id").alias("a"), F.col("head").alias("x")), heads.select(F.col("doc_id").alias("b"), F.col("head").alias("y"))
     coarse = edges.distinct().join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
     groups = components(coarse)
-    cells = _cells(groups, group_docs)
+    # ids of groups are class heads; an id that several sets repeat counts with all of them
+    weight = classes.groupBy("head").agg(F.sum("n").alias("n"))
+    cells = _cells(groups.join(weight, F.col("id") == F.col("head")).select("id", "component", "n"), group_shingles)
     # never a broadcast of the cells: they grow with the documents
     members = named.join(cells.hint("merge"), F.col("doc_id") == F.col("id")).select("cell", "doc_id", "text").repartition(n, "cell").sortWithinPartitions("cell", "doc_id")
     links = group_links(members, width, percent)
@@ -375,6 +382,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, c FROM r JOIN e ON id = a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN m ON m.id = d.doc_id
+"""
+
+
 def brute_force(docs: list[tuple], width: int = WIDTH, percent: int = PERCENT) -> list[tuple]:
     """The query's rows by plain comparison, for tests."""
     import re
