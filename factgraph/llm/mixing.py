@@ -9,8 +9,8 @@ is taken whole and the rest is shared among the other cells, until the expected
 A topic is the nearest centre of spherical k-means over hashed word counts, trained on at most
 ``TOPIC_DOCS`` documents.  All counts and every document's topic cover whole texts.
 
-The cells are a DataFrame throughout, so any number of sources is raked; each sweep is written to
-the shared folder.  Sampling takes a document by a hash of its id and text, so it repeats.
+Up to ``LOCAL_CELLS`` cells are raked on the driver; more are raked as DataFrames, each sweep
+written to the shared folder.  Sampling takes a document by a hash of its id and text, so it repeats.
 
 Defined results: null sources and languages are the category ``""``; a null or empty text has no
 tokens and the topic -1, and is taken like the rest of its cell; rows that repeat are drawn alike; a
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from .common import BASES, FOLDED_TABLES, SPACE_WORDS, materialize, segments, utf8, word_hashes, word_spans, working_on
 
 DIMENSIONS = ("source", "lang", "topic")
-TOPICS, TOPIC_DOCS, TOPIC_BUCKETS = 8, 2000, 1 << 12
+TOPICS, TOPIC_DOCS, TOPIC_BUCKETS = 8, 1000, 1 << 12
 #: Targets without a table of their own: shares to the power given, so that large categories shrink.
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.5}
 SWEEPS, TOLERANCE = 12, 1e-4
+#: Cells that are raked on the driver, at most.
+LOCAL_CELLS = 100_000
 #: The wanted tokens as a share of all.
 KEEP = 0.8
 
@@ -98,13 +100,15 @@ def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """``cells`` (dimensions, tokens) with ``weight``, whose marginals are the targets.
 
     A target for a category without tokens can't be met and is left out; the others keep their
     proportions.  A category without a target gets the weight 0.
     """
-    weights = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    weights = cells.where("tokens > 0").select(*DIMENSIONS, "tokens", F.col("tokens").cast("double").alias("weight"))
+    if weights.limit(local_cells + 1).count() <= local_cells:
+        return _rake_on_driver(weights, targets, sweeps, tolerance)
     tables = {dim: materialize(t, "target") for dim, t in targets.items()}
     for _ in range(sweeps):
         for dim, target in tables.items():
@@ -121,6 +125,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     return weights
 
 
+def _rake_on_driver(weights: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
+    """The same for a bounded number of cells, whose categories bound the targets that matter."""
+    rows = weights.collect()
+    weight = np.array([r["weight"] for r in rows], float)
+    codes, wanted = {}, {}
+    for dim in DIMENSIONS:
+        names = sorted({r[dim] for r in rows})
+        place = {name: i for i, name in enumerate(names)}
+        codes[dim] = np.array([place[r[dim]] for r in rows], np.int64)
+        share = targets[dim].join(weights.select(dim).distinct(), dim, "left_semi").collect()
+        wanted[dim] = np.zeros(len(names))
+        for r in share:
+            wanted[dim][place[r[dim]]] = r["target"]
+    for _ in range(sweeps if rows else 0):
+        for dim in targets:
+            sums = np.bincount(codes[dim], weight, len(wanted[dim]))
+            weight *= np.divide(wanted[dim], sums, out=np.zeros_like(sums), where=sums > 0)[codes[dim]]
+        if max(np.abs(np.bincount(codes[dim], weight, len(wanted[dim])) - wanted[dim]).max() for dim in targets) <= tolerance:
+            break
+    made = [(*[r[dim] for dim in DIMENSIONS], r["tokens"], float(w)) for r, w in zip(rows, weight)]
+    return weights.sparkSession.createDataFrame(made, weights.schema)
+
+
 def calibrate(weights: DataFrame, wanted: float) -> DataFrame:
     """``weights`` with ``probability``: least of 1 and scale * weight / tokens, expecting ``wanted`` tokens.
 
@@ -148,7 +175,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ke
     rows = materialize(with_topics(docs, centres), "topics")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     wanted = keep * (cells.agg(F.sum("tokens")).first()[0] or 0)
-    chances = calibrate(rake(cells, targets or default_targets(cells)), wanted).select(*DIMENSIONS, "probability")
+    raked = materialize(rake(cells, targets or default_targets(cells)), "raked")
+    chances = calibrate(raked, wanted).select(*DIMENSIONS, "probability")
     draw = F.shiftrightunsigned("mark", 11) / F.lit(float(1 << 53))
     out = rows.join(chances, list(DIMENSIONS), "left")
     # cells without tokens have no weight: they cost nothing and stay
