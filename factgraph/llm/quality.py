@@ -144,7 +144,9 @@ def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     are the least of two runs, less those of a rule that costs nothing.
     """
     rules = default_rules() if rules is None else rules
-    sample = with_base(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 3).limit(sample_rows)).where(~base_failed()).persist()
+    # persisted before the filter, which Spark would push below the steps and so compute them again
+    base = with_base(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 3).limit(sample_rows)).persist()
+    sample = base.where(~base_failed())
     try:
         n = sample.count()
 
@@ -163,7 +165,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
             cost = max(seconds - idle, 1e-4)
             plan.append({"rule": rule, "seconds": cost, "rejected": rejected, "rows": n, "rank": (rejected + 1) / (n + 2) / cost})
     finally:
-        sample.unpersist()
+        base.unpersist()
     return sorted(plan, key=lambda p: -p["rank"])
 
 

@@ -34,7 +34,7 @@ PIECE = 1 << 19
 #: Anchor rows that a task gathers before it drops repeats among them.
 GATHER_ROWS = 1 << 20
 #: Units in one index, and contents of an anchor above which its windows are dealt one by one.
-INDEX_UNITS, HOT_CONTENTS = 1 << 19, 20_000
+INDEX_UNITS, HOT_CONTENTS = 1 << 19, 1000
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -44,7 +44,7 @@ class Kind:
     """What a unit and a passage are.
 
     units      raw bytes and offsets of documents -> two hash arrays of units and their offsets
-    cut        raw bytes of a document, unit range -> bytes of the content
+    contents   raw bytes of a document, unit ranges -> the bytes of each content, None past the end
     build      contents, width -> per content the class of each window (equal windows, equal class)
     same_doc   whether an earlier start in the same document counts
     """
@@ -137,6 +137,16 @@ def _merge_runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return doc[first], lo[first], reach[np.concatenate([first[1:] - 1, [len(doc) - 1]])]
 
 
+def _merge_contents(h1, doc, lo, hi) -> tuple:
+    """Unite neighbouring contents of an anchor in a document, as a text that repeats itself has many."""
+    order = np.lexsort((lo, doc, h1))
+    h1, doc = h1[order], doc[order]
+    group = np.cumsum(np.concatenate([[0], ((h1[1:] != h1[:-1]) | (doc[1:] != doc[:-1])).astype(np.int64)]))
+    own, start, end = _merge_runs(group, lo[order].astype(np.int64), hi[order].astype(np.int64))
+    at = np.searchsorted(group, own)
+    return h1[at], doc[at], start, end
+
+
 ROWS = "kind byte, h1 long, h2 long, doc_id long, lo int, hi int"
 _ARROW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 #: Kinds of rows: an anchor or window, a removed range, a content to fetch, one of a hot anchor.
@@ -213,7 +223,8 @@ def _meet(kind: Kind):
             for tag_out, pick in ((FETCH, (count > 1) & (count <= HOT_CONTENTS)), (HOT, count > HOT_CONTENTS)):
                 f = places[pick]
                 if len(f):
-                    yield _batch(tag_out, h1[f], h2[f], doc[f], lo[f], hi[f])
+                    wanted = _merge_contents(h1[f], doc[f], lo[f], hi[f])
+                    yield _batch(tag_out, wanted[0], np.zeros(len(wanted[0]), np.int64), *wanted[1:])
         doc, lo, hi = (np.concatenate(x) for x in zip(*gone))
         if len(doc):
             yield _removed(doc, lo, hi)
@@ -244,7 +255,20 @@ def _fetch(kind: Kind):
     """Documents with the contents wanted of them -> contents, and windows of hot anchors."""
     schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("content", pa.binary())])
 
+    def with_content(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], schema=schema)
+
+    def windows(held: list) -> Iterator[pa.RecordBatch]:
+        """Windows of hot anchors, a window that several documents of the task have once."""
+        h1, h2, doc, lo = (np.concatenate(x) for x in zip(*held))
+        first, same, gone = _resolve(h1, h2, doc, lo, lo + 1, kind.width, kind.same_doc)
+        keep = np.concatenate([first, same])
+        yield with_content(_batch(HOT, h1[keep], h2[keep], doc[keep], lo[keep], lo[keep] + 1))
+        if len(gone[0]):
+            yield with_content(_removed(*gone))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             ids, wanted = batch.column(0).to_pylist(), batch.column(2)
@@ -261,11 +285,16 @@ def _fetch(kind: Kind):
                 hot = [s for s in spots if s["kind"] == HOT]
                 if hot:
                     one, two, _ = kind.units(text, np.array([0, len(text)]))
-                    s = np.concatenate([np.arange(x["lo"], x["hi"]) for x in hot])
+                    s = np.unique(np.concatenate([np.arange(x["lo"], x["hi"]) for x in hot]))
                     s = s[s + kind.width <= len(one)]
                     h1, h2 = _ranges(one, 0, s, s + kind.width), _ranges(two, 1, s, s + kind.width)
-                    rows = _batch(HOT, h1, h2, np.full(len(s), ids[d]), s, s + 1)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(len(s), pa.binary())], schema=schema)
+                    held.append((h1.view(np.int64), h2.view(np.int64), np.full(len(s), ids[d], np.int64), s))
+                    n += len(s)
+                    if n >= GATHER_ROWS:
+                        yield from windows(held)
+                        held, n = [], 0
+        if n:
+            yield from windows(held)
 
     return run
 
@@ -321,7 +350,7 @@ def repeated_ranges(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     fetched = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(kind), f"{ROWS}, content binary"), "contents")
     indexed = fetched.where(F.col("kind") == FETCH).repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(_index(kind), ROWS)
     hot = _dealt(fetched.where(F.col("kind") == HOT).select(F.lit(ANCHOR).cast("byte").alias("kind"), "h1", "h2", "doc_id", "lo", "hi"), n, kind)
-    removed = met.unionByName(indexed).unionByName(hot).where(F.col("kind") == REMOVED)
+    removed = met.unionByName(fetched.drop("content")).unionByName(indexed).unionByName(hot).where(F.col("kind") == REMOVED)
     ranges = removed.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return texts, ranges
 

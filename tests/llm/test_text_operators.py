@@ -34,6 +34,7 @@ def corpus(seed=1, n=60):
             near[len(near) // 2 :][:1] = ["changed"]
             text = " ".join(near)
         texts.append(text)
+    texts += ["b " * 900 + "q c " * 40, "c " + "b " * 400 + "end", "b " * 60 + "q c " * 30]
     texts += [None, "", "  \n\t ", "one", "two words", "É é İ ß x", passage * 3, "a " * 3000, "z" * 5000]
     return [(i, t) for i, t in enumerate(texts)]
 
@@ -236,7 +237,7 @@ def test_op9(spark, docs):
 def test_op10(spark, docs):
     for width, percent in ((3, 90), (5, 80)):
         assert rows_of(ngram_join.near_duplicates(frame(spark, docs), width, percent)) == ngram_join.brute_force(docs, width, percent)
-    assert rows_of(ngram_join.near_duplicates(frame(spark, docs), group_docs=4)) == ngram_join.brute_force(docs)
+    assert rows_of(ngram_join.near_duplicates(frame(spark, docs), group_shingles=300)) == ngram_join.brute_force(docs)
     got = rows_of(ngram_join.near_duplicates(odd(spark)))
     assert len(got) == 6 and got[-1][2] is None
     assert ngram_join.near_duplicates(frame(spark, docs).limit(0)).count() == 0
