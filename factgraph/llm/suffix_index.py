@@ -17,26 +17,30 @@ import numpy as np
 def sort_suffixes(units: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes by prefix doubling, and for each start a rank of its ``width`` units.
 
-    ``units`` must have separators that are all different.
+    ``units`` are small numbers and must have separators that are all different.
     """
     n = len(units)
-    rank = np.unique(units, return_inverse=True)[1].astype(np.int64)
+    # a rank is the row of the first suffix that is equal so far; open suffixes share theirs with others
+    counts = np.bincount(units) if n else np.zeros(0, np.int64)
+    rank = (np.cumsum(counts) - counts)[units] if n else np.zeros(0, np.int64)
+    open_ = np.flatnonzero(counts[units] > 1) if n else np.zeros(0, np.int64)
     size, at_width = 1, None
     while True:
         if at_width is None and 2 * size > width:
             # the ranks of two overlapping halves give that of the whole
             pair = rank * n + rank[np.minimum(np.arange(n) + width - size, n - 1)]
             at_width = np.unique(pair, return_inverse=True)[1]
-        if at_width is not None and rank.max(initial=0) == n - 1:
+        if at_width is not None and not len(open_):
             break
-        after = np.zeros(n, np.int64)
-        after[: n - size] = rank[size:] + 1 if size < n else 0
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+        if len(open_):
+            key = rank[open_] * (n + 1) + np.where(open_ + size < n, rank[np.minimum(open_ + size, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            open_, key = open_[by], key[by]
+            old, place = rank[open_], np.arange(len(by))
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            start = np.concatenate([[True], old[1:] != old[:-1]])
+            rank[open_] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
+            open_ = open_[~(fresh & np.append(fresh[1:], True))]
         size *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
@@ -60,9 +64,9 @@ class _Index:
         text[ends] = np.arange(d)  # separators: all different, and below every symbol
         suffixes, prefix = sort_suffixes(text, width)
         transform = text[suffixes - 1]
-        # rows where the first ``width`` units change
+        # rows of one class share their first ``width`` units
         sorted_prefix = prefix[suffixes]
-        self.bounds = np.flatnonzero(np.concatenate([[True], sorted_prefix[1:] != sorted_prefix[:-1]]))
+        self.class_of = np.concatenate([[0], np.cumsum(sorted_prefix[1:] != sorted_prefix[:-1])])
         # the suffix that is a separator alone stands in the row of that separator
         self.end_rows = np.arange(d)
         self._keep(transform, suffixes, d + len(symbols))
@@ -87,7 +91,8 @@ class _Index:
             active = int(np.searchsorted(-sizes, -t, "right"))
             rows[:active] = self.step(rows[:active])
             if t >= self.width:
-                flat[at[:active] + sizes[:active] - t] = np.searchsorted(self.bounds, rows[:active], "right") - 1
+                flat[at[:active] + sizes[:active] - t] = rows[:active]
+        flat = self.class_of[flat]
         return [flat[flat_at[k] : flat_at[k + 1]] for k in range(d)]
 
 
