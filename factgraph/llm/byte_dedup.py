@@ -1,17 +1,17 @@
 """Suffix-array dedup of byte strings with a run-length index.
 
-Every byte covered by a ``WIDTH``-byte string that also starts earlier (in a smaller doc_id, or
-earlier in the same document) is removed; overlaps count and strings are judged on the input.
+Every byte covered by a ``WIDTH``-byte string that also starts earlier (in an earlier document, or
+earlier in the same one) is removed; overlaps count and strings are judged on the input.
 
 ``repeats`` brings contents that may share strings into shards.  A shard's contents make a
 run-compressed Burrows-Wheeler transform with suffix samples at run ends; each content is streamed
 through it, and where its matching statistics reach ``WIDTH`` against an earlier content, the match
 is marked.
 
-Defined results: a null or empty text has no bytes; a null doc_id is after all others and earlier
-than none (so texts without an id don't remove from each other, but each is kept as one document
-with the others); rows that repeat a doc_id count as one document, and a range removed from it is
-removed from each of its rows; other columns are ignored.
+Defined results: documents are in order of doc_id, a null one last, and then of a hash of the text;
+a null or empty text has no bytes; rows with a null doc_id, and rows that repeat a doc_id with
+another text, are documents of their own; rows of one doc_id (or none) with the same text are one
+document and are cut alike, so none of them is a repeat of another; other columns are ignored.
 """
 
 from __future__ import annotations

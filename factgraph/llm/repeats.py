@@ -15,6 +15,10 @@ units of one document.  The steps:
 4. Runs of repeated windows are collected by document and cut from its text.
 
 Windows are equal if two independent 64-bit hashes are (step 2) or their units are (step 3).
+
+A document is named by its doc_id and a hash of its text (``key``), and is earlier than another by
+that order.  So rows without an id, and rows that repeat an id with another text, are documents of
+their own; only rows of one doc_id with the same text are one document, and stay or go alike.
 """
 
 from __future__ import annotations
@@ -158,20 +162,33 @@ def _merge_contents(h1, doc, lo, hi) -> tuple:
     return h1[at], doc[at], start, end
 
 
-ROWS = "kind byte, h1 long, h2 long, doc_id long, lo int, hi int"
-_ARROW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+def _ranked(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Numbers of documents in order of (doc_id, key), and the names (doc_ids, keys) by number."""
+    order = np.lexsort((keys, ids))
+    ids, keys = ids[order], keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, (ids[new], keys[new])
+
+
+ROWS = "kind byte, h1 long, h2 long, doc_id long, key long, lo int, hi int"
+NAME = ["doc_id", "key"]
+_ARROW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 #: Kinds of rows: an anchor or window, a removed range, a content to fetch, one of a hot anchor.
 ANCHOR, REMOVED, FETCH, HOT = range(4)
 
 
-def _batch(kind: int, h1, h2, doc, lo, hi) -> pa.RecordBatch:
+def _batch(kind: int, h1, h2, doc, lo, hi, names: tuple) -> pa.RecordBatch:
     as_long = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(as_long(h1)), pa.array(as_long(h2)), pa.array(as_long(doc)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(as_long(h1)), pa.array(as_long(h2)), pa.array(as_long(names[0][doc])), pa.array(as_long(names[1][doc])), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=_ARROW)
 
 
-def _removed(doc, lo, hi) -> pa.RecordBatch:
+def _removed(doc, lo, hi, names: tuple) -> pa.RecordBatch:
     doc, lo, hi = _merge_runs(doc, lo, hi)
-    return _batch(REMOVED, mix(doc.astype(np.uint64)), np.zeros(len(doc), np.int64), doc, lo, hi)
+    h1 = mix(names[0][doc].astype(np.uint64) ^ mix(names[1][doc].astype(np.uint64)))
+    return _batch(REMOVED, h1, np.zeros(len(doc), np.int64), doc, lo, hi, names)
 
 
 def _resolve(h1, h2, doc, lo, hi, width: int, same_doc: bool) -> tuple:
@@ -179,9 +196,14 @@ def _resolve(h1, h2, doc, lo, hi, width: int, same_doc: bool) -> tuple:
     order, fresh = _firsts(h1, h2, doc, lo)
     group = np.cumsum(fresh) - 1
     first = order[fresh][group]
-    later = doc[order] > doc[first] if not same_doc else ~fresh
+    later = doc[order] > doc[first]
+    if same_doc:
+        later |= lo[order] != lo[first]
     gone = order[later]
-    return order[fresh], order[~fresh & ~later], (doc[gone], lo[gone], hi[gone] + width - 1)
+    # rows of one document with the same text have the same windows at the same places
+    again = ~fresh
+    again[1:] &= (doc[order][1:] == doc[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+    return order[fresh], order[~fresh & ~later & ~again], (doc[gone], lo[gone], hi[gone] + width - 1)
 
 
 def _scan(kind: Kind):
@@ -189,27 +211,31 @@ def _scan(kind: Kind):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_on("repeats")
-        held, n = [], 0
+        held, named, n, docs = [], [], 0, 0
 
         def flush():
             h1, h2, doc, lo, hi = (np.concatenate(x) for x in zip(*held))
+            rank, names = _ranked(*(np.concatenate(x) for x in zip(*named)))
+            doc = rank[doc]
             first, more, gone = _resolve(h1, h2, doc, lo, hi, kind.width, kind.same_doc)
             keep = np.concatenate([first, more])
-            yield _batch(ANCHOR, h1[keep], h2[keep], doc[keep], lo[keep], hi[keep])
+            yield _batch(ANCHOR, h1[keep], h2[keep], doc[keep], lo[keep], hi[keep], names)
             if len(gone[0]):
-                yield _removed(*gone)
+                yield _removed(*gone, names)
 
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            raw, offsets = utf8(batch.column(2))
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for a, b in segments(offsets, PIECE):
                 one, two, at = kind.units(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for doc, lo, hi, h1, h2 in anchors(one, two, at, kind.width, kind.gram):
-                    held.append((h1.view(np.int64), h2.view(np.int64), ids[a + doc].astype(np.int64), lo, hi))
+                    held.append((h1.view(np.int64), h2.view(np.int64), docs + doc, lo, hi))
                     n += len(doc)
+                named.append((ids[a:b], keys[a:b]))
+                docs += b - a
                 if n >= GATHER_ROWS:
                     yield from flush()
-                    held, n = [], 0
+                    held, named, n, docs = [], [], 0, 0
         if held:
             yield from flush()
 
@@ -220,7 +246,8 @@ def _meet(kind: Kind):
     """Rows sorted by h1 -> removed ranges, and a row for each content that the index needs."""
 
     def groups(rows: list) -> Iterator[pa.RecordBatch]:
-        tag, h1, h2, doc, lo, hi = (np.concatenate(x) for x in zip(*rows))
+        tag, h1, h2, ids, keys, lo, hi = (np.concatenate(x) for x in zip(*rows))
+        doc, names = _ranked(ids, keys)
         passed = tag == REMOVED
         gone = [(doc[passed], lo[passed], hi[passed])]
         h1, h2, doc, lo, hi = (x[~passed] for x in (h1, h2, doc, lo, hi))
@@ -235,15 +262,15 @@ def _meet(kind: Kind):
                 f = places[pick]
                 if len(f):
                     wanted = _merge_contents(h1[f], doc[f], lo[f], hi[f])
-                    yield _batch(tag_out, wanted[0], np.zeros(len(wanted[0]), np.int64), *wanted[1:])
+                    yield _batch(tag_out, wanted[0], np.zeros(len(wanted[0]), np.int64), *wanted[1:], names)
         doc, lo, hi = (np.concatenate(x) for x in zip(*gone))
         if len(doc):
-            yield _removed(doc, lo, hi)
+            yield _removed(doc, lo, hi, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            rows = tuple(batch.column(i).to_numpy() for i in range(6))
+            rows = tuple(batch.column(i).to_numpy() for i in range(7))
             if not len(rows[0]):
                 continue
             # hold back the last anchor's rows, as it may go on in the next batch
@@ -264,25 +291,26 @@ def _dealt(df: DataFrame, n: int, kind: Kind) -> DataFrame:
 
 def _fetch(kind: Kind):
     """Documents with the contents wanted of them -> contents, and windows of hot anchors."""
-    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("content", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("content", pa.binary())])
 
     def with_content(rows: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], schema=schema)
 
     def windows(held: list) -> Iterator[pa.RecordBatch]:
         """Windows of hot anchors, a window that several documents of the task have once."""
-        h1, h2, doc, lo = (np.concatenate(x) for x in zip(*held))
+        h1, h2, ids, keys, lo = (np.concatenate(x) for x in zip(*held))
+        doc, names = _ranked(ids, keys)
         first, same, gone = _resolve(h1, h2, doc, lo, lo + 1, kind.width, kind.same_doc)
         keep = np.concatenate([first, same])
-        yield with_content(_batch(HOT, h1[keep], h2[keep], doc[keep], lo[keep], lo[keep] + 1))
+        yield with_content(_batch(HOT, h1[keep], h2[keep], doc[keep], lo[keep], lo[keep] + 1, names))
         if len(gone[0]):
-            yield with_content(_removed(*gone))
+            yield with_content(_removed(*gone, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids, wanted = batch.column(0).to_pylist(), batch.column(2)
+            raw, offsets = utf8(batch.column(2))
+            ids, keys, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for d in range(batch.num_rows):
                 text = raw[offsets[d] : offsets[d + 1]]
                 spots = wanted[d].as_py()
@@ -290,8 +318,8 @@ def _fetch(kind: Kind):
                 if plain:
                     lo, hi = np.array([s["lo"] for s in plain]), np.array([s["hi"] for s in plain])
                     found = kind.contents(text, lo, hi - 1 + kind.width)
-                    ok = [i for i, x in enumerate(found) if x is not None]  # else the row only repeats the doc_id
-                    cols = [[FETCH] * len(ok), [plain[i]["h1"] for i in ok], [0] * len(ok), [ids[d]] * len(ok), lo[ok].tolist() if ok else [], hi[ok].tolist() if ok else [], [found[i] for i in ok]]
+                    ok = [i for i, x in enumerate(found) if x is not None]
+                    cols = [[FETCH] * len(ok), [plain[i]["h1"] for i in ok], [0] * len(ok), [ids[d]] * len(ok), [keys[d]] * len(ok), lo[ok].tolist() if ok else [], hi[ok].tolist() if ok else [], [found[i] for i in ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
                 hot = [s for s in spots if s["kind"] == HOT]
                 if hot:
@@ -299,7 +327,7 @@ def _fetch(kind: Kind):
                     s = np.unique(np.concatenate([np.arange(x["lo"], x["hi"]) for x in hot]))
                     s = s[s + kind.width <= len(one)]
                     h1, h2 = _ranges(one, 0, s, s + kind.width), _ranges(two, 1, s, s + kind.width)
-                    held.append((h1.view(np.int64), h2.view(np.int64), np.full(len(s), ids[d], np.int64), s))
+                    held.append((h1.view(np.int64), h2.view(np.int64), np.full(len(s), ids[d], np.int64), np.full(len(s), keys[d], np.int64), s))
                     n += len(s)
                     if n >= GATHER_ROWS:
                         yield from windows(held)
@@ -314,7 +342,8 @@ def _index(kind: Kind):
     """Contents sorted by anchor -> removed ranges, by one index for many anchors."""
 
     def solve(rows: list) -> Iterator[pa.RecordBatch]:
-        doc, lo, contents = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows]
+        doc, names = _ranked(np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+        lo, contents = np.array([r[3] for r in rows], np.int64), [r[4] for r in rows]
         order = np.lexsort((lo, doc))
         contents = [contents[i] for i in order]
         doc, lo = doc[order], lo[order]
@@ -331,18 +360,18 @@ def _index(kind: Kind):
         later &= (doc[owner[by]] != doc[owner[first]]) | (start[by] != start[first])
         gone = by[later]
         if len(gone):
-            yield _removed(doc[owner[gone]], start[gone], start[gone] + kind.width)
+            yield _removed(doc[owner[gone]], start[gone], start[gone] + kind.width, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, previous = [], 0, None
         for batch in batches:
-            for row in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(6).to_pylist()):
+            for row in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5, 7))):
                 if row[0] != previous and size >= INDEX_UNITS:
                     yield from solve(held)
                     held, size = [], 0
                 previous = row[0]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield from solve(held)
 
@@ -350,19 +379,22 @@ def _index(kind: Kind):
 
 
 def repeated_ranges(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """texts (doc_id, text, dealt by doc_id) and the removed ranges (doc_id, ranges) of documents."""
+    """texts (doc_id, key, text, unnamed, dealt by name) and the removed ranges (doc_id, key, ranges) of documents."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # a null doc_id stands as the greatest one; its key tells it from a row that has that id
+    unnamed = F.col("doc_id").isNull()
+    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(unnamed, "text").alias("key"), "text", unnamed.alias("unnamed"))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = partitions_for(spark, n_bytes)
     met = materialize(_dealt(docs.mapInArrow(_scan(kind), ROWS), n, kind), "repeats")
-    texts = docs.repartition(n, "doc_id")
-    wanted = met.where(F.col("kind").isin(FETCH, HOT)).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "h1", "lo", "hi")).alias("wanted"))
-    fetched = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(kind), f"{ROWS}, content binary"), "contents")
+    texts = docs.repartition(n, *NAME)
+    wanted = met.where(F.col("kind").isin(FETCH, HOT)).groupBy(*NAME).agg(F.collect_list(F.struct("kind", "h1", "lo", "hi")).alias("wanted"))
+    fetched = materialize(texts.join(wanted, NAME).select(*NAME, "text", "wanted").mapInArrow(_fetch(kind), f"{ROWS}, content binary"), "contents")
     indexed = fetched.where(F.col("kind") == FETCH).repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(_index(kind), ROWS)
-    hot = _dealt(fetched.where(F.col("kind") == HOT).select(F.lit(ANCHOR).cast("byte").alias("kind"), "h1", "h2", "doc_id", "lo", "hi"), n, kind)
+    hot = _dealt(fetched.where(F.col("kind") == HOT).select(F.lit(ANCHOR).cast("byte").alias("kind"), "h1", "h2", *NAME, "lo", "hi"), n, kind)
     removed = met.unionByName(fetched.drop("content")).unionByName(indexed).unionByName(hot).where(F.col("kind") == REMOVED)
-    ranges = removed.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = removed.groupBy(*NAME).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return texts, ranges
 
 
@@ -385,7 +417,7 @@ def cut(docs: DataFrame, kind: Kind, apply: Callable, schema: str) -> DataFrame:
             for d, doc_id in enumerate(ids):
                 a, b = at[d], at[d + 1]
                 _, x, y = _merge_runs(np.zeros(b - a, np.int64), lo[a:b].astype(np.int64), hi[a:b].astype(np.int64))
-                rows.append((None if doc_id == 2**63 - 1 else doc_id, *apply(raw[offsets[d] : offsets[d + 1]], x, y)))
+                rows.append((doc_id, *apply(raw[offsets[d] : offsets[d + 1]], x, y)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
 
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(run, schema)
+    return texts.join(ranges, NAME, "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "text", "ranges").mapInArrow(run, schema)

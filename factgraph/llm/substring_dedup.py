@@ -1,15 +1,16 @@
 """Substring dedup of word passages with a compressed FM-index per shard.
 
-Every word covered by a window of ``WIDTH`` words whose sequence also starts in a document with a
-smaller doc_id is removed; windows are judged on the input.
+Every word covered by a window of ``WIDTH`` words whose sequence also starts in an earlier document
+is removed; windows are judged on the input.
 
 ``repeats`` brings contents that may share windows into shards.  A shard's contents make an
 FM-index whose transform is a wavelet matrix; contents are streamed by backward search, and their
 matching statistics of ``WIDTH`` words or more against an earlier document are reported.
 
-Defined results: a null or empty text has no words; a null doc_id is after all others; rows that
-repeat a doc_id count as one document, and a range removed from it is removed from each of its
-rows; other columns are ignored.
+Defined results: documents are in order of doc_id, a null one last, and then of a hash of the text;
+a null or empty text has no words; rows with a null doc_id, and rows that repeat a doc_id with
+another text, are documents of their own; rows of one doc_id (or none) with the same text are one
+document and are cut alike; other columns are ignored.
 """
 
 from __future__ import annotations
