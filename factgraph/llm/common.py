@@ -8,12 +8,13 @@ Python loop runs per word.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into numpy arrays at a time (a longer document is its own segment).
 SEGMENT_BYTES = 1 << 20
@@ -68,6 +69,16 @@ def working_on(operator: str, forget: Callable[[], None] | None = None) -> None:
         _forget[operator] = forget
 
 
+def carried(columns: Sequence[str]) -> list[Column]:
+    """``columns`` as one struct that goes through an operator beside each row, if there are any."""
+    return [F.struct(*columns).alias("carried")] if columns else []
+
+
+def with_carried(schema: str, shaped: DataFrame) -> StructType:
+    """``schema`` with the field of what ``shaped`` carries."""
+    return StructType(StructType.fromDDL(schema).fields + [f for f in shaped.schema.fields if f.name == "carried"])
+
+
 # --- numpy text arrays -------------------------------------------------------------------------
 
 

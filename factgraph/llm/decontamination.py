@@ -22,14 +22,14 @@ clean; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, BASES, FOLDED_TABLES, segments, shingle_hashes, utf8, word_hashes, word_spans, working_on
+from .common import ALNUM_WORDS, BASES, FOLDED_TABLES, carried, segments, shingle_hashes, utf8, with_carried, word_hashes, word_spans, working_on
 
 WINDOW, SHINGLE = 10, 3
 #: Windows of the benchmark that are sent to the tasks at a time.
@@ -163,13 +163,13 @@ def blocks_of(bench: DataFrame, parts: int) -> Iterator[list[tuple[str, str]]]:
         yield [(r[0], r[1]) for r in rows.collect()]
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, hits (runs of hit words: start, end, ...) and items (sorted ids) of each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit: int = BLOCK_WINDOWS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, hits (runs of hit words: start, end, ...) and items (sorted ids) of each row, and its columns ``carry`` as ``carried``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried(carry))
     parts = block_count(bench, limit)
     if parts > 1:
         return _merged(docs, bench, window, parts)
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    lists = pa.list_(pa.int32()), pa.list_(pa.string())
     block = Windows(next(blocks_of(bench, 1)), window)
     block.order(_count_shingles(docs, block))
 
@@ -179,16 +179,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit
             raw, offsets = utf8(batch.column(1))
             for a, b in segments(offsets):
                 found = list(_find(block, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f[1] for f in found], pa.int64()), pa.array([_runs(f[2]) for f in found], arrow.field("hits").type), pa.array([f[3] for f in found], arrow.field("items").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f[1] for f in found], pa.int64()), pa.array([_runs(f[2]) for f in found], lists[0]), pa.array([f[3] for f in found], lists[1]), *[c.slice(a, b - a) for c in batch.columns[2:]]], ["doc_id", "n_words", "hits", "items", *batch.schema.names[2:]])
 
-    return docs.mapInArrow(find, "doc_id long, n_words long, hits array<int>, items array<string>")
+    return docs.mapInArrow(find, with_carried("doc_id long, n_words long, hits array<int>, items array<string>", docs))
 
 
 def _merged(docs: DataFrame, bench: DataFrame, window: int, parts: int) -> DataFrame:
     """Several blocks: each pass adds its hits to the rows of the one before, so rows stay whole."""
-    schema = "doc_id long, n_words long, hits array<int>, items array<string>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    lists = pa.list_(pa.int32()), pa.list_(pa.string())
+    df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *docs.columns[2:])
     for items in blocks_of(bench, parts):
         block = Windows(items, window)
         block.order(_count_shingles(docs, block))
@@ -206,10 +205,10 @@ def _merged(docs: DataFrame, bench: DataFrame, window: int, parts: int) -> DataF
                             marked[s:e] = True
                         hits[d], ids[d] = _runs(np.flatnonzero(marked)), sorted({*ids[d], *found})
                         n.append(n_words)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).cast(pa.string()), pa.array(n, pa.int64()), pa.array(hits, arrow.field("hits").type), pa.array(ids, arrow.field("items").type)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).cast(pa.string()), pa.array(n, pa.int64()), pa.array(hits, lists[0]), pa.array(ids, lists[1]), *[c.slice(a, b - a) for c in batch.columns[5:]]], ["doc_id", "text", "n_words", "hits", "items", *batch.schema.names[5:]])
 
-        df = df.mapInArrow(add, "doc_id long, text string, n_words long, hits array<int>, items array<string>")
-    return df.select(*[c.split()[0] for c in schema.split(", ")])
+        df = df.mapInArrow(add, with_carried("doc_id long, text string, n_words long, hits array<int>, items array<string>", docs))
+    return df.drop("text")
 
 
 def decontamination_query(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ are judged alike; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FOLDED_TABLES, SPACE_WORDS, mix, segments, utf8, word_hashes, word_spans, working_on
+from .common import BASES, FOLDED_TABLES, SPACE_WORDS, carried, mix, segments, utf8, word_hashes, word_spans, with_carried, working_on
 
 #: Bounds of training: rows read, and features of a row used in a step (spread over the whole text).
 TRAIN_ROWS, STEP_FEATURES = 3000, 400
@@ -152,8 +152,8 @@ def training_rows(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> list[tuple[str
     return [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text", "lang").limit(max_rows).collect()]
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of each row."""
+def identify(docs: DataFrame, model: Model | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected of each row, and its columns ``carry`` as ``carried``."""
     if model is None:
         model = train(training_rows(docs))
 
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 score = np.where(known, p.max(1), 0.0)
                 names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, known)] if model is not None else [UNKNOWN] * (b - a)
                 rejected = ~known | (score < (model.reject_below if model is not None else 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(rejected), *[c.slice(a, b - a) for c in batch.columns[3:]]], ["doc_id", "held_out", "lang_pred", "score", "rejected", *batch.schema.names[3:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *carried(carry))
+    return shaped.mapInArrow(predict, with_carried("doc_id long, held_out boolean, lang_pred string, score double, rejected boolean", shaped))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASES, FOLDED_TABLES, SPACE_WORDS, materialize, segments, utf8, word_hashes, word_spans, working_on
@@ -71,6 +71,15 @@ def train_topics(texts: list[str], k: int = TOPICS, rounds: int = 12, seed: int
     return centres.astype(np.float32)
 
 
+def category(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def mark() -> Column:
+    """The hash of a row that decides its draw."""
+    return F.xxhash64(F.lit(17), "doc_id", "text")
+
+
 def with_topics(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     """doc_id, source, lang, mark (hash that decides the draw), n_tokens and topic of each row."""
     schema = "doc_id long, source string, lang string, mark long, n_tokens long, topic int"
@@ -86,7 +95,7 @@ def with_topics(docs: DataFrame, centres: np.ndarray) -> DataFrame:
                     topic = np.where(words > 0, np.argmax(bag @ centres.T, axis=1), -1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([batch.column(i).slice(x, y - x) for i in range(4)] + [pa.array(words.astype(np.int64)), pa.array(topic)], ["doc_id", "source", "lang", "mark", "n_tokens", "topic"])
 
-    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64(F.lit(17), "doc_id", "text").alias("mark"), "text")
+    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), category("source").alias("source"), category("lang").alias("lang"), mark().alias("mark"), "text")
     return shaped.mapInArrow(run, schema)
 
 
