@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -55,6 +55,37 @@ def partitions_for(spark: SparkSession, n_bytes: float, target: int = 24 << 20)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // target) + 1)
 
 
+def _shares(counts: dict, total: int) -> dict:
+    """Equal shares of ``total``, none above its count."""
+    out = {}
+    for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g))):
+        out[g] = min(counts[g], (total - sum(out.values())) // (len(counts) - i))
+    return out
+
+
+def least_hashed(rows: DataFrame, max_rows: int, by: str | None = None) -> list[Row]:
+    """At most ``max_rows`` rows in order of ``draw`` (a hash), those with the least ones over the whole table.
+
+    With ``by``, its values (the ``max_rows`` most frequent ones) have equal shares, and what one
+    can't fill goes to the others.  Rows of one value with the same draw count once.
+    """
+    group = F.col(by) if by else F.lit("")
+    counts = {r[0]: r[1] for r in rows.groupBy(group.alias("g")).agg(F.approx_count_distinct("draw").alias("n")).orderBy(F.desc("n"), "g").limit(max_rows).collect()}
+    if not counts:
+        return []
+    below = lambda bounds: F.col("draw") <= F.try_element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), group)
+    # draws alone of about twice the rows wanted, then the rows
+    share = _shares(counts, max_rows)
+    wide = {g: min(-(2**63) + (2**64 * (2 * share[g] + 50)) // max(n, 1), 2**63 - 1) for g, n in counts.items()}
+    drawn: dict = {}
+    for g, draw in rows.where(below(wide)).select(group, "draw").distinct().collect():
+        drawn.setdefault(g, []).append(draw)
+    share = _shares({g: len(x) for g, x in drawn.items()}, max_rows)
+    bounds = {g: sorted(x)[k - 1] for (g, x), k in zip(drawn.items(), map(share.get, drawn)) if k}
+    found = rows.where(below(bounds)).dropDuplicates([by, "draw"] if by else ["draw"]).collect() if bounds else []
+    return sorted(found, key=lambda r: (r["draw"], r[by] if by else ""))[:max_rows]
+
+
 _forget: dict[str, Callable[[], None]] = {}
 
 

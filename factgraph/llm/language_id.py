@@ -3,7 +3,7 @@
 A text's features are its words and the byte n-grams of ``GRAMS`` in them, hashed to ``BUCKETS``
 rows of an embedding table; the text's vector is the mean of its rows; a linear layer and a softmax
 give the languages.  Table and layer are trained by stochastic gradient descent in numpy on at most
-``TRAIN_ROWS`` labelled rows.  A share of them is held back, on which a temperature calibrates the
+``TRAIN_ROWS`` labelled rows, dealt evenly over the languages of the whole table.  A share of them is held back, on which a temperature calibrates the
 scores and a low quantile of the scores becomes the bound of rejection.
 
 As the layer is linear, a trained model scores a bucket once for each language, so a whole text
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FOLDED_TABLES, SPACE_WORDS, carried, mix, segments, utf8, word_hashes, word_spans, with_carried, working_on
+from .common import BASES, FOLDED_TABLES, SPACE_WORDS, carried, least_hashed, mix, segments, utf8, word_hashes, word_spans, with_carried, working_on
 
 #: Bounds of training: rows read, and features of a row used in a step (spread over the whole text).
 TRAIN_ROWS, STEP_FEATURES = 3000, 400
@@ -145,11 +145,9 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most ``max_rows`` labelled rows that aren't held out, chosen by a hash of the id."""
+    """At most ``max_rows`` labelled rows that aren't held out: those of each language with the least hash of id and text."""
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.octet_length("text").between(1, 200_000)))
-    n = docs.count()
-    parts = max(1, n // (3 * max_rows))
-    return [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text", "lang").limit(max_rows).collect()]
+    return [(r["text"], r["lang"]) for r in least_hashed(rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("draw")), max_rows, "lang")]
 
 
 def identify(docs: DataFrame, model: Model | None = None, carry: Sequence[str] = ()) -> DataFrame:

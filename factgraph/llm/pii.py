@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of training: documents read, and candidates of a kind.
 TRAIN_DOCS, TRAIN_CANDIDATES = 2000, 3000
@@ -317,9 +319,9 @@ def train(texts: list[str]) -> Model:
 
 
 def sample_texts(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> list[str]:
-    """Texts of at most ``max_docs`` documents, chosen by a hash of the id."""
-    rows = docs.where(F.octet_length("text").between(1, 100_000) & (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 5)).select("text").limit(max_docs)
-    return [r[0] for r in rows.collect()]
+    """Texts of at most ``max_docs`` documents: those with the least hash of id and text."""
+    rows = docs.where(F.octet_length("text").between(1, 100_000)).select("text", F.xxhash64("doc_id", "text").alias("draw"))
+    return [r["text"] for r in least_hashed(rows, max_docs)]
 
 
 # --- the operator ------------------------------------------------------------------------------
