@@ -6,8 +6,10 @@ Sampling probabilities follow: a document of a cell is taken with the probabilit
 cell's expected tokens its share of the wanted total; where a cell would need more than it has, it
 is taken whole and the rest is shared among the other cells, until the expected total is met.
 
-A topic is the nearest centre of spherical k-means over hashed word counts, trained on at most
-``TOPIC_DOCS`` documents.  All counts and every document's topic cover whole texts.
+A topic is the nearest centre of spherical k-means over hashed word counts of whole texts.  Word
+counts are written once; each round assigns all documents and sums their vectors by topic, in whole
+numbers, so the order of rows doesn't matter.  Only the first centres come from a sample: the
+``TOPIC_DOCS`` documents with the least marks of the table.
 
 Up to ``LOCAL_CELLS`` cells are raked on the driver; more are raked as DataFrames, each sweep
 written to the shared folder.  Sampling takes a document by a hash of its id and text, so it repeats.
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FOLDED_TABLES, SPACE_WORDS, materialize, segments, utf8, word_hashes, word_spans, working_on
+from .common import BASES, FOLDED_TABLES, SPACE_WORDS, least_hashed, materialize, segments, utf8, word_hashes, word_spans, working_on
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, TOPIC_DOCS, TOPIC_BUCKETS = 8, 1000, 1 << 12
@@ -39,36 +42,97 @@ LOCAL_CELLS = 100_000
 KEEP = 0.8
 
 
-def _bag(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of root word counts, documents x buckets, and the words of each document."""
+def _bag(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each document's entries, their buckets and root word counts scaled to unit length; words of each document."""
     starts, ends, at = word_spans(raw, offsets, SPACE_WORDS)
     bucket = (word_hashes(raw, starts, ends, FOLDED_TABLES[0], BASES[0]) >> np.uint64(64 - TOPIC_BUCKETS.bit_length() + 1)).astype(np.int64)
     n = len(offsets) - 1
-    doc = np.repeat(np.arange(n), np.diff(at))
-    bag = np.sqrt(np.bincount(doc * TOPIC_BUCKETS + bucket, minlength=n * TOPIC_BUCKETS).reshape(n, TOPIC_BUCKETS).astype(np.float32))
-    bag /= np.maximum(np.linalg.norm(bag, axis=1, keepdims=True), 1e-9)
-    return bag, np.diff(at)
-
-
-def train_topics(texts: list[str], k: int = TOPICS, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Centres of spherical k-means, the first ones spread out by distance."""
-    if not texts:
-        return np.zeros((1, TOPIC_BUCKETS), np.float32)
-    raw, offsets = utf8(pa.array(texts, pa.string()))
-    bags = np.concatenate([_bag(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0] for a, b in segments(offsets)])
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(at)) * TOPIC_BUCKETS + bucket, minlength=n * TOPIC_BUCKETS)
+    cells = np.flatnonzero(counts)
+    words = np.diff(at)
+    doc = cells // TOPIC_BUCKETS
+    return np.searchsorted(doc, np.arange(n + 1)), cells % TOPIC_BUCKETS, np.sqrt(counts[cells] / words[doc]), words
+
+
+def with_bags(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, mark, n_tokens and the word counts (buckets and values) of each row."""
+    schema = "doc_id long, source string, lang string, mark long, n_tokens long, buckets binary, scaled binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("mixing")
+        for batch in batches:
+            raw, offsets = utf8(batch.column(4))
+            for a, b in segments(offsets, 1 << 20):
+                for x in range(a, b, 256):
+                    y = min(x + 256, b)
+                    at, buckets, scaled, words = _bag(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    packed = [pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer((at * v.itemsize).astype(np.int32)), pa.py_buffer(v)]) for v in (buckets.astype(np.uint16), scaled.astype(np.float32))]
+                    yield pa.RecordBatch.from_arrays([batch.column(i).slice(x, y - x) for i in range(4)] + [pa.array(words.astype(np.int64)), *packed], ["doc_id", "source", "lang", "mark", "n_tokens", "buckets", "scaled"])
+
+    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), category("source").alias("source"), category("lang").alias("lang"), mark().alias("mark"), "text")
+    return shaped.mapInArrow(run, schema)
+
+
+def _entries(buckets: pa.Array, scaled: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and value of all entries of a batch."""
+    sizes = np.array(pc.binary_length(buckets).to_numpy(zero_copy_only=False), np.int64) // 2
+    flat = [np.frombuffer(b"".join(c.to_pylist()), t) for c, t in ((buckets, np.uint16), (scaled, np.float32))]
+    return np.repeat(np.arange(len(sizes)), sizes), flat[0].astype(np.int64), flat[1].astype(np.float64)
+
+
+def _nearest(entries: tuple, n: int, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each of ``n`` documents."""
+    doc, bucket, value = entries
+    return np.argmax(np.stack([np.bincount(doc, c[bucket] * value, n) for c in centres], 1), axis=1)
+
+
+def first_centres(bags: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Rows of ``bags`` spread out by distance."""
     rng = np.random.default_rng(seed)
     centres = [bags[int(rng.integers(len(bags)))]]
     while len(centres) < min(k, len(bags)):
         nearest = np.max(bags @ np.array(centres).T, axis=1)
         centres.append(bags[int(np.argmin(nearest + rng.uniform(0, 0.05, len(bags))))])
-    centres = np.array(centres)
+    return np.array(centres, np.float64)
+
+
+def train_topics(bags: DataFrame, k: int = TOPICS, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Centres of spherical k-means over all rows of ``bags`` that have words."""
+    bags = bags.where("n_tokens > 0")
+    sample = least_hashed(bags.select("buckets", "scaled", F.col("mark").alias("draw")), TOPIC_DOCS)
+    if not sample:
+        return np.zeros((1, TOPIC_BUCKETS))
+    dense = np.zeros((len(sample), TOPIC_BUCKETS), np.float32)
+    for row, r in zip(dense, sample):
+        row[np.frombuffer(bytes(r["buckets"]), np.uint16)] = np.frombuffer(bytes(r["scaled"]), np.float32)
+    centres = first_centres(dense, k, seed)
     for _ in range(rounds):
-        near = np.argmax(bags @ centres.T, axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, bags)
-        filled = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(filled > 0, sums / np.maximum(filled, 1e-9), centres)
-    return centres.astype(np.float32)
+
+        def sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(centres.size)
+            for batch in batches:
+                doc, bucket, value = entries = _entries(batch.column(0), batch.column(1))
+                near = _nearest(entries, batch.num_rows, centres)
+                # whole numbers, of which doubles hold sums up to 2**53
+                total += np.bincount(near[doc] * TOPIC_BUCKETS + bucket, np.rint(value * (1 << 20)), len(total))
+            made = total.astype(np.int64).reshape(centres.shape)
+            some = np.flatnonzero(made.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([made[i].tobytes() for i in some], pa.binary())], ["topic", "sums"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for topic, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total[topic] = total.get(topic, 0) + np.frombuffer(part, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["topic", "sums"])
+
+        before, centres = centres, centres.copy()
+        for r in bags.select("buckets", "scaled").mapInArrow(sums, "topic int, sums binary").repartition(k, "topic").mapInArrow(added, "topic int, sums binary").collect():
+            v = np.frombuffer(bytes(r["sums"]), np.int64).astype(np.float64)
+            centres[r["topic"]] = v / np.linalg.norm(v)
+        if np.array_equal(before, centres):
+            break
+    return centres
 
 
 def category(column: str) -> Column:
@@ -80,23 +144,16 @@ def mark() -> Column:
     return F.xxhash64(F.lit(17), "doc_id", "text")
 
 
-def with_topics(docs: DataFrame, centres: np.ndarray) -> DataFrame:
+def with_topics(bags: DataFrame, centres: np.ndarray) -> DataFrame:
     """doc_id, source, lang, mark (hash that decides the draw), n_tokens and topic of each row."""
-    schema = "doc_id long, source string, lang string, mark long, n_tokens long, topic int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working_on("mixing")
         for batch in batches:
-            raw, offsets = utf8(batch.column(4))
-            for a, b in segments(offsets, 1 << 20):
-                for x in range(a, b, 256):
-                    y = min(x + 256, b)
-                    bag, words = _bag(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-                    topic = np.where(words > 0, np.argmax(bag @ centres.T, axis=1), -1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(i).slice(x, y - x) for i in range(4)] + [pa.array(words.astype(np.int64)), pa.array(topic)], ["doc_id", "source", "lang", "mark", "n_tokens", "topic"])
+            near = _nearest(_entries(batch.column(5), batch.column(6)), batch.num_rows, centres)
+            topic = np.where(batch.column(4).to_numpy() > 0, near, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(topic)], ["doc_id", "source", "lang", "mark", "n_tokens", "topic"])
 
-    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), category("source").alias("source"), category("lang").alias("lang"), mark().alias("mark"), "text")
-    return shaped.mapInArrow(run, schema)
+    return bags.mapInArrow(run, "doc_id long, source string, lang string, mark long, n_tokens long, topic int")
 
 
 def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
@@ -178,10 +235,10 @@ def calibrate(weights: DataFrame, wanted: float) -> DataFrame:
 
 def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, centres: np.ndarray | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, mark, probability and selected of each row."""
+    bags = materialize(with_bags(docs), "bags")
     if centres is None:
-        sample = docs.where(F.octet_length("text").between(1, 100_000) & (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 1)).select("text").limit(TOPIC_DOCS)
-        centres = train_topics([r[0] for r in sample.collect()])
-    rows = materialize(with_topics(docs, centres), "topics")
+        centres = train_topics(bags)
+    rows = materialize(with_topics(bags, centres), "topics")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     wanted = keep * (cells.agg(F.sum("tokens")).first()[0] or 0)
     raked = materialize(rake(cells, targets or default_targets(cells)), "raked")
