@@ -2,8 +2,9 @@
 
 Every rule is a Boolean column that is true for a text to reject.  The base rules and their counts
 are computed for all rows.  The other rules run as one ``CASE``: a row leaves it at the first rule
-that rejects it, so their order decides the cost.  ``plan_cascade`` times each rule and counts its
-rejections on a bounded sample and orders the rules by rejections per second.  The order never
+that rejects it, so their order decides the cost.  ``plan_cascade`` estimates, on a
+bounded sample, what each rule costs (the characters it reads) and how many rows it rejects of those
+that the rules before it leave, and orders the rules by rejections per cost.  The order never
 changes the verdict.
 
 Defined results: a null or empty text has no words, all counts 0, and fails the base rule on
@@ -13,7 +14,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,17 +21,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The sample that the order of rules is planned on.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 2000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Up to so many words a position fits the packed form below.
+#: Words up to which a place fits the packed form below; longer texts take a wider one.
 PACKED_BITS = 20
 SPACES = "[ \\t-\\r]+"
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` is true for a text to reject; ``work`` is what that costs a row, in characters that it reads."""
+
     name: str
     rejects: Callable[[], Column]
+    work: Callable[[], Column] = lambda: F.lit(1)
+
+
+def _reads_text() -> Column:
+    return F.length("text")
+
+
+def _reads_words() -> Column:
+    return F.col("word_chars")
+
+
+def _hashes_words() -> Column:
+    """Each word is read, hashed and looked up."""
+    return F.col("word_chars") + 16 * F.col("n_words")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -48,45 +64,55 @@ def default_rules() -> list[Rule]:
         Rule("mean_word_length", lambda: (_share(F.col("word_chars"), n) > 25) | (_share(F.col("word_chars"), n) < 1.5)),
         Rule("symbol_share", lambda: F.col("n_symbols") > 0.5 * n),
         Rule("duplicate_lines", lambda: F.col("n_dup_lines") > 0.6 * F.size("lines")),
-        Rule("few_letters", lambda: F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) < 0.5 * F.col("word_chars")),
-        Rule("capitals", lambda: F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")) > 0.7 * F.col("word_chars")),
-        Rule("long_word", lambda: F.array_max(F.transform("words", F.length)) > 1000),
-        Rule("few_distinct_words", lambda: F.size(F.array_distinct("words")) < 0.05 * n),
-        Rule("control_characters", lambda: F.length(F.regexp_replace("text", r"[^\x00-\x08\x0E-\x1F\x7F�]+", "")) > 0.05 * F.col("word_chars")),
-        Rule("braces", lambda: F.length(F.regexp_replace("text", r"[^{}\[\]\\=;]+", "")) > 0.3 * F.col("word_chars")),
+        Rule("few_letters", lambda: F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) < 0.5 * F.col("word_chars"), _reads_text),
+        Rule("capitals", lambda: F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")) > 0.7 * F.col("word_chars"), _reads_text),
+        Rule("long_word", lambda: F.array_max(F.transform("words", F.length)) > 1000, _reads_words),
+        Rule("few_distinct_words", lambda: F.size(F.array_distinct("words")) < 0.05 * n, _hashes_words),
+        Rule("control_characters", lambda: F.length(F.regexp_replace("text", r"[^\x00-\x08\x0E-\x1F\x7F�]+", "")) > 0.05 * F.col("word_chars"), _reads_text),
+        Rule("braces", lambda: F.length(F.regexp_replace("text", r"[^{}\[\]\\=;]+", "")) > 0.3 * F.col("word_chars"), _reads_text),
     ]
 
 
+def _equal_neighbours(windows: Column, same: Callable[[Column, Column], Column], place: Callable[[Column], Column]) -> Column:
+    """Places of neighbours in ``windows`` that are the same, in order.
+
+    ``same`` is true, false, or null where only the exact way can tell, which gives the place -1.
+    """
+    rest = F.greatest(F.size(windows) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(windows, 1, rest), F.slice(windows, 2, rest), lambda a, b: F.when(F.coalesce(same(a, b), F.lit(True)), F.struct(a.alias("a"), b.alias("b"))))
+    hits = F.transform(F.filter(pairs, lambda p: p.isNotNull()), lambda p: F.when(same(p["a"], p["b"]), F.array(place(p["a"]), place(p["b"]))).otherwise(F.array(F.lit(-1))))
+    return F.sort_array(F.array_distinct(F.flatten(hits)))
+
+
+def _window(at: Column) -> list[Column]:
+    """The three words at a place.  Items are read one by one: ``slice`` in a lambda would copy all words each time."""
+    return [F.col("words")[at + k] for k in range(3)]
+
+
+def _same_words(a: Column, b: Column) -> Column:
+    """True if the windows at two places have the same words, else null."""
+    one, two, three = (x == y for x, y in zip(_window(a), _window(b)))
+    return F.when(one & two & three, F.lit(True))
+
+
 def _repeat_starts_packed() -> Column:
     """Starts of 3-word windows found twice or more, from one sorted array of longs.
 
-    A long holds 44 bits of a window's hash and its 20-bit place.  Neighbours in sorted order with
-    equal hashes are repeats if their words are equal.  ``-1`` marks a neighbour with an equal hash
-    and other words; such a text goes the exact way.
+    A long holds 44 bits of a window's hash and its 20-bit place.
     """
-    mask = F.lit((1 << PACKED_BITS) - 1)
-    key = lambda x: F.shiftright(x, PACKED_BITS)
-    place = lambda x: x.bitwiseAND(mask).cast("int")
-    words = F.col("words")
-    same = lambda a, b: F.when(F.slice(words, place(a) + 1, 3) == F.slice(words, place(b) + 1, 3), F.lit(True))
-    # zip each element with the one before it and the one after it
-    ahead = F.concat(F.slice("packed", 2, F.greatest(F.size("packed") - 1, F.lit(0))), F.array(F.lit(None).cast("long")))
-    pairs = F.filter(F.zip_with("packed", ahead, lambda a, b: F.when(key(a) == key(b), F.struct(a.alias("a"), b.alias("b")))), lambda p: p.isNotNull())
-    hits = F.transform(pairs, lambda p: F.when(same(p["a"], p["b"]), F.array(place(p["a"]), place(p["b"]))).otherwise(F.array(F.lit(-1))))
-    return F.array_sort(F.array_distinct(F.flatten(hits)))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PACKED_BITS) - 1)).cast("int")
+    return _equal_neighbours(F.col("packed"), lambda a, b: F.when(F.shiftright(a, PACKED_BITS) != F.shiftright(b, PACKED_BITS), F.lit(False)).otherwise(_same_words(place(a), place(b))), place)
+
+
+def _repeat_starts_wide() -> Column:
+    """The same for a longer text, from a sorted array of whole hashes and places."""
+    return _equal_neighbours(F.col("wide"), lambda a, b: F.when(a["h"] != b["h"], F.lit(False)).otherwise(_same_words(a["i"], b["i"])), lambda x: x["i"])
 
 
 def _repeat_starts_exact() -> Column:
-    """The same by sorting the windows themselves: for very long texts and equal hashes."""
-    words = F.col("words")
-    window = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.slice(words, i + 1, 3).alias("w"), i.cast("int").alias("i"))))
-    grouped = F.aggregate(
-        window,
-        F.struct(F.array().cast("array<string>").alias("w"), F.lit(-1).alias("i"), F.array().cast("array<int>").alias("found")),
-        lambda s, x: F.struct(x["w"].alias("w"), x["i"].alias("i"), F.when(s["w"] == x["w"], F.concat(s["found"], F.array(s["i"], x["i"]))).otherwise(s["found"]).alias("found")),
-        lambda s: s["found"],
-    )
-    return F.array_sort(F.array_distinct(grouped))
+    """The same by sorting the windows themselves: for texts in which windows of other words have equal hashes."""
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.struct(F.struct(*[w.alias(f"w{k}") for k, w in enumerate(_window(i))]).alias("w"), i.alias("i"))))
+    return _equal_neighbours(windows, lambda a, b: a["w"] == b["w"], lambda x: x["i"])
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -101,21 +127,21 @@ def with_base(docs: DataFrame) -> DataFrame:
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
     df = df.withColumn("n_words", F.size("words").cast("long"))
     hashes = F.transform("words", lambda w: F.xxhash64(w))
-    df = df.withColumn("hashes", F.when(F.col("n_words").between(3, (1 << PACKED_BITS) - 1), hashes))
+    df = df.withColumn("hashes", F.when(F.col("n_words") >= 3, hashes))
     n = F.size("hashes")
     # 3-word windows: the same array thrice, shifted
     second = F.slice("hashes", 2, F.greatest(n - 1, F.lit(0)))
     third = F.slice("hashes", 3, F.greatest(n - 2, F.lit(0)))
     joined = F.zip_with(F.zip_with("hashes", second, lambda a, b: F.xxhash64(a, b)), third, lambda h, c: F.xxhash64(h, c))
-    packed = F.transform(
-        F.slice(joined, 1, F.greatest(n - 2, F.lit(0))),
-        lambda h, i: F.shiftleft(h.bitwiseXOR(F.shiftrightunsigned(h, 31)), PACKED_BITS).bitwiseOR(i.cast("long")),
-    )
-    df = df.withColumn("packed", F.sort_array(packed))
-    df = df.withColumn("starts", _repeat_starts_packed())
+    df = df.withColumn("windows", F.slice(joined, 1, F.greatest(n - 2, F.lit(0))))
+    packed = F.transform("windows", lambda h, i: F.shiftleft(h.bitwiseXOR(F.shiftrightunsigned(h, 31)), PACKED_BITS).bitwiseOR(i.cast("long")))
+    wide = F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    is_short = F.col("n_words") < 1 << PACKED_BITS
+    df = df.withColumn("packed", F.when(is_short, F.sort_array(packed))).withColumn("wide", F.when(~is_short, F.sort_array(wide)))
+    df = df.withColumn("starts", F.when(is_short, _repeat_starts_packed()).otherwise(_repeat_starts_wide()))
     df = df.withColumn(
         "starts",
-        F.when(F.col("n_words") < 3, F.array().cast("array<int>")).when(F.col("starts").isNull() | F.array_contains("starts", -1), _repeat_starts_exact()).otherwise(F.col("starts")),
+        F.when(F.col("n_words") < 3, F.array().cast("array<int>")).when(F.array_contains("starts", -1), _repeat_starts_exact()).otherwise(F.col("starts")),
     )
     # three words from each start, but no further than the next start
     last = F.size("starts")
@@ -138,35 +164,34 @@ def base_failed() -> Column:
 
 
 def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Each rule with its seconds and rejections on a sample, in the order to run them.
+    """Each rule with its work and rejections on a sample, in the order to run them.
 
-    The sample is of rows that the base rules keep, as only those reach the cascade.  The seconds
-    are the least of two runs, less those of a rule that costs nothing.
+    The sample is the ``sample_rows`` rows with the least hash of the whole table.  One job counts
+    the rows and the work of all rules for each set of rules that reject a row.  Then, step by step,
+    the rule comes next that rejects the most of the rows which are left, for the work that it does
+    on them (ties by name).
     """
-    rules = default_rules() if rules is None else rules
-    # persisted before the filter, which Spark would push below the steps and so compute them again
-    base = with_base(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 3).limit(sample_rows)).persist()
-    sample = base.where(~base_failed())
-    try:
-        n = sample.count()
-
-        def run(rejects: Column) -> tuple[float, int]:
-            best, found = float("inf"), 0
-            for _ in range(2):
-                began = time.perf_counter()
-                found = sample.agg(F.count_if(rejects)).first()[0]
-                best = min(best, time.perf_counter() - began)
-            return best, found
-
-        idle = run(F.lit(False))[0]
-        plan = []
-        for rule in rules:
-            seconds, rejected = run(rule.rejects())
-            cost = max(seconds - idle, 1e-4)
-            plan.append({"rule": rule, "seconds": cost, "rejected": rejected, "rows": n, "rank": (rejected + 1) / (n + 2) / cost})
-    finally:
-        base.unpersist()
-    return sorted(plan, key=lambda p: -p["rank"])
+    rules = sorted(default_rules() if rules is None else rules, key=lambda r: r.name)
+    drawn = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text")).limit(sample_rows)
+    verdicts = [F.coalesce(r.rejects(), F.lit(False)).alias(f"v{i}") for i, r in enumerate(rules)]
+    works = [r.work().cast("double").alias(f"w{i}") for i, r in enumerate(rules)]
+    # the base verdict is a key and no filter, which Spark would push below the steps and so compute them again
+    judged = with_base(drawn).select(base_failed().alias("base_failed"), *verdicts, *works)
+    sums = [F.sum(f"w{i}").alias(f"w{i}") for i in range(len(rules))]
+    # at most a row for each row of the sample
+    left = judged.groupBy("base_failed", *[f"v{i}" for i in range(len(rules))]).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    left = [r for r in left if not r["base_failed"]]
+    open_, plan = list(range(len(rules))), []
+    while open_:
+        n = sum(r["n"] for r in left)
+        found = {i: (sum(r["n"] for r in left if r[f"v{i}"]), sum(r[f"w{i}"] for r in left)) for i in open_}
+        # a rule that rejects nothing in the sample may still do so; the cheaper one comes first
+        rank = {i: (rejected + 1) / (n + 2) / max(work / max(n, 1), 1.0) for i, (rejected, work) in found.items()}
+        best = max(open_, key=lambda i: (rank[i], -i))
+        plan.append({"rule": rules[best], "work": found[best][1], "rejected": found[best][0], "rows": n, "rank": rank[best]})
+        open_.remove(best)
+        left = [r for r in left if not r[f"v{best}"]]
+    return plan
 
 
 def quality(docs: DataFrame, rules: list[Rule] | None = None, order: list[str] | None = None) -> DataFrame:
