@@ -1,10 +1,18 @@
 """Two compressed indexes over a set of short contents, in numpy.
 
 Both are built from a sorted array of all suffixes, keep the Burrows-Wheeler transform in
-compressed form and drop the array: ``RunLengthIndex`` keeps the transform's runs with suffix
-samples at their ends; ``WaveletIndex`` keeps its wavelet matrix.  Streaming a content from its end
-through an index takes one backward step per unit; the row it stands on tells its matching
-statistics against all contents: rows of one class share their first ``width`` units.
+compressed form and drop the array.  Every content is then streamed through the index of all
+contents of the shard, from its end, and each of its windows gets an interval of rows: that of all
+suffixes which begin with the window.  The places of an interval are the window's occurrences.
+
+``RunLengthIndex`` keeps the transform's runs with the suffixes at both of their ends.  A content's
+row moves one unit to the left by its run alone, and with it the matching statistic of the row
+against the row before it: inside a run the match grows by one unit, and at a run's start it is that
+of two sampled suffixes, whose units are compared.
+
+``WaveletIndex`` keeps the transform as a wavelet matrix.  A content's interval (first row, last
+row) moves one unit to the left by backward search, two ranks on each level; once it is ``width``
+units deep, the deeper match is widened again to all rows that share ``width`` units.
 
 All contents are streamed at once, a step of all of them being one numpy expression.
 """
@@ -14,8 +22,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def sort_suffixes(units: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes by prefix doubling, and for each start a rank of its ``width`` units.
+def sort_suffixes(units: np.ndarray) -> np.ndarray:
+    """Order of all suffixes by prefix doubling.
 
     ``units`` are small numbers and must have separators that are all different.
     """
@@ -24,31 +32,37 @@ def sort_suffixes(units: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     counts = np.bincount(units) if n else np.zeros(0, np.int64)
     rank = (np.cumsum(counts) - counts)[units] if n else np.zeros(0, np.int64)
     open_ = np.flatnonzero(counts[units] > 1) if n else np.zeros(0, np.int64)
-    size, at_width = 1, None
-    while True:
-        if at_width is None and 2 * size > width:
-            # the ranks of two overlapping halves give that of the whole
-            pair = rank * n + rank[np.minimum(np.arange(n) + width - size, n - 1)]
-            at_width = np.unique(pair, return_inverse=True)[1]
-        if at_width is not None and not len(open_):
-            break
-        if len(open_):
-            key = rank[open_] * (n + 1) + np.where(open_ + size < n, rank[np.minimum(open_ + size, n - 1)] + 1, 0)
-            by = np.argsort(key)
-            open_, key = open_[by], key[by]
-            old, place = rank[open_], np.arange(len(by))
-            fresh = np.concatenate([[True], key[1:] != key[:-1]])
-            start = np.concatenate([[True], old[1:] != old[:-1]])
-            rank[open_] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
-            open_ = open_[~(fresh & np.append(fresh[1:], True))]
+    size = 1
+    while len(open_):
+        key = rank[open_] * (n + 1) + np.where(open_ + size < n, rank[np.minimum(open_ + size, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
+        old, place = rank[open_], np.arange(len(by))
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        start = np.concatenate([[True], old[1:] != old[:-1]])
+        rank[open_] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
+        open_ = open_[~(fresh & np.append(fresh[1:], True))]
         size *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
-    return order, at_width
+    return order
+
+
+def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Units that the suffixes at ``a`` and ``b`` have in common at their start, at most ``most``."""
+    out = np.zeros(len(a), np.int64)
+    still = np.arange(len(a))
+    for k in range(most):
+        # separators are all different, so no match runs over the end of the text
+        still = still[text[np.minimum(a[still] + k, len(text) - 1)] == text[np.minimum(b[still] + k, len(text) - 1)]]
+        if not len(still):
+            break
+        out[still] = k + 1
+    return out
 
 
 class _Index:
-    """What both indexes share: where contents end, and the classes of rows."""
+    """What both indexes share: the text of all contents, where they end, and the streaming."""
 
     def __init__(self, contents: list[np.ndarray], width: int):
         self.width = width
@@ -62,57 +76,84 @@ class _Index:
         keep[ends] = False
         text[keep] = coded + d
         text[ends] = np.arange(d)  # separators: all different, and below every symbol
-        suffixes, prefix = sort_suffixes(text, width)
-        transform = text[suffixes - 1]
-        # rows of one class share their first ``width`` units
-        sorted_prefix = prefix[suffixes]
-        self.class_of = np.concatenate([[0], np.cumsum(sorted_prefix[1:] != sorted_prefix[:-1])])
-        # the suffix that is a separator alone stands in the row of that separator
-        self.end_rows = np.arange(d)
-        self._keep(transform, suffixes, d + len(symbols))
-
-    def _keep(self, transform: np.ndarray, suffixes: np.ndarray, n_symbols: int) -> None:
+        self.text, self.n, self.n_symbols = text, len(text), d + len(symbols)
+        suffixes = sort_suffixes(text)
+        self._keep(text[suffixes - 1], suffixes)
+
+    def _keep(self, transform: np.ndarray, suffixes: np.ndarray) -> None:
+        """Keep the transform in compressed form, and of the suffixes no more than samples."""
         raise NotImplementedError
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes that are one unit longer to the left."""
+    def _begin(self, contents: np.ndarray):
+        """The state of streams that stand at the ends of ``contents``."""
+        raise NotImplementedError
+
+    def _step(self, state, active: int, places: np.ndarray) -> np.ndarray:
+        """Move the first ``active`` streams to the units at ``places``; returns a row of each, for its interval."""
+        raise NotImplementedError
+
+    def _intervals(self, rows: np.ndarray) -> np.ndarray:
+        """First rows of the intervals that hold ``rows``, once all contents were streamed."""
         raise NotImplementedError
 
     def stream(self) -> list[np.ndarray]:
-        """For each content the class of each of its windows."""
+        """For each content the first row of the interval of each of its windows."""
         d = len(self.sizes)
-        out = [np.zeros(max(int(s) - self.width + 1, 0), np.int64) for s in self.sizes]
-        flat_at = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int64)
+        flat_at = np.concatenate([[0], np.cumsum(np.maximum(self.sizes - self.width + 1, 0))]).astype(np.int64)
         flat = np.zeros(int(flat_at[-1]), np.int64)
         by_size = np.argsort(-self.sizes, kind="stable")
-        rows, sizes = self.end_rows[by_size].copy(), self.sizes[by_size]
-        at = flat_at[by_size]
+        sizes, end, at = self.sizes[by_size], self.at[by_size + 1] - 1, flat_at[by_size]
+        state = self._begin(by_size)
         for t in range(1, int(sizes.max(initial=0)) + 1):
             active = int(np.searchsorted(-sizes, -t, "right"))
-            rows[:active] = self.step(rows[:active])
+            rows = self._step(state, active, end[:active] - t)
             if t >= self.width:
-                flat[at[:active] + sizes[:active] - t] = rows[:active]
-        flat = self.class_of[flat]
+                flat[at[:active] + sizes[:active] - t] = rows
+        flat = self._intervals(flat)
         return [flat[flat_at[k] : flat_at[k + 1]] for k in range(d)]
 
 
 class RunLengthIndex(_Index):
-    """Runs of the transform: first rows, heads, where each run's first row steps to, and suffix samples."""
+    """Runs of the transform: first rows, heads, where each run's first row steps to, and the suffixes at run ends."""
 
-    def _keep(self, transform, suffixes, n_symbols):
+    def _keep(self, transform, suffixes):
         first = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]]))
-        self.first, self.head, self.n = first, transform[first], len(transform)
+        self.first, self.head = first, transform[first]
         lengths = np.diff(np.append(first, self.n))
         # rows are stepped to in order of symbol, then of row
         order = np.argsort(self.head, kind="stable")
         self.target = np.empty(len(first), np.int64)
         self.target[order] = np.cumsum(lengths[order]) - lengths[order]
-        self.last_sample = suffixes[np.append(first[1:], self.n) - 1]
+        self.first_sample, self.last_sample = suffixes[first], suffixes[np.append(first[1:], self.n) - 1]
+        # the row before a run's target is where the last row of the run before it in this order steps to
+        before, run = order[:-1], order[1:]
+        self.match = np.zeros(len(first), np.int64)
+        self.match[run] = match_lengths(self.text, self.first_sample[run] - 1, self.last_sample[before] - 1, self.width)
+        #: Whether a row shares ``width`` units with the one before it, as streams find out.
+        self.joined = np.zeros(self.n, bool)
 
-    def step(self, rows):
+    def step(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of the suffixes that are one unit longer to the left."""
         run = np.searchsorted(self.first, rows, "right") - 1
         return self.target[run] + rows - self.first[run]
 
+    def _begin(self, contents):
+        # the suffix that is a separator alone stands in the row of that separator, and matches nothing
+        return [contents.copy(), np.zeros(len(contents), np.int64)]
+
+    def _step(self, state, active, places):
+        rows, match = state[0][:active], state[1][:active]
+        run = np.searchsorted(self.first, rows, "right") - 1
+        inside = rows > self.first[run]
+        match[:] = np.where(inside, np.minimum(match + 1, self.width), self.match[run])
+        rows[:] = self.target[run] + rows - self.first[run]
+        self.joined[rows] = match == self.width
+        return rows
+
+    def _intervals(self, rows):
+        begin = np.flatnonzero(~self.joined)
+        return begin[np.searchsorted(begin, rows, "right") - 1]
+
     def locate(self, row: int) -> int:
         """Place of the suffix in ``row``, by stepping to the end of a run."""
         steps = 0
@@ -130,30 +171,48 @@ class WaveletIndex(_Index):
 
     BLOCK = 64
 
-    def _keep(self, transform, suffixes, n_symbols):
-        self.n = len(transform)
+    def _keep(self, transform, suffixes):
         self.levels, values = [], transform.astype(np.int64)
-        for bit in reversed(range(max(int(n_symbols - 1).bit_length(), 1))):
+        self.bits = list(reversed(range(max(int(self.n_symbols - 1).bit_length(), 1))))
+        for bit in self.bits:
             ones = (values >> bit & 1).astype(bool)
-            padded = np.zeros(-(-self.n // self.BLOCK) * self.BLOCK, np.uint8)
+            padded = np.zeros((self.n // self.BLOCK + 1) * self.BLOCK, np.uint8)
             padded[: self.n] = ones
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words))]).astype(np.int64)
             self.levels.append((words, counts, self.n - int(ones.sum())))
             values = np.concatenate([values[~ones], values[ones]])
-        # rows at the last level, by symbol -> where the symbol's rows begin among sorted suffixes
+        # a symbol's rows at the last level -> its rows among the sorted suffixes
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        sizes = np.diff(np.append(starts, self.n))
-        order = np.argsort(values[starts], kind="stable")
-        begin = np.empty(len(starts), np.int64)
-        begin[order] = np.cumsum(sizes[order]) - sizes[order]
-        self.leaf, self.shift = starts, begin - starts
-
-    def step(self, rows):
-        rows = rows.copy()
-        for words, counts, zeros in self.levels:
-            word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-            own = words[word] >> bit & np.uint64(1)
-            ones = counts[word] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
-            rows = np.where(own == 1, zeros + ones, rows - ones)
-        return rows + self.shift[np.searchsorted(self.leaf, rows, "right") - 1]
+        total = np.bincount(transform, minlength=self.n_symbols)
+        self.shift = np.zeros(self.n_symbols, np.int64)
+        self.shift[values[starts]] = (np.cumsum(total) - total)[values[starts]] - starts
+        #: Rows that don't share ``width`` units with the row before them.
+        self.begin = np.concatenate([[0], 1 + np.flatnonzero(match_lengths(self.text, suffixes[:-1], suffixes[1:], self.width) < self.width), [self.n]])
+
+    def search(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each bound of an interval the bound after one unit more to the left."""
+        for bit, (words, counts, zeros) in zip(self.bits, self.levels):
+            word = rows >> 6
+            below = (np.uint64(1) << (rows & 63).astype(np.uint64)) - np.uint64(1)
+            ones = counts[word] + np.bitwise_count(words[word] & below)
+            rows = np.where(symbols >> bit & 1, zeros + ones, rows - ones)
+        return rows + self.shift[symbols]
+
+    def _begin(self, contents):
+        # the empty match: all rows
+        return [np.zeros(len(contents), np.int64), np.full(len(contents), self.n, np.int64), 0]
+
+    def _step(self, state, active, places):
+        symbols = self.text[places]
+        bounds = self.search(np.concatenate([symbols, symbols]), np.concatenate([state[0][:active], state[1][:active]]))
+        low, high = bounds[:active], bounds[active:]
+        state[2] += 1
+        if state[2] >= self.width:
+            group = np.searchsorted(self.begin, low, "right") - 1
+            low, high = self.begin[group], self.begin[group + 1]
+        state[0][:active], state[1][:active] = low, high
+        return low
+
+    def _intervals(self, rows):
+        return rows
