@@ -1,16 +1,22 @@
 """Personal data by candidate gradient boosting.
 
 1. High-recall generators propose overlapping spans per kind: loose forms of e-mail addresses
-   (also with "at" and "dot" spelled out), IP addresses, card numbers and telephone numbers.
+   (also with "at" and "dot" spelled out), IP addresses, card numbers and telephone numbers, and
+   runs of letters and digits that may be secrets (keys, tokens, passwords), a kind that the base
+   rules don't know.
 2. Boosted trees score each candidate that the strict base rules don't hold, on format features
    (lengths, digit groups, separators, letter mix) and context features (characters and cue words
    around it).
 3. A calibrated threshold per kind selects redactions.  Base spans always stay; a selected span is
    added where it overlaps no span that is already kept.
 
-The trees are trained on labelled candidates: spans of the base rules in a bounded sample of
-documents, also rewritten into the loose forms, against candidates of the same kinds made from
-numbers and words that are no personal data (dates, versions, amounts, identifiers, ranges).
+Labels come from the corpus itself, of a bounded sample of documents.  A span that a strict rule
+holds is a positive, as it stands and, with its strict form hidden, rewritten into a loose form in
+its own context; for secrets the strict rule is a quoted value that is assigned to a name such as
+"token".  Candidates that no strict rule holds are negatives, beside look-alikes (dates, versions,
+amounts, identifiers) set into contexts of the corpus.  A quarter of the documents is held back:
+their candidates calibrate the scores, set each kind's threshold as the least score that keeps
+``PRECISION`` of what is selected, and give the recall and precision in ``Model.report``.
 
 Defined results: a null or empty text has no spans; repeated rows and null ids are rows like any
 other; very long texts are searched whole, in linear time; other columns are ignored.  Places are
@@ -19,6 +25,7 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -32,11 +39,13 @@ from pyspark.sql import functions as F
 from .common import least_hashed
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of training: documents read, and candidates of a kind.
-TRAIN_DOCS, TRAIN_CANDIDATES = 2000, 3000
+#: Kinds of all spans: those of the base rules, and those that candidates alone have.
+ALL_KINDS = (*KINDS, "secret")
+#: Bounds of training: documents read and bytes of each, and candidates of a kind and label.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_CANDIDATES = 2000, 100_000, 1500
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
-#: The share of negative candidates held back that a threshold may let through.
-FALSE_RATE = 0.002
+#: The share of candidates held back above a threshold that must be positives.
+PRECISION = 0.99
 CONTEXT = 24
 
 # --- the base rules ----------------------------------------------------------------------------
@@ -108,25 +117,40 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1,2}[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ ./-][0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
 }
-#: Cheap tests that a text can hold a candidate at all.
-_MAYBE_EMAIL = re.compile(r"@|\((?:at|dot)\)|\[(?:at|dot)\]|\bdot\b")
+#: Where a loose e-mail address goes on after its local part.
+_AT = re.compile(r"\s?(?:@|\(at\)|\[at\])|\sat(?=\s[\w-]{2,63}\s(?:\(dot\)|\[dot\]|dot)\s)")
+_LOCAL_RUN = re.compile(r"[\w.%+-]")
 _DIGIT_AREA = re.compile(r"[0-9][0-9a-fA-F:.()\[\]/ _-]{6,}[0-9a-fA-F]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])(?=[0-9_/+-]*[A-Za-z])[A-Za-z0-9_/+-]{16,}={0,2}")
+#: The strict form of a secret, which labels training candidates.
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']([A-Za-z0-9_/+-]{16,}={0,2})[\"']")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Loose spans of all kinds; they may overlap."""
     out = []
-    for m in _MAYBE_EMAIL.finditer(text):
-        a, b = max(0, m.start() - 80), min(len(text), m.end() + 160)
-        out += [("email", a + x.start(), a + x.end()) for x in _LOOSE["email"].finditer(text[a:b])]
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > 0 and m.start() - start < 64 and _LOCAL_RUN.match(text[start - 1]):  # a local part has at most 64 characters
+            start -= 1
+        x = _LOOSE["email"].match(text, start) if start < m.start() else None
+        if x:
+            out.append(("email", start, x.end()))
     for area in _DIGIT_AREA.finditer(text):
+        # a character before and after, for what must not stand there
         a, b = max(0, area.start() - 8), min(len(text), area.end() + 8)
         part = text[a:b]
         for kind in KINDS[1:]:
             out += [(kind, a + x.start(), a + x.end()) for x in _LOOSE[kind].finditer(part)]
+    out += [("secret", m.start(), m.end()) for m in _SECRET.finditer(text)]
     return sorted(set(out))
 
 
+def strict_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans that label training candidates: the base rules', and assigned secrets."""
+    return base_spans(text) + [("secret", m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)]
+
+
 # --- features ----------------------------------------------------------------------------------
 
 #: Cue words, as hashed context would need far more rows.
@@ -135,6 +159,7 @@ _CUES = {
     "ip": ("ip", "host", "server", "address", "login", "client"),
     "card": ("card", "visa", "credit", "pay", "account", "master"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "dial", "number"),
+    "secret": ("token", "secret", "password", "passwd", "key", "auth", "bearer", "credential"),
 }
 _AGAINST = ("version", "isbn", "date", "page", "section", "figure", "score", "range", "total", "ratio", "serial", "order", "id", "no.")
 
@@ -147,7 +172,7 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
     numbers = [int(g) for g in re.findall("[0-9]{1,4}", s)][:8]
     digits = sum(groups)
     return [
-        KINDS.index(kind),
+        ALL_KINDS.index(kind),
         len(s),
         digits,
         len(groups),
@@ -175,6 +200,10 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
         float(after[:1].isalnum()),
         float(before[-2:-1] in ":=" if before[-2:-1] else 0),
         float(any(c in after[:2] for c in "%$€")),
+        sum(c in "0123456789abcdefABCDEF" for c in s) / len(s),
+        len(set(s)) / len(s),
+        float(before[-1:] in ("'", '"')),
+        float("=" in before[-4:] or ":" in before[-4:]),
     ]
 
 
@@ -238,6 +267,8 @@ class Model:
     slope: float
     offset: float
     thresholds: dict[str, float]
+    #: Of the candidates held back, by kind: positives, negatives, recall and precision at the threshold.
+    report: dict[str, dict]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.trees.margin(x) + self.offset)))
@@ -247,18 +278,20 @@ class Model:
 
 
 def _loosened(rng: np.random.Generator, kind: str, s: str) -> str:
-    """A base span rewritten so that the strict rule no longer takes it."""
+    """A strict span rewritten so that the strict rule no longer takes it."""
     pick = lambda *v: v[int(rng.integers(len(v)))]
+    if kind == "secret":
+        return s[: int(rng.integers(16, max(len(s), 16) + 1))]
     if kind == "email":
         at, dot = pick((" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "))
         name, _, host = s.partition("@")
         return name + at + host.replace(".", dot)
     if kind == "ip":
         parts = s.split(".")
-        return pick("[.]".join(parts), " . ".join(parts), ":".join(f"{int(p) * 257 % 65536:x}" for p in parts) + "::1".replace("::", ":"))
+        return pick("[.]".join(parts), " . ".join(parts), ":".join(f"{int(p) * 257 % 65536:x}" for p in parts) + ":1")
     if kind == "card":
         d = _digits(s)
-        return pick(".", "/", "_", " - "[0:2]).join([d[:4], d[4:8], d[8:12], d[12:]])
+        return pick(".", "/", "_").join([d[:4], d[4:8], d[8:12], d[12:]])
     d = _digits(s)
     return pick(f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", f"00{d[:-10] or 1} {d[-10:-7]} {d[-7:-4]} {d[-4:]}", f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}")
 
@@ -266,6 +299,9 @@ def _loosened(rng: np.random.Generator, kind: str, s: str) -> str:
 def _harmless(rng: np.random.Generator, kind: str) -> str:
     """Text that a generator takes for the kind though it is no personal data."""
     n = lambda a, b: int(rng.integers(a, b))
+    if kind == "secret":
+        word = lambda: "".join(chr(n(97, 123)) for _ in range(n(4, 9)))
+        return [f"{word()}/{word()}/{word()}{n(1, 99)}", f"{word()}_{word()}_{word()}_{n(1990, 2030)}", f"{word()}-{word()}-{word()}-{n(1, 9)}", f"{n(1990, 2030)}-{n(10, 13)}-{n(10, 29)}T{n(10, 24)}00Z"][n(0, 4)]
     if kind == "email":
         return ["look at this.then go", "meet at noon dot then", "@import url.css", f"price@{n(1, 99)}.{n(10, 99)}", "was at home. They ate"][n(0, 5)]
     if kind == "ip":
@@ -276,75 +312,121 @@ def _harmless(rng: np.random.Generator, kind: str) -> str:
 
 
 def training_candidates(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``TRAIN_CANDIDATES`` candidates of each kind and label."""
+    """Features and labels of at most ``TRAIN_CANDIDATES`` candidates of each kind, label and origin."""
     rng = np.random.default_rng(seed)
-    spans: dict[str, list] = {k: [] for k in KINDS}
+    rows, labels, count = [], [], dict.fromkeys(((k, label, o) for k in ALL_KINDS for label in (0, 1) for o in ("own", "made")), 0)
+
+    def add(text: str, kind: str, a: int, b: int, label: int, origin: str) -> None:
+        if count[kind, label, origin] < TRAIN_CANDIDATES:
+            count[kind, label, origin] += 1
+            rows.append(describe(text, kind, a, b))
+            labels.append(label)
+
+    def set_in(before: str, core: str, after: str, kind: str, label: int) -> None:
+        text = before + core + after
+        for k, a, b in candidates(text):
+            if k == kind and a < len(before) + len(core) and b > len(before):
+                return add(text, kind, a, b, label, "made")
+
     for text in texts:
-        for kind, a, b in base_spans(text):
-            if len(spans[kind]) < TRAIN_CANDIDATES // 2:
-                spans[kind].append((text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
-    made = {"email": "ann.lee@example.com", "ip": "10.20.30.40", "card": "4111111111111111", "phone": "+1 (555) 555-0100"}
-    rows, labels = [], []
-    for kind in KINDS:
-        own = spans[kind] or [(" to ", made[kind], " or ")]
-        for _ in range(TRAIN_CANDIDATES // 2):
-            before, s, after = own[int(rng.integers(len(own)))]
-            for label, core in ((1, _loosened(rng, kind, s)), (0, _harmless(rng, kind))):
-                text = before + core + after
-                found = [c for c in candidates(text) if c[0] == kind and c[1] < len(before) + len(core) and c[2] > len(before)]
-                for _, a, b in found[:1]:
-                    rows.append(describe(text, kind, a, b))
-                    labels.append(label)
-    return np.array(rows, float), np.array(labels, float)
+        strict = strict_spans(text)
+        for kind, a, b in strict:
+            before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
+            add(text, kind, a, b, 1, "own")
+            for _ in range(4):
+                set_in(before, _loosened(rng, kind, text[a:b]), after, kind, 1)
+        for kind, a, b in candidates(text):
+            if not any(x < b and y > a for _, x, y in strict):
+                add(text, kind, a, b, 0, "own")
+        # look-alikes of all kinds at a place of the text
+        at = int(rng.integers(0, len(text) + 1))
+        for kind in ALL_KINDS:
+            set_in(text[max(0, at - CONTEXT) : at] + " ", _harmless(rng, kind), " " + text[at : at + CONTEXT], kind, 0)
+    return np.array(rows, float).reshape(len(rows), -1), np.array(labels, float)
 
 
 def train(texts: list[str]) -> Model:
-    """Fit on three of four candidates; the fourth calibrates scores and sets the thresholds."""
-    x, y = training_candidates(texts)
-    held = np.arange(len(y)) % 4 == 3
-    trees = boost(x[~held], y[~held])
-    margin, target = trees.margin(x[held]), y[held]
+    """Fit on three of four documents; the candidates of the fourth calibrate scores and set the thresholds."""
+    x, y = training_candidates([t for i, t in enumerate(texts) if i % 4 != 3])
+    held, target = training_candidates([t for i, t in enumerate(texts) if i % 4 == 3], seed=6)
+    nothing = Model(Trees([], [], 0.0), 1.0, 0.0, dict.fromkeys(ALL_KINDS, float("inf")), {})
+    if not 0 < y.sum() < len(y) or not len(held):
+        return nothing  # nothing to tell apart
+    trees = boost(x, y)
+    margin = trees.margin(held)
     slope, offset = 1.0, 0.0
     soft = np.where(target == 1, (target.sum() + 1) / (target.sum() + 2), 1 / ((1 - target).sum() + 2))
     for _ in range(200):  # Platt's calibration, by gradient descent
         p = 1 / (1 + np.exp(-(slope * margin + offset)))
         slope -= 0.2 * np.mean((p - soft) * margin)
         offset -= 0.2 * np.mean(p - soft)
-    model = Model(trees, slope, offset, {})
-    score, kinds = model.score(x[held]), x[held][:, 0]
-    for k, kind in enumerate(KINDS):
-        bad = score[(kinds == k) & (target == 0)]
-        model.thresholds[kind] = max(0.9, float(np.quantile(bad, 1 - FALSE_RATE)) if len(bad) else 0.9)
+    model = Model(trees, slope, offset, {}, {})
+    score, kinds = model.score(held), held[:, 0]
+    for k, kind in enumerate(ALL_KINDS):
+        own = kinds == k
+        by = np.argsort(-score[own], kind="stable")
+        s, t = score[own][by], target[own][by]
+        precise = np.cumsum(t) / np.arange(1, len(t) + 1)
+        last = np.append(s[1:] != s[:-1], True)[: len(s)]  # a threshold takes all of the same score
+        good = np.flatnonzero((precise >= PRECISION) & last & (t > 0))
+        model.thresholds[kind] = float(s[good[-1]]) if len(good) else float("inf")
+        chosen = s >= model.thresholds[kind]
+        model.report[kind] = {"positives": int(t.sum()), "negatives": int((1 - t).sum()), "recall": float(t[chosen].sum() / max(t.sum(), 1)), "precision": float(t[chosen].mean()) if chosen.any() else 1.0}
     return model
 
 
 def sample_texts(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> list[str]:
-    """Texts of at most ``max_docs`` documents: those with the least hash of id and text."""
-    rows = docs.where(F.octet_length("text").between(1, 100_000)).select("text", F.xxhash64("doc_id", "text").alias("draw"))
+    """Texts of at most ``max_docs`` documents of at most ``TRAIN_BYTES`` bytes: those with the least hash of id and text."""
+    rows = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).select("text", F.xxhash64("doc_id", "text").alias("draw"))
     return [r["text"] for r in least_hashed(rows, max_docs)]
 
 
 # --- the operator ------------------------------------------------------------------------------
 
 
+class _Taken:
+    """Spans that don't overlap, in order of place."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends, reach = [], [], -1
+        for a, b in sorted(spans):  # spans of different kinds may overlap: their union counts
+            if a <= reach:
+                self.ends[-1] = reach = max(reach, b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+                reach = b
+
+    def hold(self, a: int, b: int) -> bool:
+        """Whether a span overlaps [a, b)."""
+        i = bisect.bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """Base spans, and all kept spans, of each text."""
     base = [base_spans(t) for t in texts]
+    taken = [_Taken([(a, b) for _, a, b in spans]) for spans in base]
     rows, owners = [], []
     for i, text in enumerate(texts):
-        taken = sorted((a, b) for _, a, b in base[i])
         for kind, a, b in candidates(text):
-            if not any(x < b and y > a for x, y in taken):
+            if not taken[i].hold(a, b):
                 rows.append(describe(text, kind, a, b))
                 owners.append((i, kind, a, b))
     kept = [list(b) for b in base]
-    if rows:
+    if rows and model.trees.cuts:
         score = model.score(np.array(rows, float))
         for k in np.argsort(-score, kind="stable"):
             i, kind, a, b = owners[k]
-            if score[k] > model.thresholds[kind] and not any(x < b and y > a for _, x, y in kept[i]):
+            if score[k] >= model.thresholds[kind] and not taken[i].hold(a, b):
                 kept[i].append((kind, a, b))
-    return [(b, sorted(k, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))) for b, k in zip(base, kept)]
+                taken[i].add(a, b)
+    return [(b, sorted(k, key=lambda s: (ALL_KINDS.index(s[0]), s[1], s[2]))) for b, k in zip(base, kept)]
 
 
 def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -60,14 +60,39 @@ def odd(spark):
 
 
 def test_op1(spark, docs):
-    special = [(900, "mail ann.lee@example.com, ip 10.0.0.1 and 999.1.1.1, card 4111 1111 1111 1111 or +1 (555) 555-0100."), (901, "joe.ray at sample dot net; 555-010-9999; version 1.2.3.4.5; 2020-01-02"), (902, "@" * 3000 + "+" * 300 + "1" * 4000)]
+    special = [(900, "mail ann.lee@example.com, ip 10.0.0.1 and 999.1.1.1, card 4111 1111 1111 1111 or +1 (555) 555-0100."), (902, "@" * 3000 + "+" * 300 + "1" * 4000)]
     got = rows_of(pii.pii_query(frame(spark, docs + special)))
     assert [r[:6] for r in got] == [(i, *pii.brute_force(t)) for i, t in docs + special]
-    spans = {r[0]: r[6] for r in got}
-    assert "email:5:24" in spans[900] and "email:0:25" in spans[901] and "phone:27:39" in spans[901]
-    assert spans[902].count("phone") == 0
+    assert {r[0]: r[6] for r in got}[900] == "email:5:24,ip:29:37,card:58:77,phone:81:98"
     assert pii.pii_query(frame(spark, docs).limit(0)).count() == 0
-    assert pii.pii_query(odd(spark)).count() == 6
+    got = pii.pii_query(odd(spark)).collect()
+    assert len(got) == 6 and all(r[1:5] == (0, 0, 0, 0) and r["spans"] == "" for r in got)
+
+
+def test_op1_adds_loose_forms_that_stand_in_a_corpus():
+    """Trained on a corpus of strict forms, the trees find loose ones and secrets, and leave clean text alone."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    strict = lambda: rng.choice([f"{rng.choice(WORDS)}.{rng.randint(1, 99)}@mail{rng.randint(0, 9)}.example.com", ".".join(str(rng.randint(1, 255)) for _ in range(4)), "4111 1111 1111 1111", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", f'token = "{rng.getrandbits(160):040x}"'])
+    texts = [f"{prose(20)} {strict()} {prose(20)}" for _ in range(900)]
+    model = pii.train(texts)
+    for kind, r in model.report.items():
+        assert r["positives"] > 50 and r["recall"] > 0.8 and r["precision"] >= pii.PRECISION, (kind, r)
+    planted = {"email": "joe.34 at mail3 dot example dot com", "card": "4111/1111/1111/1111", "phone": "(555) 555-0199", "secret": "token = " + "0a1b2c3d4e" * 4, "ip": "10[.]20[.]30[.]40"}
+    for kind, s in planted.items():
+        text = f"{prose(8)} {s} {prose(8)}"
+        a = text.index(s.removeprefix("token = "))
+        found = pii.find([text], model)[0]
+        assert found[0] == [] and (kind, a, a + len(s.removeprefix("token = "))) in found[1], (kind, found)
+    clean = [f"{prose(12)} {x} {prose(12)}" for x in ("2020-01-02", "version 1.2.3", "12,345.67", "pages 120-145", "isbn 978-3-16", "src/main/java/app2", "meet at noon. Then")]
+    assert all(spans == [] for _, spans in pii.find(clean, model))
+    # base spans and candidates of a text of five million characters, many of each, in the time of its length
+    import time
+
+    began = time.time()
+    long = " ".join(f"a{i}@x.org 1.2.3.{i % 250} {i % 900 + 100}-555-0100 {prose(4)}" for i in range(70_000))
+    base, spans = pii.find([long], model)[0]
+    assert len(base) >= 140_000 and len(spans) >= len(base) and time.time() - began < 90
 
 
 def test_op1_base_rules_match_the_plain_patterns():
@@ -186,7 +211,7 @@ def test_windows_come_from_the_index(index, part):
     contents = [np.array([rng.choice([0, 1, 2]) for _ in range(40)]) for _ in range(6)]
     built, broken = index(contents, 5), index(contents, 5)
     values = getattr(broken, part)
-    setattr(broken, part, np.delete(values, len(values) // 2) if part == "begin" else np.roll(values, 1))
+    setattr(broken, part, np.delete(values, len(values) // 2) if part == "begin" else values[::-1].copy())
     assert any((x != y).any() for x, y in zip(built.stream(), broken.stream()))
 
 
