@@ -7,9 +7,10 @@ stands.  A chunk of two lines or more, one of them not blank, that occurs in sev
 its first place (least doc_id, then least place) and goes elsewhere, after its bytes were compared
 with those of the first place.
 
-Shuffles: chunk hashes without text (combined before the shuffle, so a chunk in a third of all
-documents is a row per task), then texts once by doc_id.  Only the bytes of repeated chunks travel
-by hash, and the first place's bytes meet the others in a join that may split a hot chunk.
+Shuffles: chunk hashes without text (counted before the shuffle, so for the count a chunk in a third
+of all documents is a row per task), then texts once by doc_id.  Only the bytes of repeated chunks
+travel by hash.  Both joins on a chunk's hash read written tables on both sides, with one row a chunk
+on the right, so that Spark splits the partition of a hot chunk or broadcasts a small right side.
 
 Defined results: a null or empty text is one blank line and stays; rows that repeat a doc_id are
 cut each by itself but count as one document, told apart by their text; rows with a null doc_id are
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: First hexadecimal digits of a rolling hash that start a chunk: a quarter of all.
 BOUNDARY = ("0", "1", "2", "3")
 MIN_LINES = 2
@@ -55,19 +58,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     name = ["unnamed", "key"]
     # where each repeated chunk stands first
-    placed = with_chunks(docs).select(*name, F.posexplode(F.transform("chunks", chunk_digest)).alias("place", "digest")).where(F.col("digest").isNotNull())
-    firsts = placed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*name, "place")).alias("first")).where("n > 1").select("digest", "first")
+    placed = materialize(with_chunks(docs).select(*name, F.posexplode(F.transform("chunks", chunk_digest)).alias("place", "digest")).where(F.col("digest").isNotNull()), "chunks")
+    firsts = materialize(placed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*name, "place")).alias("first")).where("n > 1").select("digest", "first"), "firsts")
     marked = placed.join(firsts, "digest").groupBy(*name).agg(F.collect_set(F.struct("place", "digest", "first")).alias("repeats"))
     # texts are dealt by doc_id once: both joins below read the same exchange
     texts = docs.repartition(*name)
-    bytes_of = (
+    bytes_of = materialize(
         with_chunks(texts.join(marked, name))
         .select(*name, F.explode("repeats").alias("r"), "chunks")
         .select(*name, "r.*", F.expr("array_join(try_element_at(chunks, r.place + 1), '\n')").alias("bytes"))
-        .where(F.md5("bytes") == F.col("digest"))
+        .where(F.md5("bytes") == F.col("digest")),
+        "repeats",
     )
     is_first = F.struct(*name, "place") == F.col("first")
-    heads = bytes_of.where(is_first).groupBy("digest").agg(F.min("bytes").alias("head"))
+    heads = materialize(bytes_of.where(is_first).groupBy("digest").agg(F.min("bytes").alias("head")), "heads")
     repeated = bytes_of.where(~is_first).join(heads, "digest").where(F.col("bytes") == F.col("head"))
     removed = repeated.groupBy(*name).agg(F.collect_set(F.struct("place", "digest")).alias("gone"))
     # a row that repeats a doc_id with another text has another digest at the place and keeps its lines
