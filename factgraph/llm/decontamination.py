@@ -7,7 +7,8 @@ So the join runs on one shingle a window, and then
 
 * the positional bound: the shingle's place in the window fixes where the window would start;
 * the length bound: that start and end must lie within the document's words;
-* verification: all words of the window are compared at that place.
+* verification: all words of the window are compared at that place, first their hashes and then
+  their bytes.
 
 Shingle frequencies are counted over all documents.  The benchmark is taken in blocks of at most
 ``BLOCK_WINDOWS`` windows, each sent to all tasks, so what is broadcast has a fixed bound and a
@@ -34,28 +35,35 @@ from .common import ALNUM_WORDS, BASES, FOLDED_TABLES, carried, segments, shingl
 WINDOW, SHINGLE = 10, 3
 #: Windows of the benchmark that are sent to the tasks at a time.
 BLOCK_WINDOWS = 200_000
+#: Windows of a piece that a long item is cut into, so that no block holds more than its share and a few pieces.
+PIECE_WINDOWS = 5000
 
 
 def _words_of(raw: np.ndarray, offsets: np.ndarray):
     starts, ends, at = word_spans(raw, offsets, ALNUM_WORDS)
-    return starts, ends, at, word_hashes(raw, starts, ends, FOLDED_TABLES[0], BASES[0]), word_hashes(raw, starts, ends, FOLDED_TABLES[1], BASES[1])
+    return starts, ends, at, word_hashes(raw, starts, ends, FOLDED_TABLES[0], BASES[0])
+
+
+def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words at the places given, A-Z as a-z, with a space between them."""
+    return b" ".join(raw[a:b].tobytes().lower() for a, b in zip(starts.tolist(), ends.tolist()))
 
 
 class Windows:
-    """One block of the benchmark: distinct windows as rows of word hashes, with their items."""
+    """One block of the benchmark: distinct windows with their words, the hashes of these, and their items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         raw, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-        _, _, at, one, two = _words_of(raw, offsets)
+        starts, ends, at, one = _words_of(raw, offsets)
         rows: dict[bytes, list] = {}
         for k, (item, _) in enumerate(items):
             a, b = at[k], at[k + 1]
             for i in range(a, max(b - window, a) + 1) if b > a else ():
                 j = min(i + window, b)
-                rows.setdefault(one[i:j].tobytes() + two[i:j].tobytes(), [one[i:j], two[i:j], set()])[2].add(item)
+                rows.setdefault(_joined(raw, starts[i:j], ends[i:j]), [one[i:j], set()])[1].add(item)
+        self.texts = list(rows)
         self.one = [r[0] for r in rows.values()]
-        self.two = [r[1] for r in rows.values()]
-        self.items = [sorted(r[2]) for r in rows.values()]
+        self.items = [sorted(r[1]) for r in rows.values()]
         #: Shingles of each window: of SHINGLE words, or of all words where it has fewer.
         self.shingles = [shingle_hashes(w, min(SHINGLE, len(w))) for w in self.one]
         self.known = np.unique(np.concatenate(self.shingles)) if rows else np.zeros(0, np.uint64)
@@ -118,7 +126,7 @@ def _count_shingles(docs: DataFrame, block: Windows) -> dict[int, int]:
 
 def _find(block: Windows, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, list[str]]]:
     """doc row, n_words, hit words and items of each document of a segment."""
-    _, _, at, one, two = _words_of(raw, offsets)
+    starts, ends, at, one = _words_of(raw, offsets)
     hit = np.zeros(len(one) + 1, np.int64)
     items: dict[int, set] = {}
     for width, h, place in _document_shingles(block.widths, one, at) if len(block.key) else ():
@@ -131,7 +139,8 @@ def _find(block: Windows, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
                 start, size = p - block.place[x], len(block.one[w])
                 if min(SHINGLE, size) != width or start < at[d] or start + size > at[d + 1]:
                     continue  # positional and length bounds
-                if (one[start : start + size] == block.one[w]).all() and (two[start : start + size] == block.two[w]).all():
+                here = slice(start, start + size)
+                if (one[here] == block.one[w]).all() and _joined(raw, starts[here], ends[here]) == block.texts[w]:
                     hit[start] += 1
                     hit[start + size] -= 1
                     items.setdefault(d, set()).update(block.items[w])
@@ -155,9 +164,12 @@ def block_count(bench: DataFrame, limit: int = BLOCK_WINDOWS) -> int:
     return max(1, -(-n // limit))
 
 
-def blocks_of(bench: DataFrame, parts: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks, split by a hash of the item."""
-    bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+def blocks_of(bench: DataFrame, parts: int, window: int = WINDOW) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks, split by a hash of pieces of items: ``PIECE_WINDOWS`` windows at most."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9A-Za-z\\x80-\\x{10FFFF}]+)"), F.lit(1))
+    bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("words"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE_WINDOWS))
+    bench = bench.select("item", "words", F.explode(begins).alias("at")).select("item", F.array_join(F.slice("words", F.col("at") + 1, F.lit(PIECE_WINDOWS + window - 1)), " ").alias("text"))
     for k in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else bench
         yield [(r[0], r[1]) for r in rows.collect()]
@@ -170,7 +182,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, limit
     if parts > 1:
         return _merged(docs, bench, window, parts)
     lists = pa.list_(pa.int32()), pa.list_(pa.string())
-    block = Windows(next(blocks_of(bench, 1)), window)
+    block = Windows(next(blocks_of(bench, 1, window)), window)
     block.order(_count_shingles(docs, block))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +200,7 @@ def _merged(docs: DataFrame, bench: DataFrame, window: int, parts: int) -> DataF
     """Several blocks: each pass adds its hits to the rows of the one before, so rows stay whole."""
     lists = pa.list_(pa.int32()), pa.list_(pa.string())
     df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *docs.columns[2:])
-    for items in blocks_of(bench, parts):
+    for items in blocks_of(bench, parts, window):
         block = Windows(items, window)
         block.order(_count_shingles(docs, block))
 
