@@ -5,6 +5,7 @@ File format, a Parquet dataset ``blocks`` written in ascending doc_id order, one
 ``shard, block``      range partition of doc_id, and place within it
 ``rel_start``         ids of the shard before this block
 ``doc_ids``           the documents of the block
+``min_id, max_id``    least and greatest of them, by which a point read passes over other blocks
 ``offsets``           n + 1 byte offsets of their frames in ``payload`` (the index for short access)
 ``n_tokens``          ids of each document, with the end id
 ``payload``           the frames, one per document, each compressed on its own
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for, shared_dir, utf8, working_on
+from .common import least_hashed, partitions_for, shared_dir, utf8, working_on
 
 END_ID = 1
 #: Bound on the documents that train the dictionary, and on its size in bytes.
@@ -41,7 +42,7 @@ BLOCK_BYTES = 2 << 20
 #: Distinct words that a worker remembers the ids of; those not seen for long are forgotten.
 MEMO_WORDS = 800_000
 
-BLOCK_SCHEMA = "shard int, block int, rel_start long, doc_ids array<long>, offsets array<long>, n_tokens array<int>, payload binary, dict_sha256 string"
+BLOCK_SCHEMA = "shard int, block int, rel_start long, doc_ids array<long>, min_id long, max_id long, offsets array<long>, n_tokens array<int>, payload binary, dict_sha256 string"
 
 
 class WordEncoder:
@@ -159,12 +160,12 @@ def encoder(path: str) -> WordEncoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, max_docs: int = DICTIONARY_DOCS, max_bytes: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the id arrays of at most ``max_docs`` documents, by hash of doc_id.
+    """A zstandard dictionary from the id arrays of at most ``max_docs`` documents of at most 100,000 bytes, those with the least hash.
 
     With too little text to train on, the samples themselves serve as a raw dictionary.
     """
-    rows = docs.where(F.octet_length("text").between(1, 100_000)).where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").limit(max_docs).collect()
-    samples = encoder(path).encode([r[0] for r in rows])
+    rows = least_hashed(docs.where(F.octet_length("text").between(1, 100_000)).select("text", F.xxhash64("doc_id", "text").alias("draw")), max_docs)
+    samples = encoder(path).encode([r["text"] for r in rows])
     try:
         return zstandard.train_dictionary(max_bytes, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -196,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, out: str) -> None:
 
         def row():
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype(np.int64)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "rel_start": done, "doc_ids": ids, "offsets": offsets.tolist(), "n_tokens": counts, "payload": b"".join(frames), "dict_sha256": digest}], schema=_arrow_blocks())
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "rel_start": done, "doc_ids": ids, "min_id": min((i for i in ids if i is not None), default=None), "max_id": max((i for i in ids if i is not None), default=None), "offsets": offsets.tolist(), "n_tokens": counts, "payload": b"".join(frames), "dict_sha256": digest}], schema=_arrow_blocks())
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
@@ -225,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, out: str) -> None:
 
 
 def _arrow_blocks() -> pa.Schema:
-    return pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("rel_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("payload", pa.binary()), ("dict_sha256", pa.string())])
+    return pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("rel_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("min_id", pa.int64()), ("max_id", pa.int64()), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("payload", pa.binary()), ("dict_sha256", pa.string())])
 
 
 def open_frames(payload: bytes, offsets: list[int], content: bytes, wanted: list[int] | None = None) -> list[bytes]:
@@ -243,7 +244,7 @@ def read_document(spark: SparkSession, out: str, doc_id: int) -> list[int] | Non
     """Ids of one document, by the index alone and its own frame."""
     digest, width, content = read_dictionary(spark, out)
     place = F.array_position("doc_ids", F.lit(doc_id).cast("long"))
-    row = spark.read.parquet(f"{out}/blocks").where(place > 0).withColumn("i", place.cast("int")).select("dict_sha256", F.expr("substring(payload, cast(offsets[i - 1] as int) + 1, cast(offsets[i] - offsets[i - 1] as int))").alias("frame")).first()
+    row = spark.read.parquet(f"{out}/blocks").where((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id) & (place > 0)).withColumn("i", place.cast("int")).select("dict_sha256", F.expr("substring(payload, cast(offsets[i - 1] as int) + 1, cast(offsets[i] - offsets[i - 1] as int))").alias("frame")).first()
     if row is None:
         return None
     if row["dict_sha256"] != digest:
