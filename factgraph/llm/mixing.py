@@ -167,7 +167,10 @@ def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``weight``, whose marginals are the targets.
+    """``cells`` (dimensions, tokens) with ``weight``, whose marginals are the targets, and ``gap``.
+
+    The gap is the most by which a marginal is off its target after the last sweep: at most
+    ``tolerance``, unless the sweeps ended first or the targets contradict each other.
 
     A target for a category without tokens can't be met and is left out; the others keep their
     proportions.  A category without a target gets the weight 0.
@@ -176,6 +179,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     if weights.limit(local_cells + 1).count() <= local_cells:
         return _rake_on_driver(weights, targets, sweeps, tolerance)
     tables = {dim: materialize(t, "target") for dim, t in targets.items()}
+    worst = 0.0
     for _ in range(sweeps):
         for dim, target in tables.items():
             sums = weights.groupBy(dim).agg(F.sum("weight").alias("sum"))
@@ -188,7 +192,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
             worst = max(worst, off or 0.0)
         if worst <= tolerance:
             break
-    return weights
+    return weights.withColumn("gap", F.lit(worst))
 
 
 def _rake_on_driver(weights: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> DataFrame:
@@ -204,14 +208,16 @@ def _rake_on_driver(weights: DataFrame, targets: dict[str, DataFrame], sweeps: i
         wanted[dim] = np.zeros(len(names))
         for r in share:
             wanted[dim][place[r[dim]]] = r["target"]
+    gap = 0.0
     for _ in range(sweeps if rows else 0):
         for dim in targets:
             sums = np.bincount(codes[dim], weight, len(wanted[dim]))
             weight *= np.divide(wanted[dim], sums, out=np.zeros_like(sums), where=sums > 0)[codes[dim]]
-        if max(np.abs(np.bincount(codes[dim], weight, len(wanted[dim])) - wanted[dim]).max() for dim in targets) <= tolerance:
+        gap = float(max(np.abs(np.bincount(codes[dim], weight, len(wanted[dim])) - wanted[dim]).max() for dim in targets))
+        if gap <= tolerance:
             break
     made = [(*[r[dim] for dim in DIMENSIONS], r["tokens"], float(w)) for r, w in zip(rows, weight)]
-    return weights.sparkSession.createDataFrame(made, weights.schema)
+    return weights.sparkSession.createDataFrame(made, weights.schema).withColumn("gap", F.lit(gap))
 
 
 def calibrate(weights: DataFrame, wanted: float) -> DataFrame:
@@ -234,7 +240,7 @@ def calibrate(weights: DataFrame, wanted: float) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, centres: np.ndarray | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, mark, probability and selected of each row."""
+    """doc_id, source, lang, topic, n_tokens, mark, probability, selected and gap (see ``rake``; null without tokens) of each row."""
     bags = materialize(with_bags(docs), "bags")
     if centres is None:
         centres = train_topics(bags)
@@ -242,10 +248,10 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ke
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     wanted = keep * (cells.agg(F.sum("tokens")).first()[0] or 0)
     raked = materialize(rake(cells, targets or default_targets(cells)), "raked")
-    chances = calibrate(raked, wanted).select(*DIMENSIONS, "probability")
+    chances = calibrate(raked, wanted).select(*DIMENSIONS, "probability", "gap")
     draw = F.shiftrightunsigned("mark", 11) / F.lit(float(1 << 53))
     out = rows.join(chances, list(DIMENSIONS), "left")
     # cells without tokens have no weight: they cost nothing and stay
     probability = F.coalesce("probability", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.lit(0.0)))
     out = out.withColumn("probability", probability)
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "mark", "probability", (draw < F.col("probability")).alias("selected"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "mark", "probability", (draw < F.col("probability")).alias("selected"), "gap")
