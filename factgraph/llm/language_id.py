@@ -4,7 +4,9 @@ A text's features are its words and the byte n-grams of ``GRAMS`` in them, hashe
 rows of an embedding table; the text's vector is the mean of its rows; a linear layer and a softmax
 give the languages.  Table and layer are trained by stochastic gradient descent in numpy on at most
 ``TRAIN_ROWS`` labelled rows, dealt evenly over the languages of the whole table.  A share of them is held back, on which a temperature calibrates the
-scores and a low quantile of the scores becomes the bound of rejection.
+scores.  The bound of rejection is calibrated on the same rows: it lies half-way between what right
+answers score at least and what junk scores at most, junk being the same texts with their bytes
+shuffled; where these overlap, right answers set it.
 
 As the layer is linear, a trained model scores a bucket once for each language, so a whole text
 costs one table lookup per feature and language.
@@ -31,8 +33,8 @@ TRAIN_ROWS, STEP_FEATURES = 3000, 400
 BUCKETS, DIMENSIONS = 1 << 15, 16
 GRAMS = (2, 3)
 EPOCHS, RATE, HELD_BACK = 8, 0.5, 5
-#: Scores below this quantile of the right answers held back are rejected, halved for texts unlike them.
-REJECT_QUANTILE = 0.001
+#: Of the scores of right answers held back, and of junk made of the same texts, the quantiles between which the bound of rejection lies.
+REJECT_QUANTILE, JUNK_QUANTILE = 0.001, 0.95
 UNKNOWN = "und"
 
 
@@ -90,6 +92,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _junk(rng: np.random.Generator, raw: np.ndarray) -> np.ndarray:
+    """Features of a text whose bytes are shuffled, spaces and all."""
+    return features(rng.permutation(raw[: 1 << 16]), np.array([0, min(len(raw), 1 << 16)]))[0]
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """Fit on (text, language) rows; every ``HELD_BACK``-th row only calibrates."""
     languages = sorted({lang for _, lang in rows})
@@ -135,7 +142,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z[check] / temperature)
     right = p.max(1)[p.argmax(1) == y[check]]
-    bound = float(np.quantile(right, REJECT_QUANTILE)) / 2 if len(right) else 0.0
+    bound = 0.0
+    if len(right):
+        junk = np.array([softmax((scores[x].mean(0) + bias)[None] / temperature).max() for x in (_junk(rng, raw[offsets[i] : offsets[i + 1]]) for i in check) if len(x)])
+        low, high = float(np.quantile(right, REJECT_QUANTILE)), float(np.quantile(junk, JUNK_QUANTILE)) if len(junk) else 0.0
+        bound = min(low, (low + high) / 2)
     return Model(languages, scores, bias, temperature, bound)
 
 
