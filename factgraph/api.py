@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import QueryError, require
+from .functions import codecs
 from .functions import scalars as S
-from .operators import callgraph, explain, hierarchy, listing, metrics, projects, references, resolve, rewrite, smells
+from .operators import callgraph, explain, hierarchy, listing, metrics, projects, refactoring, references, resolve, rewrite, smells
 from .plans.shapes import page
 from .sources import csharp
 from .sources.snapshots import SnapshotStore
@@ -22,6 +23,7 @@ class Workspace:
         self.spark, self.store = spark, SnapshotStore(spark, store)
         self.version: int | None = None
         self.facts: dict[str, DataFrame] = {}
+        self.from_source = False
 
     # loading
 
@@ -34,13 +36,13 @@ class Workspace:
         if not chosen:
             raise QueryError("solution_not_found", "no solution file was found", root=root, hint=wanted)
         self.version = self.store.write(csharp.facts(self.spark, root))
-        self.facts = self.store.read(self.version)
+        self.facts, self.from_source = self.store.read(self.version), True
         names = [r[0] for r in self.facts["projects"].select("name").orderBy("name").collect()]
         return {"solution": chosen[0], "version": self.version, "projects": names, "diagnostics": metrics.diagnostic_summary(self.facts["diagnostics"]).first().asDict()}
 
     def use(self, facts: dict[str, DataFrame], version: int = 1) -> "Workspace":
         """Take facts as they are, for facts from elsewhere."""
-        self.facts, self.version = facts, version
+        self.facts, self.version, self.from_source = facts, version, False
         return self
 
     def _fact(self, name: str) -> DataFrame:
@@ -163,7 +165,7 @@ class Workspace:
         return smells.dedup(found).orderBy("file", "line", "col", "title", "category", "origin")
 
     def rename_symbol(self, symbol_id: str | None, new_name: str | None) -> dict:
-        """Rename a symbol in a new snapshot of texts; returns the changed files and the new version."""
+        """Rename a symbol in a new snapshot; returns the changed files and the new version."""
         symbol = self._symbol(require(symbol_id, "symbolId"))
         rewrite.check_identifier(new_name)
         rows = self._fact("symbols")
@@ -172,12 +174,87 @@ class Workspace:
         if not clash.isEmpty():
             raise QueryError("rename_conflict", "a sibling has the new name", newName=new_name)
         places = rewrite.affected(rows, self._fact("refs"), symbol)
+        touched = places.orderBy(*references.LOCATION)
+        changed = self._edit(rewrite.rename_edits(places, old, new_name))
+        return {"changed": changed, "affected": touched, "version": self.version}
+
+    def _edit(self, edits: DataFrame) -> list[dict]:
+        """Apply edits; facts of the new texts become a new snapshot.  Returns the changed files.
+
+        Facts that didn't come from sources (``use``) only have their texts changed, in memory.
+        """
         before = self._fact("documents")
-        after = rewrite.apply_edits(before, rewrite.rename_edits(places, old, new_name))
-        changed = [r.asDict() for r in rewrite.changed_files(before, after).orderBy("path").collect()]  # files that name the symbol
-        self.facts = {**self.facts, "documents": before.drop("text").join(after.select("document_id", "text"), "document_id")}
-        self.version = (self.version or 0) + 1
-        return {"changed": changed, "affected": places.orderBy(*references.LOCATION), "version": self.version}
+        after = rewrite.apply_edits(before, edits)
+        changed = [r.asDict() for r in rewrite.changed_files(before, after).orderBy("path").collect()]  # files that are edited
+        texts = before.drop("text").join(after.select("document_id", "text"), "document_id")
+        if not self.from_source:
+            self.facts, self.version = {**self.facts, "documents": texts}, (self.version or 0) + 1
+            return changed
+        self.store.check_current(self.version)
+        self.version = self.store.write(csharp.facts_of(self.facts["projects"], self.facts["project_refs"], texts))
+        self.facts = self.store.read(self.version)
+        return changed
+
+    # the operators behind the entry queries, on the current snapshot
+
+    def search_symbols(self, text: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
+        """Symbols of a name, in the order of descriptors."""
+        return page(resolve.descriptor(resolve.search(self._fact("symbols"), require(text, "query"))), resolve.descriptor_order(), *S.page_bounds(limit, offset))
+
+    def code_fixes(self, ids: list[str] | None = None, category: str | None = None) -> DataFrame:
+        """Fixes of the current snapshot's diagnostics, in order of place."""
+        return smells.code_fixes(self._fact("diagnostics"), self.version, ids, category).orderBy("file", "line", "col", "diagnostic_id")
+
+    def _fix_edits(self, fix_id: str | None) -> DataFrame:
+        ident = require(fix_id, "fixId")
+        fields = self.spark.range(1).select(codecs.split_id(F.lit(ident)).alias("parts")).select(codecs.parse_fix_id(F.col("parts")).alias("a")).first()["a"]
+        if fields is None:
+            raise QueryError("fix_not_found", "the id is no fix id", fixId=ident)
+        if fields["version"] != self.version:
+            raise QueryError("workspace_changed", "the fix is of another snapshot", expected=str(self.version), actual=str(fields["version"]))
+        at = self._fact("diagnostics").where((F.col("file") == fields["file"]) & (F.col("span_start") == fields["span_start"]) & (F.upper("code") == fields["diagnostic_id"].upper()))
+        if at.isEmpty():
+            raise QueryError("fix_not_found", "the diagnostic is gone", fixId=ident)
+        edits = refactoring.unused_local_edits(self._fact("documents").where(F.col("path") == fields["file"]), at)
+        if edits.isEmpty():
+            raise QueryError("fix_conflict", "the declaration doesn't stand on a line of its own", fixId=ident)
+        return edits
+
+    def preview_code_fix(self, fix_id: str | None) -> list[dict]:
+        """Files that the fix would change, with their edits; nothing is written."""
+        return [r.asDict() for r in self._fix_edits(fix_id).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("edit_count")).orderBy("path").collect()]
+
+    def apply_code_fix(self, fix_id: str | None) -> dict:
+        changed = self._edit(self._fix_edits(fix_id))
+        return {"changed": changed, "version": self.version}
+
+    def refactorings(self, path: str | None, position: int) -> DataFrame:
+        """Actions at an offset of a document, in order of place, span and title."""
+        path = require(path, "path", "invalid_path")
+        size = self._fact("documents").where(S.same_ignoring_case(F.col("path"), path)).select(F.length("text")).first()
+        if size is None:
+            raise QueryError("invalid_path", "the document isn't loaded", path=path)
+        if not 0 <= position <= (size[0] or 0):
+            raise QueryError("invalid_input", "the position lies outside the document", position=str(position))
+        return refactoring.actions_at(self._fact("actions"), path, position, version=self.version).orderBy("span_start", "span_len", "title", "category")
+
+    def _action_edits(self, action_id: str | None) -> DataFrame:
+        action = refactoring.require_action(self._fact("actions"), require(action_id, "actionId"), self.version)
+        row = action.select("provider_key", "file", "line", "span_start", S.policy(F.col("provider_key"), F.col("origin"), F.col("category"), F.col("diagnostic_id"), None)["decision"].alias("decision")).first()
+        if row["decision"] == "block":
+            raise QueryError("policy_blocked", "the policy blocks this action", actionId=action_id)
+        here = self._fact("documents").where(F.col("path") == row["file"])
+        if row["provider_key"] == S.USE_VAR_KEY:
+            return refactoring.use_var_edits(refactoring.use_var_actions(here).where(F.col("line") == row["line"]))
+        at = self._fact("diagnostics").where((F.col("file") == row["file"]) & (F.col("span_start") == row["span_start"]))
+        return refactoring.unused_local_edits(here, at)
+
+    def preview_refactoring(self, action_id: str | None) -> list[dict]:
+        return [r.asDict() for r in self._action_edits(action_id).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("edit_count")).orderBy("path").collect()]
+
+    def apply_refactoring(self, action_id: str | None) -> dict:
+        changed = self._edit(self._action_edits(action_id))
+        return {"changed": changed, "version": self.version}
 
 
 def to_json(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def encode_text(c: Column) -> Column:
 
 def decode_text(c: Column) -> Column:
     """The text of a base64 field; null if it isn't one."""
-    return F.decode(F.try_to_binary(c, F.lit("base64")), "UTF-8")
+    return F.try_validate_utf8(F.try_to_binary(c, F.lit("base64")).cast("string"))
 
 
 def action_id(version: int | Column, profile: str, a: dict[str, Column]) -> Column:
@@ -31,29 +31,25 @@ def split_id(c: Column) -> Column:
     return F.split(c, "\\|")
 
 
-def parse_action_id(parts: Column) -> Column:
-    """struct of the fields from ``split_id``, or null where the text is no action id."""
-    text = lambda i: decode_text(F.get(parts, F.lit(i)))
+def decoded(parts: Column) -> Column:
+    """The texts of base64 fields, null for those that aren't any.  A column of its own, like ``split_id``."""
+    return F.transform(parts, decode_text)
+
+
+def parse_action_id(parts: Column, texts: Column | None = None) -> Column:
+    """struct of the fields from ``split_id`` (and ``decoded``), or null where the text is no action id."""
+    texts = decoded(parts) if texts is None else texts
+    text = lambda i: F.get(texts, F.lit(i))
     number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
     optional = lambda i: F.when(F.trim(text(i)) != "", text(i))
-    fields = F.struct(
-        number(1).alias("version"),
-        F.coalesce(optional(2), F.lit("default")).alias("profile"),
-        text(3).alias("origin"),
-        text(4).alias("category"),
-        text(5).alias("provider_key"),
-        number(6).alias("span_start"),
-        number(7).alias("span_len"),
-        text(8).alias("file"),
-        optional(9).alias("diagnostic_id"),
-        optional(10).alias("refactoring_id"),
-        number(11).alias("line"),
-        number(12).alias("col"),
-    )
-    numbers = number(1).isNotNull() & number(6).isNotNull() & number(7).isNotNull() & number(11).isNotNull() & number(12).isNotNull()
-    # a base64 field is blank only if it is empty or encodes white space
-    texts = (F.trim(text(3)) != "") & (F.trim(text(4)) != "") & (F.trim(text(5)) != "") & (F.trim(text(8)) != "")
-    return F.when((F.size(parts) == 13) & (F.get(parts, F.lit(0)) == "v1") & numbers & texts, fields)
+    names = [("version", number(1)), ("profile", F.coalesce(optional(2), F.lit("default"))), ("origin", text(3)), ("category", text(4)), ("provider_key", text(5)), ("span_start", number(6)), ("span_len", number(7))]
+    names += [("file", text(8)), ("diagnostic_id", optional(9)), ("refactoring_id", optional(10)), ("line", number(11)), ("col", number(12))]
+    fine = (F.size(parts) == 13) & (F.get(parts, F.lit(0)) == "v1")
+    for i in (1, 6, 7, 11, 12):
+        fine &= number(i).isNotNull()
+    for i in (3, 4, 5, 8):  # a base64 field is blank only if it is empty or encodes white space
+        fine &= F.trim(text(i)) != ""
+    return F.when(fine, F.struct(*[c.alias(n) for n, c in names]))
 
 
 def fix_id(version: int | Column, diagnostic: Column, start: Column, length: Column, file: Column) -> Column:

@@ -22,7 +22,7 @@ def callees(calls: DataFrame, symbol: str) -> DataFrame:
 
 def _one_way(calls: DataFrame, symbol: str, depth: int, near: str, far: str) -> DataFrame:
     """All edges of nodes that are expanded: those less than ``depth`` steps away."""
-    steps = calls.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct()
+    steps = calls.select(F.col(near).alias("src"), F.col(far).alias("dst"))
     expanded = reach(steps, single_row(calls.sparkSession, id=symbol), depth - 1)
     return calls.join(expanded, calls[near] == expanded["id"], "left_semi").select(*EDGE).distinct()
 

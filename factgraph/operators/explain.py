@@ -14,7 +14,9 @@ def role_text(symbols: DataFrame, shape: DataFrame, reference_counts: DataFrame)
     """symbol_id and a short text on what the symbol is and how much depends on it.
 
     ``shape`` has methods, properties and fields by type_id; ``reference_counts`` has n by symbol_id.
+    Symbols may tell has_setter, is_const and is_readonly.  The sentences are fixed values.
     """
+    tells = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in symbols.columns else F.lit(False)
     df = symbols.join(shape.withColumnRenamed("type_id", "symbol_id"), "symbol_id", "left").join(reference_counts, "symbol_id", "left")
     n = F.coalesce("n", F.lit(0))
     responsibility = (
@@ -34,5 +36,10 @@ def role_text(symbols: DataFrame, shape: DataFrame, reference_counts: DataFrame)
     takes = F.coalesce(F.nullif(F.array_join("param_types", ", "), F.lit("")), F.lit("no parameters"))
     called = F.when(n == 0, "No discovered call sites reference it yet.").otherwise(F.concat(F.lit("It "), used))
     of_method = F.concat("name", F.lit(" is a method on "), owner, F.lit(" that returns "), F.coalesce("return_type", F.lit("void")), F.lit(" and works with "), takes, F.lit(". "), called)
+    kind = F.coalesce("return_type", F.lit("object"))
+    access = F.when(tells("has_setter"), "read/write").otherwise("read-only")
+    of_property = F.concat("name", F.lit(" is a "), access, F.lit(" property on "), owner, F.lit(" exposing "), kind, F.lit(". It "), used)
+    storage = F.when(tells("is_const"), "constant value").when(tells("is_readonly"), "read-only state").otherwise("mutable state")
+    of_field = F.concat("name", F.lit(" is "), storage, F.lit(" on "), owner, F.lit(" with type "), kind, F.lit(". It "), used)
     of_rest = F.concat(F.coalesce("member_kind", "kind"), F.lit(" '"), "name", F.lit("' "), used)
-    return df.select("symbol_id", F.when(F.col("type_kind").isNotNull(), of_type).when(F.col("member_kind") == "method", of_method).otherwise(of_rest).alias("role"))
+    return df.select("symbol_id", F.when(F.col("type_kind").isNotNull(), of_type).when(F.col("member_kind") == "method", of_method).when(F.col("member_kind") == "property", of_property).when(F.col("member_kind") == "field", of_field).otherwise(of_rest).alias("role"))

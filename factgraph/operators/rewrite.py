@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 
 IDENTIFIER = re.compile(r"@?[^\W\d]\w*\Z")
+#: The reserved words of C#, which are names only behind an at sign.
+RESERVED = frozenset(
+    """abstract as base bool break byte case catch char checked class const continue decimal default delegate do double
+    else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is
+    lock long namespace new null object operator out override params private protected public readonly ref return sbyte
+    sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe
+    ushort using virtual void volatile while""".split()
+)
 
 
 def check_identifier(name: str | None) -> str:
-    if name is None or not IDENTIFIER.match(name):
+    if name is None or not IDENTIFIER.match(name) or name in RESERVED:
         raise QueryError("invalid_new_name", "the new name isn't an identifier", value=name)
     return name
 
@@ -50,7 +58,7 @@ def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """Documents with their edits applied and the number of edits; unchanged ones as they are.
 
     Edits are gathered per document (never more than its places) and applied from the last to the
-    first, so earlier places stay true.
+    first, so earlier places stay true.  Texts without an edit don't pass through Python.
     """
     per_document = edits.groupBy("path").agg(F.collect_set(F.struct("line", "col", "length", "new_text")).alias("edits"))
 
@@ -67,7 +75,9 @@ def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
                 counts.append(len(todo))
             yield pd.DataFrame({"document_id": frame["document_id"], "path": frame["path"], "text": texts, "edit_count": counts})
 
-    return documents.join(per_document, "path", "left").select("document_id", "path", "text", "edits").mapInPandas(run, "document_id string, path string, text string, edit_count int")
+    edited = documents.join(per_document, "path").select("document_id", "path", "text", "edits").mapInPandas(run, "document_id string, path string, text string, edit_count int")
+    untouched = documents.join(edits.select("path").distinct(), "path", "left_anti").select("document_id", "path", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("edit_count"))
+    return edited.unionByName(untouched)
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

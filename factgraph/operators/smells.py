@@ -63,8 +63,10 @@ def action_ids(actions: DataFrame, version: int = 1, profile: str = "default") -
 
 def parsed_action_ids(ids: DataFrame) -> DataFrame:
     """action_id and its fields ``a``; ids that aren't any are left out."""
-    parts = ids.select("action_id", codecs.split_id(F.col("action_id")).alias("parts"))
-    return parts.select("action_id", codecs.parse_action_id(F.col("parts")).alias("a")).where(F.col("a").isNotNull())
+    parts = ids.select("action_id", codecs.split_id(F.col("action_id")).alias("parts")).withColumn("texts", codecs.decoded(F.col("parts")))
+    # exploded, and not filtered: a filter would go below the steps and have each id split and decoded again for it
+    known = F.filter(F.array(codecs.parse_action_id(F.col("parts"), F.col("texts"))), lambda a: a.isNotNull())
+    return parts.select("action_id", F.explode(known).alias("a"))
 
 
 def code_fixes(diagnostics: DataFrame, version: int = 1, ids: list[str] | None = None, category: str | None = None) -> DataFrame:

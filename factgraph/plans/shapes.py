@@ -15,7 +15,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, which survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/factgraph-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/factgraph-checkpoints")
     return df.checkpoint()
 
 

@@ -18,7 +18,7 @@ FACTS: dict[str, T.StructType] = {
     "documents": _schema(s="document_id project_id path text source_kind"),
     "symbols": _schema(
         s="symbol_id name kind type_kind member_kind containing_type_id containing_type_fq containing_namespace accessibility display_min display_fq display_err return_type project_id file",
-        b="is_static is_partial is_abstract is_implicit is_accessor in_source",
+        b="is_static is_partial is_abstract is_implicit is_accessor in_source has_setter is_const is_readonly",
         i="arity line col end_line end_col",
         a="param_types",
     ),

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import source_kind
+from ..functions.scalars import FIX_CATEGORY, FIX_ORIGIN, SUPPORTED_FIXES, USE_VAR_KEY, source_kind
+from ..operators.refactoring import LOCAL, use_var_actions
+from ..plans.shapes import cut_lineage
 
 MODIFIERS = "(?:(?:public|internal|private|protected|static|abstract|sealed|partial|virtual|override|async|readonly|const|extern|unsafe|new|file|required)\\s+)*"
 TYPE_DECL = f"^\\s*({MODIFIERS})(class|interface|struct|enum|record)(?:\\s+(?:class|struct))?\\s+([A-Za-z_]\\w*)\\s*(<[^>(]*>)?"
@@ -33,7 +35,7 @@ DECISIONS = "\\b(?:if|for|foreach|while|do|catch|case|default)\\b(?!\\s*[;(]?\\s
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """Solution files under ``root``, in order of path without regard to case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sln*").load(root).select("path")
-    return files.where(F.lower("path").rlike("\\.slnx?$")).orderBy(F.upper("path"))
+    return files.where(F.lower("path").rlike("\\.slnx?$")).select(F.regexp_replace("path", "^file:/*", "/").alias("path")).orderBy(F.upper("path"))
 
 
 def projects(spark: SparkSession, root: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -88,11 +90,27 @@ def _access(modifiers: Column, default: str) -> Column:
 
 
 def _scoped(rows: DataFrame, all_lines: DataFrame) -> DataFrame:
-    """Declarations with their last line: the last before the document is back at their depth."""
-    later = all_lines.select("document_id", F.col("line").alias("at"), (F.col("depth") + F.col("change")).alias("after"))
-    ends = rows.select("document_id", "line", "depth", "opens").join(later, "document_id").where((F.col("at") >= F.col("line")) & (F.col("after") <= F.col("depth")) & ((F.col("at") > F.col("line")) | ~F.col("opens")))
-    last = ends.groupBy("document_id", "line").agg(F.min("at").alias("end_line"))
-    return rows.join(last, ["document_id", "line"], "left").withColumn("end_line", F.coalesce("end_line", "line"))
+    """Declarations with their last line: the first one that closes the block of their depth.
+
+    A line closes the depths from where it leaves the document up to where it found it.  So the end
+    is the next closing line of the same document and depth: one window, no pairs of lines.
+    """
+    after = F.col("depth") + F.col("change")
+    closing = all_lines.where("change < 0").select("document_id", "line", F.explode(F.sequence(after, F.col("depth") - 1)).alias("depth"), F.lit(None).cast("boolean").alias("declared"))
+    asked = rows.select("document_id", "line", "depth", F.lit(True).alias("declared")).distinct()
+    ahead = W.partitionBy("document_id", "depth").orderBy("line").rowsBetween(1, W.unboundedFollowing)
+    ends = closing.unionByName(asked).withColumn("closed", F.min(F.when(F.col("declared").isNull(), F.col("line"))).over(ahead)).where("declared").select("document_id", "line", "depth", "closed")
+    one_line = ~F.col("opens") | (F.col("code").contains("{") & F.col("code").contains("}"))
+    joined = rows.join(ends, ["document_id", "line", "depth"], "left")
+    return joined.withColumn("end_line", F.when(one_line, F.col("line")).otherwise(F.coalesce("closed", "line"))).drop("closed")
+
+
+def in_units(all_lines: DataFrame, symbol_rows: DataFrame, kinds: tuple[str, ...] = ("method", "ctor")) -> DataFrame:
+    """Lines with ``unit``, the member that holds them: the last one that began before and hasn't ended."""
+    units = symbol_rows.where(F.col("member_kind").isin(*kinds)).groupBy(F.col("file").alias("path"), "line").agg(F.max(F.struct("end_line", "symbol_id")).alias("begun"))
+    so_far = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    rows = all_lines.join(units, ["path", "line"], "left").withColumn("last", F.last("begun", ignorenulls=True).over(so_far))
+    return rows.withColumn("unit", F.when(F.col("last.end_line") >= F.col("line"), F.col("last.symbol_id"))).drop("begun", "last")
 
 
 def symbols(all_lines: DataFrame) -> DataFrame:
@@ -137,6 +155,7 @@ def symbols(all_lines: DataFrame) -> DataFrame:
         _access(F.col("modifiers"), "internal").alias("accessibility"), F.col("modifiers").contains("static").alias("is_static"), F.col("modifiers").contains("abstract").alias("is_abstract"), F.lit(False).alias("is_implicit"), F.lit(False).alias("is_accessor"),
         F.lit(True).alias("in_source"), F.col("arity").cast("int").alias("arity"), F.concat("name", "params").alias("display_min"), F.concat_ws(".", "namespace", F.concat("name", "params")).alias("display_fq"), F.col("type_fq").alias("display_err"),
         F.array().cast("array<string>").alias("param_types"), none.alias("return_type"), "project_id", F.col("path").alias("file"), "line", column.alias("col"), "end_line", "code",
+        F.lit(False).alias("has_setter"), F.lit(False).alias("is_const"), F.lit(False).alias("is_readonly"),
     )
     default = F.when(F.col("holder_kind") == "interface", "public").otherwise("private")
     access = F.coalesce(F.nullif(_access(F.col("modifiers"), ""), F.lit("")), default)
@@ -145,6 +164,7 @@ def symbols(all_lines: DataFrame) -> DataFrame:
         access.alias("accessibility"), F.col("modifiers").rlike("static|const").alias("is_static"), F.col("modifiers").contains("abstract").alias("is_abstract"), F.lit(False).alias("is_implicit"), F.lit(False).alias("is_accessor"),
         F.lit(True).alias("in_source"), F.lit(0).alias("arity"), shown.alias("display_min"), F.concat("type_fq", F.lit("."), shown).alias("display_fq"), F.concat("type_fq", F.lit("."), shown).alias("display_err"),
         "param_types", "return_type", "project_id", F.col("path").alias("file"), "line", column.alias("col"), "end_line", "code",
+        ((F.col("member_kind") == "property") & F.col("code").rlike("\\b(?:set|init)\\b")).alias("has_setter"), F.col("modifiers").contains("const").alias("is_const"), F.col("modifiers").contains("readonly").alias("is_readonly"),
     )
     return type_rows.unionByName(member_rows)
 
@@ -185,32 +205,107 @@ def refs(bound: DataFrame) -> DataFrame:
     return bound.select("symbol_id", "document_id", "project_id", "file", "line", "col")
 
 
-def calls(bound: DataFrame, symbol_rows: DataFrame) -> DataFrame:
-    """Call edges from the innermost member that holds the call."""
+def calls(bound: DataFrame, all_lines: DataFrame, symbol_rows: DataFrame) -> DataFrame:
+    """Call edges from the member that holds the call."""
     made = bound.where(F.col("is_call") & F.col("member_kind").isin("method", "ctor"))
-    scopes = symbol_rows.where(F.col("member_kind").isin("method", "ctor", "property")).select(F.col("symbol_id").alias("from_id"), "file", F.col("line").alias("a"), F.col("end_line").alias("b"))
-    inside = made.join(scopes, "file").where((F.col("line") >= F.col("a")) & (F.col("line") <= F.col("b")))
-    nearest = inside.groupBy("symbol_id", "file", "line", "col").agg(F.max_by("from_id", F.col("a")).alias("from_id"))
-    return nearest.select("from_id", F.col("symbol_id").alias("to_id"), "file", "line", "col").distinct()
+    holders = in_units(all_lines, symbol_rows, ("method", "ctor", "property")).where("unit is not null").select(F.col("path").alias("file"), "line", F.col("unit").alias("from_id"))
+    return made.join(holders, ["file", "line"]).select("from_id", F.col("symbol_id").alias("to_id"), "file", "line", "col").distinct()
 
 
 def metrics(all_lines: DataFrame, symbol_rows: DataFrame) -> DataFrame:
     """Complexity and lines of methods and constructors."""
-    units = symbol_rows.where(F.col("member_kind").isin("method", "ctor")).select("symbol_id", "file", F.col("line").alias("a"), F.col("end_line").alias("b"))
-    weight = all_lines.select(F.col("path").alias("file"), "line", F.regexp_count("code", F.lit(DECISIONS)).alias("w")).where("w > 0")
-    inside = units.join(weight, "file", "left")
-    w = F.when((F.col("line") >= F.col("a")) & (F.col("line") <= F.col("b")), F.col("w")).otherwise(0)
-    return inside.groupBy("symbol_id", "a", "b").agg((F.sum(w) + 1).cast("int").alias("complexity")).select("symbol_id", "complexity", (F.col("b") - F.col("a") + 1).cast("int").alias("line_count"))
+    weight = F.regexp_count("code", F.lit(DECISIONS))
+    found = in_units(all_lines, symbol_rows).where("unit is not null").groupBy(F.col("unit").alias("symbol_id")).agg(F.sum(weight).alias("w"))
+    units = symbol_rows.where(F.col("member_kind").isin("method", "ctor")).groupBy("symbol_id").agg(F.min("line").alias("a"), F.max("end_line").alias("b"))
+    return units.join(found, "symbol_id", "left").select("symbol_id", (F.coalesce("w", F.lit(0)) + 1).cast("int").alias("complexity"), (F.col("b") - F.col("a") + 1).cast("int").alias("line_count"))
+
+
+def impl_edges(symbol_rows: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
+    """Interface members and the members of implementing types with the same name, kind and parameter types.
+
+    A type implements the interfaces above it, however far; the closure over type edges doubles its
+    reach in each round and is written, so ``most`` rounds are far more than any hierarchy is deep.
+    """
+    above = edges.select("type_id", "parent_id").distinct()
+    n = -1
+    for _ in range(most):
+        above = cut_lineage(above)
+        before, n = n, above.count()
+        if n == before:
+            break
+        further = above.select("type_id", F.col("parent_id").alias("by")).join(above.select(F.col("type_id").alias("by"), "parent_id"), "by").select("type_id", "parent_id")
+        above = above.unionByName(further).distinct()
+    shape = F.concat_ws("|", "name", "member_kind", F.array_join("param_types", ","))
+    members = symbol_rows.where("member_kind is not null").select("symbol_id", "containing_type_id", shape.alias("shape"))
+    contracts = symbol_rows.where("type_kind = 'interface'").select(F.col("symbol_id").alias("parent_id"))
+    asked = above.join(contracts, "parent_id").join(members.select(F.col("containing_type_id").alias("parent_id"), "shape", "symbol_id"), "parent_id")
+    own = members.select(F.col("containing_type_id").alias("type_id"), "shape", F.col("symbol_id").alias("impl_id"))
+    return asked.join(own, ["type_id", "shape"]).select("symbol_id", "impl_id").distinct()
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Raw lines of each document with the offset of their first character."""
+    rows = docs.select("document_id", "project_id", "path", F.posexplode(F.split("text", "\n")).alias("n", "row"))
+    before = W.partitionBy("document_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    return rows.select("document_id", "project_id", "path", (F.col("n") + 1).alias("line"), "row", F.coalesce(F.sum(F.length("row") + 1).over(before), F.lit(0)).cast("int").alias("at"))
+
+
+def diagnostics(docs: DataFrame, all_lines: DataFrame, token_rows: DataFrame, symbol_rows: DataFrame) -> DataFrame:
+    """What the rules of this front end find: locals that a member declares and names nowhere else."""
+    declared = F.regexp_extract("code", LOCAL, 2)
+    held = in_units(all_lines, symbol_rows).where("unit is not null")
+    # the code without strings tells what is declared, the line as it stands tells where
+    locals_ = held.where(F.col("code").rlike(LOCAL)).select("document_id", "line", "unit", declared.alias("name"), (F.regexp_extract("code", LOCAL, 3) != "").alias("assigned"))
+    named = token_rows.join(held.select("document_id", "line", "unit"), ["document_id", "line"]).groupBy("unit", "name").agg(F.count(F.lit(1)).alias("times"))
+    unused = locals_.join(named.where("times = 1"), ["unit", "name"]).join(_placed(docs), ["document_id", "line"])
+    col = F.expr("cast(locate(name, row, greatest(regexp_instr(row, concat('\\\\s', name, '\\\\b')), 1)) as int)")
+    code = F.when(F.col("assigned"), "CS0219").otherwise("CS0168")
+    message = F.concat(F.lit("The variable '"), "name", F.when(F.col("assigned"), "' is assigned but its value is never used").otherwise("' is declared but never used"))
+    rows = unused.withColumn("col", col)
+    return rows.select(code.alias("code"), F.lit("warning").alias("severity"), message.alias("message"), F.lit("compiler").alias("category"), F.col("path").alias("file"), "project_id", "document_id", "line", "col", (F.col("at") + F.col("col") - 1).alias("span_start"), F.length("name").alias("span_len"))
+
+
+def nodes(docs: DataFrame, symbol_rows: DataFrame) -> DataFrame:
+    """Declarations as syntax nodes, in order of place."""
+    rows = symbol_rows.select(F.col("file").alias("path"), F.coalesce("type_kind", "member_kind").alias("node_kind"), "line", "col", "end_line", "symbol_id")
+    starts, ends = _placed(docs).select("document_id", "path", "line", F.col("at").alias("start_at")), _placed(docs).select("path", F.col("line").alias("end_line"), (F.col("at") + F.length("row")).alias("end_at"), F.length("row").alias("end_col"))
+    at = F.col("start_at") + F.col("col") - 1
+    placed = rows.join(starts, ["path", "line"]).join(ends, ["path", "end_line"])
+    number = F.row_number().over(W.partitionBy("document_id").orderBy("line", "col", "symbol_id"))
+    return placed.select("document_id", "node_kind", number.alias("node_id"), F.col("line").alias("start_line"), F.col("col").alias("start_col"), "end_line", "end_col", at.cast("int").alias("span_start"), F.greatest(F.col("end_at") - at, F.lit(1)).cast("int").alias("span_len"))
+
+
+def actions(docs: DataFrame, diagnostic_rows: DataFrame) -> DataFrame:
+    """What can be done at places: taking out unused locals, and writing ``var`` for a local's type."""
+    fixes = diagnostic_rows.where(F.col("code").isin(*SUPPORTED_FIXES)).select(
+        F.concat(F.lit("Remove unused local ("), "code", F.lit(")")).alias("title"), F.lit(FIX_CATEGORY).alias("category"), F.lit(FIX_ORIGIN).alias("origin"), F.lit("remove_unused_local").alias("provider_key"), "file",
+        F.col("code").alias("diagnostic_id"), F.lit(None).cast("string").alias("refactoring_id"), "span_start", "span_len", "line", "col",
+    )
+    at = _placed(docs).select(F.col("path").alias("file"), "line", "at")
+    var = use_var_actions(docs).join(at, ["file", "line"]).select(
+        "title", "category", "origin", "provider_key", "file", F.lit(None).cast("string").alias("diagnostic_id"), F.lit(USE_VAR_KEY).alias("refactoring_id"), (F.col("at") + F.col("col") - 1).alias("span_start"), F.col("length").alias("span_len"), "line", "col",
+    )
+    return fixes.unionByName(var)
+
+
+def facts_of(project_rows: DataFrame, ref_rows: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
+    """All fact tables of documents, which may differ from what stands in the source folder.
+
+    What several tables are made of is written once to the shared folder.
+    """
+    rows = cut_lineage(lines(docs))
+    found = cut_lineage(symbols(rows))
+    words = cut_lineage(tokens(rows))
+    bound = cut_lineage(bind(words, found))
+    edges = cut_lineage(type_edges(found))
+    problems = cut_lineage(diagnostics(docs, rows, words, found))
+    return {
+        "projects": project_rows, "project_refs": ref_rows, "documents": docs, "symbols": found.drop("code"), "type_edges": edges, "impl_edges": impl_edges(found, edges),
+        "refs": refs(bound), "calls": calls(bound, rows, found), "metrics": metrics(rows, found), "diagnostics": problems, "nodes": nodes(docs, found), "actions": actions(docs, problems),
+    }
 
 
 def facts(spark: SparkSession, root: str, version: int = 1) -> dict[str, DataFrame]:
     """All fact tables of a source folder."""
     project_rows, ref_rows = projects(spark, root, version)
-    docs = documents(spark, root, project_rows)
-    rows = lines(docs)
-    found = symbols(rows)
-    bound = bind(tokens(rows), found)
-    return {
-        "projects": project_rows, "project_refs": ref_rows, "documents": docs, "symbols": found.drop("code"), "type_edges": type_edges(found),
-        "refs": refs(bound), "calls": calls(bound, found), "metrics": metrics(rows, found),
-    }
+    return facts_of(project_rows, ref_rows, documents(spark, root, project_rows))

@@ -3,6 +3,8 @@
 import pytest
 
 from factgraph.api import Workspace
+from factgraph.errors import QueryError
+from factgraph.functions import scalars as S
 from factgraph.sources import csharp
 from factgraph.streaming import ingest
 
@@ -100,6 +102,82 @@ def test_load_and_rename(spark, folder, tmp_path):
     assert [c["edit_count"] for c in done["changed"]] == [2]
     text = w.facts["documents"].where("path like '%Shapes.cs'").first()["text"]
     assert "return Assist(scale);" in text and "private double Assist(int scale)" in text and "Helper" not in text
+    # the new snapshot has the facts of the new texts, so a second rename finds its places
+    assert done["version"] == 2 and w.store.versions() == [1, 2]
+    assert w.facts["symbols"].where("name = 'Assist'").count() == 1 and w.facts["symbols"].where("name = 'Helper'").isEmpty()
+    again = w.rename_symbol("M:Demo.Shapes.Circle.Assist(int)", "Third")
+    assert [c["edit_count"] for c in again["changed"]] == [2] and again["version"] == 3
+    text = w.facts["documents"].where("path like '%Shapes.cs'").first()["text"]
+    assert "return Third(scale);" in text and "Assist" not in text
+    with pytest.raises(QueryError, match="invalid_new_name"):
+        w.rename_symbol("M:Demo.Shapes.Circle.Third(int)", "class")
+    assert loaded["solution"].startswith("/") and [r["symbol_id"] for r in w.search_symbols("third").collect()] == ["M:Demo.Shapes.Circle.Third(int)"]
+    # members that implement an interface's member
+    assert [r["symbol_id"] for r in w.find_implementations("M:Demo.Shapes.IShape.Area(int)").collect()] == ["M:Demo.Shapes.Circle.Area(int)", "M:Demo.Shapes.Shape.Area(int)"]
+    spark.createDataFrame([(9,)], "version int").write.mode("append").parquet(f"{w.store.root}/versions")  # another writer's snapshot
+    with pytest.raises(QueryError, match="workspace_changed"):
+        w.rename_symbol("M:Demo.Shapes.Circle.Third(int)", "Fourth")
+
+
+LOCALS = """namespace Demo.Locals;
+
+public class Box
+{
+    private readonly int size;
+    public const int Most = 3;
+    public string Name { get; set; }
+
+    public int Fill(int count)
+    {
+        int spare = 5;
+        int unset;
+        int used = count + 1;
+        string text = "spare";
+        return used + text.Length;
+    }
+}
+"""
+
+
+def test_smells_fixes_and_refactorings(spark, tmp_path):
+    (tmp_path / "Demo.sln").write_text("solution")
+    (tmp_path / "Demo.csproj").write_text("<Project/>")
+    (tmp_path / "Box.cs").write_text(LOCALS)
+    path = str(tmp_path / "Box.cs")
+    w = Workspace(spark, str(tmp_path / "store"))
+    assert w.load_solution(str(tmp_path))["diagnostics"]["warnings"] == 2
+    found = {(r["code"], r["line"], r["col"], r["span_start"], r["span_len"]) for r in w.facts["diagnostics"].collect()}
+    assert found == {("CS0219", 11, 13, LOCALS.index("spare"), 5), ("CS0168", 12, 13, LOCALS.index("unset"), 5)}
+    shown = {(r["line"], r["title"], r["origin"]) for r in w.find_codesmells(path).collect()}
+    assert {(11, "Remove unused local (CS0219)", S.FIX_ORIGIN), (12, "Remove unused local (CS0168)", S.FIX_ORIGIN)} <= shown
+    roles = {n: w.explain_symbol(f"M:Demo.Locals.Box.{n}")["role"].first()["role"] for n in ("Name", "size", "Most")}
+    assert roles["Name"] == "Name is a read/write property on Box exposing string. It is referenced from 0 locations."
+    assert roles["size"] == "size is read-only state on Box with type int. It is referenced from 0 locations."
+    assert roles["Most"] == "Most is constant value on Box with type int. It is referenced from 0 locations."
+    fixes = w.code_fixes().collect()
+    assert [f["diagnostic_id"] for f in fixes] == ["CS0219", "CS0168"]
+    assert w.preview_code_fix(fixes[0]["fix_id"]) == [{"path": path, "edit_count": 1}] and w.version == 1
+    assert w.apply_code_fix(fixes[0]["fix_id"]) == {"changed": [{"path": path, "edit_count": 1}], "version": 2}
+    assert "int spare" not in w.facts["documents"].first()["text"] and [r["code"] for r in w.facts["diagnostics"].collect()] == ["CS0168"]
+    with pytest.raises(QueryError, match="workspace_changed"):
+        w.apply_code_fix(fixes[1]["fix_id"])
+    with pytest.raises(QueryError, match="fix_not_found"):
+        w.apply_code_fix("v1|x")
+    text = w.facts["documents"].first()["text"]
+    listed = w.refactorings(path, text.index("string text")).collect()
+    assert [r["title"] for r in listed] == ["Use 'var'"]
+    assert w.preview_refactoring(listed[0]["action_id"]) == [{"path": path, "edit_count": 1}]
+    w.apply_refactoring(listed[0]["action_id"])
+    assert 'var text = "spare";' in w.facts["documents"].first()["text"]
+    with pytest.raises(QueryError, match="invalid_input"):
+        w.refactorings(path, len(text) + 100)
+
+
+def test_scopes_end_where_their_block_is_closed(spark):
+    text = "class A\n{\n  int F() { return 1; }\n  int G()\n  {\n    if (true) { F(); }\n  }\n  int H() => 2;\n}\nclass B { }\nclass C {\n}\n"
+    docs = spark.createDataFrame([("d", "p", "d", text)], "document_id string, project_id string, path string, text string")
+    ends = {r["name"]: (r["line"], r["end_line"]) for r in csharp.symbols(csharp.lines(docs)).collect()}
+    assert ends == {"A": (1, 9), "F": (3, 3), "G": (4, 7), "H": (8, 8), "B": (10, 10), "C": (11, 12)}
 
 
 def test_streaming_follows_files(spark, folder, tmp_path):
