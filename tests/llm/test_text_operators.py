@@ -211,7 +211,8 @@ def test_windows_come_from_the_index(index, part):
     contents = [np.array([rng.choice([0, 1, 2]) for _ in range(40)]) for _ in range(6)]
     built, broken = index(contents, 5), index(contents, 5)
     values = getattr(broken, part)
-    setattr(broken, part, np.delete(values, len(values) // 2) if part == "begin" else values[::-1].copy())
+    other = {"begin": np.delete(values, len(values) // 2), "shift": values[::-1].copy(), "match": np.roll(values, 1), "target": np.roll(values, 1)}
+    setattr(broken, part, other[part])
     assert any((x != y).any() for x, y in zip(built.stream(), broken.stream()))
 
 
