@@ -50,14 +50,17 @@ def sort_suffixes(units: np.ndarray) -> np.ndarray:
 
 def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Units that the suffixes at ``a`` and ``b`` have in common at their start, at most ``most``."""
-    out = np.zeros(len(a), np.int64)
+    out = np.full(len(a), most, np.int64)
     still = np.arange(len(a))
     for k in range(most):
         # separators are all different, so no match runs over the end of the text
-        still = still[text[np.minimum(a[still] + k, len(text) - 1)] == text[np.minimum(b[still] + k, len(text) - 1)]]
+        same = text[a] == text[b]
+        if not same.all():
+            out[still[~same]] = k
+            still, a, b = still[same], a[same], b[same]
         if not len(still):
             break
-        out[still] = k + 1
+        a, b = a + 1, b + 1
     return out
 
 
