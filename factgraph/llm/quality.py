@@ -166,13 +166,16 @@ def base_failed() -> Column:
 def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
     """Each rule with its work and rejections on a sample, in the order to run them.
 
-    The sample is the ``sample_rows`` rows with the least hash of the whole table.  One job counts
+    The sample is the ``sample_rows`` different rows with the least hash of the whole table.  One job counts
     the rows and the work of all rules for each set of rules that reject a row.  Then, step by step,
     the rule comes next that rejects the most of the rows which are left, for the work that it does
     on them (ties by name).
     """
     rules = sorted(default_rules() if rules is None else rules, key=lambda r: r.name)
-    drawn = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text")).limit(sample_rows)
+    draw = F.xxhash64("doc_id", "text")
+    # hashes alone are sorted; texts are only read again for those drawn, and rows that repeat count once
+    least = [r[0] for r in docs.select(draw.alias("draw")).distinct().orderBy("draw").limit(sample_rows).collect()]
+    drawn = docs.where(draw <= least[-1] if least else F.lit(False)).groupBy(draw.alias("draw")).agg(F.min(F.struct("doc_id", "text")).alias("row")).select("row.*")
     verdicts = [F.coalesce(r.rejects(), F.lit(False)).alias(f"v{i}") for i, r in enumerate(rules)]
     works = [r.work().cast("double").alias(f"w{i}") for i, r in enumerate(rules)]
     # the base verdict is a key and no filter, which Spark would push below the steps and so compute them again
