@@ -120,7 +120,8 @@ class Workspace:
         symbol = self._symbol(symbol_id, path, line, column)
         refs, rows = self._fact("refs"), self._fact("symbols")
         counts = references.usages(refs, symbol).agg(F.count(F.lit(1)).alias("n")).withColumn("symbol_id", F.lit(symbol))
-        role = explain.role_text(rows.where(F.col("symbol_id") == symbol), listing.member_shape(rows.where(F.col("containing_type_id") == symbol)), counts)
+        inside = rows.where(F.col("containing_type_id") == symbol)
+        role = explain.role_text(rows.where(F.col("symbol_id") == symbol), listing.member_shape(inside), counts, explain.collaborators(inside))
         return {"role": role, "key_references": references.key_references(refs, symbol), "impact_hints": references.impact_hints(refs, symbol)}
 
     def trace_call_flow(self, symbol_id: str | None = None, path: str | None = None, line: int | None = None, column: int | None = None, direction: str | None = None, depth: int | None = None) -> dict[str, DataFrame]:

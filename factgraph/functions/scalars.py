@@ -51,6 +51,23 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+#: The runtime's names of the language's built-in types.
+BUILT_IN_TYPES = {
+    "bool": "Boolean", "byte": "Byte", "sbyte": "SByte", "char": "Char", "decimal": "Decimal", "double": "Double", "float": "Single", "int": "Int32", "uint": "UInt32",
+    "nint": "IntPtr", "nuint": "UIntPtr", "long": "Int64", "ulong": "UInt64", "short": "Int16", "ushort": "UInt16", "void": "Void", "string": "String", "object": "Object",
+}
+
+
+def type_name(written: Column) -> Column:
+    """The short name of a type as written in source; blank for arrays and tuples, which have none."""
+    bare = F.trim(written)
+    core = F.element_at(F.split(F.regexp_replace(F.regexp_replace(bare, "\\?$", ""), "<.*>$", ""), "\\."), -1)
+    built_in = F.create_map(*[F.lit(x) for pair in BUILT_IN_TYPES.items() for x in pair])
+    named = F.coalesce(F.try_element_at(built_in, core), core)
+    a_value = F.try_element_at(built_in, core).isNotNull() & ~core.isin("string", "object")
+    return F.when(bare.rlike("(?:[\\]\\)]\\??)$"), "").when(bare.endswith("?") & a_value, "Nullable").otherwise(named)
+
+
 def severity(raw: Column) -> Column:
     """error and warning as they are, all else info."""
     lowered = F.lower(raw)

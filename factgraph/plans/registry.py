@@ -85,12 +85,11 @@ def member_shape(f: Facts) -> DataFrame:
     return listing.member_shape(f.members)
 
 
-@query(f"""{sql_with('members', 'type_edges')}, n AS (SELECT type_id, parent_id FROM f_type_edges WHERE edge_kind = 'base'),
+@query(f"""{sql_with('members', 'nesting')}, n AS (SELECT type_id, parent_id FROM f_nesting),
 o AS (SELECT 'T:5' AS id UNION SELECT type_id FROM n WHERE parent_id = 'T:5' UNION SELECT x.type_id FROM n x JOIN n y ON x.parent_id = y.type_id WHERE y.parent_id = 'T:5')
 SELECT DISTINCT name, member_kind AS kind, display_min AS signature, accessibility, is_static FROM f_members WHERE NOT is_implicit AND containing_type_id IN (SELECT id FROM o)""")
 def outline_depth3(f: Facts) -> DataFrame:
-    nesting = f.type_edges.where("edge_kind = 'base'").select("type_id", "parent_id")
-    return listing.outline(f.members, nesting, "T:5", 3)
+    return listing.outline(f.members, f.nesting, "T:5", 3)
 
 
 # --- lookup ------------------------------------------------------------------------------------
@@ -99,13 +98,11 @@ _CANDIDATE = "symbol_id, name, display_fq, project_id, tier"
 
 
 @query(f"""{sql_with('symbols')}, r AS (SELECT *, CASE WHEN display_fq = q OR display_err = q THEN 0 END AS tier
-FROM f_symbols, (SELECT display_err AS q, name AS n FROM f_symbols WHERE symbol_id = 'T:77') WHERE name = n)
+FROM f_symbols, (SELECT display_fq AS q, name AS n FROM f_symbols WHERE symbol_id = 'T:77') WHERE name = n)
 SELECT symbol_id, name, display_fq, project_id, CAST(tier AS INTEGER) AS tier FROM r WHERE tier = 0""")
 def resolve_unique(f: Facts) -> DataFrame:
-    wanted = f.symbols.where("symbol_id = 'T:77'").select("name", "display_err").first()
-    # the short name is what follows the last dot of the error form, so it is given as it stands
-    found = f.symbols.where(F.col("name") == wanted["name"])
-    return shapes.keep_first(found.where((F.col("display_fq") == wanted["display_err"]) | (F.col("display_err") == wanted["display_err"])).withColumn("tier", F.lit(0)), ["symbol_id"], [F.col("project_id")]).select(*_CANDIDATE.split(", "))
+    wanted = f.symbols.where("symbol_id = 'T:77'").select("display_fq").first()[0]
+    return resolve.by_name(f.symbols, wanted).select(*_CANDIDATE.split(", "))
 
 
 @query(f"""{sql_with('symbols')}, n AS (SELECT min(name) AS n FROM f_symbols)
@@ -258,16 +255,22 @@ def type_direct_only(f: Facts) -> DataFrame:
 @query(f"""{sql_with('symbols', 'type_edges', recursive=True)}, {_CLOSURE.format(root='T:3', near='parent_id', far='type_id', kind='')}
 SELECT symbol_id, display_min FROM f_symbols WHERE symbol_id IN (SELECT id FROM c WHERE d > 0) AND coalesce(type_kind, '') <> 'interface' AND (SELECT any_value(type_kind) FROM f_symbols WHERE symbol_id = 'T:3') = 'interface'""")
 def find_implementations(f: Facts) -> DataFrame:
-    none = f.type_edges.limit(0).select(F.col("type_id").alias("symbol_id"), F.col("parent_id").alias("impl_id"))
-    return hierarchy.implementations(f.type_edges, none, f.symbols, "T:3").select("symbol_id", "display_min")
+    return hierarchy.implementations(f.type_edges, f.impl_edges, f.symbols, "T:3").select("symbol_id", "display_min")
 
 
 @query(f"""{sql_with('symbols', 'type_edges', recursive=True)}, {_CLOSURE.format(root='I:2', near='parent_id', far='type_id', kind='')}
 SELECT symbol_id, display_min FROM f_symbols WHERE symbol_id IN (SELECT id FROM c WHERE d > 0) AND coalesce(type_kind, '') <> 'interface'""")
 def find_implementations_of_interface(f: Facts) -> DataFrame:
-    none = f.type_edges.limit(0).select(F.col("type_id").alias("symbol_id"), F.col("parent_id").alias("impl_id"))
     face = f.symbols.limit(1).withColumn("symbol_id", F.lit("I:2")).withColumn("type_kind", F.lit("interface"))
-    return hierarchy.implementations(f.type_edges, none, f.symbols.unionByName(face), "I:2").select("symbol_id", "display_min")
+    return hierarchy.implementations(f.type_edges, f.impl_edges, f.symbols.unionByName(face), "I:2").select("symbol_id", "display_min")
+
+
+@query(f"""{sql_with('members', 'impl_edges')} SELECT symbol_id, display_min FROM f_members
+WHERE symbol_id IN (SELECT impl_id FROM f_impl_edges WHERE symbol_id = (SELECT min(symbol_id) FROM f_impl_edges))""")
+def find_implementations_of_member(f: Facts) -> DataFrame:
+    member = f.impl_edges.agg(F.min("symbol_id")).first()[0]
+    rows = f.symbols.unionByName(f.members, allowMissingColumns=True)
+    return hierarchy.implementations(f.type_edges, f.impl_edges, rows, member).select("symbol_id", "display_min")
 
 
 # --- projects ----------------------------------------------------------------------------------
@@ -302,11 +305,15 @@ def module_fan(f: Facts) -> DataFrame:
 
 
 def _hotspots(k: int) -> str:
-    return f"{sql_with('metrics')} SELECT symbol_id, symbol_id AS display_name, complexity, line_count, complexity + line_count AS score FROM f_metrics ORDER BY complexity DESC, line_count DESC, symbol_id LIMIT {k}"
+    return f"{sql_with('metrics', 'docs')} SELECT symbol_id, coalesce(path, symbol_id) AS display_name, complexity, line_count, complexity + line_count AS score FROM f_metrics LEFT JOIN f_docs d ON document_id = symbol_id AND path <> ' ' ORDER BY complexity DESC, line_count DESC, symbol_id LIMIT {k}"
+
+
+def _shown_units(f: Facts) -> DataFrame:
+    return f.documents.where("path <> ' '").select(F.col("document_id").alias("symbol_id"), F.col("path").alias("display_min"))
 
 
 for _profile, _k in metrics.HOTSPOTS.items():
-    query(_hotspots(_k), f"hotspots_{_profile}")(lambda f, p=_profile: metrics.hotspots(metrics.text_metrics(f.documents, DECISIONS), None, p))
+    query(_hotspots(_k), f"hotspots_{_profile}")(lambda f, p=_profile: metrics.hotspots(metrics.text_metrics(f.documents, DECISIONS), _shown_units(f), p))
 
 
 @query(f"{sql_with('metrics')} SELECT * FROM f_metrics")
@@ -452,11 +459,15 @@ def rename_affected(f: Facts) -> DataFrame:
     return rewrite.affected(f.symbols, f.refs, "T:12")
 
 
-@query(f"""{sql_with('docs')} SELECT path, CAST(len(regexp_extract_all(text, '(^|\\n)The ')) AS INTEGER) AS edit_count FROM f_docs WHERE regexp_matches(text, '(^|\\n)The ') AND path <> ' '""")
+@query(f"""{sql_with('docs')} SELECT path, CAST(len(regexp_extract_all(text, 'the ')) AS INTEGER) AS edit_count FROM f_docs WHERE regexp_matches(text, 'the ') AND path <> ' '""")
 def rename_changed_files(f: Facts) -> DataFrame:
     docs = f.documents.where("path <> ' '")
-    lines = docs.select("path", F.posexplode(F.split("text", "\n")).alias("n", "row")).where(F.col("row").startswith("The "))
-    edits = rewrite.rename_edits(lines.select(F.col("path").alias("file"), (F.col("n") + 1).alias("line"), F.lit(1).alias("col")), "The", "Those")
+    lines = docs.select("path", F.posexplode(F.split("text", "\n")).alias("n", "row")).where(F.col("row").contains("the "))
+    pieces = F.transform(F.split("row", "the "), lambda piece: F.length(piece) + 4)
+    lines = lines.withColumn("pieces", F.slice(pieces, 1, F.size(pieces) - 1))  # what stands before each place, with the place
+    ends = F.transform("pieces", lambda _, i: F.aggregate(F.slice("pieces", 1, i + 1), F.lit(0), lambda a, n: a + n))
+    places = lines.select(F.col("path").alias("file"), (F.col("n") + 1).alias("line"), F.explode(F.transform(ends, lambda end: end - 3)).alias("col"))
+    edits = rewrite.rename_edits(places, "the", "those")
     return rewrite.changed_files(docs, rewrite.apply_edits(docs, edits))
 
 
@@ -475,3 +486,20 @@ FROM f_symbols s LEFT JOIN h ON h.containing_type_id = s.symbol_id LEFT JOIN n O
 def explain_roles(f: Facts) -> DataFrame:
     counts = f.refs.select("symbol_id", "file", "line", "col").distinct().groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n"))
     return explain.role_text(f.symbols, listing.member_shape(f.members), counts)
+
+
+@query(f"""{sql_with('members', 'impl_edges')}, n AS (SELECT symbol_id, count(*) AS n FROM f_impl_edges GROUP BY 1),
+m AS (SELECT f_members.*, replace(containing_type_id, ':', '') AS owner, coalesce(n, 0) AS n, 'is referenced from ' || coalesce(n, 0) || ' location' || CASE WHEN n = 1 THEN '' ELSE 's' END || '.' AS used FROM f_members LEFT JOIN n USING (symbol_id))
+SELECT symbol_id, CASE member_kind WHEN 'method' THEN name || ' is a method on ' || owner || ' that returns ' || type_name || ' and works with ' || shape || '. ' || CASE WHEN n = 0 THEN 'No discovered call sites reference it yet.' ELSE 'It ' || used END
+WHEN 'property' THEN name || ' is a read-only property on ' || owner || ' exposing ' || type_name || '. It ' || used ELSE name || ' is mutable state on ' || owner || ' with type ' || type_name || '. It ' || used END AS role FROM m""")
+def explain_members(f: Facts) -> DataFrame:
+    counts = f.impl_edges.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n"))
+    return explain.role_text(f.members, listing.member_shape(f.members), counts)
+
+
+@query(f"""{sql_with('members')}, m AS (SELECT containing_type_id AS type_id, type_name AS name, CASE member_kind WHEN 'field' THEN 1 ELSE 2 END AS rank, line, symbol_id FROM f_members WHERE member_kind <> 'method'),
+a AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY type_id, name ORDER BY rank, line, symbol_id) = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY rank, line, symbol_id) AS n FROM a QUALIFY n <= 3)
+SELECT type_id, string_agg(name, ', ' ORDER BY n) AS collaborators FROM b GROUP BY type_id""")
+def explain_collaborators(f: Facts) -> DataFrame:
+    return explain.collaborators(f.members)

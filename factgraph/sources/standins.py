@@ -65,8 +65,22 @@ class Facts:
             (F.col("l_linestatus") == "O").alias("is_static"), (F.col("l_linenumber") == 7).alias("is_implicit"), F.lit(False).alias("is_accessor"), F.concat(F.lit("m"), "l_orderkey", F.lit("/"), "l_linenumber").alias("display_min"),
             (F.col("l_partkey") % 25).cast("string").alias("project_id"), F.concat(F.lit("f"), F.col("l_partkey") % 97).alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.lit(1).alias("col"),
             F.array(F.concat(F.lit("p"), F.col("l_linenumber") % 2)).alias("param_types"),
+            F.when(F.col("l_linenumber") % 3 == 0, "string").when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("ns.T"), F.col("l_orderkey") % 7)).otherwise("List<int>").alias("return_type"),
         )
 
+    @cached_property
+    def impl_edges(self) -> DataFrame:
+        """A line of an order is implemented by the next one."""
+        ident = F.concat(F.lit("M:"), "l_partkey", F.lit(":"), "l_orderkey", F.lit(":"), "l_linenumber", F.lit(":"), "l_returnflag", "l_linestatus")
+        rows = self.table("lineitem").select("l_orderkey", "l_linenumber", ident.alias("symbol_id")).distinct()
+        following = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("symbol_id").alias("impl_id"))
+        return rows.join(following, ["l_orderkey", "l_linenumber"]).select("symbol_id", "impl_id")
+
+    @cached_property
+    def nesting(self) -> DataFrame:
+        """Types inside of types."""
+        return self.table("part").where("p_partkey > 3").select(F.concat(F.lit("T:"), "p_partkey").alias("type_id"), F.concat(F.lit("T:"), F.expr("p_partkey div 4")).alias("parent_id"))
+
     @cached_property
     def refs(self) -> DataFrame:
         owner = self.table("supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("project_id"))
@@ -138,7 +152,12 @@ SQL = {
     "members": """SELECT DISTINCT 'M:' || l_partkey || ':' || l_orderkey || ':' || l_linenumber || ':' || l_returnflag || l_linestatus AS symbol_id, 'm' || l_orderkey AS name,
         CASE l_returnflag WHEN 'A' THEN 'method' WHEN 'N' THEN 'property' ELSE 'field' END AS member_kind, 'T:' || l_partkey AS containing_type_id,
         CASE l_linenumber % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'private' END AS accessibility, l_linestatus = 'O' AS is_static, l_linenumber = 7 AS is_implicit,
-        'm' || l_orderkey || '/' || l_linenumber AS display_min, 'p' || (l_linenumber % 2) AS shape, 'f' || (l_partkey % 97) AS file, CAST(l_linenumber AS INTEGER) AS line, 1 AS col FROM lineitem""",
+        'm' || l_orderkey || '/' || l_linenumber AS display_min, 'p' || (l_linenumber % 2) AS shape, 'f' || (l_partkey % 97) AS file, CAST(l_linenumber AS INTEGER) AS line, 1 AS col,
+        CASE l_linenumber % 3 WHEN 0 THEN 'String' WHEN 1 THEN 'T' || (l_orderkey % 7) ELSE 'List' END AS type_name FROM lineitem""",
+    "impl_edges": """SELECT DISTINCT 'M:' || a.l_partkey || ':' || a.l_orderkey || ':' || a.l_linenumber || ':' || a.l_returnflag || a.l_linestatus AS symbol_id,
+        'M:' || b.l_partkey || ':' || b.l_orderkey || ':' || b.l_linenumber || ':' || b.l_returnflag || b.l_linestatus AS impl_id
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber""",
+    "nesting": "SELECT 'T:' || p_partkey AS type_id, 'T:' || (p_partkey // 4) AS parent_id FROM part WHERE p_partkey > 3",
     "refs": """SELECT 'T:' || l_partkey AS symbol_id, CAST(s_nationkey AS VARCHAR) AS project_id,
         (CASE WHEN l_suppkey % 2 = 0 THEN '/repo/a/S' ELSE '/repo/b/s' END) || (l_suppkey // 2) || '.cs' AS file, CAST(l_linenumber AS INTEGER) AS line, 1 AS col
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",

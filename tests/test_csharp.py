@@ -151,9 +151,11 @@ def test_smells_fixes_and_refactorings(spark, tmp_path):
     shown = {(r["line"], r["title"], r["origin"]) for r in w.find_codesmells(path).collect()}
     assert {(11, "Remove unused local (CS0219)", S.FIX_ORIGIN), (12, "Remove unused local (CS0168)", S.FIX_ORIGIN)} <= shown
     roles = {n: w.explain_symbol(f"M:Demo.Locals.Box.{n}")["role"].first()["role"] for n in ("Name", "size", "Most")}
-    assert roles["Name"] == "Name is a read/write property on Box exposing string. It is referenced from 0 locations."
-    assert roles["size"] == "size is read-only state on Box with type int. It is referenced from 0 locations."
-    assert roles["Most"] == "Most is constant value on Box with type int. It is referenced from 0 locations."
+    assert roles["Name"] == "Name is a read/write property on Box exposing String. It is referenced from 0 locations."
+    assert roles["size"] == "size is read-only state on Box with type Int32. It is referenced from 0 locations."
+    about = w.explain_symbol("T:Demo.Locals.Box")["role"].first()["role"]
+    assert about == "Box is a class in Demo.Locals that owns the runtime behavior. It exposes 1 methods, 1 properties, and 2 fields. Key collaborators: Int32, String. It currently has no discovered incoming references."
+    assert roles["Most"] == "Most is constant value on Box with type Int32. It is referenced from 0 locations."
     fixes = w.code_fixes().collect()
     assert [f["diagnostic_id"] for f in fixes] == ["CS0219", "CS0168"]
     assert w.preview_code_fix(fixes[0]["fix_id"]) == [{"path": path, "edit_count": 1}] and w.version == 1

@@ -7,7 +7,7 @@ from factgraph.api import Workspace
 from factgraph.errors import QueryError
 from factgraph.functions import codecs
 from factgraph.functions import scalars as S
-from factgraph.operators import callgraph, hierarchy, listing, projects, refactoring, references, resolve, rewrite, smells
+from factgraph.operators import callgraph, explain, hierarchy, listing, projects, refactoring, references, resolve, rewrite, smells
 from factgraph.plans import registry, shapes
 from factgraph.sources.snapshots import SnapshotStore, conform
 from factgraph.sources.standins import Facts
@@ -251,6 +251,19 @@ def test_api_errors_and_queries(spark):
     assert "WorkerA is a class in Core" in w.explain_symbol("T:Core.WorkerA")["role"].first()["role"]
 
 
+def test_type_names_and_collaborators(spark):
+    written = ["int", "int?", "string?", "object", "System.Text.Json", "List<Dictionary<int, string>>", "Money?", "int[]", "(int a, int b)", "int[]?", None]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(written)], "i int, w string")
+    assert [r[0] for r in rows.orderBy("i").select(S.type_name(F.col("w"))).collect()] == ["Int32", "Nullable", "String", "Object", "Json", "List", "Money", "", "", "", None]
+    columns = "symbol_id string, containing_type_id string, member_kind string, is_static boolean, param_types array<string>, return_type string, file string, line int, col int"
+    members = spark.createDataFrame([
+        ("P", "T", "property", False, [], "Late", "a", 1, 1), ("F", "T", "field", None, [], "Clock", "a", 2, 1), ("C", "T", "ctor", None, ["Store<int>", "Clock", "int[]", None], None, "a", 9, 1),
+        ("S", "T", "ctor", True, ["Hidden"], None, "a", 3, 1), ("G", "T", "field", None, [], "Gauge", None, None, None), ("M", "U", "method", None, ["X"], "Y", "a", 1, 1), ("N", None, "field", None, [], "Z", "a", 1, 1),
+    ], columns)
+    assert [tuple(r) for r in explain.collaborators(members).collect()] == [("T", "Store, Clock, Gauge")]
+    assert explain.collaborators(members.limit(0)).count() == 0
+
+
 def test_every_query_runs_and_has_sql(spark, sf_dir):
     assert set(registry.ORACLE_SQL) == set(registry.QUERIES)
     for name in ("list_types_page", "module_fan", "smells_limited", "hotspots_quick"):
