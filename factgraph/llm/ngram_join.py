@@ -8,12 +8,13 @@ text is one shingle).  Two documents link at a similarity of ``PERCENT`` or more
    hashes.  Frequencies are counted over all documents into ``COUNT_SLOTS`` slots; as any order is
    exact, tokens that share a slot only share a frequency.
 3. A linked pair shares a token of both prefixes under the first order.  Prefix tokens meet by
-   token; those that one class alone has go no further.  So each token has a list of classes, each
-   with its prefixes under the other two orders.
-4. In a list the other filters are intersected, before any text moves: the length bound, and enough
+   token and their lists are cut by the length bound; lists of one class go no further, and those
+   that several tokens have in common are one list.  Only then its classes get their prefixes under
+   the other two orders.
+4. In a list the filters are intersected, before any text moves: the length bound, and enough
    shared tokens in the prefixes under the second and the third order.  Pairs that pass tie their
    classes into candidate groups; a list gives a spanning star for each, never its pairs.
-   A list of more than ``HOT_LIST`` classes is dealt again by first and second token together, and
+   A list of more than ``HOT_LIST`` classes is dealt again by list and second token together, and
    one that is still above ``MOST_LIST`` is one candidate group as it is.
 5. Texts of candidate groups come together and their sets are compared: a search from document to
    linked document asks only about those that no link has reached.
@@ -177,12 +178,60 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-_TOKENS = "token long, f1 long, f2 long"
+_TOKENS, _LISTS = "token long, n long, f1 long, f2 long", "list long, f1 long, f2 long"
 
 
-def prefix_tokens(docs: DataFrame, width: int, percent: int, steps: np.ndarray, n: int) -> DataFrame:
-    """Prefix tokens under the first order (token, f1, f2) that several classes have."""
-    names = ["token", "f1", "f2"]
+def runs_of_lists(batches: Iterator[pa.RecordBatch], percent: int, most: int = HOT_LIST) -> Iterator[pa.RecordBatch]:
+    """Runs (list, f1, f2) of several classes, of ``batches`` (token, n, f1, f2) in that order.
+
+    The list of a token is cut where one size and the next don't fit the length bound, as then no
+    pair across the cut does.  A run is named by its members, so that tokens with the same run name
+    one list.  A run of more than ``most`` classes goes out as it comes, under a name of its own.
+    """
+
+    def named(names: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(rows[2]), pa.array(rows[3])], ["list", "f1", "f2"])
+
+    held, long = np.zeros((4, 0), np.int64), None  # the last run so far; the name of a long one, of which the last row is held
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)])], 1)
+        if not rows.shape[1]:
+            continue
+        fresh = np.ones(rows.shape[1], bool)
+        fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        rows = rows[:, fresh]  # a class of several tasks counts once
+        cut = (rows[0, 1:] != rows[0, :-1]) | (100 * rows[1, :-1] < percent * rows[1, 1:])
+        first = np.flatnonzero(np.concatenate([[True], cut]))
+        if long is not None:
+            own = rows[:, 1 : first[1] if len(first) > 1 else None]
+            yield named(np.full(own.shape[1], long), own)
+            if len(first) == 1:
+                held = rows[:, -1:]
+                continue
+            rows, first, long = rows[:, first[1] :], first[1:] - first[1], None
+        held = rows[:, first[-1] :]
+        yield named(*_run_names(rows[:, : first[-1]], first[:-1]))
+        if held.shape[1] > most:
+            long = mix(mix(held[0, :1].view(np.uint64)) ^ held[1, :1].view(np.uint64))[0]
+            yield named(np.full(held.shape[1], long), held)
+            held = held[:, -1:]
+    if long is None:
+        yield named(*_run_names(held, np.zeros(min(held.shape[1], 1), np.int64)))
+
+
+def _run_names(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A name for each row of the runs that begin at ``first`` and hold several rows, and those rows."""
+    if not len(first):
+        return np.zeros(0, np.uint64), rows
+    size = np.diff(np.append(first, rows.shape[1]))
+    members = mix(mix(rows[2].view(np.uint64)) + rows[3].view(np.uint64))
+    keep = np.repeat(size > 1, size)
+    return np.repeat(mix(np.add.reduceat(members, first)), size)[keep], rows[:, keep]
+
+
+def prefix_lists(docs: DataFrame, width: int, percent: int, steps: np.ndarray, n: int) -> DataFrame:
+    """Lists (list, f1, f2) of classes that share a prefix token under the first order and are near in size."""
+    names = ["token", "n", "f1", "f2"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -207,33 +256,10 @@ def prefix_tokens(docs: DataFrame, width: int, percent: int, steps: np.ndarray,
                 token, doc = token[by], doc[by]
                 keep = np.arange(len(doc)) - _starts(np.where(new, sizes, 0))[doc] < prefix_sizes(sizes, percent)[doc]
                 token, doc = token[keep], doc[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(f[doc].view(np.int64)) for f in prints]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sizes[doc].astype(np.int64)), *[pa.array(f[doc].view(np.int64)) for f in prints]], names)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last token so far, whether several classes have it, and its first class if that is the only one yet
-        last, shared, pending = None, False, None
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            if not rows.shape[1]:
-                continue
-            if last is not None:
-                rows = np.concatenate([last[:, None], rows], 1)
-            fresh = np.ones(rows.shape[1], bool)
-            fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
-            rows = rows[:, fresh]  # a class of several tasks counts once
-            first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-            size = np.diff(np.append(first, rows.shape[1]))
-            known = size > 1
-            continued = last is not None and shared
-            known[0] |= continued
-            keep = np.repeat(known, size)
-            keep[0] &= not continued  # it went out before
-            last, shared = rows[:, -1], bool(known[-1])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], names)
-
-    rows = docs.mapInArrow(scan, _TOKENS)
-    return rows.repartition(n, "token").sortWithinPartitions("token", "f1", "f2").mapInArrow(meet, _TOKENS)
+    rows = docs.mapInArrow(scan, _TOKENS).repartition(n, "token").sortWithinPartitions(*names)
+    return rows.mapInArrow(lambda batches: runs_of_lists(batches, percent), _LISTS).distinct()
 
 
 # --- candidates within the list of a token -------------------------------------------------------
@@ -422,13 +448,13 @@ def candidate_edges(lists: DataFrame, percent: int, most: int) -> DataFrame:
 
 
 def token_lists(shared: DataFrame, classes: DataFrame, percent: int, hot: int, n: int) -> DataFrame:
-    """Classes of each list (list, head, n, second, third): those of a token, or of a first and a second token."""
-    often = materialize(shared.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("token", F.lit(True).alias("often")), "often")
-    rows = shared.join(classes, ["f1", "f2"]).join(often, "token", "left")
+    """Classes of each list (list, head, n, second, third): those of ``shared``, or of a hot list and a second token."""
+    often = materialize(shared.groupBy("list").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > hot).select("list", F.lit(True).alias("often")), "often")
+    rows = shared.join(classes, ["f1", "f2"]).join(often, "list", "left")
     size = F.col("n")
     prefix = F.least(size - F.ceil(F.lit(percent) * size / 100) + 1, size).cast("int")
-    both = F.transform(F.sequence(F.lit(1), prefix), lambda i: F.xxhash64("token", F.substring("second", i * 2 - 1, F.lit(2))))
-    rows = rows.select(F.explode(F.when(F.col("often"), F.array_distinct(both)).otherwise(F.array("token"))).alias("list"), "head", "n", "second", "third")
+    both = F.transform(F.sequence(F.lit(1), prefix), lambda i: F.xxhash64("list", F.substring("second", i * 2 - 1, F.lit(2))))
+    rows = rows.select(F.explode(F.when(F.col("often"), F.array_distinct(both)).otherwise(F.array("list"))).alias("list"), "head", "n", "second", "third")
     return rows.repartition(n, "list").sortWithinPartitions("list", "head")
 
 
@@ -570,7 +596,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     key = ["f1", "f2"]
     classes = materialize(real.groupBy(*key).agg(F.min("doc_id").alias("head"), F.min("n").alias("n")), "classes")
     # candidate groups of class heads
-    shared = materialize(prefix_tokens(named, width, percent, steps, n), "tokens")
+    shared = materialize(prefix_lists(named, width, percent, steps, n), "tokens")
     marked = table.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").alias("head"), "n", "second", "third")).alias("c")).select(*key, "c.*")
     candidates = candidate_edges(token_lists(shared, marked, percent, hot_list, n), percent, most_list)
     groups = components(candidates)

@@ -330,6 +330,30 @@ def test_op10_rows_that_repeat_an_id_tie_all_their_classes(spark):
     assert rows_of(ngram_join.near_duplicates(frame(spark, rows))) == sorted(ngram_join.brute_force(rows))
 
 
+@pytest.mark.parametrize("batch, most", [(1, 4), (3, 2), (7, 1000), (1000, 3)])
+def test_op10_runs_of_lists_keep_all_pairs_within_the_length_bound(batch, most):
+    import pyarrow as pa
+
+    rng = random.Random(batch)
+    size = [rng.randint(5, 60) for _ in range(40)]
+    lists = {t: sorted({(size[c], c, -c) for c in rng.sample(range(40), rng.choice([1, 2, 3, 9, 25]))}) for t in range(30)}
+    lists[30], lists[31] = lists[3], lists[4]
+    rows = [(t, *c) for t in sorted(lists) for c in lists[t] for _ in range(rng.choice([1, 1, 2]))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + batch])], ["token", "n", "f1", "f2"]) for i in range(0, len(rows), batch)]
+    got = collections.defaultdict(set)
+    for b in ngram_join.runs_of_lists(iter(batches), 80, most):
+        for name, f1, f2 in zip(*(b.column(i).to_pylist() for i in range(3))):
+            assert f2 == -f1
+            got[name].add(f1)
+    fits = lambda a, b: 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])
+    pairs = lambda groups: {(a, b) for g in groups for a in g for b in g if a < b and fits(a, b)}
+    assert pairs(got.values()) == pairs([[c for _, c, _ in x] for x in lists.values()])
+    assert all(len(g) > 1 for g in got.values())
+    if most == 1000:
+        assert len({frozenset(g) for g in got.values()}) == len(got)
+    assert not sum(b.num_rows for b in ngram_join.runs_of_lists(iter([]), 80))
+
+
 def test_op10_linked_sets_pass_every_filter():
     rng = random.Random(2)
     for percent in (80, 90):
