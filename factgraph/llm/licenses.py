@@ -38,7 +38,7 @@ BLOCK = 64
 #: Phrases of the base rules and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Licenses, a line each: label; SPDX tags; titles (with a version where there are several); bare names.
-#: Patterns stand for words in lower case.  V is an optional "version" or "v", L is "or later", and a
+#: Patterns stand for words in lower case.  V is an optional "version" or "v" before a number, L is "or later", and a
 #: pattern with "gnu? " before it is meant with and without that word.
 _LICENSES = """
 mit; mit, expat, x11; mit licen[cs]e, expat licen[cs]e, massachusetts institute of technology licen[cs]e; mit licensed, mit style licen[cs]e, mit x11 licen[cs]e
@@ -143,7 +143,7 @@ cc0-1.0; creativecommons org publicdomain zero 1 0
 mpl-2.0; mozilla org mpl 2 0
 """
 #: What V, L and N stand for, and the words of a grant.
-_SHORT = {"V": "(?: v| version)?", "L": " or(?: at your option)?(?: any)? later(?: versions?)?", "N": "(?: international| unported| generic)?"}
+_SHORT = {"V ": "(?: version| v)? v?", "L": " or(?: at your option)?(?: any)? later(?: versions?)?", "N": "(?: international| unported| generic)?"}
 _GRANTS = ("licensed", "licenced", "released", "distributed", "available", "published", "provided")
 _UNDER = " (?:under|by)(?: the)?(?: terms of(?: the)?)? "
 #: Pieces of text, in lower case, of which every rule and phrase needs one.
@@ -158,7 +158,7 @@ def _rules() -> list[tuple[int, str, str, str]]:
     def each(cell: str) -> list[str]:
         out = []
         for p in cell.split(","):
-            p = re.sub("[A-Z]", lambda m: _SHORT[m.group()], p.strip()).replace(_SHORT["L"] + "?", f"(?:{_SHORT['L']})?")
+            p = re.sub("V |[LN]", lambda m: _SHORT[m.group()], p.strip()).replace(_SHORT["L"] + "?", f"(?:{_SHORT['L']})?")
             out += [p.replace("gnu? ", "gnu "), p.replace("gnu? ", "")] if p.startswith("gnu? ") else [p]
         return out
 
@@ -180,8 +180,7 @@ LEVELS = max(r[0] for r in RULES)
 WORTH, BASE_WORTH = (1.0, 0.9, 0.8, 0.6), 0.6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _HIT = "array<struct<start: int, below: int, priority: int, rule: int, label: string>>"
 
 
@@ -216,8 +215,11 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES)
     """doc_id, n_words, base (places of phrases: start and label), detections (first_word, last_word, priority, rule, label) and score."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("lowered", F.lower("text"))
     gated = reduce(Column.__or__, [F.col("lowered").contains(g) for g in GATES]) | F.col("text").rlike(WORDS_GATE)
-    df = df.select("doc_id", "text", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"), gated.alias("gated"))
-    listed = F.filter(F.split(F.translate("text", _UPPER, _LOWER), _BETWEEN), lambda w: w != "")
+    df = df.select("doc_id", F.split("text", _BETWEEN).alias("pieces"), gated.alias("gated"))
+    # only the first and the last piece can be empty, and one piece may be both
+    n, blank = F.size("pieces"), lambda i: (F.element_at("pieces", i) == "").cast("int")
+    df = df.select("doc_id", (n - blank(1) - F.when(n > 1, blank(-1)).otherwise(0)).cast("long").alias("n_words"), "gated", "pieces")
+    listed = F.transform(F.filter("pieces", lambda w: w != ""), lambda w: F.translate(w, _UPPER, _LOWER))
     df = df.select("doc_id", "n_words", F.when(F.col("gated"), listed).otherwise(F.array().cast("array<string>")).alias("words"))
     anchors = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*KEYWORDS), i)), lambda i: i.isNotNull())
     df = df.withColumn("anchors", F.transform(anchors, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("keyword"), F.array_join(F.slice("words", i + 1, SPAN), " ").alias("ahead"))))

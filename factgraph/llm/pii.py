@@ -207,6 +207,8 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
     ]
 
 
+N_FEATURES = len(describe("a1", "secret", 0, 2))
+
 # --- boosted trees in numpy --------------------------------------------------------------------
 
 
@@ -342,7 +344,7 @@ def training_candidates(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np
         at = int(rng.integers(0, len(text) + 1))
         for kind in ALL_KINDS:
             set_in(text[max(0, at - CONTEXT) : at] + " ", _harmless(rng, kind), " " + text[at : at + CONTEXT], kind, 0)
-    return np.array(rows, float).reshape(len(rows), -1), np.array(labels, float)
+    return np.array(rows, float).reshape(len(rows), N_FEATURES), np.array(labels, float)
 
 
 def train(texts: list[str]) -> Model:
