@@ -11,7 +11,7 @@ from .errors import QueryError, require
 from .functions import codecs
 from .functions import scalars as S
 from .operators import callgraph, explain, hierarchy, listing, metrics, projects, refactoring, references, resolve, rewrite, smells
-from .plans.shapes import page
+from .plans.shapes import cut_lineage, page
 from .sources import csharp
 from .sources.snapshots import SnapshotStore
 
@@ -24,21 +24,36 @@ class Workspace:
         self.version: int | None = None
         self.facts: dict[str, DataFrame] = {}
         self.from_source = False
+        self.root: str | None = None
+        self.solution: str | None = None
 
     # loading
 
     def load_solution(self, root: str, hint: str | None = None) -> dict:
-        """Derive the facts of a source folder into a new snapshot; the hint or the first solution by path is named."""
+        """Derive the facts of a solution's projects into a new snapshot; the hint selects the solution, else it is the first by path.
+
+        A solution that lists no project stands for all projects below the folder.
+        """
         root = require(root, "root", "invalid_path")
         found = [r[0] for r in csharp.discover(self.spark, root).collect()]  # solution files of one folder
         wanted = S.text_or_none(hint)
         chosen = [p for p in found if p.lower().endswith(wanted.lower())] if wanted else found
         if not chosen:
             raise QueryError("solution_not_found", "no solution file was found", root=root, hint=wanted)
-        self.version = self.store.write(csharp.facts(self.spark, root))
+        self.root, self.solution = root, chosen[0]
+        return self._load()
+
+    def reload(self) -> dict:
+        """Derive the facts of the selected solution again, as a new snapshot."""
+        if self.solution is None:
+            raise QueryError("solution_not_selected", "no solution is loaded")
+        return self._load()
+
+    def _load(self) -> dict:
+        self.version = self.store.write(csharp.facts(self.spark, self.root, solution=self.solution))
         self.facts, self.from_source = self.store.read(self.version), True
         names = [r[0] for r in self.facts["projects"].select("name").orderBy("name").collect()]
-        return {"solution": chosen[0], "version": self.version, "projects": names, "diagnostics": metrics.diagnostic_summary(self.facts["diagnostics"]).first().asDict()}
+        return {"solution": self.solution, "version": self.version, "projects": names, "diagnostics": metrics.diagnostic_summary(self.facts["diagnostics"]).first().asDict()}
 
     def use(self, facts: dict[str, DataFrame], version: int = 1) -> "Workspace":
         """Take facts as they are, for facts from elsewhere."""
@@ -182,19 +197,46 @@ class Workspace:
     def _edit(self, edits: DataFrame) -> list[dict]:
         """Apply edits; facts of the new texts become a new snapshot.  Returns the changed files.
 
-        Facts that didn't come from sources (``use``) only have their texts changed, in memory.
+        Only the changed documents, and those in which a name may mean something else now, are derived
+        again.  Facts that didn't come from sources (``use``) only have their texts changed, in memory.
         """
         before = self._fact("documents")
-        after = rewrite.apply_edits(before, edits)
-        changed = [r.asDict() for r in rewrite.changed_files(before, after).orderBy("path").collect()]  # files that are edited
-        texts = before.drop("text").join(after.select("document_id", "text"), "document_id")
+        touched = before.join(edits.select("path").distinct(), "path", "left_semi")
+        after = cut_lineage(rewrite.apply_edits(touched, edits))
+        if not after.where("edit_count < 0").isEmpty():
+            raise QueryError("stale_workspace_snapshot", "a text isn't what the facts say, or edits overlap")
+        changed = [r.asDict() for r in rewrite.changed_files(touched, after).orderBy("path").collect()]  # files that are edited
+        texts = touched.drop("text").join(after.select("document_id", "text"), "document_id").select(*before.columns)
+        return self._changed(texts) or changed
+
+    def _changed(self, texts: DataFrame) -> None:
+        """The next snapshot, in which documents have these texts."""
+        before = self._fact("documents")
         if not self.from_source:
-            self.facts, self.version = {**self.facts, "documents": texts}, (self.version or 0) + 1
-            return changed
+            self.facts, self.version = {**self.facts, "documents": before.join(texts.select("document_id"), "document_id", "left_anti").unionByName(texts)}, (self.version or 0) + 1
+            return
         self.store.check_current(self.version)
-        self.version = self.store.write(csharp.facts_of(self.facts["projects"], self.facts["project_refs"], texts))
+        found = csharp.facts_after(self.facts, texts)
+        if found is None:
+            whole = before.join(texts.select("document_id"), "document_id", "left_anti").unionByName(texts)
+            facts = csharp.facts_of(self.facts["projects"], self.facts["project_refs"], cut_lineage(whole))
+        else:
+            facts = found[0]
+        self.version = self.store.write(facts, after=self.version)
         self.facts = self.store.read(self.version)
-        return changed
+
+    def execute_cleanup(self, path: str | None = None, expected_version: int | None = None, profile: str | None = None) -> dict:
+        """Clean up one document or all, with the current snapshot's diagnostics; returns the changed files and the new version."""
+        docs, found = self._fact("documents"), self._fact("diagnostics")
+        if S.text_or_none(path):
+            docs = docs.where(S.same_ignoring_case(F.col("path"), path.strip()))
+            if docs.isEmpty():
+                raise QueryError("invalid_path", "the document isn't loaded", path=path)
+        after, changed = refactoring.cleanup(docs, found, self.version, expected_version, profile)
+        paths = sorted(r[0] for r in changed.collect())  # files that are edited
+        if paths:
+            self._changed(after.join(changed, "path", "left_semi").select(*docs.columns))
+        return {"rules": list(refactoring.STEPS), "changed": paths, "version": self.version}
 
     # the operators behind the entry queries, on the current snapshot
 
@@ -216,14 +258,20 @@ class Workspace:
         at = self._fact("diagnostics").where((F.col("file") == fields["file"]) & (F.col("span_start") == fields["span_start"]) & (F.upper("code") == fields["diagnostic_id"].upper()))
         if at.isEmpty():
             raise QueryError("fix_not_found", "the diagnostic is gone", fixId=ident)
-        edits = refactoring.unused_local_edits(self._fact("documents").where(F.col("path") == fields["file"]), at)
+        edits = cut_lineage(refactoring.unused_local_edits(refactoring.statements_of(self._fact("documents").where(F.col("path") == fields["file"])), at))
         if edits.isEmpty():
-            raise QueryError("fix_conflict", "the declaration doesn't stand on a line of its own", fixId=ident)
+            raise QueryError("fix_conflict", "no declaration of one local stands there", fixId=ident)
         return edits
 
+    @staticmethod
+    def _preview(edits: DataFrame) -> list[dict]:
+        """Files that edits would change, with their number and the edits themselves."""
+        each = F.array_sort(F.collect_set(F.struct("line", "col", "length", "new_text"))).alias("edits")
+        return [r.asDict(recursive=True) for r in edits.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("edit_count"), each).orderBy("path").collect()]
+
     def preview_code_fix(self, fix_id: str | None) -> list[dict]:
         """Files that the fix would change, with their edits; nothing is written."""
-        return [r.asDict() for r in self._fix_edits(fix_id).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("edit_count")).orderBy("path").collect()]
+        return self._preview(self._fix_edits(fix_id))
 
     def apply_code_fix(self, fix_id: str | None) -> dict:
         changed = self._edit(self._fix_edits(fix_id))
@@ -240,18 +288,18 @@ class Workspace:
         return refactoring.actions_at(self._fact("actions"), path, position, version=self.version).orderBy("span_start", "span_len", "title", "category")
 
     def _action_edits(self, action_id: str | None) -> DataFrame:
-        action = refactoring.require_action(self._fact("actions"), require(action_id, "actionId"), self.version)
+        action = cut_lineage(refactoring.require_action(self._fact("actions"), require(action_id, "actionId"), self.version))
         row = action.select("provider_key", "file", "line", "span_start", S.policy(F.col("provider_key"), F.col("origin"), F.col("category"), F.col("diagnostic_id"), None)["decision"].alias("decision")).first()
         if row["decision"] == "block":
             raise QueryError("policy_blocked", "the policy blocks this action", actionId=action_id)
-        here = self._fact("documents").where(F.col("path") == row["file"])
         if row["provider_key"] == S.USE_VAR_KEY:
-            return refactoring.use_var_edits(refactoring.use_var_actions(here).where(F.col("line") == row["line"]))
+            return refactoring.use_var_edits(action)
+        here = refactoring.statements_of(self._fact("documents").where(F.col("path") == row["file"]))
         at = self._fact("diagnostics").where((F.col("file") == row["file"]) & (F.col("span_start") == row["span_start"]))
         return refactoring.unused_local_edits(here, at)
 
     def preview_refactoring(self, action_id: str | None) -> list[dict]:
-        return [r.asDict() for r in self._action_edits(action_id).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("edit_count")).orderBy("path").collect()]
+        return self._preview(self._action_edits(action_id))
 
     def apply_refactoring(self, action_id: str | None) -> dict:
         changed = self._edit(self._action_edits(action_id))

@@ -16,14 +16,6 @@ def text_metrics(documents: DataFrame, pattern: str) -> DataFrame:
     return documents.select(F.col("document_id").alias("symbol_id"), (F.regexp_count(text, F.lit(pattern)) + 1).cast("int").alias("complexity"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line_count"))
 
 
-def node_complexity(nodes: DataFrame, weights: dict[str, int], units: tuple[str, ...]) -> DataFrame:
-    """1 + the weights of the decision nodes within each unit's span, per document."""
-    weighted = nodes.withColumn("weight", F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])[F.col("node_kind")], F.lit(0))).where("weight > 0")
-    unit = nodes.where(F.col("node_kind").isin(*units)).select("document_id", F.col("node_id").alias("unit"), F.col("span_start").alias("a"), (F.col("span_start") + F.col("span_len")).alias("b"), F.col("start_line").alias("l1"), F.col("end_line").alias("l2"))
-    inside = unit.join(weighted.select("document_id", "span_start", "weight"), "document_id", "left").withColumn("w", F.when((F.col("span_start") >= F.col("a")) & (F.col("span_start") < F.col("b")), F.col("weight")).otherwise(0))
-    return inside.groupBy("document_id", "unit", "l1", "l2").agg((F.sum("w") + 1).cast("int").alias("complexity")).select("document_id", "unit", "complexity", (F.col("l2") - F.col("l1") + 1).alias("line_count"))
-
-
 def hotspots(metrics: DataFrame, symbols: DataFrame | None, profile: str | None = None) -> DataFrame:
     """The most complex symbols, chosen by complexity, then shown by complexity + lines."""
     k = HOTSPOTS[profile_name(profile)]

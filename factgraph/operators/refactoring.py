@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions import codecs
 from ..functions import scalars as S
-from .rewrite import apply_edits, changed_files
+from ..plans.shapes import cut_lineage
+from ..sources import csharp, lexer, rules
+from .rewrite import apply_edits
 
-USING = "^\\s*(?:global\\s+)?using\\s+(static\\s+)?(?:([A-Za-z_]\\w*)\\s*=\\s*)?((?:global::)?[A-Za-z_][\\w.]*(?:<[^;()]*>)?)\\s*;\\s*$"
-LOCAL = "^\\s*(?!return\\b|throw\\b|using\\b|await\\b|yield\\b|const\\b|var\\b|else\\b|goto\\b|public\\b|private\\b|protected\\b|internal\\b|static\\b)([A-Za-z_][\\w.]*(?:<[^=;()]*>)?(?:\\[\\])?\\??)\\s+([A-Za-z_]\\w*)\\s*(=[^=>][^;]*)?;\\s*$"
 UNUSED_USING = "CS8019"
 #: The steps of a cleanup, in order.
 STEPS = ("remove_unused_usings", "organize_usings", "remove_unused_locals")
+#: Fixed value: how often the rules of a step run again.
+PASSES = 3
 
 
 def actions_at(actions: DataFrame, path: str, position: int, selection: tuple[int, int] | None = None, version: int = 1, profile: str = "default") -> DataFrame:
@@ -47,56 +50,90 @@ def require_action(actions: DataFrame, action_id: str, version: int) -> DataFram
     return found.limit(1)
 
 
-def organize_usings(text: Column) -> Column:
-    """Text with its using directives sorted in the places where they stand: aliases first, static last, then by name."""
-    lines = F.split(text, "\n")
-    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(USING), i)), lambda i: i.isNotNull())
-    part = lambda x, n: F.regexp_extract(x, USING, n)
-    keyed = F.transform(F.filter(lines, lambda x: x.rlike(USING)), lambda x: F.struct((part(x, 2) == "").alias("a"), (part(x, 1) != "").alias("b"), part(x, 3).alias("c"), part(x, 2).alias("d"), x.alias("line")))
-    moved = F.map_from_arrays(places, F.transform(F.array_sort(keyed), lambda s: s["line"]))
-    return F.when(F.size(places) > 1, F.array_join(F.transform(lines, lambda x, i: F.coalesce(F.try_element_at(moved, i), x)), "\n")).otherwise(text)
+def statements_of(documents: DataFrame) -> DataFrame:
+    """Statements of documents (path, text), see ``csharp.statements``."""
+    return csharp.statements(lexer.tokens(_whole(documents)))
 
 
-def line_edits(documents: DataFrame, places: DataFrame, pattern: str, group: int | None, new_text: str) -> DataFrame:
-    """Edits at places (file, line) whose line matches: the whole line's text, or one group of it, is replaced."""
-    rows = documents.select("path", F.posexplode(F.split("text", "\n")).alias("n", "row")).where(F.col("row").rlike(pattern))
-    hit = rows.withColumn("line", F.col("n") + 1).join(places.select(F.col("file").alias("path"), "line").distinct(), ["path", "line"])
-    found = F.col("row") if group is None else F.regexp_extract("row", pattern, group)
-    column = F.lit(1) if group is None else F.expr("locate(found, row)")
-    return hit.withColumn("found", found).select("path", "line", column.cast("int").alias("col"), F.length("found").cast("int").alias("length"), F.lit(new_text).alias("new_text"))
+def _whole(documents: DataFrame) -> DataFrame:
+    """Documents with all columns that parsing needs."""
+    return documents if "project_id" in documents.columns else documents.withColumn("project_id", F.lit(None).cast("string"))
 
 
-def unused_local_edits(documents: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Edits that take out declarations of one unused local that stand on a line of their own."""
-    return line_edits(documents, diagnostics.where(F.upper("code").isin(*S.SUPPORTED_FIXES)), LOCAL, None, "")
+def organize_usings_edits(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edits that sort the using directives of each block of a document in the places where they stand.
+
+    Aliases come first, static ones last, then the order is by name.  Directives of one namespace
+    block never move to another, as places and directives meet by document, block and rank.
+    """
+    plain, aliased = F.col("header").rlike(csharp.USING), (F.col("ender") == "=") & F.col("header").rlike("^(?:global )?using \\S+$")
+    found = rows.where((plain | aliased) & (F.col("line") == F.col("end_line"))).join(documents.select("document_id", "text"), "document_id")
+    written = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    target = F.when(aliased, F.coalesce("value", F.lit(""))).otherwise(F.regexp_extract("header", csharp.USING, 4))
+    alias = F.when(aliased, F.regexp_extract("header", "(\\S+)$", 1)).otherwise("")
+    keyed = found.select("document_id", "path", "owner", "head", "line", "col", written.alias("written"), F.struct((~aliased).alias("a"), (F.regexp_extract("header", csharp.USING, 2) != "").alias("b"), F.replace(target, F.lit(" "), F.lit("")).alias("c"), alias.alias("d"), F.col("head").alias("e")).alias("key"))
+    block = ["document_id", "owner"]
+    places = keyed.select("document_id", "path", "owner", "line", "col", F.col("written").alias("old_text"), F.row_number().over(W.partitionBy(*block).orderBy("head")).alias("n"))
+    ranked = keyed.select("document_id", "owner", F.col("written").alias("new_text"), F.row_number().over(W.partitionBy(*block).orderBy("key")).alias("n"))
+    moved = places.join(ranked, [*block, "n"]).where("old_text <> new_text")
+    return moved.select("path", "line", "col", F.length("old_text").cast("int").alias("length"), "new_text", "old_text")
+
+
+def _removals(rows: DataFrame) -> DataFrame:
+    """Edits that take out whole statements."""
+    return rows.select("path", "line", "col", (F.col("end") - F.col("start")).cast("int").alias("length"), F.lit("").alias("new_text"), F.lit(None).cast("string").alias("old_text")).distinct()
 
 
-def use_var_actions(documents: DataFrame) -> DataFrame:
-    """Suggestions to write ``var``: locals with one variable, an explicit type and a value."""
-    rows = documents.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "row"))
-    rows = rows.where(F.col("row").rlike(LOCAL) & (F.regexp_extract("row", LOCAL, 3) != "")).withColumn("found", F.regexp_extract("row", LOCAL, 1))
-    return rows.select(F.lit("Use 'var'").alias("title"), F.lit("refactoring").alias("category"), F.lit("native").alias("origin"), F.lit(S.USE_VAR_KEY).alias("provider_key"), "file", (F.col("n") + 1).cast("int").alias("line"), F.expr("cast(locate(found, row) as int)").alias("col"), F.length("found").cast("int").alias("length"))
+def unused_using_edits(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    at = diagnostics.where(F.upper("code") == UNUSED_USING).select(F.col("file").alias("path"), "line").distinct()
+    return _removals(rows.where(F.col("header").rlike("^(?:global )?using ")).join(at, ["path", "line"]))
+
+
+def unused_local_edits(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Edits that take out the declarations of unused locals, wherever they stand."""
+    at = diagnostics.where(F.upper("code").isin(*S.SUPPORTED_FIXES)).select(F.col("file").alias("path"), "line").distinct()
+    return _removals(rows.where(F.col("header").rlike(csharp.LOCAL) & F.col("ender").isin("=", ";")).join(at, ["path", "line"]))
 
 
 def use_var_edits(chosen: DataFrame) -> DataFrame:
-    return chosen.select(F.col("file").alias("path"), "line", "col", "length", F.lit("var").alias("new_text"))
+    """Edits of actions (file, line, col, span_len) that write ``var`` for a type."""
+    return chosen.select(F.col("file").alias("path"), "line", "col", F.col("span_len").alias("length"), F.lit("var").alias("new_text"))
+
+
+def _applied(documents: DataFrame, todo: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All documents after edits to those of ``todo``, and the documents that changed."""
+    done = apply_edits(todo, edits).where("edit_count > 0").select("document_id", F.col("text").alias("new_text"))
+    changed = cut_lineage(todo.join(done, "document_id").where("text <> new_text").withColumn("text", F.col("new_text")).select(*documents.columns))
+    return documents.join(changed.select("document_id"), "document_id", "left_anti").unionByName(changed), changed
 
 
-def cleanup(documents: DataFrame, diagnostics: DataFrame, version: int, expected_version: int | None = None, profile: str | None = None) -> tuple[DataFrame, DataFrame]:
+def cleanup(documents: DataFrame, diagnostics: DataFrame, version: int, expected_version: int | None = None, profile: str | None = None, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
     """Documents after the cleanup steps, and the paths whose text changed.
 
+    Unused usings go by the diagnostics given, once.  Unused locals go by the diagnostics given and
+    then, as long as documents change and for ``passes`` passes at most, by the rules run again on the documents that
+    the pass before changed, as one local may have been read by another only.  Usings are sorted last.
     A version that isn't the expected one is an error before any step; only the balanced profile is known.
     """
     if (profile or "balanced").strip().lower() != "balanced":
         raise QueryError("invalid_request", "the cleanup profile must be balanced", profile=profile)
     if expected_version is not None and expected_version != version:
         raise QueryError("workspace_changed", "the snapshot isn't the expected one", expected=str(expected_version), actual=str(version))
-    columns = documents.columns
-    unused = line_edits(documents, diagnostics.where(F.upper("code") == UNUSED_USING), USING, None, "")
-    edits = unused.unionByName(unused_local_edits(documents, diagnostics))
-    edited = apply_edits(documents, edits).select("document_id", F.col("text").alias("new_text"), "edit_count")
-    after = documents.join(edited, "document_id").withColumn("text", organize_usings(F.col("new_text"))).select(*columns, "edit_count")
-    return after.select(*columns), changed_files(documents, after)
+    before = documents
+    rows = cut_lineage(statements_of(documents))
+    edits = unused_using_edits(rows, diagnostics).unionByName(unused_local_edits(rows, diagnostics))
+    documents, _ = _applied(documents, documents, edits)
+    todo = documents = cut_lineage(documents)
+    for _ in range(passes):
+        parsed = csharp.parse(_whole(todo))
+        found, _ = rules.run(parsed)
+        after, todo = _applied(documents, todo, unused_local_edits(parsed["statements"], found))
+        if todo.isEmpty():
+            break
+        documents = cut_lineage(after)
+    documents = cut_lineage(_applied(documents, documents, organize_usings_edits(statements_of(documents), documents))[0])
+    changed = documents.join(before.select("document_id", F.col("text").alias("old_text")), "document_id").where(~F.col("text").eqNullSafe(F.col("old_text")))
+    return documents, changed.select("path")
 
 
 def missing_files(documents: DataFrame, listing: DataFrame) -> DataFrame:

@@ -50,30 +50,44 @@ def affected(symbols: DataFrame, refs: DataFrame, symbol: str) -> DataFrame:
 
 
 def rename_edits(places: DataFrame, old: str, new: str) -> DataFrame:
-    """Edits (path, line, col, length, new_text) of a rename."""
-    return places.select(F.col("file").alias("path"), "line", "col", F.lit(len(old)).alias("length"), F.lit(new).alias("new_text"))
+    """Edits (path, line, col, length, new_text, old_text) of a rename; a verbatim name keeps its at sign."""
+    return places.select(F.col("file").alias("path"), "line", "col", F.lit(len(old)).alias("length"), F.lit(new).alias("new_text"), F.lit(old).alias("old_text"))
+
+
+def _applied(text: str, todo: list[tuple]) -> tuple[str, int]:
+    """A text after its edits (line, col, length, new_text, old_text) and their number; -1 if one doesn't meet its old text or another edit."""
+    starts = [0]
+    for row in text.split("\n"):
+        starts.append(starts[-1] + len(row) + 1)
+    spans = sorted((starts[line - 1] + col - 1, length, new, old) if line < len(starts) else (len(text) + 1, 0, "", "") for line, col, length, new, old in todo)
+    out, at = [], 0
+    for start, length, new, old in spans:
+        if start < at or start + length > len(text) or (old is not None and text[start : start + length] != old):
+            return text, -1
+        out += [text[at:start], new]
+        at = start + length
+        if not new and not "".join(out).rpartition("\n")[2].strip() and text[at : at + 1] in ("", "\n"):
+            # a line of which nothing is left but blanks loses these
+            kept = "".join(out)
+            out = [kept[: len(kept) - len(kept.rpartition("\n")[2])]]
+    return "".join(out) + text[at:], len(todo)
 
 
 def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """Documents with their edits applied and the number of edits; unchanged ones as they are.
 
-    Edits are gathered per document (never more than its places) and applied from the last to the
-    first, so earlier places stay true.  Texts without an edit don't pass through Python.
+    Edits are gathered per document (never more than its places) and must not overlap.  Where one has an
+    ``old_text`` that doesn't stand at its place, or two overlap, the document stays as it is and edit_count is -1.
+    Texts without an edit don't pass through Python.
     """
-    per_document = edits.groupBy("path").agg(F.collect_set(F.struct("line", "col", "length", "new_text")).alias("edits"))
+    if "old_text" not in edits.columns:
+        edits = edits.withColumn("old_text", F.lit(None).cast("string"))
+    per_document = edits.groupBy("path").agg(F.collect_set(F.struct("line", "col", "length", "new_text", "old_text")).alias("edits"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, counts = [], []
-            for text, todo in zip(frame["text"], frame["edits"]):
-                todo = [] if todo is None else sorted(((e["line"], e["col"], e["length"], e["new_text"]) for e in todo), reverse=True)
-                lines = (text or "").split("\n")
-                for line, col, length, new in todo:
-                    row = lines[line - 1]
-                    lines[line - 1] = row[: col - 1] + new + row[col - 1 + length :]
-                texts.append("\n".join(lines))
-                counts.append(len(todo))
-            yield pd.DataFrame({"document_id": frame["document_id"], "path": frame["path"], "text": texts, "edit_count": counts})
+            done = [_applied(text or "", [(e["line"], e["col"], e["length"], e["new_text"], e["old_text"]) for e in todo]) for text, todo in zip(frame["text"], frame["edits"])]
+            yield pd.DataFrame({"document_id": frame["document_id"], "path": frame["path"], "text": [t for t, _ in done], "edit_count": [n for _, n in done]})
 
     edited = documents.join(per_document, "path").select("document_id", "path", "text", "edits").mapInPandas(run, "document_id string, path string, text string, edit_count int")
     untouched = documents.join(edits.select("path").distinct(), "path", "left_anti").select("document_id", "path", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("edit_count"))

@@ -1,7 +1,9 @@
-"""Schemas of the fact tables: ten core tables and two helpers, one set of rows per snapshot."""
+"""Schemas of the fact tables: ten core tables and four helpers, one set of rows per snapshot."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {"s": T.StringType(), "i": T.IntegerType(), "b": T.BooleanType(), "a": T.ArrayType(T.StringType())}
@@ -30,4 +32,11 @@ FACTS: dict[str, T.StructType] = {
     "metrics": _schema(s="symbol_id", i="complexity line_count"),
     "nodes": _schema(s="document_id node_kind", i="node_id parent_id start_line start_col end_line end_col span_start span_len"),
     "actions": _schema(s="title category origin provider_key file diagnostic_id refactoring_id", i="span_start span_len line col"),
+    "words": _schema(s="name document_id"),
+    "usings": _schema(s="document_id project_id alias target", b="everywhere"),
 }
+
+
+def conform(name: str, df: DataFrame) -> DataFrame:
+    """The columns of a fact table, missing ones as null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FACTS[name].fields])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import source_kind
-from ..sources import csharp
+from ..sources import csharp, lexer
 
 SOURCE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,9 +28,12 @@ def follow_sources(spark: SparkSession, root: str, checkpoint: str, sink: Callab
     def handle(batch: DataFrame, batch_id: int) -> None:
         docs = batch.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
         docs = docs.select(F.col("path").alias("document_id"), "path", "text", source_kind(F.col("path")).alias("source_kind"), F.lit(None).cast("string").alias("project_id"))
-        rows = csharp.lines(docs)
-        found = csharp.symbols(rows)
-        sink({"documents": docs, "symbols": found.drop("code"), "metrics": csharp.metrics(rows, found)}, batch_id)
+        words = lexer.tokens(docs)
+        rows = csharp.statements(words)
+        types = csharp.type_declarations(rows)
+        members = csharp.member_declarations(rows, types)
+        functions = csharp.local_functions(rows, members)
+        sink({"documents": docs, "symbols": csharp.symbols(types, members), "metrics": csharp.metrics(words, members, functions, rows)}, batch_id)
 
     writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

