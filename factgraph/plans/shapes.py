@@ -86,17 +86,23 @@ def _nodes(spark: SparkSession, known: dict, roots: DataFrame) -> DataFrame:
     return spark.createDataFrame(table).select(F.col("id").cast(roots.schema["id"].dataType).alias("id"), "distance")
 
 
-def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, length: str, block: int = 1024) -> DataFrame:
+def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, length: str, block: int = 1024, levels: int = 4, fan: int = 64) -> DataFrame:
     """Rows of points and spans of equal ``key`` where the half-open span holds the point.
 
-    Both are dealt by key and block of places, so a key with very many spans is many join keys.  A
-    span stands in each block that it touches, a point in one, so no pair is found twice.
+    Both are dealt by key and block of places, so a key with very many spans is many join keys.  Blocks
+    have ``levels`` sizes, each ``fan`` times the one before: a span stands in the few blocks of the first size of
+    which it touches at most ``fan`` (the last size has no such bound), a point in one block of each
+    size, so no pair is found twice and no span is spread over many blocks.
     """
-    first, last = F.floor(F.col(start) / block), F.floor((F.col(start) + F.greatest(F.col(length), F.lit(1)) - 1) / block)
-    spread = spans.withColumn("_block", F.explode(F.sequence(first, last)))
-    dealt = points.withColumn("_block", F.floor(F.col(at) / block))
+    last = F.col(start) + F.greatest(F.col(length), F.lit(1)) - 1
+    sizes = [block * fan**k for k in range(levels)]
+    touched = lambda size: F.floor(last / size) - F.floor(F.col(start) / size) + 1
+    level = F.coalesce(*[F.when(touched(size) <= fan, k) for k, size in enumerate(sizes[:-1])], F.lit(levels - 1))
+    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("_level") + 1)
+    spread = spans.withColumn("_level", level).withColumn("_block", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(last / size))))
+    dealt = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(levels)]))).withColumn("_block", F.floor(F.col(at) / size))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length))
-    return dealt.join(spread, [key, "_block"]).where(inside).drop("_block")
+    return dealt.join(spread, [key, "_level", "_block"]).where(inside).drop("_level", "_block")
 
 
 def single_row(spark: SparkSession, **values) -> DataFrame:

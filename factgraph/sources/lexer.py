@@ -67,7 +67,7 @@ def cut(text: str) -> list[tuple[str, int, int]]:
         if kind == "quotes":
             kind = "raw"
         if kind == "skip":
-            fresh = fresh or "\n" in m.group()
+            fresh = (fresh or "\n" in m.group()) and not text.startswith("/*", at)  # a directive is the first on its line
         elif kind == "holed":
             holes.append(["@" in m.group(), None])
             out.append(("string", at, end))

@@ -8,6 +8,7 @@ is ever shared.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,11 +73,15 @@ class SnapshotStore:
         if after is not None and after != newest:
             self.check_current(after)
         version, folder = newest + 1, f"data-{uuid.uuid4().hex}"
-        for name, df in facts.items():
-            rows = conform(name, df)
+
+        def save(name: str) -> None:
+            rows = conform(name, facts[name])
             if name in self.SORTED:
                 rows = rows.repartitionByRange(F.col(self.SORTED[name])).sortWithinPartitions(self.SORTED[name])
             rows.write.parquet(f"{self.root}/{folder}/{name}")
+
+        with ThreadPoolExecutor(4) as pool:  # the tables don't depend on each other
+            list(pool.map(save, facts))
         while not self._commit(version, folder):
             if after is not None:
                 raise QueryError("workspace_changed", f"another writer made snapshot {version}", expected=str(after), actual=str(version))
