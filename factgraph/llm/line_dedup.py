@@ -12,9 +12,11 @@ of all documents is a row per task), then texts once by doc_id.  Only the bytes
 travel by hash.  Both joins on a chunk's hash read written tables on both sides, with one row a chunk
 on the right, so that Spark splits the partition of a hot chunk or broadcasts a small right side.
 
-Defined results: a null or empty text is one blank line and stays; rows that repeat a doc_id are
-cut each by itself but count as one document, told apart by their text; rows with a null doc_id are
-last in order; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is one blank line and stays; rows that repeat a doc_id with
+another text are documents of their own, in order of the text's hash; rows that repeat both are one
+document, of which all copies are cut alike; each row with a null doc_id is a document of its own, after all
+others, in an arbitrary but fixed order (such rows are written once, and go by their place there); an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,12 +53,12 @@ def chunk_digest(chunk: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_lines, n_removed and kept_text of each row."""
-    docs = docs.select(
-        F.col("doc_id").isNull().alias("unnamed"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"),
-        F.coalesce("text", F.lit("")).alias("text"),
+    docs = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    loose = materialize(docs.where("key is null"), "unnamed")
+    docs = docs.where("key is not null").select(F.lit(False).alias("unnamed"), "key", F.xxhash64("text").alias("mark"), "text").unionByName(
+        loose.select(F.lit(True).alias("unnamed"), F.lit(0).cast("long").alias("key"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("mark"), "text")
     )
-    name = ["unnamed", "key"]
+    name = ["unnamed", "key", "mark"]
     # where each repeated chunk stands first
     placed = materialize(with_chunks(docs).select(*name, F.posexplode(F.transform("chunks", chunk_digest)).alias("place", "digest")).where(F.col("digest").isNotNull()), "chunks")
     firsts = materialize(placed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*name, "place")).alias("first")).where("n > 1").select("digest", "first"), "firsts")
@@ -74,7 +76,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     heads = materialize(bytes_of.where(is_first).groupBy("digest").agg(F.min("bytes").alias("head")), "heads")
     repeated = bytes_of.where(~is_first).join(heads, "digest").where(F.col("bytes") == F.col("head"))
     removed = repeated.groupBy(*name).agg(F.collect_set(F.struct("place", "digest")).alias("gone"))
-    # a row that repeats a doc_id with another text has another digest at the place and keeps its lines
     out = with_chunks(texts.join(removed, name, "left"))
     kept = F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(
         F.filter("chunks", lambda c, i: ~F.exists("gone", lambda g: (g["place"] == i) & (g["digest"] == F.md5(F.array_join(c, "\n")))))

@@ -303,6 +303,27 @@ def test_op9(spark, docs):
     assert line_dedup.line_dedup_query(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_op9_rows_without_an_id_are_documents_like_others(spark):
+    block = "\n".join(f"line {i} of a block" for i in range(20))
+    lost = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.line_dedup_query(frame(spark, rows)).collect())
+    named = [n for _, _, n in lost([(1, block), (2, block), (3, block)])]
+    assert named[0] == 0 and named[1] == named[2] > 0
+    assert [n for _, _, n in lost([(None, block)] * 3)] == named
+    assert lost([(None, block), (7, block), (None, "other")]) == [(False, 7, 0), (True, 0, 0), (True, 0, named[1])]
+    # a repeated id with another text loses what the other text holds; the same row twice loses nothing
+    assert lost([(5, "a\n" + block), (5, "b\n" + block)])[0][2] == 0 and lost([(5, "a\n" + block), (5, "b\n" + block)])[1][2] > 0
+    assert lost([(5, block), (5, block)]) == [(False, 5, 0), (False, 5, 0)]
+    # a table of which most rows have no id
+    many = lost([(None, f"{block}\nown {i}\nlines {i}") for i in range(60)] + [(1, block)])
+    assert sum(n for _, _, n in many) >= 59 * named[1]
+
+
+def test_op1_tables_of_few_texts(spark):
+    for rows in ([], [(1, "a@b.cc")], [(i, "a@b.cc and 10.0.0.1") for i in range(3)], [(i, None) for i in range(5)], [(i, f"mail x{i}@y.zz") for i in range(4)]):
+        got = rows_of(pii.pii_query(frame(spark, rows)))
+        assert [r[:6] for r in got] == [(i, *pii.brute_force(t)) for i, t in rows]
+
+
 def test_op10(spark, docs):
     for width, percent in ((3, 90), (5, 80)):
         assert rows_of(ngram_join.near_duplicates(frame(spark, docs), width, percent)) == ngram_join.brute_force(docs, width, percent)
