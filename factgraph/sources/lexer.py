@@ -23,15 +23,15 @@ _TOKEN = re.compile(
 |(?P<raw>\$*(?P<quotes>"{3,})(?s:.*?)(?:(?P=quotes)(?!")|\Z))
 |(?P<verbatim>@"(?:[^"]|"")*(?:"|\Z))
 |(?P<holed>\$@?"|@\$")
-|(?P<string>"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z))
-|(?P<char>'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z))
+|(?P<string>"(?:[^"\\\n]|\\[^\n]|\\(?=\n|\Z))*(?:"|(?=\n)|\Z))
+|(?P<char>'(?:[^'\\\n]|\\[^\n]|\\(?=\n|\Z))*(?:'|(?=\n)|\Z))
 |(?P<word>@?[^\W\d]\w*)
 |(?P<number>\d(?:[\w]|\.(?=\d))*)
 |(?P<mark>=>|&&|\|\||\?\?=|\?\?|\?\.|::|==|!=|<=|\+\+|--|->|[-+*/%&|^]=|.)""",
     re.X,
 )
 #: The text of an interpolated string up to a hole or its end: with escapes, or verbatim.
-_PIECE = {False: re.compile(r'(?:[^"\\{\n]|\\.|\{\{)*(?:"|\{|(?=\n)|\Z)'), True: re.compile(r'(?:[^"{]|""|\{\{)*(?:"|\{|\Z)')}
+_PIECE = {False: re.compile(r'(?:[^"\\{\n]|\\[^\n]|\\(?=\n|\Z)|\{\{)*(?:"|\{|(?=\n)|\Z)'), True: re.compile(r'(?:[^"{]|""|\{\{)*(?:"|\{|\Z)')}
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 #: First words of statements that are expressions up to their semicolon.
 _VALUES = frozenset(("return", "throw", "yield", "await"))
