@@ -6,15 +6,20 @@ units of one document.  The steps:
 1. ``anchors``: in each window the run of ``gram`` units with the least hash is its anchor, which
    depends on the window's content alone.  Neighbouring windows share anchors, so a text has one
    row per anchor: the anchor's hash, a hash of the content its windows cover, and their place.
-2. Rows meet by anchor hash.  Rows of equal content are the same windows: all but the first are
-   repeats.  Equal contents were already told apart within each task before the shuffle, so a
-   passage in a third of all documents is a row per task.
-3. Anchors with several contents can share single windows.  Each such content is fetched once and
-   goes into the index of its shard (``build``), which tells the windows that occur earlier.
-   Anchors with very many contents are resolved window by window instead, dealt by window hash.
-4. Runs of repeated windows are collected by document and cut from its text.
-
-Windows are equal if two independent 64-bit hashes are (step 2) or their units are (step 3).
+2. Rows meet by anchor hash.  Rows of equal content are likely copies: all but the first are linked
+   to it.  They were already told apart within each task before the shuffle, so a passage in a third
+   of all documents is a row per task.
+3. Links of neighbouring anchors are united into ranges: a shard has ranges of one document and the
+   ranges of others that are linked to them (``streams``), cut so that no shard outgrows an index.
+4. Anchors with several contents can share single windows.  A shard has all contents of an anchor.
+5. The ranges of both kinds are fetched and go into the index of their shard (``build``), which
+   tells the windows that occur earlier.  Equal ranges of a shard (by bytes) are streamed once.
+   Anchors with more than ``HOT_CONTENTS`` contents are resolved window by window instead, dealt by
+   window hash.
+6. Runs of repeated windows are collected by document and cut from its text.
+
+Hashes only say what meets in an index; a window goes if the index finds its units in an earlier
+place.  Windows of anchors with very many contents are equal if two independent 64-bit hashes are.
 
 A document is named by its doc_id and a hash of its text (``key``), and is earlier than another by
 that order.  So rows without an id, and rows that repeat an id with another text, are documents of
@@ -28,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +45,8 @@ PIECE = 1 << 19
 GATHER_ROWS = 1 << 20
 #: Units in one index, and contents of an anchor above which its windows are dealt one by one.
 INDEX_UNITS, HOT_CONTENTS = 1 << 19, 1000
+#: Windows of a first document that make a shard with the ranges linked to them.
+BLOCK = 512
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -68,15 +76,18 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-_tables: dict[int, tuple] = {}
+_tables: dict[tuple, tuple] = {}
 
 
 def _ranges(values: np.ndarray, k: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Polynomial hashes of the ranges [lo, hi) of ``values``, with the base ``k``."""
-    n = PIECE + 4096 if len(values) <= PIECE + 4096 else len(values)
-    if (k, n) not in _tables:
-        _tables[k, n] = _powers(BASES[k], n)
-    up, down = _tables[k, n]
+    n = PIECE + 4096
+    if len(values) > n:
+        up, down = _powers(BASES[k], len(values))  # not kept: texts have many lengths
+    else:
+        if (k, n) not in _tables:
+            _tables[k, n] = _powers(BASES[k], n)
+        up, down = _tables[k, n]
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[hi] - total[lo]) * down[lo])
@@ -173,16 +184,17 @@ def _ranked(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, tuple]:
     return rank, (ids[new], keys[new])
 
 
-ROWS = "kind byte, h1 long, h2 long, doc_id long, key long, lo int, hi int"
+ROWS = "kind byte, h1 long, h2 long, doc_id long, key long, lo int, hi int, at int"
 NAME = ["doc_id", "key"]
-_ARROW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-#: Kinds of rows: an anchor or window, a removed range, a content to fetch, one of a hot anchor.
-ANCHOR, REMOVED, FETCH, HOT = range(4)
+_ARROW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32())])
+#: Kinds of rows: an anchor or window, a removed range, a range to fetch for shard h1, one of a hot
+#: anchor, and a range equal to one of document (h1, h2) that starts with the window ``at``.
+ANCHOR, REMOVED, FETCH, HOT, LINK = range(5)
 
 
-def _batch(kind: int, h1, h2, doc, lo, hi, names: tuple) -> pa.RecordBatch:
+def _batch(kind: int, h1, h2, doc, lo, hi, names: tuple, at=None) -> pa.RecordBatch:
     as_long = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(as_long(h1)), pa.array(as_long(h2)), pa.array(as_long(names[0][doc])), pa.array(as_long(names[1][doc])), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(as_long(h1)), pa.array(as_long(h2)), pa.array(as_long(names[0][doc])), pa.array(as_long(names[1][doc])), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.zeros(len(doc), np.int32) if at is None else at.astype(np.int32))], schema=_ARROW)
 
 
 def _removed(doc, lo, hi, names: tuple) -> pa.RecordBatch:
@@ -191,19 +203,53 @@ def _removed(doc, lo, hi, names: tuple) -> pa.RecordBatch:
     return _batch(REMOVED, h1, np.zeros(len(doc), np.int64), doc, lo, hi, names)
 
 
-def _resolve(h1, h2, doc, lo, hi, width: int, same_doc: bool) -> tuple:
-    """Indices of rows that are first in their (h1, h2), of other rows to keep, and the removed ranges."""
+def _resolve(h1, h2, doc, lo, same_doc: bool) -> tuple:
+    """Indices of rows that are first in their (h1, h2), of other rows to keep, of the repeats, and of the first row of each repeat."""
     order, fresh = _firsts(h1, h2, doc, lo)
     group = np.cumsum(fresh) - 1
     first = order[fresh][group]
     later = doc[order] > doc[first]
     if same_doc:
         later |= lo[order] != lo[first]
-    gone = order[later]
     # rows of one document with the same text have the same windows at the same places
     again = ~fresh
     again[1:] &= (doc[order][1:] == doc[order][:-1]) & (lo[order][1:] == lo[order][:-1])
-    return order[fresh], order[~fresh & ~later & ~again], (doc[gone], lo[gone], hi[gone] + width - 1)
+    return order[fresh], order[~fresh & ~later & ~again], order[later & ~again], first[later & ~again]
+
+
+def streams(doc, lo, hi, first, at, width: int, salt: int, block: int, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (shard, doc, lo, hi) that bring ranges of window starts, and the ranges of ``first`` from ``at`` that they are linked to, into shards.
+
+    A shard is ``block`` windows of one document and what is linked to them.  Of ranges of many
+    documents, or of a text that repeats itself, about ``units`` go to a shard, and each has the block.
+    ``salt`` tells the shards of tasks apart, so a block that all tasks have is no hot key.
+    """
+    part = at // block
+    group = np.unique(first * (part.max() + 1) + part, return_inverse=True)[1]
+    own, copy, start, end = _merge_contents(group, doc, lo, hi)
+    pieces = -(-(end - start) // (4 * block))
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    own, copy, last = np.repeat(own, pieces), np.repeat(copy, pieces), np.repeat(end, pieces)
+    start = np.repeat(start, pieces) + nth * 4 * block
+    end = np.minimum(start + 4 * block, last)
+    # rows are in order of group: units of the group so far
+    total = np.cumsum(end - start + width)
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    begun = (total - (end - start + width))[new]
+    cut = (total - begun[np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]))]) // units
+    shard = mix(mix(own.astype(np.uint64) ^ np.uint64(salt % (1 << 63))) ^ mix(cut.astype(np.uint64) + np.uint64(salt % 997)))
+    # each shard with the ranges of its block
+    there, source, from_, to = _merge_contents(group, first, at, at + hi - lo)
+    edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (cut[1:] != cut[:-1])]))
+    n = np.searchsorted(there, own[edge], "right") - np.searchsorted(there, own[edge], "left")
+    pick = np.repeat(np.searchsorted(there, own[edge], "left"), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.concatenate([shard, np.repeat(shard[edge], n)]), np.concatenate([copy, source[pick]]), np.concatenate([start, from_[pick]]), np.concatenate([end, to[pick]])
+
+
+def _salt(stage: int, flush: int) -> int:
+    """A number of its own for each flush of each task, the same when the task is run again."""
+    context = TaskContext.get()
+    return int(mix(np.array([((stage << 20 | flush) << 32) + (context.partitionId() if context else 0)], np.uint64))[0])
 
 
 def _scan(kind: Kind):
@@ -211,17 +257,18 @@ def _scan(kind: Kind):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_on("repeats")
-        held, named, n, docs = [], [], 0, 0
+        held, named, n, docs, flushes = [], [], 0, 0, 0
 
         def flush():
             h1, h2, doc, lo, hi = (np.concatenate(x) for x in zip(*held))
             rank, names = _ranked(*(np.concatenate(x) for x in zip(*named)))
             doc = rank[doc]
-            first, more, gone = _resolve(h1, h2, doc, lo, hi, kind.width, kind.same_doc)
+            first, more, copies, of = _resolve(h1, h2, doc, lo, kind.same_doc)
             keep = np.concatenate([first, more])
             yield _batch(ANCHOR, h1[keep], h2[keep], doc[keep], lo[keep], hi[keep], names)
-            if len(gone[0]):
-                yield _removed(*gone, names)
+            if len(copies):
+                shard, doc, lo, hi = streams(doc[copies], lo[copies], hi[copies], doc[of], lo[of], kind.width, _salt(1, flushes), BLOCK, INDEX_UNITS)
+                yield _batch(FETCH, shard, np.zeros(len(shard), np.int64), doc, lo, hi, names)
 
         for batch in batches:
             raw, offsets = utf8(batch.column(2))
@@ -235,25 +282,33 @@ def _scan(kind: Kind):
                 docs += b - a
                 if n >= GATHER_ROWS:
                     yield from flush()
-                    held, named, n, docs = [], [], 0, 0
+                    held, named, n, docs, flushes = [], [], 0, 0, flushes + 1
         if held:
             yield from flush()
 
     return run
 
 
-def _meet(kind: Kind):
-    """Rows sorted by h1 -> removed ranges, and a row for each content that the index needs."""
+def _meet(kind: Kind, windows: bool):
+    """Rows sorted by h1 -> the contents that the index needs and the links of equal ones; of hot anchors' windows the removed ones."""
 
     def groups(rows: list) -> Iterator[pa.RecordBatch]:
         tag, h1, h2, ids, keys, lo, hi = (np.concatenate(x) for x in zip(*rows))
         doc, names = _ranked(ids, keys)
-        passed = tag == REMOVED
-        gone = [(doc[passed], lo[passed], hi[passed])]
-        h1, h2, doc, lo, hi = (x[~passed] for x in (h1, h2, doc, lo, hi))
+        for kept in (FETCH, REMOVED):
+            passed = tag == kept
+            if passed.any():
+                yield _batch(kept, h1[passed], h2[passed], doc[passed], lo[passed], hi[passed], names)
+        passed = tag == ANCHOR
+        h1, h2, doc, lo, hi = (x[passed] for x in (h1, h2, doc, lo, hi))
         if len(h1):
-            first, same, later = _resolve(h1, h2, doc, lo, hi, kind.width, kind.same_doc)
-            gone.append(later)
+            first, same, later, of = _resolve(h1, h2, doc, lo, kind.same_doc)
+            if windows:
+                if len(later):
+                    yield _removed(doc[later], lo[later], hi[later] + kind.width - 1, names)
+                return
+            if len(later):
+                yield _batch(LINK, names[0][doc[of]], names[1][doc[of]], doc[later], lo[later], hi[later], names, lo[of])
             # contents of each anchor; a content's other places in its first document go with it
             known, contents = np.unique(h1[first], return_counts=True)
             places = np.concatenate([first, same])
@@ -263,9 +318,6 @@ def _meet(kind: Kind):
                 if len(f):
                     wanted = _merge_contents(h1[f], doc[f], lo[f], hi[f])
                     yield _batch(tag_out, wanted[0], np.zeros(len(wanted[0]), np.int64), *wanted[1:], names)
-        doc, lo, hi = (np.concatenate(x) for x in zip(*gone))
-        if len(doc):
-            yield _removed(doc, lo, hi, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -285,13 +337,36 @@ def _meet(kind: Kind):
     return run
 
 
-def _dealt(df: DataFrame, n: int, kind: Kind) -> DataFrame:
-    return df.repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(_meet(kind), ROWS)
+def _dealt(df: DataFrame, n: int, kind: Kind, windows: bool = False) -> DataFrame:
+    return df.repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(_meet(kind, windows), ROWS)
+
+
+def _linked(kind: Kind):
+    """Links dealt by document -> ranges to fetch."""
+
+    def flush(rows: list, flushes: int) -> pa.RecordBatch:
+        first_ids, first_keys, ids, keys, lo, hi, at = (np.concatenate(x) for x in zip(*rows))
+        doc, names = _ranked(np.concatenate([ids, first_ids]), np.concatenate([keys, first_keys]))
+        shard, doc, lo, hi = streams(doc[: len(ids)], lo, hi, doc[len(ids) :], at, kind.width, _salt(2, flushes), BLOCK, INDEX_UNITS)
+        return _batch(FETCH, shard, np.zeros(len(shard), np.int64), doc, lo, hi, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, flushes = [], 0, 0
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy().astype(np.int64) for i in range(1, 8)))
+            n += batch.num_rows
+            if n >= GATHER_ROWS:
+                yield flush(held, flushes)
+                held, n, flushes = [], 0, flushes + 1
+        if n:
+            yield flush(held, flushes)
+
+    return run
 
 
 def _fetch(kind: Kind):
     """Documents with the contents wanted of them -> contents, and windows of hot anchors."""
-    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("content", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("content", pa.binary())])
 
     def with_content(rows: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], schema=schema)
@@ -300,11 +375,11 @@ def _fetch(kind: Kind):
         """Windows of hot anchors, a window that several documents of the task have once."""
         h1, h2, ids, keys, lo = (np.concatenate(x) for x in zip(*held))
         doc, names = _ranked(ids, keys)
-        first, same, gone = _resolve(h1, h2, doc, lo, lo + 1, kind.width, kind.same_doc)
+        first, same, gone, _ = _resolve(h1, h2, doc, lo, kind.same_doc)
         keep = np.concatenate([first, same])
         yield with_content(_batch(HOT, h1[keep], h2[keep], doc[keep], lo[keep], lo[keep] + 1, names))
-        if len(gone[0]):
-            yield with_content(_removed(*gone, names))
+        if len(gone):
+            yield with_content(_removed(doc[gone], lo[gone], lo[gone] + kind.width, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -319,7 +394,7 @@ def _fetch(kind: Kind):
                     lo, hi = np.array([s["lo"] for s in plain]), np.array([s["hi"] for s in plain])
                     found = kind.contents(text, lo, hi - 1 + kind.width)
                     ok = [i for i, x in enumerate(found) if x is not None]
-                    cols = [[FETCH] * len(ok), [plain[i]["h1"] for i in ok], [0] * len(ok), [ids[d]] * len(ok), [keys[d]] * len(ok), lo[ok].tolist() if ok else [], hi[ok].tolist() if ok else [], [found[i] for i in ok]]
+                    cols = [[FETCH] * len(ok), [plain[i]["h1"] for i in ok], [0] * len(ok), [ids[d]] * len(ok), [keys[d]] * len(ok), lo[ok].tolist() if ok else [], hi[ok].tolist() if ok else [], [0] * len(ok), [found[i] for i in ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
                 hot = [s for s in spots if s["kind"] == HOT]
                 if hot:
@@ -347,7 +422,10 @@ def _index(kind: Kind):
         order = np.lexsort((lo, doc))
         contents = [contents[i] for i in order]
         doc, lo = doc[order], lo[order]
-        classes = kind.build(contents, kind.width)
+        distinct: dict[bytes, int] = {}
+        which = [distinct.setdefault(c, len(distinct)) for c in contents]
+        classes = kind.build(list(distinct), kind.width)
+        classes = [classes[i] for i in which]
         owner = np.repeat(np.arange(len(contents)), [len(c) for c in classes])
         cls = np.concatenate(classes)
         start = lo[owner] + np.concatenate([np.arange(len(c)) for c in classes])
@@ -365,7 +443,7 @@ def _index(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, previous = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5, 7))):
+            for row in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5, 8))):
                 if row[0] != previous and size >= INDEX_UNITS:
                     yield from solve(held)
                     held, size = [], 0
@@ -389,10 +467,11 @@ def repeated_ranges(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     n = partitions_for(spark, n_bytes)
     met = materialize(_dealt(docs.mapInArrow(_scan(kind), ROWS), n, kind), "repeats")
     texts = docs.repartition(n, *NAME)
-    wanted = met.where(F.col("kind").isin(FETCH, HOT)).groupBy(*NAME).agg(F.collect_list(F.struct("kind", "h1", "lo", "hi")).alias("wanted"))
+    links = met.where(F.col("kind") == LINK).repartition(n, *NAME).sortWithinPartitions(*NAME, "lo").mapInArrow(_linked(kind), ROWS)
+    wanted = met.unionByName(links).where(F.col("kind").isin(FETCH, HOT)).groupBy(*NAME).agg(F.collect_list(F.struct("kind", "h1", "lo", "hi")).alias("wanted"))
     fetched = materialize(texts.join(wanted, NAME).select(*NAME, "text", "wanted").mapInArrow(_fetch(kind), f"{ROWS}, content binary"), "contents")
     indexed = fetched.where(F.col("kind") == FETCH).repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(_index(kind), ROWS)
-    hot = _dealt(fetched.where(F.col("kind") == HOT).select(F.lit(ANCHOR).cast("byte").alias("kind"), "h1", "h2", *NAME, "lo", "hi"), n, kind)
+    hot = _dealt(fetched.where(F.col("kind") == HOT).select(F.lit(ANCHOR).cast("byte").alias("kind"), "h1", "h2", *NAME, "lo", "hi", "at"), n, kind, windows=True)
     removed = met.unionByName(fetched.drop("content")).unionByName(indexed).unionByName(hot).where(F.col("kind") == REMOVED)
     ranges = removed.groupBy(*NAME).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return texts, ranges

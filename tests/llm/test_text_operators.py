@@ -176,6 +176,60 @@ def test_hot_anchors_give_the_same(spark, docs, monkeypatch):
     assert rows_of(substring_dedup.substring_dedup_query(frame(spark, docs))) == substring_dedup.brute_force(docs)
 
 
+def _repetitive():
+    """Whole copies, near copies, texts that repeat themselves, and passages at other places of other texts."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randint(0, 300)}" for _ in range(n)]
+    base, passage, long = words(400), words(130), words(3000)
+    near = [base[:k] + ["x"] + base[k + 1 :] for k in (5, 200, 390)]
+    texts = [base, *near, base, base, words(60) + passage + words(70), passage, words(3) + passage + passage, words(7) * 90, ["aa"] * 2000, long, long[1000:2500], words(20) + long, words(30)]
+    return [(100 - i, " ".join(t)) for i, t in enumerate(texts)] + [(200, None), (201, "")]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 20, "INDEX_UNITS": 600}, {"GATHER_ROWS": 50}, {"BLOCK": 20, "INDEX_UNITS": 600, "HOT_CONTENTS": 2}])
+def test_repetitive_texts(spark, monkeypatch, sizes):
+    """Copies meet in blocks, parts of blocks and over several flushes."""
+    from factgraph.llm import repeats
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(repeats, name, value)
+    rows = sorted(_repetitive(), key=lambda r: r[0])
+    for parts in (1, 5):
+        df = frame(spark, rows).repartition(parts)
+        assert rows_of(byte_dedup.byte_dedup_query(df)) == byte_dedup.brute_force(rows)
+        assert rows_of(substring_dedup.substring_dedup_query(df)) == substring_dedup.brute_force(rows)
+
+
+def test_without_the_index_nothing_goes(spark, docs, monkeypatch):
+    """Every removal comes out of the index of a shard."""
+    from factgraph.llm import repeats
+
+    monkeypatch.setattr(repeats, "_index", lambda kind: lambda batches: iter(()))
+    rows = sorted(_repetitive(), key=lambda r: r[0])
+    assert byte_dedup.byte_dedup_query(frame(spark, rows)).where("n_removed > 0").isEmpty()
+    assert substring_dedup.substring_dedup_query(frame(spark, rows)).where("n_removed > 0").isEmpty()
+
+
+def test_links_of_many_documents_make_bounded_shards():
+    """A block that a third of all documents have comes with each part of what is linked to it."""
+    from factgraph.llm import repeats
+
+    n, size = 4000, 700
+    doc, lo = np.repeat(np.arange(1, n + 1), size // 35), np.tile(np.arange(0, size, 35), n)
+    shard, d, a, b = repeats.streams(doc, lo, lo + 35, np.zeros(len(doc), np.int64), lo, 100, 5, repeats.BLOCK, repeats.INDEX_UNITS)
+    held = {}
+    for s, x, from_, to in zip(shard.tolist(), d.tolist(), a.tolist(), b.tolist()):
+        held.setdefault(s, []).append((x, from_, to))
+    assert all(sum(to - from_ + 100 for _, from_, to in rows) < 2 * repeats.INDEX_UNITS for rows in held.values())
+    assert all(any(x == 0 for x, _, _ in rows) for rows in held.values())
+    covered = {}
+    for rows in held.values():
+        for x, from_, to in rows:
+            if x:
+                covered.setdefault(x, set()).update(range(from_, to))
+    assert len(covered) == n and all(len(c) == size for c in covered.values())
+
+
 def test_small_pieces_give_the_same(monkeypatch):
     """Anchors of texts longer than a piece."""
     from factgraph.llm import repeats
