@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, materialize, mix, partitions_for, segments, utf8, working_on
+from .common import BASES, materialize_freed, mix, partitions_for, segments, utf8, working_on
 
 #: Window starts that are hashed at a time.
 PIECE = 1 << 19
@@ -465,11 +465,11 @@ def repeated_ranges(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(unnamed, "text").alias("key"), "text", unnamed.alias("unnamed"))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = partitions_for(spark, n_bytes)
-    met = materialize(_dealt(docs.mapInArrow(_scan(kind), ROWS), n, kind), "repeats")
+    met = materialize_freed(_dealt(docs.mapInArrow(_scan(kind), ROWS), n, kind), "repeats")
     texts = docs.repartition(n, *NAME)
     links = met.where(F.col("kind") == LINK).repartition(n, *NAME).sortWithinPartitions(*NAME, "lo").mapInArrow(_linked(kind), ROWS)
     wanted = met.unionByName(links).where(F.col("kind").isin(FETCH, HOT)).groupBy(*NAME).agg(F.collect_list(F.struct("kind", "h1", "lo", "hi")).alias("wanted"))
-    fetched = materialize(texts.join(wanted, NAME).select(*NAME, "text", "wanted").mapInArrow(_fetch(kind), f"{ROWS}, content binary"), "contents")
+    fetched = materialize_freed(texts.join(wanted, NAME).select(*NAME, "text", "wanted").mapInArrow(_fetch(kind), f"{ROWS}, content binary"), "contents")
     indexed = fetched.where(F.col("kind") == FETCH).repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(_index(kind), ROWS)
     hot = _dealt(fetched.where(F.col("kind") == HOT).select(F.lit(ANCHOR).cast("byte").alias("kind"), "h1", "h2", *NAME, "lo", "hi", "at"), n, kind, windows=True)
     removed = met.unionByName(fetched.drop("content")).unionByName(indexed).unionByName(hot).where(F.col("kind") == REMOVED)
