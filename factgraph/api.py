@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import QueryError, require
 from .functions import codecs
 from .functions import scalars as S
 from .operators import callgraph, explain, hierarchy, listing, metrics, projects, refactoring, references, resolve, rewrite, smells
-from .plans.shapes import cut_lineage, page
+from .plans.shapes import cut_lineage, page, single_row
 from .sources import csharp
 from .sources.snapshots import SnapshotStore
 
@@ -117,18 +117,20 @@ class Workspace:
         rows = listing.members(self._fact("symbols"), self._fact("type_edges"), owner, kind, accessibility, binding, include_inherited)
         return rows.count(), page(rows, listing.member_order(), *S.page_bounds(limit, offset))
 
-    def resolve_symbol(self, symbol_id: str | None = None, path: str | None = None, line: int | None = None, column: int | None = None, qualified_name: str | None = None, project: str | None = None) -> DataFrame:
+    def resolve_symbol(self, symbol_id: str | None = None, path: str | None = None, line: int | None = None, column: int | None = None, qualified_name: str | None = None, project: str | None = None, project_path: str | None = None, project_id: str | None = None) -> DataFrame:
         if not S.text_or_none(qualified_name) or S.text_or_none(symbol_id) or S.text_or_none(path):
             return resolve.descriptor(resolve.by_id(self._fact("symbols"), self._symbol(symbol_id, path, line, column)))
         found = resolve.by_name(self._fact("symbols"), qualified_name)
-        if S.text_or_none(project):
-            found = found.where(F.col("project_id") == projects.select_project(self._fact("projects"), name=project))
+        if any(S.text_or_none(x) for x in (project, project_path, project_id)):
+            found = found.where(F.col("project_id") == projects.select_project(self._fact("projects"), project_path, project, project_id))
         n = found.limit(2).count()
         if n == 0:
             raise QueryError("symbol_not_found", "no symbol has this name", qualifiedName=qualified_name)
         if n > 1:
-            candidates = found.orderBy(F.col("type_kind").isNull(), "display_min", "project_id", "symbol_id").limit(20).select("symbol_id").collect()
-            raise QueryError("ambiguous_symbol", "several symbols have this name", candidates=json.dumps([r[0] for r in candidates]))
+            names = self._fact("projects").groupBy("project_id").agg(F.min("name").alias("project"))
+            first = found.orderBy(F.col("type_kind").isNull(), "display_min", "project_id", "symbol_id").limit(20).join(names, "project_id", "left")
+            candidates = first.orderBy(F.col("type_kind").isNull(), "display_min", "project_id", "symbol_id").select("symbol_id", F.coalesce("project", "project_id")).collect()
+            raise QueryError("ambiguous_symbol", "several symbols have this name", candidates=json.dumps([r[0] for r in candidates]), projects=json.dumps([r[1] for r in candidates]))
         return resolve.descriptor(found)
 
     def explain_symbol(self, symbol_id: str | None = None, path: str | None = None, line: int | None = None, column: int | None = None) -> dict[str, DataFrame]:
@@ -170,15 +172,33 @@ class Workspace:
         }
 
     def find_codesmells(self, path: str | None, max_findings: int | None = None, risk_levels: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+        return self.codesmells(path, max_findings, risk_levels, categories)["findings"]
+
+    def codesmells(self, path: str | None, max_findings: int | None = None, risk_levels: list[str] | None = None, categories: list[str] | None = None) -> dict:
+        """Findings of a document, and warnings about anchors cut off and findings that repeat; what they count is observed in the jobs that find, so nothing is scanned for it."""
         path = require(path, "path", "invalid_path")
         here = lambda df, c="file": df.where(S.same_ignoring_case(F.col(c), path))
-        if here(self._fact("documents"), "path").isEmpty():
-            raise QueryError("invalid_path", "the document isn't loaded", path=path)
-        at = smells.anchors(here(self._fact("diagnostics")), here(self._fact("nodes"), "document_id"), smells.MAX_ANCHORS)
-        found = smells.chosen(smells.matches(at, here(self._fact("actions"))), risk_levels, categories)
+        match here(self._fact("documents"), "path").limit(2).count():
+            case 0:
+                raise QueryError("invalid_path", "the document isn't loaded", path=path)
+            case 2:
+                raise QueryError("invalid_path", "several loaded documents have this path", path=path)
+        anchored, matched, kept, n = Observation(), Observation(), Observation(), F.count(F.lit(1)).alias("n")
+        at = cut_lineage(smells.first_anchors(smells.anchors(here(self._fact("diagnostics")), here(self._fact("nodes"), "document_id")).observe(anchored, n)))
+        found = smells.matches(at, here(self._fact("actions")))
+        found = smells.chosen(found.unionByName(smells.unanswered(at, found)), risk_levels, categories)
         if max_findings is not None:
             found = smells.first_found(found, max_findings)
-        return smells.dedup(found).orderBy("file", "line", "col", "title", "category", "origin")
+        rows = cut_lineage(smells.dedup(found.observe(matched, n)).observe(kept, n))
+        anchors, matches, left = (o.get.get("n", 0) for o in (anchored, matched, kept))
+        warnings = []
+        if anchors > smells.MAX_ANCHORS:
+            warnings.append(f"Only the first {smells.MAX_ANCHORS} of {anchors} anchors were looked at.")
+        if matches > left:
+            warnings.append(f"{matches - left} findings that repeat title, category and line are left out.")
+        if not left and (risk_levels is not None or categories is not None):
+            warnings.append("No finding has the wanted risk levels and categories.")
+        return {"findings": rows.orderBy("file", "line", "col", "title", "category", "origin"), "warnings": warnings}
 
     def rename_symbol(self, symbol_id: str | None, new_name: str | None) -> dict:
         """Rename a symbol in a new snapshot; returns the changed files and the new version."""
@@ -240,13 +260,83 @@ class Workspace:
 
     # the operators behind the entry queries, on the current snapshot
 
-    def search_symbols(self, text: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
-        """Symbols of a name, in the order of descriptors."""
-        return page(resolve.descriptor(resolve.search(self._fact("symbols"), require(text, "query"))), resolve.descriptor_order(), *S.page_bounds(limit, offset))
+    def search_symbols(self, text: str, limit: int | None = None, offset: int | None = None, kind: str | None = None, accessibility: str | None = None, scope: str = "solution", path: str | None = None) -> DataFrame:
+        """Symbols of a name in the scope, in the order of descriptors."""
+        where = self._scope(scope, path)
+        found = resolve.search(self._fact("symbols"), require(text, "query"), S.text_or_none(kind), S.text_or_none(accessibility), where.get("project_id"), where.get("path"))
+        return page(resolve.descriptor(found), resolve.descriptor_order(), *S.page_bounds(limit, offset))
+
+    def _scope(self, scope: str, path: str | None, code: str = "invalid_request") -> dict:
+        """The path of a document scope or the project_id of a project scope; a project is named by its file or by one of its documents."""
+        path = S.text_or_none(path)
+        if scope not in ("document", "project", "solution"):
+            raise QueryError(code, "scope must be one of: document, project, solution", parameter="scope", value=scope)
+        if scope == "solution" or (scope == "project" and path is None):
+            return {}
+        if path is None:
+            raise QueryError(code, "a document scope needs a path", parameter="path")
+        inside = lambda df: df.where(S.same_ignoring_case(F.col("path"), path)).select("project_id")
+        found = inside(self._fact("documents"))
+        row = (found if scope == "document" else inside(self._fact("projects")).unionByName(found)).first()
+        if row is None:
+            raise QueryError("invalid_path", "no loaded document or project has this path", path=path)
+        return {"path": path} if scope == "document" else {"project_id": row[0]}
+
+    def symbol_at(self, path: str, line: int, column: int) -> DataFrame:
+        """Descriptor of the innermost symbol declared around a position."""
+        return self.resolve_symbol(path=path, line=line, column=column)
+
+    def signature(self, symbol_id: str | None) -> str:
+        return resolve.by_id(self._fact("symbols"), self._symbol(require(symbol_id, "symbolId"))).select("display_min").first()[0]
+
+    def symbol_outline(self, symbol_id: str | None, depth: int | None = None) -> DataFrame:
+        """Members of a type and of those nested in it, to a depth of 1 to 3."""
+        symbol, rows = self._type(symbol_id=require(symbol_id, "symbolId")), self._fact("symbols")
+        kinds = rows.where("type_kind is not null")
+        around = kinds.select(F.col("display_err").alias("containing_type_fq"), "project_id", F.col("symbol_id").alias("parent_id"))
+        nesting = kinds.join(around, ["containing_type_fq", "project_id"]).select(F.col("symbol_id").alias("type_id"), "parent_id")
+        return listing.outline(rows, nesting, symbol, 1 if depth is None else depth).orderBy("name", "kind", "signature", "accessibility", "is_static")
 
-    def code_fixes(self, ids: list[str] | None = None, category: str | None = None) -> DataFrame:
-        """Fixes of the current snapshot's diagnostics, in order of place."""
-        return smells.code_fixes(self._fact("diagnostics"), self.version, ids, category).orderBy("file", "line", "col", "diagnostic_id")
+    def callers(self, symbol_id: str | None, max_depth: int | None = None) -> DataFrame:
+        """Edges up to a depth, at least 1; unlike ``find_callers``, those of generated sources are shown too."""
+        return self.call_graph(symbol_id, "upstream", max_depth)["edges"]
+
+    def callees(self, symbol_id: str | None, max_depth: int | None = None) -> DataFrame:
+        return self.call_graph(symbol_id, "downstream", max_depth)["edges"]
+
+    def call_graph(self, symbol_id: str | None, direction: str | None = None, max_depth: int | None = None) -> dict:
+        """Edges of the graph around a symbol, with its numbers of nodes and edges."""
+        symbol = self._symbol(require(symbol_id, "symbolId"))
+        edges = callgraph.trace(self._fact("calls"), symbol, direction, 1 if max_depth is None else max_depth)
+        return {"edges": edges.orderBy("from_id", "to_id", "file", "line", "col"), "counts": callgraph.graph_counts(edges, symbol)}
+
+    def code_metrics(self, scope: str = "solution", path: str | None = None) -> DataFrame:
+        """Complexity and lines of each measured symbol of the scope, in order of id."""
+        where, rows = self._scope(scope, path, "invalid_input"), self._fact("symbols")
+        if "path" in where:
+            rows = rows.where(S.same_ignoring_case(F.col("file"), where["path"]))
+        elif where:
+            rows = rows.where(F.col("project_id") == where["project_id"])
+        return self._fact("metrics").join(rows.select("symbol_id"), "symbol_id", "left_semi").orderBy("symbol_id")
+
+    def analyze(self, scope: str = "solution", path: str | None = None) -> dict[str, DataFrame]:
+        """Diagnostics and metrics of the scope, and the number of diagnostics by severity."""
+        where = self._scope(scope, path, "invalid_input")
+        found = metrics.diagnostics_in(self._fact("diagnostics"), scope, **where)
+        return {"diagnostics": found.orderBy(*metrics.diagnostic_order()), "summary": metrics.diagnostic_summary(found), "metrics": self.code_metrics(scope, path)}
+
+    def changes(self, since: int) -> DataFrame:
+        """Documents added, removed or changed since an older snapshot, in order of path."""
+        return rewrite.document_changes(self.store.read(since)["documents"], self._fact("documents")).orderBy("path", "document_id")
+
+    def code_fixes(self, ids: list[str] | None = None, category: str | None = None, scope: str = "solution", path: str | None = None) -> DataFrame:
+        """Fixes of the current snapshot's diagnostics in the scope, in order of place."""
+        where, found = self._scope(scope, path), self._fact("diagnostics")
+        if "path" in where:
+            found = found.where(S.same_ignoring_case(F.col("file"), where["path"]))
+        elif where:
+            found = found.where(F.col("project_id") == where["project_id"])
+        return smells.code_fixes(found, self.version, ids, category).orderBy("file", "line", "col", "diagnostic_id")
 
     def _fix_edits(self, fix_id: str | None) -> DataFrame:
         ident = require(fix_id, "fixId")
@@ -277,15 +367,44 @@ class Workspace:
         changed = self._edit(self._fix_edits(fix_id))
         return {"changed": changed, "version": self.version}
 
-    def refactorings(self, path: str | None, position: int) -> DataFrame:
-        """Actions at an offset of a document, in order of place, span and title."""
+    def refactorings(self, path: str | None, position: int | None = None, line: int | None = None, column: int | None = None, selection_start: int | None = None, selection_length: int | None = None) -> DataFrame:
+        """Actions at a place of a document (an offset, or line and column from 1) that meet the selection, in order of place, span and title."""
         path = require(path, "path", "invalid_path")
-        size = self._fact("documents").where(S.same_ignoring_case(F.col("path"), path)).select(F.length("text")).first()
+        if position is None and (line is None or column is None or line < 1 or column < 1):
+            raise QueryError("invalid_input", "an offset, or a line and a column from 1, are needed", line=line, column=column)
+        if (selection_start or 0) < 0 or (selection_length or 0) < 0:
+            raise QueryError("invalid_input", "a selection must not be negative")
+        lines = F.split(F.coalesce("text", F.lit("")), "\n")
+        before = F.aggregate(F.slice(lines, 1, (line or 1) - 1), F.lit(0), lambda n, row: n + F.length(row) + 1)
+        size = self._fact("documents").where(S.same_ignoring_case(F.col("path"), path)).select(F.length("text"), F.length(F.get(lines, F.lit((line or 1) - 1))), before).first()
         if size is None:
             raise QueryError("invalid_path", "the document isn't loaded", path=path)
+        if position is None:
+            if size[1] is None or column - 1 > size[1]:
+                raise QueryError("invalid_input", "the position lies outside the document", line=line, column=column)
+            position = size[2] + column - 1
         if not 0 <= position <= (size[0] or 0):
             raise QueryError("invalid_input", "the position lies outside the document", position=str(position))
-        return refactoring.actions_at(self._fact("actions"), path, position, version=self.version).orderBy("span_start", "span_len", "title", "category")
+        selection = None if selection_start is None else (selection_start, selection_length or 0)
+        return refactoring.actions_at(self._fact("actions"), path, position, selection, version=self.version).orderBy("span_start", "span_len", "title", "category")
+
+    def carry_action(self, action_id: str | None) -> str:
+        """The id on the current snapshot of an action found on an older one.
+
+        Its span is carried over what changed in its document since; there the action is found again
+        by key, else by what it is about.  It is an error if its line was edited or nothing is offered there now.
+        Without this step, ids of older snapshots are refused.
+        """
+        ident = require(action_id, "actionId")
+        old = refactoring.parsed_id(self.spark, ident)
+        if old["version"] == self.version:
+            return ident
+        place = single_row(self.spark, file=old["file"], line=old["line"], span_start=old["span_start"], span_len=old["span_len"])
+        here = lambda facts: facts["documents"].where(F.col("path") == old["file"])
+        now = rewrite.carried(place, here(self.store.read(old["version"])), here(self.facts)).first()
+        if now is None:
+            raise QueryError("workspace_changed", "the line of the action was edited", expected=str(self.version), actual=str(old["version"]))
+        return refactoring.found_again(self._fact("actions"), old, now["new_start"], self.version)
 
     def _action_edits(self, action_id: str | None) -> DataFrame:
         action = cut_lineage(refactoring.require_action(self._fact("actions"), require(action_id, "actionId"), self.version))

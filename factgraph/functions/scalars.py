@@ -16,7 +16,7 @@ ACCESSIBILITIES = ("public", "internal", "private", "protected", "protected_inte
 BINDINGS = ("static", "instance")
 DIRECTIONS = ("incoming", "outgoing", "both")
 SUPPORTED_FIXES = ("CS0168", "CS0219", "IDE0059")
-USE_VAR_KEY, FIX_ORIGIN, FIX_CATEGORY = "use_var_for_local", "pack_codefix", "compiler"
+USE_VAR_KEY, FIX_ORIGIN, FIX_CATEGORY, DIAGNOSTIC_ORIGIN = "use_var_for_local", "pack_codefix", "compiler", "pack_diagnostic"
 
 
 # --- columns -----------------------------------------------------------------------------------

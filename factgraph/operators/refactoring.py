@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,12 +36,29 @@ def actions_at(actions: DataFrame, path: str, position: int, selection: tuple[in
     return df.withColumn("p", verdict).select(ident.alias("action_id"), "file", "span_start", "span_len", "title", "category", "provider_key", "origin", "p.decision", "p.risk")
 
 
-def require_action(actions: DataFrame, action_id: str, version: int) -> DataFrame:
-    """The action of an id on the current snapshot; ids of other snapshots and blocked ones are errors."""
-    spark = actions.sparkSession
+def parsed_id(spark: SparkSession, action_id: str) -> Row:
+    """The fields of an action's id."""
     fields = spark.range(1).select(codecs.split_id(F.lit(action_id)).alias("parts")).select(codecs.parse_action_id(F.col("parts")).alias("a")).first()["a"]
     if fields is None:
         raise QueryError("action_not_found", "the id is no action id", actionId=action_id)
+    return fields
+
+
+def found_again(actions: DataFrame, old: Row, start: int, version: int) -> str:
+    """The id of the action at a place that is the old one: of the same key, else about the same diagnostic or refactoring."""
+    same = lambda c: F.col(c).eqNullSafe(F.lit(old[c]))
+    there = actions.where(same("file") & (F.col("span_start") == start) & same("span_len") & same("origin") & same("category"))
+    rank = F.when(same("provider_key"), 0).when(same("diagnostic_id") & same("refactoring_id") & F.coalesce("diagnostic_id", "refactoring_id").isNotNull(), 1)
+    ident = codecs.action_id(version, old["profile"], {c: F.col(c) for c in actions.columns})
+    row = there.where(rank.isNotNull()).orderBy(rank, "title", "provider_key").select(ident.alias("id")).first()
+    if row is None:
+        raise QueryError("action_not_found", "the action isn't offered any more", file=old["file"])
+    return row["id"]
+
+
+def require_action(actions: DataFrame, action_id: str, version: int) -> DataFrame:
+    """The action of an id on the current snapshot; ids of other snapshots and blocked ones are errors."""
+    fields = parsed_id(actions.sparkSession, action_id)
     if fields["version"] != version:
         raise QueryError("workspace_changed", "the action is of another snapshot", expected=str(version), actual=str(fields["version"]))
     found = actions.where((F.col("file") == fields["file"]) & (F.col("span_start") == fields["span_start"]) & (F.col("span_len") == fields["span_len"]) & (F.col("provider_key") == fields["provider_key"]) & (F.col("origin") == fields["origin"]))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -98,3 +99,54 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths whose text differs, with their edit counts."""
     old = before.select("document_id", F.col("text").alias("old_text"))
     return after.join(old, "document_id").where(~F.col("text").eqNullSafe(F.col("old_text"))).select("path", "edit_count")
+
+
+def document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Documents that differ between two versions: document_id, path, change (added, removed, changed).  Hashes of the texts are joined, not the texts."""
+    known = lambda df, name: df.select("document_id", F.col("path").alias(f"{name}_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias(name))
+    met = known(before, "old").join(known(after, "new"), "document_id", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return met.select("document_id", F.coalesce("new_path", "old_path").alias("path"), change.alias("change"))
+
+
+def line_moves(texts: DataFrame) -> DataFrame:
+    """Where the lines of changed texts (document_id, old, new) stand now: document_id, line, new_line, start, new_start, length.
+
+    Lines before the first difference and behind the last one keep their order; between these a line
+    is found again if its text stands there once in each version.  Both sides have one row a key (place in
+    the common head, place in the common tail, or the line itself), so the join forms no pairs of repeated lines.
+    """
+    old, new = F.split("old", "\n"), F.split("new", "\n")
+    alike = lambda a, b: (F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False) - 1).cast("int")
+    cut = texts.where("old <> new").select("document_id", old.alias("old"), new.alias("new"), alike(old, new).alias("head"), alike(F.reverse(old), F.reverse(new)).alias("tail"))
+    cut = cut.withColumn("tail", F.least("tail", F.least(F.size("old"), F.size("new")) - F.col("head")))
+
+    def side(name: str, line: str, start: str) -> DataFrame:
+        rows = cut.select("document_id", "head", "tail", F.size(name).alias("n"), F.posexplode(name).alias("at", "text"))
+        upto = F.sum(F.length("text") + 1).over(W.partitionBy("document_id").orderBy("at"))
+        place = lambda zone, at, text: F.struct(F.lit(zone).alias("zone"), at.cast("int").alias("place"), text.alias("text"))
+        key = F.when(F.col("at") < F.col("head"), place(0, F.col("at"), F.lit("")))
+        key = key.when(F.col("at") >= F.col("n") - F.col("tail"), place(1, F.col("n") - F.col("at"), F.lit(""))).otherwise(place(2, F.lit(0), F.col("text")))
+        keyed = rows.select("document_id", key.alias("key"), (F.col("at") + 1).alias(line), (upto - F.length("text") - 1).cast("int").alias(start), F.length("text").alias("length"))
+        once = keyed.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (line, start, "length")])
+        return once.where("n = 1").drop("n")
+
+    return side("old", "line", "start").join(side("new", "new_line", "new_start").drop("length"), ["document_id", "key"]).drop("key")
+
+
+def carried(spans: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Spans (file, line, span_start, span_len and more) of one version's documents, with their new_line and new_start in another's.
+
+    Left out are spans whose document is gone, whose line changed or isn't told from others, and
+    spans that reach beyond their line in a changed document.
+    """
+    there = after.select("path").distinct()
+    changes = document_changes(before, after).where("change <> 'added'").select("document_id", "path")
+    text = lambda df, name: df.join(changes.select("document_id"), "document_id", "left_semi").select("document_id", "path", F.coalesce("text", F.lit("")).alias(name))
+    texts = text(before, "old").dropDuplicates(["path"]).join(text(after, "new").select("document_id", "new"), "document_id")
+    moves = line_moves(texts.select("document_id", "old", "new")).join(texts.select("document_id", F.col("path").alias("file")), "document_id").drop("document_id")
+    stay = spans.join(there.select(F.col("path").alias("file")), "file", "left_semi").join(changes.select(F.col("path").alias("file")), "file", "left_anti")
+    stay = stay.select(*spans.columns, F.col("line").alias("new_line"), F.col("span_start").alias("new_start"))
+    offset = F.col("span_start") - F.col("start")
+    went = spans.join(moves, ["file", "line"]).where((offset >= 0) & (offset + F.col("span_len") <= F.col("length")))
+    return stay.unionByName(went.select(*spans.columns, "new_line", (F.col("new_start") + offset).alias("new_start")))

@@ -18,7 +18,11 @@ def anchors(diagnostics: DataFrame, nodes: DataFrame | None = None, most: int |
     if nodes is not None:
         df = df.unionByName(nodes.select(F.col("document_id").alias("file"), F.col("start_line").alias("line"), F.col("start_col").alias("col"), F.col("span_start").alias("at"), F.lit(1).alias("block"), F.col("node_kind").alias("anchor")))
     df = keep_first(df, [F.upper("file"), "line", "col"], [F.col("block"), F.col("anchor"), F.col("at")])
-    return df if most is None else df.orderBy("block", "file", "line", "col", "anchor").limit(most)
+    return df if most is None else first_anchors(df, most)
+
+
+def first_anchors(anchor_rows: DataFrame, most: int = MAX_ANCHORS) -> DataFrame:
+    return anchor_rows.orderBy("block", "file", "line", "col", "anchor").limit(most)
 
 
 def matches(anchor_rows: DataFrame, actions: DataFrame, profile: str | None = None) -> DataFrame:
@@ -31,6 +35,13 @@ def matches(anchor_rows: DataFrame, actions: DataFrame, profile: str | None = No
     return hit.select("file", "line", "col", "block", "title", kind.alias("category"), "origin", S.risk(F.col("policy.risk"), F.col("origin"), F.col("category")).alias("risk"), F.col("policy.decision").alias("decision"))
 
 
+def unanswered(anchor_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """A match of its own for each diagnostic anchor at which no action was found."""
+    alone = anchor_rows.where("block = 0").join(found.select("file", "line", "col").distinct(), ["file", "line", "col"], "left_anti")
+    kind, origin = F.lit("analyzer"), F.lit(S.DIAGNOSTIC_ORIGIN)
+    return alone.select("file", "line", "col", "block", F.concat(F.lit("Diagnostic: "), "anchor").alias("title"), S.category(kind, origin).alias("category"), origin.alias("origin"), S.risk(F.lit("info"), origin, kind).alias("risk"), F.lit("allow").alias("decision"))
+
+
 def chosen(found: DataFrame, risks: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
     df = found
     if risks is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import callgraph, hierarchy, refactoring, rewrite
+from ..operators import callgraph, hierarchy, listing, metrics, refactoring, references, rewrite, smells
 from ..sources import csharp
 from ..sources.written import Parsed
 from .registry import ORACLE_SQL, QUERIES
@@ -131,3 +131,61 @@ def parsed_callers(p: Parsed) -> DataFrame:
 @query(f"""{_S} SELECT 'T:' || {_T} AS symbol_id FROM s WHERE n = 1 UNION ALL SELECT 'T:N1.Node'""")
 def parsed_implementations(p: Parsed) -> DataFrame:
     return hierarchy.implementations(p.type_edges, p.impl_edges, p.symbols, "T:N1.IWork").select("symbol_id")
+
+
+#: The first supplier.
+_FIRST = "(SELECT min(s) FROM s)"
+
+
+@query(f"""{_S} SELECT '/src/N' || n || '/S' || s || '.cs' AS file, (CASE WHEN s % 2 = 0 THEN 22 ELSE 21 END)::INT AS new_line, (CASE WHEN s % 2 = 0 THEN 9 ELSE 0 END)::INT AS moved FROM s WHERE s % 3 <> 1""")
+def parsed_carried_spans(p: Parsed) -> DataFrame:
+    """Places of unused locals in the next version: every second file has a line above, and every third another name on the line itself."""
+    key = F.regexp_extract("path", "S(\\d+)\\.cs$", 1)
+    number = F.when(key != "", key.cast("long"))
+    text = F.when(number % 3 == 1, F.replace("text", F.lit("int spare ="), F.lit("int other ="))).otherwise(F.col("text"))
+    after = p.documents.withColumn("text", F.when(number % 2 == 0, F.concat(F.lit("// moved\n"), text)).otherwise(text))
+    spans = p.diagnostics.select("file", "line", "span_start", "span_len")
+    return rewrite.carried(spans, p.documents, after).select("file", "new_line", (F.col("new_start") - F.col("span_start")).alias("moved"))
+
+
+@query(f"""{_S}, d AS (SELECT '/src/N' || n || '/S' || s || '.cs' AS file, s FROM s) SELECT file, CASE WHEN s % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM d WHERE s % 5 = 0 OR s % 2 = 0""")
+def parsed_document_changes(p: Parsed) -> DataFrame:
+    """Files that the next version lacks or has with another text."""
+    key = F.regexp_extract("path", "S(\\d+)\\.cs$", 1)
+    number = F.coalesce(F.when(key != "", key.cast("long")), F.lit(1))
+    after = p.documents.where(number % 5 != 0).withColumn("text", F.when(number % 2 == 0, F.concat(F.col("text"), F.lit("\n"))).otherwise(F.col("text")))
+    return rewrite.document_changes(p.documents, after).select(F.col("path").alias("file"), "change")
+
+
+@query(f"""{_S} SELECT '/src/N' || n || '/S' || s || '.cs' AS file, 21::INT AS line, 13::INT AS col, 'Diagnostic: CS0219' AS title, 'analyzer' AS category, 'info' AS risk FROM s WHERE s % 2 = 1""")
+def parsed_unanswered_smells(p: Parsed) -> DataFrame:
+    """Unused locals as findings of their own, where no action is offered: actions are those of every second file."""
+    at = smells.anchors(p.diagnostics)
+    offered = csharp.actions(p.diagnostics, p.parsed["statements"], p.parsed["places"]).where(F.regexp_extract("file", "S(\\d+)\\.cs$", 1).cast("long") % 2 == 0)
+    return smells.dedup(smells.unanswered(at, smells.matches(at, offered))).drop("origin")
+
+
+@query(f"""{_S} SELECT 'M:' || {_T} || '.M0(int)' AS symbol_id, 4::INT AS complexity, 6::INT AS line_count, 10::INT AS score FROM s ORDER BY symbol_id LIMIT 10""")
+def parsed_hotspots(p: Parsed) -> DataFrame:
+    """The most complex methods: all suppliers' M0 are alike, so the first by id."""
+    return metrics.hotspots(p.metrics.where("symbol_id like '%.M0(int)'"), p.symbols, "deep").select("symbol_id", "complexity", "line_count", "score")
+
+
+@query(f"""{_S} SELECT 'T:' || {_T} AS id, 1::INT AS distance FROM s WHERE n = 1""")
+def parsed_derived(p: Parsed) -> DataFrame:
+    return hierarchy.derived(p.type_edges, "T:N1.Node", most=None).select("id", F.col("distance").cast("int").alias("distance"))
+
+
+@query(f"""{_S}, f AS (SELECT n, s, t FROM s WHERE s = {_FIRST}), m AS (SELECT unnest(['label', 'Name', 'M0', 'Call', 'S' || s, 'Extra' || s % 3]) AS name, unnest(['field', 'property', 'method', 'method', 'ctor', 'method']) AS kind, false AS is_inherited FROM f
+UNION ALL SELECT unnest(['M0', 'Shared', 'M0']), 'method', true FROM f) SELECT name, kind, is_inherited FROM m""")
+def parsed_inherited_members(p: Parsed) -> DataFrame:
+    """Members of the first supplier's class, with those of its base class and of the interface of that."""
+    first = p.symbols.where("type_kind = 'class' and name like 'S%'").agg(F.min_by("symbol_id", F.substring("name", 2, 20).cast("long"))).first()[0]
+    return listing.members(p.symbols, p.type_edges, first, inherited=True).select("name", "kind", "is_inherited")
+
+
+@query(f"""{_S}, r AS (SELECT n, s FROM s WHERE s = {_FIRST}) SELECT 'S' || s.s || '.cs' AS name, 2::INT AS count FROM s JOIN r USING (n) WHERE s.t = r.s ORDER BY name LIMIT 3""")
+def parsed_impact(p: Parsed) -> DataFrame:
+    """Files that name the class of the first supplier: that of the next one, for a parameter and a creation, and its own if it is its own neighbour."""
+    first = p.symbols.where("type_kind = 'class' and name like 'S%'").agg(F.min_by("symbol_id", F.substring("name", 2, 20).cast("long"))).first()[0]
+    return references.impact_hints(csharp.refs(p.bound), first)
