@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Nodes of a traversal step that are kept on the driver, at most.
 LOCAL_NODES = 1000
+#: Characters of text in a task.
+PIECE = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows dealt by ``key`` to tasks of ``PIECE`` characters of ``text`` each, about, but to no more than keep all cores busy.
+
+    Costly work on texts follows the number of files otherwise, and small texts fill only one.
+    """
+    spark = df.sparkSession
+    size = df.agg(F.sum(F.length(text))).first()[0] or 0
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(-(-size // PIECE), most)), key)
+
+
 def keep_first(df: DataFrame, key: list, order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``: an aggregation, so it combines before the shuffle."""
     names = df.columns

@@ -231,3 +231,19 @@ def test_long_spans_are_joined_by_coarser_blocks(spark):
     spans = spark.createDataFrame([("k", 0, 2_100_000_000, "all"), ("k", 5, 1, "one"), ("k", 1000, 5_000_000, "long"), ("k", 7, 0, "none")], "file string, start int, len int, name string")
     got = {(r["at"], r["name"]) for r in shapes.range_join(points, spans, "file", "at", "start", "len").collect()}
     assert got == {(p, "all") for p in (0, 5, 1023, 1024, 5_000_000, 2_000_000_000)} | {(5, "one"), (1023, "long"), (1024, "long"), (5_000_000, "long")}
+
+
+def test_texts_of_one_file_are_cut_by_several_tasks(spark):
+    """Texts that lie in one partition were all cut by one task; batches hold tokens of several documents."""
+    line = "class C { string s = \"x\"; int M(List<int> a) { return a.Count(1, 2) + 1; } }\n"
+    texts = [None, "", line, *[line * (20 + k) + f"/* {'x' * 30_000} */" for k in range(12)], line * 800, "// nothing\n"]
+    docs = spark.createDataFrame([(f"/d{k}.cs", str(k % 3), f"/p{k}.cs", t) for k, t in enumerate(texts)], "document_id string, project_id string, path string, text string").coalesce(1)
+    found = lexer.tokens(docs)
+    assert found.rdd.getNumPartitions() > 1
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault((r["document_id"], r["project_id"], r["path"]), []).append(r.asDict(recursive=True))
+    for k, t in enumerate(texts):
+        own = {"document_id": f"/d{k}.cs", "project_id": str(k % 3), "path": f"/p{k}.cs"}
+        want = [{f.name: {**r, **own}.get(f.name) for f in found.schema} for r in lexer.statements(t or "")]
+        assert sorted(got.get(tuple(own.values()), []), key=lambda r: r["i"]) == want
