@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASES, materialize_freed, mix, partitions_for, segments, utf8, working_on
+from .suffix_index import order_of
 
 #: Window starts that are hashed at a time.
 PIECE = 1 << 19
@@ -145,7 +146,7 @@ def _sorted_by(*keys: np.ndarray) -> np.ndarray:
     packed = np.zeros(len(keys[0]), np.int64)
     for k, n in zip(keys, bits):
         packed = packed << n | k
-    return np.argsort(packed)
+    return order_of(packed, (1 << sum(bits)) - 1)[0]
 
 
 def _merge_runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,26 +22,54 @@ from __future__ import annotations
 import numpy as np
 
 
-def sort_suffixes(units: np.ndarray) -> np.ndarray:
+def order_of(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of numbers from 0 to ``most``, and the numbers in it; places ride in the low bits where they fit, as sorting numbers is faster than sorting places."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if most.bit_length() + bits > 63:
+        by = np.argsort(key, kind="stable")
+        return by, key[by]
+    packed = key << bits | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1), packed >> bits
+
+
+def sort_suffixes(units: np.ndarray, separators: int = 0) -> np.ndarray:
     """Order of all suffixes by prefix doubling.
 
-    ``units`` are small numbers and must have separators that are all different.
+    ``units`` are small numbers and must have separators that are all different, one of them at the end.  If these
+    are the numbers below ``separators``, in order of place, the first sort is by several units at once.
     """
     n = len(units)
-    # a rank is the row of the first suffix that is equal so far; open suffixes share theirs with others
-    counts = np.bincount(units) if n else np.zeros(0, np.int64)
-    rank = (np.cumsum(counts) - counts)[units] if n else np.zeros(0, np.int64)
-    open_ = np.flatnonzero(counts[units] > 1) if n else np.zeros(0, np.int64)
-    size = 1
-    while len(open_):
-        key = rank[open_] * (n + 1) + np.where(open_ + size < n, rank[np.minimum(open_ + size, n - 1)] + 1, 0)
-        by = np.argsort(key)
-        open_, key = open_[by], key[by]
-        old, place = rank[open_], np.arange(len(by))
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.concatenate([[True], old[1:] != old[:-1]])
-        rank[open_] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
-        open_ = open_[~(fresh & np.append(fresh[1:], True))]
+    if not n:
+        return np.zeros(0, np.int64)
+    symbols = np.maximum(units - separators + 1, 0) if separators else units + 1
+    bits, size = max(int(symbols.max()).bit_length(), 1), 1
+    while separators and 2 * size * bits + n.bit_length() <= 63:
+        size *= 2
+    # what stands behind a separator doesn't count, as separators are all different
+    key, ended = symbols, symbols == 0
+    for k in range(1, size):
+        symbol = np.append(symbols[k:], np.zeros(min(k, n), np.int64))
+        key = key << bits | np.where(ended, 0, symbol)
+        ended |= symbol == 0
+    open_, key = order_of(key, (1 << size * bits) - 1)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (key[1:] != key[:-1]) | ended[open_[1:]]
+    # a rank is the row of the first suffix that is equal so far; open suffixes share theirs with others, and keep their rows
+    row = np.arange(n)
+    shift, rank = n.bit_length(), np.empty(n, np.int32)
+    while True:
+        own = np.maximum.accumulate(np.where(fresh, row, 0))
+        rank[open_] = own
+        shared = ~fresh
+        shared[:-1] |= ~fresh[1:]
+        open_, row, own = open_[shared], row[shared], own[shared]
+        if not len(open_):
+            break
+        by, key = order_of(own << shift | rank[open_ + size], (1 << 2 * shift) - 1)
+        open_ = open_[by]
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = key[1:] != key[:-1]
         size *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
@@ -64,6 +92,17 @@ def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     return out
 
 
+#: Bits of a word up to each of its places.
+_UPTO = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - np.arange(64, dtype=np.uint64))
+
+
+def _bits(n: int, places: np.ndarray) -> np.ndarray:
+    """A bit for each of ``n`` places, in words."""
+    padded = np.zeros((n // 64 + 1) * 64, np.uint8)
+    padded[places] = 1
+    return np.packbits(padded, bitorder="little").view(np.uint64)
+
+
 class _Index:
     """What both indexes share: the text of all contents, where they end, and the streaming."""
 
@@ -80,7 +119,7 @@ class _Index:
         text[keep] = coded + d
         text[ends] = np.arange(d)  # separators: all different, and below every symbol
         self.text, self.n, self.n_symbols = text, len(text), d + len(symbols)
-        suffixes = sort_suffixes(text)
+        suffixes = sort_suffixes(text, d)
         self._keep(text[suffixes - 1], suffixes)
 
     def _keep(self, transform: np.ndarray, suffixes: np.ndarray) -> None:
@@ -132,12 +171,20 @@ class RunLengthIndex(_Index):
         before, run = order[:-1], order[1:]
         self.match = np.zeros(len(first), np.int64)
         self.match[run] = match_lengths(self.text, self.first_sample[run] - 1, self.last_sample[before] - 1, self.width)
+        # where runs begin, as a bit a row, with the number of runs before each word of bits
+        self.words = _bits(self.n, first)
+        self.before = np.cumsum(np.bitwise_count(self.words), dtype=np.int64) - np.bitwise_count(self.words) - 1
         #: Whether a row shares ``width`` units with the one before it, as streams find out.
         self.joined = np.zeros(self.n, bool)
 
+    def runs(self, rows: np.ndarray) -> np.ndarray:
+        """Runs that hold rows."""
+        word = rows >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & _UPTO[rows & 63])
+
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Rows of the suffixes that are one unit longer to the left."""
-        run = np.searchsorted(self.first, rows, "right") - 1
+        run = self.runs(rows)
         return self.target[run] + rows - self.first[run]
 
     def _begin(self, contents):
@@ -146,10 +193,10 @@ class RunLengthIndex(_Index):
 
     def _step(self, state, active, places):
         rows, match = state[0][:active], state[1][:active]
-        run = np.searchsorted(self.first, rows, "right") - 1
-        inside = rows > self.first[run]
-        match[:] = np.where(inside, np.minimum(match + 1, self.width), self.match[run])
-        rows[:] = self.target[run] + rows - self.first[run]
+        run = self.runs(rows)
+        into = rows - self.first[run]
+        match[:] = np.where(into > 0, np.minimum(match + 1, self.width), self.match[run])
+        rows[:] = self.target[run] + into
         self.joined[rows] = match == self.width
         return rows
 

@@ -175,3 +175,20 @@ def test_op13(spark):
     assert got == plain_audit(docs, labels) and len(got) == 600 * 4
     assert filter_audit.filter_audit(table.limit(0), told).count() == 0
     assert filter_audit.filter_audit(table, told.limit(0)).agg(F.sum("good_lost")).first()[0] == 0
+
+
+def test_suffixes_are_sorted_by_several_units_at_once():
+    """The index's first sort takes several units, where separators in order of place end a suffix; runs are found by counts of bits."""
+    import numpy as np
+
+    from factgraph.llm.suffix_index import RunLengthIndex, sort_suffixes
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        parts = [rng.integers(0, rng.integers(1, 4), rng.integers(0, 30)) for _ in range(rng.integers(1, 6))]
+        units = [int(u) for k, p in enumerate(parts) for u in [*(p + len(parts)), k]]
+        want = sorted(range(len(units)), key=lambda i: units[i:])
+        assert sort_suffixes(np.array(units), len(parts)).tolist() == sort_suffixes(np.array(units)).tolist() == want
+        index = RunLengthIndex(parts, 3)
+        rows = np.arange(index.n)
+        assert index.runs(rows).tolist() == (np.searchsorted(index.first, rows, "right") - 1).tolist()
