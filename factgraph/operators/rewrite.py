@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 
+#: Documents whose edits are Python objects at a time.
+EDITED_ROWS = 64
 IDENTIFIER = re.compile(r"@?[^\W\d]\w*\Z")
 #: The reserved words of C#, which are names only behind an at sign.
 RESERVED = frozenset(
@@ -74,6 +76,16 @@ def _applied(text: str, todo: list[tuple]) -> tuple[str, int]:
     return "".join(out) + text[at:], len(todo)
 
 
+def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (document_id, path, text, edits) -> (document_id, path, text, edit_count); few rows at a time are Python objects, as each edit takes some hundred bytes."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, EDITED_ROWS):
+            part = batch.slice(a, EDITED_ROWS)
+            done = [_applied(text or "", [(e["line"], e["col"], e["length"], e["new_text"], e["old_text"]) for e in todo]) for text, todo in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            texts, counts = pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1).cast(pa.string()), texts, counts], names=["document_id", "path", "text", "edit_count"])
+
+
 def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """Documents with their edits applied and the number of edits; unchanged ones as they are.
 
@@ -85,12 +97,7 @@ def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
         edits = edits.withColumn("old_text", F.lit(None).cast("string"))
     per_document = edits.groupBy("path").agg(F.collect_set(F.struct("line", "col", "length", "new_text", "old_text")).alias("edits"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [_applied(text or "", [(e["line"], e["col"], e["length"], e["new_text"], e["old_text"]) for e in todo]) for text, todo in zip(frame["text"], frame["edits"])]
-            yield pd.DataFrame({"document_id": frame["document_id"], "path": frame["path"], "text": [t for t, _ in done], "edit_count": [n for _, n in done]})
-
-    edited = documents.join(per_document, "path").select("document_id", "path", "text", "edits").mapInPandas(run, "document_id string, path string, text string, edit_count int")
+    edited = documents.join(per_document, "path").select("document_id", "path", "text", "edits").mapInArrow(_edited, "document_id string, path string, text string, edit_count int")
     untouched = documents.join(edits.select("path").distinct(), "path", "left_anti").select("document_id", "path", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("edit_count"))
     return edited.unionByName(untouched)
 

@@ -247,3 +247,23 @@ def test_texts_of_one_file_are_cut_by_several_tasks(spark):
         own = {"document_id": f"/d{k}.cs", "project_id": str(k % 3), "path": f"/p{k}.cs"}
         want = [{f.name: {**r, **own}.get(f.name) for f in found.schema} for r in lexer.statements(t or "")]
         assert sorted(got.get(tuple(own.values()), []), key=lambda r: r["i"]) == want
+
+
+def test_edits_of_a_batch_are_not_all_objects_at_once():
+    """A batch has 10,000 documents with all their edits, which took some hundred bytes an edit in each Python worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    edit = {"line": 1, "col": 1, "length": 3, "new_text": "those", "old_text": "the"}
+    edits = [[{**edit, "line": k + 1} for k in range(20)]] * 2000
+    columns = [[f"d{i}" for i in range(2000)], [f"p{i}" for i in range(2000)], ["the x\n" * 20] * 2000]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(edits)], names=["document_id", "path", "text", "edits"])
+    tracemalloc.start()
+    rows, peak = 0, 0
+    for part in rewrite._edited(iter([batch])):
+        rows += part.num_rows
+        assert part.column(2).to_pylist() == ["those x\n" * 20] * part.num_rows and set(part.column(3).to_pylist()) == {20}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 3_000_000
