@@ -18,6 +18,7 @@ What this doesn't do: conversions between argument types, type inference beyond
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -395,7 +396,10 @@ def bind(parsed: dict[str, DataFrame], types: DataFrame, members: DataFrame, usi
     wide = cut_lineage(reach.unionByName(outward.join(reach.withColumnRenamed("type_id", "by"), "by").select("type_id", "parent_id", (F.col("distance") + F.col("far")).alias("distance"))))
     project = F.coalesce("project_id", F.lit("")).alias("project")
     named = parsed["types"].select("document_id", _name_place(F.col("before"))["start"].alias("start")).unionByName(parsed["members"].select("document_id", _name_place(F.col("before"))["start"].alias("start")))
-    words = token_rows.where((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS)).join(named, ["document_id", "start"], "left_anti")
+    # a word that no symbol and no alias is called by is bound to nothing, and most words are such
+    called = reduce(DataFrame.unionByName, [members.select("name"), types.select("name"), using_rows.select(F.col("alias").alias("name"))]).where("name is not null").distinct()
+    words = token_rows.where((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS)).join(called.withColumnRenamed("name", "text"), "text", "left_semi")
+    words = words.join(named, ["document_id", "start"], "left_anti")
     words = words.join(where, _AT, "left").select("document_id", project, "path", "i", "line", "col", F.col("text").alias("name"), "receiver", "argc", F.coalesce("arity", F.lit(-1)).alias("arity"), "made", "type_id", F.coalesce("scope", F.lit("")).alias("scope"), "member_head", "member_id")
     local = cut_lineage(variables(rows, where, parsed["members"], functions))
     words = cut_lineage(words.join(local.select("document_id", "member_head", "name", F.lit(True).alias("is_local")), ["document_id", "member_head", "name"], "left"))
@@ -543,14 +547,24 @@ def actions(diagnostic_rows: DataFrame, rows: DataFrame, where: DataFrame) -> Da
 # --- all facts ---------------------------------------------------------------------------------
 
 
-def parse(docs: DataFrame) -> dict[str, DataFrame]:
-    """What documents say by themselves, each table written once to the shared folder."""
-    words = cut_lineage(lexer.tokens(docs))
-    rows = cut_lineage(statements(words))
-    types = cut_lineage(type_declarations(rows))
-    members = cut_lineage(member_declarations(rows, types))
-    functions = cut_lineage(local_functions(rows, members))
-    return {"tokens": words, "statements": rows, "types": types, "members": members, "functions": functions, "places": cut_lineage(places(rows, types, members))}
+class Tables(dict):
+    """Tables by name, each made and written once to the shared folder, when it is first asked for."""
+
+    def __init__(self, steps: dict[str, Callable[[Tables], DataFrame]]):
+        super().__init__()
+        self.steps = steps
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = cut_lineage(self.steps[name](self))
+        return self[name]
+
+
+def parse(docs: DataFrame) -> Tables:
+    """What documents say by themselves: tokens, statements, types, members, functions and places."""
+    return Tables({
+        "tokens": lambda t: lexer.tokens(docs), "statements": lambda t: statements(t["tokens"]), "types": lambda t: type_declarations(t["statements"]), "members": lambda t: member_declarations(t["statements"], t["types"]),
+        "functions": lambda t: local_functions(t["statements"], t["members"]), "places": lambda t: places(t["statements"], t["types"], t["members"]),
+    })
 
 
 def _own_facts(parsed: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -64,10 +64,11 @@ def run(parsed: dict[str, DataFrame], more: Mapping[str, Rule] = {}) -> tuple[Da
     Every rule's rows are written before the next one runs, so a failure is known to be that rule's.
     """
     found, failed = [], {}
+    spark = parsed["tokens"].sparkSession
+    parsed["places"]  # what it and the rules need is written here, as no rule is to blame for it
     for name, rule in {**RULES, **more}.items():
         try:
             found.append(cut_lineage(conform("diagnostics", rule(parsed))))
         except Exception as e:  # a rule may fail in any way
             failed[name] = f"{type(e).__name__}: {e}"[:500]
-    spark = parsed["tokens"].sparkSession
     return reduce(DataFrame.unionByName, found, spark.createDataFrame([], FACTS["diagnostics"])), failed

@@ -267,3 +267,21 @@ def test_edits_of_a_batch_are_not_all_objects_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 2000 and peak < 3_000_000
+
+
+def test_tokens_of_a_text_are_columns():
+    """A token was a dict of its own until its batch was written, which took most of the time of cutting a text."""
+    import tracemalloc
+
+    text = "class C { int M(int a, int b) { if (a > b) { return a + 1; } return M(b, a); } }\n" * 400
+    n = lexer._record([(("d", "p", "p"), text, lexer._columns(text))]).num_rows
+    tracemalloc.start()
+    record = lexer._record([(("d", "p", "p"), text, lexer._columns(text))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert record.num_rows == n and peak < 500 * n
+
+
+def test_only_tables_that_are_asked_for_are_written(spark):
+    parsed = parse(spark, TRICKY)
+    assert parsed["types"].count() and set(parsed) == {"tokens", "statements", "types"}
