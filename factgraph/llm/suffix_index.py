@@ -44,8 +44,8 @@ def sort_suffixes(units: np.ndarray, separators: int = 0) -> np.ndarray:
         return np.zeros(0, np.int64)
     symbols = np.maximum(units - separators + 1, 0) if separators else units + 1
     bits, size = max(int(symbols.max()).bit_length(), 1), 1
-    while separators and 2 * size * bits + n.bit_length() <= 63:
-        size *= 2
+    if separators:
+        size = max((63 - n.bit_length()) // bits, 1)
     # what stands behind a separator doesn't count, as separators are all different
     key, ended = symbols, symbols == 0
     for k in range(1, size):
@@ -76,6 +76,15 @@ def sort_suffixes(units: np.ndarray, separators: int = 0) -> np.ndarray:
     return order
 
 
+def coded(values: np.ndarray, most: int = 1 << 16) -> tuple[np.ndarray, int]:
+    """Numbers as their rank among those that occur, and how many occur; small numbers are told apart without a sort."""
+    if len(values) and 0 <= values.min() and values.max() < most:
+        occurs = np.bincount(values) > 0
+        return (np.cumsum(occurs) - 1)[values], int(occurs.sum())
+    known, ranks = np.unique(values, return_inverse=True)
+    return ranks, len(known)
+
+
 def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Units that the suffixes at ``a`` and ``b`` have in common at their start, at most ``most``."""
     out = np.full(len(a), most, np.int64)
@@ -110,15 +119,15 @@ class _Index:
         self.width = width
         self.sizes = np.array([len(c) for c in contents], np.int64)
         d = len(contents)
-        symbols, coded = np.unique(np.concatenate(contents), return_inverse=True) if d else (np.zeros(0), np.zeros(0, np.int64))
+        ranks, n_symbols = coded(np.concatenate(contents)) if d else (np.zeros(0, np.int64), 0)
         self.at = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         text = np.empty(self.at[-1], np.int64)
         ends = self.at[1:] - 1
         keep = np.ones(len(text), bool)
         keep[ends] = False
-        text[keep] = coded + d
+        text[keep] = ranks + d
         text[ends] = np.arange(d)  # separators: all different, and below every symbol
-        self.text, self.n, self.n_symbols = text, len(text), d + len(symbols)
+        self.text, self.n, self.n_symbols = text, len(text), d + n_symbols
         suffixes = sort_suffixes(text, d)
         self._keep(text[suffixes - 1], suffixes)
 
@@ -146,8 +155,11 @@ class _Index:
         by_size = np.argsort(-self.sizes, kind="stable")
         sizes, end, at = self.sizes[by_size], self.at[by_size + 1] - 1, flat_at[by_size]
         state = self._begin(by_size)
-        for t in range(1, int(sizes.max(initial=0)) + 1):
-            active = int(np.searchsorted(-sizes, -t, "right"))
+        # contents of at least t units
+        longest = int(sizes.max(initial=0))
+        reaching = np.cumsum(np.bincount(sizes, minlength=longest + 1)[::-1])[::-1].tolist()
+        for t in range(1, longest + 1):
+            active = reaching[t]
             rows = self._step(state, active, end[:active] - t)
             if t >= self.width:
                 flat[at[:active] + sizes[:active] - t] = rows
@@ -163,7 +175,7 @@ class RunLengthIndex(_Index):
         self.first, self.head = first, transform[first]
         lengths = np.diff(np.append(first, self.n))
         # rows are stepped to in order of symbol, then of row
-        order = np.argsort(self.head, kind="stable")
+        order = np.argsort(self.head.astype(np.uint16) if self.n_symbols <= 1 << 16 else self.head, kind="stable")  # numbers of 16 bits are sorted by digits
         self.target = np.empty(len(first), np.int64)
         self.target[order] = np.cumsum(lengths[order]) - lengths[order]
         self.first_sample, self.last_sample = suffixes[first], suffixes[np.append(first[1:], self.n) - 1]
@@ -201,8 +213,7 @@ class RunLengthIndex(_Index):
         return rows
 
     def _intervals(self, rows):
-        begin = np.flatnonzero(~self.joined)
-        return begin[np.searchsorted(begin, rows, "right") - 1]
+        return np.maximum.accumulate(np.where(self.joined, 0, np.arange(self.n)))[rows]
 
     def locate(self, row: int) -> int:
         """Place of the suffix in ``row``, by stepping to the end of a run."""

@@ -192,3 +192,25 @@ def test_suffixes_are_sorted_by_several_units_at_once():
         index = RunLengthIndex(parts, 3)
         rows = np.arange(index.n)
         assert index.runs(rows).tolist() == (np.searchsorted(index.first, rows, "right") - 1).tolist()
+
+
+def test_index_of_bytes_is_made_and_streamed_without_searches(monkeypatch):
+    """Each step searched all sizes, all windows were searched among intervals, and bytes were sorted to be numbered."""
+    import numpy as np
+
+    from factgraph.llm import suffix_index
+
+    rng = np.random.default_rng(5)
+    for most in (3, 1 << 40):
+        values = rng.integers(0, most, 500)
+        known, ranks = np.unique(values, return_inverse=True)
+        found, n = suffix_index.coded(values)
+        assert n == len(known) and (found == ranks).all()
+    parts = [rng.integers(97, 100, n) for n in (40, 3, 0, 25)] + [np.full(30, 97)]
+    windows = [tuple(p[i : i + 4]) for p in parts for i in range(len(p) - 3)]
+    asked = []
+    for name in ("searchsorted", "unique"):
+        monkeypatch.setattr(np, name, lambda *a, _name=name, _f=getattr(np, name), **b: asked.append(_name) or _f(*a, **b))
+    classes = np.concatenate(suffix_index.RunLengthIndex(parts, 4).stream()).tolist()
+    assert not asked
+    assert len(classes) == len(windows) and len(set(zip(classes, windows))) == len(set(classes)) == len(set(windows))
