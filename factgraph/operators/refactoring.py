@@ -69,7 +69,7 @@ def require_action(actions: DataFrame, action_id: str, version: int) -> DataFram
 
 def statements_of(documents: DataFrame) -> DataFrame:
     """Statements of documents (path, text), see ``csharp.statements``."""
-    return csharp.statements(lexer.tokens(_whole(documents)))
+    return csharp.statements(lexer.grouped(_whole(documents), whole=False))
 
 
 def _whole(documents: DataFrame) -> DataFrame:

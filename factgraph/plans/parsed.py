@@ -13,9 +13,11 @@ from ..sources.written import Parsed
 from .registry import ORACLE_SQL, QUERIES
 
 
-def query(sql: str):
+def query(sql: str, whole: bool = True):
+    """Registers a query with its SQL; ``whole`` is False for those that need declarations alone, and no tokens."""
+
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Parsed(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Parsed(spark, sf_dir, whole))
         ORACLE_SQL[f.__name__] = sql
         return f
 
@@ -39,18 +41,18 @@ UNION ALL SELECT 'T:' || {_T}, 'S' || s, 'class', 'public', 6, 28, 14 FROM s
 UNION ALL SELECT 'T:N' || n || '.IWork', 'IWork', 'interface', 'public', 3, 3, 22 FROM w UNION ALL SELECT 'M:N' || n || '.IWork.M0(int)', 'M0', 'method', 'public', 3, 3, 34 FROM w
 UNION ALL SELECT 'T:' || {_N}, 'Node', 'class', 'public', 4, 8, 27 FROM w UNION ALL SELECT 'M:' || {_N} || '.M0(int)', 'M0', 'method', 'public', 6, 6, 28 FROM w
 UNION ALL SELECT 'M:' || {_N} || '.Shared(int, int)', 'Shared', 'method', 'protected', 7, 7, 23 FROM w)
-SELECT symbol_id, name, kind, accessibility, line::INT AS line, end_line::INT AS end_line, col::INT AS col FROM m""")
+SELECT symbol_id, name, kind, accessibility, line::INT AS line, end_line::INT AS end_line, col::INT AS col FROM m""", whole=False)
 def parsed_symbols(p: Parsed) -> DataFrame:
     return p.symbols.select("symbol_id", "name", F.coalesce("type_kind", "member_kind").alias("kind"), "accessibility", "line", "end_line", "col")
 
 
 @query(f"""{_S} SELECT 'T:' || {_T} AS type_id, 'T:' || {_N} AS parent_id, 'base' AS edge_kind FROM s
-UNION ALL SELECT 'T:' || {_N}, 'T:N' || n || '.IWork', 'interface' FROM w""")
+UNION ALL SELECT 'T:' || {_N}, 'T:N' || n || '.IWork', 'interface' FROM w""", whole=False)
 def parsed_type_edges(p: Parsed) -> DataFrame:
     return p.type_edges.select("type_id", "parent_id", "edge_kind")
 
 
-@query(f"""{_S} SELECT 'M:N' || n || '.IWork.M0(int)' AS symbol_id, 'M:' || {_T} || '.M0(int)' AS impl_id FROM s UNION ALL SELECT 'M:N' || n || '.IWork.M0(int)', 'M:' || {_N} || '.M0(int)' FROM w""")
+@query(f"""{_S} SELECT 'M:N' || n || '.IWork.M0(int)' AS symbol_id, 'M:' || {_T} || '.M0(int)' AS impl_id FROM s UNION ALL SELECT 'M:N' || n || '.IWork.M0(int)', 'M:' || {_N} || '.M0(int)' FROM w""", whole=False)
 def parsed_impl_edges(p: Parsed) -> DataFrame:
     return p.impl_edges
 
@@ -128,7 +130,7 @@ def parsed_callers(p: Parsed) -> DataFrame:
     return p.symbols.join(found, "symbol_id", "left_semi").select("display_fq")
 
 
-@query(f"""{_S} SELECT 'T:' || {_T} AS symbol_id FROM s WHERE n = 1 UNION ALL SELECT 'T:N1.Node'""")
+@query(f"""{_S} SELECT 'T:' || {_T} AS symbol_id FROM s WHERE n = 1 UNION ALL SELECT 'T:N1.Node'""", whole=False)
 def parsed_implementations(p: Parsed) -> DataFrame:
     return hierarchy.implementations(p.type_edges, p.impl_edges, p.symbols, "T:N1.IWork").select("symbol_id")
 
@@ -171,13 +173,13 @@ def parsed_hotspots(p: Parsed) -> DataFrame:
     return metrics.hotspots(p.metrics.where("symbol_id like '%.M0(int)'"), p.symbols, "deep").select("symbol_id", "complexity", "line_count", "score")
 
 
-@query(f"""{_S} SELECT 'T:' || {_T} AS id, 1::INT AS distance FROM s WHERE n = 1""")
+@query(f"""{_S} SELECT 'T:' || {_T} AS id, 1::INT AS distance FROM s WHERE n = 1""", whole=False)
 def parsed_derived(p: Parsed) -> DataFrame:
     return hierarchy.derived(p.type_edges, "T:N1.Node", most=None).select("id", F.col("distance").cast("int").alias("distance"))
 
 
 @query(f"""{_S}, f AS (SELECT n, s, t FROM s WHERE s = {_FIRST}), m AS (SELECT unnest(['label', 'Name', 'M0', 'Call', 'S' || s, 'Extra' || s % 3]) AS name, unnest(['field', 'property', 'method', 'method', 'ctor', 'method']) AS kind, false AS is_inherited FROM f
-UNION ALL SELECT unnest(['M0', 'Shared', 'M0']), 'method', true FROM f) SELECT name, kind, is_inherited FROM m""")
+UNION ALL SELECT unnest(['M0', 'Shared', 'M0']), 'method', true FROM f) SELECT name, kind, is_inherited FROM m""", whole=False)
 def parsed_inherited_members(p: Parsed) -> DataFrame:
     """Members of the first supplier's class, with those of its base class and of the interface of that."""
     first = p.symbols.where("type_kind = 'class' and name like 'S%'").agg(F.min_by("symbol_id", F.substring("name", 2, 20).cast("long"))).first()[0]

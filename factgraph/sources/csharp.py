@@ -43,6 +43,8 @@ _MODS = f"(?:(?:{_MODIFIERS}) )*"
 _NOT = "(?!(?:return|throw|await|yield|goto|case|else|using|new|in|is|as|delegate|event|operator|this|base|where|when|out|lock|if|for|foreach|while|switch|namespace|class|struct|interface|enum|get|set|add|remove|global|extern) )"
 #: Patterns over headers: what stands before the name, the name, and what a declaration has behind it.
 TYPE_DECL = f"^({_MODS}(class|interface|struct|enum|record(?: class| struct)?) )({_NAME})({_ANGLE})(?: \\( (.*?)\\))?(?: : (.*?))?(?: where .*)?$"
+#: A type's header has one of these.
+TYPE_WORDS = ("class ", "interface ", "struct ", "enum ", "record ", "delegate ")
 DELEGATE = f"^({_MODS}delegate {_TYPE} )({_NAME})({_ANGLE}) \\( (.*?)\\)(?: where .*)?$"
 NAMESPACE = f"^namespace ({_NAME}(?: \\. {_NAME})*)$"
 USING = f"^(global )?using (?:(static) )?(?:({_NAME}) = )?((?:global :: )?{_NAME}(?: \\. {_NAME})*)$"
@@ -182,10 +184,10 @@ def _access(modifiers: Column, default: str | Column) -> Column:
     )
 
 
-def statements(token_rows: DataFrame) -> DataFrame:
-    """Statements and declarations: the rows of their first tokens."""
-    return token_rows.where(F.col("header").isNotNull()).select(
-        "document_id", "project_id", "path", F.col("i").alias("head"), "owner", "last", "header", "ender", "body_at", "made_type", "value", "scopes", "places", "start", "end", "line", "col", "end_line", "end_col", "role"
+def statements(rows: DataFrame) -> DataFrame:
+    """Statements and declarations: rows of ``lexer.grouped``, or those of first tokens."""
+    return rows.where(F.col("header").isNotNull()).select(
+        "document_id", "project_id", "path", "head", "owner", "last", "header", "ender", "body_at", "made_type", "value", "scopes", "places", "start", "end", "line", "col", "end_line", "end_col", "role", "in_type"
     )
 
 
@@ -201,6 +203,9 @@ def _parameters(listed: Column, group: int) -> Column:
 
 def type_declarations(rows: DataFrame) -> DataFrame:
     """Types with the names of what is around them; their statement's columns stay."""
+    # few statements are declarations, and the tests on all of them are costly, so they are done once
+    word = reduce(Column.__or__, [F.col("header").contains(w) for w in TYPE_WORDS])
+    rows = cut_lineage(rows.where(F.col("header").startswith("namespace ") | word).where(F.col("header").rlike(NAMESPACE) | F.col("header").rlike(TYPE_DECL) | F.col("header").rlike(DELEGATE)))
     is_delegate = F.col("header").rlike(DELEGATE)
     by = lambda i, j: F.when(is_delegate, _group(DELEGATE, j)).otherwise(_group(TYPE_DECL, i))
     spaces = rows.where(F.col("header").rlike(NAMESPACE)).select("document_id", "head", "ender", F.replace(_group(NAMESPACE, 1), F.lit(" "), F.lit("")).alias("name"))
@@ -222,22 +227,28 @@ def type_declarations(rows: DataFrame) -> DataFrame:
 def member_declarations(rows: DataFrame, types: DataFrame) -> DataFrame:
     """Members with their type; their statement's columns stay."""
     holders = types.select("document_id", F.col("head").alias("owner"), "type_id", "type_fq", "namespace", "outer_types", F.col("name").alias("type_name"), F.col("type_kind").alias("holder_kind"))
-    inner = rows.join(holders, ["document_id", "owner"]).where(~F.col("header").rlike(TYPE_DECL) & ~F.col("header").rlike(DELEGATE))
+    # the lexer knows which statements stand in what looks like a type; no other is a member
+    inner = rows.where("in_type").where(~F.col("header").rlike(TYPE_DECL) & ~F.col("header").rlike(DELEGATE)).join(holders, ["document_id", "owner"])
     is_enum, body = F.col("holder_kind") == "enum", F.col("ender").isin("{", "=>")
+    has = F.col("header").contains
+    # a pattern's groups at once; a header that doesn't match has no mark
+    groups = lambda pattern, n: F.regexp_replace("header", pattern, "\x01".join(f"${i}" for i in range(1, n + 1)))
+    inner = inner.withColumn("_method", F.when(has(" ( "), groups(METHOD, 4)))
     kind = (
-        F.when(is_enum, F.when(F.col("header").rlike(ENUM_MEMBER), "field")).when(F.col("header").rlike(EVENT), "event").when(F.col("header").rlike(CTOR) & (_group(CTOR, 2) == F.col("type_name")), "ctor")
-        .when(F.col("header").rlike(METHOD), "method").when(body & F.col("header").rlike(PROPERTY), "property").when(~body & F.col("header").rlike(FIELD), "field")
+        F.when(is_enum, F.when(F.col("header").rlike(ENUM_MEMBER), "field")).when(has("event ") & F.col("header").rlike(EVENT), "event").when(has(F.concat("type_name", F.lit(" ( "))) & F.col("header").rlike(CTOR) & (_group(CTOR, 2) == F.col("type_name")), "ctor")
+        .when(F.col("_method").contains("\x01"), "method").when(body & F.col("header").rlike(PROPERTY), "property").when(~body & F.col("header").rlike(FIELD), "field")
     )
     inner = inner.withColumn("member_kind", kind).where(F.col("member_kind").isNotNull())
-    of = lambda i: F.when(is_enum, _group(ENUM_MEMBER, i)).when(F.col("member_kind") == "event", _group(EVENT, i)).when(F.col("member_kind") == "ctor", _group(CTOR, i)).when(F.col("member_kind") == "method", _group(METHOD, i)).when(F.col("member_kind") == "property", _group(PROPERTY, i)).otherwise(_group(FIELD, i))
-    listed = F.when(F.col("member_kind") == "ctor", _group(CTOR, 4)).when(F.col("member_kind") == "method", _group(METHOD, 4)).otherwise("")
-    inner = inner.withColumn("before", of(1)).withColumn("name", of(2)).withColumn("param_types", _parameters(listed, 1)).withColumn("param_names", _parameters(listed, 2))
-    angle = F.when(F.col("member_kind") == "method", _group(METHOD, 3)).otherwise("")
+    parts = F.when(is_enum, groups(ENUM_MEMBER, 2)).when(F.col("member_kind") == "event", groups(EVENT, 2)).when(F.col("member_kind") == "ctor", groups(CTOR, 4)).when(F.col("member_kind") == "method", F.col("_method")).when(F.col("member_kind") == "property", groups(PROPERTY, 2)).otherwise(groups(FIELD, 2))
+    inner = inner.withColumn("_parts", F.split(parts, "\x01"))
+    of = lambda i: F.coalesce(F.get("_parts", F.lit(i - 1)), F.lit(""))
+    inner = inner.withColumn("before", of(1)).withColumn("name", of(2)).withColumn("param_types", _parameters(of(4), 1)).withColumn("param_names", _parameters(of(4), 2))
+    angle = of(3)
     inner = inner.withColumn("arity", F.when(angle == "", 0).otherwise(F.size(F.split(angle, ","))))
     inner = inner.withColumn("return_type", F.when(is_enum, F.col("type_name")).otherwise(F.nullif(compact(F.regexp_replace("before", f"^{_MODS}(?:event )?", "")), F.lit(""))))
     shown = F.when(F.col("member_kind").isin("method", "ctor"), F.concat("name", F.lit("("), F.array_join("param_types", ", "), F.lit(")"))).otherwise(F.col("name"))
-    setters = rows.where(F.col("header").rlike("(^| )(?:set|init)$")).select("document_id", F.col("owner").alias("head"), F.lit(True).alias("sets")).distinct()
-    return inner.withColumn("shown", shown).withColumn("symbol_id", F.concat(F.lit("M:"), "type_fq", F.lit("."), "shown")).join(setters, _AT, "left")
+    setters = rows.where(F.col("header").isin("set", "init") | F.col("header").endswith(" set") | F.col("header").endswith(" init")).select("document_id", F.col("owner").alias("head"), F.lit(True).alias("sets")).distinct()
+    return inner.drop("_parts", "_method").withColumn("shown", shown).withColumn("symbol_id", F.concat(F.lit("M:"), "type_fq", F.lit("."), "shown")).join(setters, _AT, "left")
 
 
 def symbols(types: DataFrame, members: DataFrame) -> DataFrame:
@@ -268,7 +279,7 @@ def symbols(types: DataFrame, members: DataFrame) -> DataFrame:
 
 def local_functions(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Functions declared within a member: the statement's columns, name and the member's head and id."""
-    found = rows.where(F.col("header").rlike(METHOD) & F.col("ender").isin("{", "=>") & (F.size("scopes") > 0)).withColumn("name", _group(METHOD, 2))
+    found = rows.where(F.col("ender").isin("{", "=>") & (F.size("scopes") > 0) & F.col("header").contains(" ( ")).where(F.col("header").rlike(METHOD)).withColumn("name", _group(METHOD, 2))
     within = found.select("document_id", "head", F.explode("scopes").alias("member_head")).join(members.select("document_id", F.col("head").alias("member_head"), "symbol_id"), ["document_id", "member_head"])
     types = _parameters(_group(METHOD, 4), 1)
     return found.join(within, _AT).withColumn("symbol_id", F.concat("symbol_id", F.lit("/"), "name", F.lit("("), F.array_join(types, ", "), F.lit(")"))).withColumn("param_names", _parameters(_group(METHOD, 4), 2)).withColumn("param_types", types)
@@ -548,22 +559,35 @@ def actions(diagnostic_rows: DataFrame, rows: DataFrame, where: DataFrame) -> Da
 
 
 class Tables(dict):
-    """Tables by name, each made and written once to the shared folder, when it is first asked for."""
+    """Tables by name, each made and written once to the shared folder, when it is first asked for; views are of written tables."""
 
-    def __init__(self, steps: dict[str, Callable[[Tables], DataFrame]]):
+    def __init__(self, views: dict[str, Callable[[Tables], DataFrame]], steps: dict[str, Callable[[Tables], DataFrame]]):
         super().__init__()
-        self.steps = steps
+        self.views, self.steps = views, steps
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = cut_lineage(self.steps[name](self))
+        self[name] = self.views[name](self) if name in self.views else cut_lineage(self.steps[name](self))
         return self[name]
 
 
-def parse(docs: DataFrame) -> Tables:
-    """What documents say by themselves: tokens, statements, types, members, functions and places."""
-    return Tables({
-        "tokens": lambda t: lexer.tokens(docs), "statements": lambda t: statements(t["tokens"]), "types": lambda t: type_declarations(t["statements"]), "members": lambda t: member_declarations(t["statements"], t["types"]),
-        "functions": lambda t: local_functions(t["statements"], t["members"]), "places": lambda t: places(t["statements"], t["types"], t["members"]),
+def parse(docs: DataFrame, whole: bool = True) -> Tables:
+    """What documents say by themselves: tokens, statements, types, members, functions and places.
+
+    Cutting the texts gives tokens and statements, which are views of one table.  Without ``whole`` it gives statements
+    alone, and texts are cut again if tokens are asked for.
+    """
+
+    def cut(tables: Tables, name: str, whole: bool) -> DataFrame:
+        rows = cut_lineage(lexer.grouped(docs, whole))
+        tables["statements"] = statements(rows)
+        if whole:
+            tables["tokens"] = lexer.flat(rows)
+        return tables[name]
+
+    views = {"tokens": lambda t: cut(t, "tokens", True), "statements": lambda t: cut(t, "statements", whole)}
+    return Tables(views, {
+        "types": lambda t: type_declarations(t["statements"]), "members": lambda t: member_declarations(t["statements"], t["types"]),
+        "functions": lambda t: local_functions(t["statements"], t["members"]), "places": lambda t: places(t["statements"], t["types"], t["members"]), "unread": rules.unread,
     })
 
 

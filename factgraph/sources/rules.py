@@ -26,18 +26,23 @@ def _found(rows: DataFrame, code: Column, message: Column, place: Column, length
     return rows.select(code.alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(category).alias("category"), F.col("path").alias("file"), "project_id", "document_id", place["line"].alias("line"), place["col"].alias("col"), place["start"].alias("span_start"), length.alias("span_len"))
 
 
-def _unread(parsed: dict[str, DataFrame]) -> DataFrame:
-    """Locals that are named nowhere else in their member."""
+def unread(parsed: dict[str, DataFrame]) -> DataFrame:
+    """Locals with no, a constant or another variable's value that are named nowhere else in their member."""
     from .csharp import locals_of
 
+    rows = locals_of(parsed["statements"], parsed["places"]).where((F.col("ender") == ";") | F.col("value").rlike(CONSTANT) | F.col("value").rlike(COPIED))
     where = parsed["places"].where("member_head is not null").select("document_id", "head", "member_head")
-    times = parsed["tokens"].where(F.col("kind") == "word").join(where, ["document_id", "head"]).groupBy("document_id", "member_head", F.col("text").alias("name")).agg(F.count(F.lit(1)).alias("times"))
-    return locals_of(parsed["statements"], parsed["places"]).join(times.where("times = 1"), ["document_id", "member_head", "name"])
+    # words of a member are counted if one of its locals is asked about, and only those that such a local is called by
+    asked = rows.groupBy("document_id", "member_head").agg(F.collect_set("name").alias("names"))
+    asked = where.join(asked, ["document_id", "member_head"])
+    times = parsed["tokens"].where(F.col("kind") == "word").select("document_id", "head", F.col("text").alias("name")).join(asked, ["document_id", "head"]).where(F.array_contains("names", F.col("name")))
+    times = times.groupBy("document_id", "member_head", "name").agg(F.count(F.lit(1)).alias("times"))
+    return rows.join(times.where("times = 1"), ["document_id", "member_head", "name"])
 
 
 def unused_locals(parsed: dict[str, DataFrame]) -> DataFrame:
     """Locals without a value, or with a constant one, that are never read."""
-    rows = _unread(parsed).where((F.col("ender") == ";") | F.col("value").rlike(CONSTANT))
+    rows = parsed["unread"].where((F.col("ender") == ";") | F.col("value").rlike(CONSTANT))
     assigned = F.col("ender") == "="
     message = F.concat(F.lit("The variable '"), "name", F.when(assigned, "' is assigned but its value is never used").otherwise("' is declared but never used"))
     return _found(rows, F.when(assigned, "CS0219").otherwise("CS0168"), message, F.element_at("places", -1), F.length("name"))
@@ -45,7 +50,7 @@ def unused_locals(parsed: dict[str, DataFrame]) -> DataFrame:
 
 def unused_copies(parsed: dict[str, DataFrame]) -> DataFrame:
     """Locals that take over another variable's value and are never read."""
-    rows = _unread(parsed).where((F.col("ender") == "=") & F.col("value").rlike(COPIED) & ~F.col("value").rlike(CONSTANT))
+    rows = parsed["unread"].where((F.col("ender") == "=") & F.col("value").rlike(COPIED) & ~F.col("value").rlike(CONSTANT))
     return _found(rows, F.lit("IDE0059"), F.concat(F.lit("Unnecessary assignment of a value to '"), "name", F.lit("'")), F.element_at("places", -1), F.length("name"), "style", "info")
 
 

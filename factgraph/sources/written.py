@@ -78,10 +78,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Parsed:
-    """Facts of the written sources, each step done when it is asked for."""
+    """Facts of the written sources, each step done when it is asked for; ``whole`` is for facts that need tokens."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True):
+        self.spark, self.dir, self.whole = spark, sf_dir, whole
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -89,7 +89,7 @@ class Parsed:
 
     @cached_property
     def parsed(self) -> dict[str, DataFrame]:
-        return csharp.parse(self.documents)
+        return csharp.parse(self.documents, self.whole)
 
     @cached_property
     def symbols(self) -> DataFrame:

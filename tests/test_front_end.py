@@ -285,3 +285,21 @@ def test_tokens_of_a_text_are_columns():
 def test_only_tables_that_are_asked_for_are_written(spark):
     parsed = parse(spark, TRICKY)
     assert parsed["types"].count() and set(parsed) == {"tokens", "statements", "types"}
+
+
+def test_declarations_need_no_tokens(spark):
+    """Queries for declarations wrote a row per token, which were most of their rows, and tested every statement for all kinds of declarations."""
+    docs = spark.createDataFrame([("d0", "p", "d0", TRICKY)], DOCS)
+    bare, full = csharp.parse(docs, whole=False), csharp.parse(docs)
+    for name in ("types", "members", "functions", "places"):
+        got, want = ([r.asDict(recursive=True) for r in t[name].collect()] for t in (bare, full))
+        assert sorted(map(str, got)) == sorted(map(str, want)) and (got or name == "functions")
+    assert "tokens" not in bare
+    # a statement that stands in no type is no candidate for a member
+    assert {r["in_type"] for r in bare["members"].collect()} == {True} and not bare["statements"].where("in_type").join(bare["functions"], ["document_id", "head"]).count()
+
+
+def test_a_text_without_directives_and_holes_is_cut_alike():
+    for text in ('class C { string s = "a\\"b"; /* x */ char c = \'\\\'\'; }\n', "a // b\n\t@\"x\"\"y\" 1.5f => ?? x", '"""raw "x" """ é_1 \x00'):
+        fast, slow = lexer.cut(text), lexer.cut(text + "\n#")
+        assert fast == slow and fast
