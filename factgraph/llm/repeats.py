@@ -46,6 +46,8 @@ PIECE = 1 << 19
 GATHER_ROWS = 1 << 20
 #: Units in one index, and contents of an anchor above which its windows are dealt one by one.
 INDEX_UNITS, HOT_CONTENTS = 1 << 19, 1000
+#: Bytes of contents in a batch, about.
+CONTENT_BYTES = 1 << 22
 #: Windows of a first document that make a shard with the ranges linked to them.
 BLOCK = 512
 _PLACE_BITS = np.uint64(22)
@@ -382,22 +384,36 @@ def _fetch(kind: Kind):
         if len(gone):
             yield with_content(_removed(doc[gone], lo[gone], lo[gone] + kind.width, names))
 
+    def contents(parts: list, ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """Contents of several documents as one batch."""
+        h1, lo, hi, doc, found = (list(x) for x in zip(*parts))
+        h1, lo, hi = (np.concatenate(x) for x in (h1, lo, hi))
+        doc = np.repeat(doc, [len(f) for f in found])
+        rows = _batch(FETCH, h1, np.zeros(len(h1), np.int64), doc, lo, hi, (ids, keys))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array([c for f in found for c in f], pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             raw, offsets = utf8(batch.column(2))
-            ids, keys, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            ids, keys, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            spots, at = wanted.flatten(), np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
+            tag, shard, start, stop = (spots.field(k).to_numpy() for k in ("kind", "h1", "lo", "hi"))
+            plain = tag == FETCH
+            parts, size = [], 0
             for d in range(batch.num_rows):
-                text = raw[offsets[d] : offsets[d + 1]]
-                spots = wanted[d].as_py()
-                plain = [s for s in spots if s["kind"] == FETCH]
-                if plain:
-                    lo, hi = np.array([s["lo"] for s in plain]), np.array([s["hi"] for s in plain])
+                text, own = raw[offsets[d] : offsets[d + 1]], slice(at[d], at[d + 1])
+                pick = plain[own]
+                if pick.any():
+                    h1, lo, hi = (x[own][pick] for x in (shard, start, stop))
                     found = kind.contents(text, lo, hi - 1 + kind.width)
                     ok = [i for i, x in enumerate(found) if x is not None]
-                    cols = [[FETCH] * len(ok), [plain[i]["h1"] for i in ok], [0] * len(ok), [ids[d]] * len(ok), [keys[d]] * len(ok), lo[ok].tolist() if ok else [], hi[ok].tolist() if ok else [], [0] * len(ok), [found[i] for i in ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-                hot = [s for s in spots if s["kind"] == HOT]
+                    parts.append((h1[ok], lo[ok], hi[ok], d, [found[i] for i in ok]))
+                    size += sum(map(len, parts[-1][4]))
+                    if size >= CONTENT_BYTES:
+                        yield contents(parts, ids, keys)
+                        parts, size = [], 0
+                hot = [{"lo": a, "hi": b} for a, b in zip(start[own][~pick], stop[own][~pick])]
                 if hot:
                     one, two, _ = kind.units(text, np.array([0, len(text)]))
                     s = np.unique(np.concatenate([np.arange(x["lo"], x["hi"]) for x in hot]))
@@ -408,6 +424,8 @@ def _fetch(kind: Kind):
                     if n >= GATHER_ROWS:
                         yield from windows(held)
                         held, n = [], 0
+            if parts:
+                yield contents(parts, ids, keys)
         if n:
             yield from windows(held)
 

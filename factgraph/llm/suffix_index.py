@@ -10,9 +10,11 @@ row moves one unit to the left by its run alone, and with it the matching statis
 against the row before it: inside a run the match grows by one unit, and at a run's start it is that
 of two sampled suffixes, whose units are compared.
 
-``WaveletIndex`` keeps the transform as a wavelet matrix.  A content's interval (first row, last
-row) moves one unit to the left by backward search, two ranks on each level; once it is ``width``
-units deep, the deeper match is widened again to all rows that share ``width`` units.
+``WaveletIndex`` keeps the transform as a wavelet matrix.  A content's interval moves one unit to the
+left by backward search of its first row, a rank on each level of two bits; once it is ``width`` units deep, the deeper
+match is widened again to all rows that share ``width`` units.  As every content stands in the index, no
+interval is empty and its first row doesn't depend on its last one, so the last row isn't searched: it is the one before the next
+interval of ``width`` units.
 
 All contents are streamed at once, a step of all of them being one numpy expression.
 """
@@ -46,12 +48,22 @@ def sort_suffixes(units: np.ndarray, separators: int = 0) -> np.ndarray:
     bits, size = max(int(symbols.max()).bit_length(), 1), 1
     if separators:
         size = max((63 - n.bit_length()) // bits, 1)
-    # what stands behind a separator doesn't count, as separators are all different
-    key, ended = symbols, symbols == 0
-    for k in range(1, size):
-        symbol = np.append(symbols[k:], np.zeros(min(k, n), np.int64))
-        key = key << bits | np.where(ended, 0, symbol)
-        ended |= symbol == 0
+    # units are put side by side by doubling; what stands behind a separator doesn't count, as separators are all different
+    key, have, pair, of = None, 0, symbols, 1
+    while have < size:
+        if (size & of) and of <= size:
+            key = pair if key is None else key << of * bits | np.append(pair[have:], np.zeros(min(have, n), np.int64))
+            have += of
+        if 2 * of <= size:
+            pair = pair << of * bits | np.append(pair[of:], np.zeros(min(of, n), np.int64))
+        of *= 2
+    ended = np.zeros(n, bool)
+    stops = np.flatnonzero(symbols == 0)
+    for k in range(size):
+        at = stops[stops >= k] - k
+        at = at[~ended[at]]
+        ended[at] = True
+        key[at] = key[at] >> (size - 1 - k) * bits << (size - 1 - k) * bits
     open_, key = order_of(key, (1 << size * bits) - 1)
     fresh = np.ones(n, bool)
     fresh[1:] = (key[1:] != key[:-1]) | ended[open_[1:]]
@@ -103,6 +115,8 @@ def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
 
 #: Bits of a word up to each of its places.
 _UPTO = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - np.arange(64, dtype=np.uint64))
+#: Bits of a word below each of its places.
+_BELOW = np.append(np.uint64(0), _UPTO[:-1])
 
 
 def _bits(n: int, places: np.ndarray) -> np.ndarray:
@@ -228,21 +242,26 @@ class RunLengthIndex(_Index):
 
 
 class WaveletIndex(_Index):
-    """The transform as a wavelet matrix: a packed bit vector with block counts for each bit of a symbol."""
+    """The transform as a wavelet matrix of two bits a level: for each digit a packed bit vector with block counts."""
 
     BLOCK = 64
 
     def _keep(self, transform, suffixes):
         self.levels, values = [], transform.astype(np.int64)
-        self.bits = list(reversed(range(max(int(self.n_symbols - 1).bit_length(), 1))))
+        size = self.n // self.BLOCK + 1
+        digits = max(-(-int(self.n_symbols - 1).bit_length() // 2), 1)
+        self.bits = [2 * k for k in reversed(range(digits))]
         for bit in self.bits:
-            ones = (values >> bit & 1).astype(bool)
-            padded = np.zeros((self.n // self.BLOCK + 1) * self.BLOCK, np.uint8)
-            padded[: self.n] = ones
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words))]).astype(np.int64)
-            self.levels.append((words, counts, self.n - int(ones.sum())))
-            values = np.concatenate([values[~ones], values[ones]])
+            digit = values >> bit & 3
+            places = [np.flatnonzero(digit == k) for k in range(4)]
+            words = np.concatenate([_bits(self.n, p) for p in places])
+            # a digit's block counts begin with the rows of all smaller digits
+            counts = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+            self.levels.append((words, counts))
+            values = values[np.concatenate(places)]
+        #: Where the digits of a symbol begin in ``words`` and ``counts``, by level.
+        symbols = np.arange(self.n_symbols)
+        self.digits = np.stack([(symbols >> bit & 3) * size for bit in self.bits])
         # a symbol's rows at the last level -> its rows among the sorted suffixes
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         total = np.bincount(transform, minlength=self.n_symbols)
@@ -253,26 +272,21 @@ class WaveletIndex(_Index):
 
     def search(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """For each bound of an interval the bound after one unit more to the left."""
-        for bit, (words, counts, zeros) in zip(self.bits, self.levels):
-            word = rows >> 6
-            below = (np.uint64(1) << (rows & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[word] + np.bitwise_count(words[word] & below)
-            rows = np.where(symbols >> bit & 1, zeros + ones, rows - ones)
+        for begin, (words, counts) in zip(self.digits[:, symbols], self.levels):
+            word = begin + (rows >> 6)
+            rows = counts[word] + np.bitwise_count(words[word] & _BELOW[rows & 63])
         return rows + self.shift[symbols]
 
     def _begin(self, contents):
-        # the empty match: all rows
-        return [np.zeros(len(contents), np.int64), np.full(len(contents), self.n, np.int64), 0]
+        # the empty match: all rows, of which 0 is the first
+        return [np.zeros(len(contents), np.int64), 0]
 
     def _step(self, state, active, places):
-        symbols = self.text[places]
-        bounds = self.search(np.concatenate([symbols, symbols]), np.concatenate([state[0][:active], state[1][:active]]))
-        low, high = bounds[:active], bounds[active:]
-        state[2] += 1
-        if state[2] >= self.width:
-            group = np.searchsorted(self.begin, low, "right") - 1
-            low, high = self.begin[group], self.begin[group + 1]
-        state[0][:active], state[1][:active] = low, high
+        low = self.search(self.text[places], state[0][:active])
+        state[1] += 1
+        if state[1] >= self.width:
+            low = self.begin[np.searchsorted(self.begin, low, "right") - 1]
+        state[0][:active] = low
         return low
 
     def _intervals(self, rows):

@@ -521,3 +521,35 @@ def test_op4_raking_meets_the_targets(spark):
             for name, w in want.items():
                 assert abs(sum(v for k, v in raked.items() if k[place] == name) - w) < 1e-3
     assert both[0].keys() == both[1].keys() and all(abs(both[0][k] - both[1][k]) < 1e-9 for k in both[0])
+
+
+def test_streams_search_one_row_each_in_half_the_levels(monkeypatch):
+    """Both bounds of an interval were searched, bit by bit, though the last one is never needed."""
+    rng = random.Random(7)
+    contents = [np.array([rng.randrange(60) for _ in range(30)]) for _ in range(4)]
+    built, asked = suffix_index.WaveletIndex(contents, 3), []
+    search = suffix_index.WaveletIndex.search
+    monkeypatch.setattr(suffix_index.WaveletIndex, "search", lambda self, symbols, rows: asked.append(len(rows)) or search(self, symbols, rows))
+    built.stream()
+    assert asked == [4] * 30 and len(built.levels) == (int(built.n_symbols - 1).bit_length() + 1) // 2
+
+
+@pytest.mark.parametrize("module", [byte_dedup, substring_dedup])
+def test_contents_of_many_documents_are_one_batch(module):
+    """Each document's contents were a batch of their own, and each range a dict."""
+    import pyarrow as pa
+
+    from factgraph.llm import repeats
+
+    kind = module.kind(5, 2)
+    texts = [" ".join(f"w{i}{k}" for k in range(40)) for i in range(50)]
+    spot = lambda tag, lo: {"kind": tag, "h1": lo, "lo": lo, "hi": lo + 2}
+    kinds = pa.list_(pa.struct([("kind", pa.int8()), ("h1", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    wanted = [[spot(repeats.FETCH, 1), spot(repeats.HOT, 3), spot(repeats.FETCH, 7), spot(repeats.FETCH, 10_000)] for _ in texts]
+    numbers = pa.array(range(50), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(texts), pa.array(wanted, kinds)], names=["doc_id", "key", "text", "wanted"])
+    found = list(repeats._fetch(kind)(iter([batch])))
+    rows = [r for b in found for r in b.to_pylist() if r["kind"] == repeats.FETCH]
+    assert len(found) == 2 and [(r["doc_id"], r["h1"], r["lo"], r["hi"]) for r in rows] == [(d, lo, lo, lo + 2) for d in range(50) for lo in (1, 7)]
+    want = lambda t, lo: kind.contents(np.frombuffer(t.encode(), np.uint8), np.array([lo]), np.array([lo + 1 + 5]))[0]
+    assert [r["content"] for r in rows] == [want(t, lo) for t in texts for lo in (1, 7)]
