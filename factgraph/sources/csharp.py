@@ -176,8 +176,14 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "\\s*([<>\\[\\].?,:()])\\s*", "$1")
 
 
+def _holds(text: Column) -> Callable[[str], Column]:
+    """Whether words stand in a text of tokens, with a blank behind each; ``|`` stands between words of which one is enough."""
+    padded = F.concat(F.lit(" "), text)
+    return lambda words: reduce(Column.__or__, [padded.contains(f" {w} ") for w in words.split("|")])
+
+
 def _access(modifiers: Column, default: str | Column) -> Column:
-    has = lambda w: modifiers.rlike(f"(^| ){w} ")
+    has = _holds(modifiers)
     return (
         F.when(has("protected") & has("internal"), "protected_internal").when(has("private") & has("protected"), "private_protected").when(has("public"), "public").when(has("internal"), "internal")
         .when(has("protected"), "protected").when(has("private"), "private").otherwise(default)
@@ -204,8 +210,7 @@ def _parameters(listed: Column, group: int) -> Column:
 def type_declarations(rows: DataFrame) -> DataFrame:
     """Types with the names of what is around them; their statement's columns stay."""
     # few statements are declarations, and the tests on all of them are costly, so they are done once
-    word = reduce(Column.__or__, [F.col("header").contains(w) for w in TYPE_WORDS])
-    rows = cut_lineage(rows.where(F.col("header").startswith("namespace ") | word).where(F.col("header").rlike(NAMESPACE) | F.col("header").rlike(TYPE_DECL) | F.col("header").rlike(DELEGATE)))
+    rows = cut_lineage(rows.where((F.col("header").startswith("namespace ") & F.col("header").rlike(NAMESPACE)) | _is_type(F.col("header"))))
     is_delegate = F.col("header").rlike(DELEGATE)
     by = lambda i, j: F.when(is_delegate, _group(DELEGATE, j)).otherwise(_group(TYPE_DECL, i))
     spaces = rows.where(F.col("header").rlike(NAMESPACE)).select("document_id", "head", "ender", F.replace(_group(NAMESPACE, 1), F.lit(" "), F.lit("")).alias("name"))
@@ -224,11 +229,29 @@ def type_declarations(rows: DataFrame) -> DataFrame:
     return types.withColumn("type_fq", fq).withColumn("type_id", F.concat(F.lit("T:"), fq, F.when(F.col("arity") > 0, F.concat(F.lit("`"), "arity")).otherwise(""))).drop("outer", "filewide")
 
 
+def _is_type(header: Column) -> Column:
+    """Whether a header declares a type; the costly patterns are asked about headers with a type's word alone."""
+    word = reduce(Column.__or__, [header.contains(w) for w in TYPE_WORDS])
+    return word & (header.rlike(TYPE_DECL) | header.rlike(DELEGATE))
+
+
 def member_declarations(rows: DataFrame, types: DataFrame) -> DataFrame:
     """Members with their type; their statement's columns stay."""
+    return members_among(tested_members(rows, types))
+
+
+def members_among(tested: DataFrame) -> DataFrame:
+    return tested.where(F.col("member_kind").isNotNull())
+
+
+def tested_members(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """Statements within types as members; those that are none have no kind, and are left out once this is written.
+
+    A filter on the kind in the same job would do all its tests again.
+    """
     holders = types.select("document_id", F.col("head").alias("owner"), "type_id", "type_fq", "namespace", "outer_types", F.col("name").alias("type_name"), F.col("type_kind").alias("holder_kind"))
     # the lexer knows which statements stand in what looks like a type; no other is a member
-    inner = rows.where("in_type").where(~F.col("header").rlike(TYPE_DECL) & ~F.col("header").rlike(DELEGATE)).join(holders, ["document_id", "owner"])
+    inner = rows.where("in_type").where(~_is_type(F.col("header"))).join(holders, ["document_id", "owner"])
     is_enum, body = F.col("holder_kind") == "enum", F.col("ender").isin("{", "=>")
     has = F.col("header").contains
     # a pattern's groups at once; a header that doesn't match has no mark
@@ -238,7 +261,7 @@ def member_declarations(rows: DataFrame, types: DataFrame) -> DataFrame:
         F.when(is_enum, F.when(F.col("header").rlike(ENUM_MEMBER), "field")).when(has("event ") & F.col("header").rlike(EVENT), "event").when(has(F.concat("type_name", F.lit(" ( "))) & F.col("header").rlike(CTOR) & (_group(CTOR, 2) == F.col("type_name")), "ctor")
         .when(F.col("_method").contains("\x01"), "method").when(body & F.col("header").rlike(PROPERTY), "property").when(~body & F.col("header").rlike(FIELD), "field")
     )
-    inner = inner.withColumn("member_kind", kind).where(F.col("member_kind").isNotNull())
+    inner = inner.withColumn("member_kind", kind)
     parts = F.when(is_enum, groups(ENUM_MEMBER, 2)).when(F.col("member_kind") == "event", groups(EVENT, 2)).when(F.col("member_kind") == "ctor", groups(CTOR, 4)).when(F.col("member_kind") == "method", F.col("_method")).when(F.col("member_kind") == "property", groups(PROPERTY, 2)).otherwise(groups(FIELD, 2))
     inner = inner.withColumn("_parts", F.split(parts, "\x01"))
     of = lambda i: F.coalesce(F.get("_parts", F.lit(i - 1)), F.lit(""))
@@ -254,7 +277,7 @@ def member_declarations(rows: DataFrame, types: DataFrame) -> DataFrame:
 def symbols(types: DataFrame, members: DataFrame) -> DataFrame:
     """Declared types and members in the shape of the symbols table; a type in several parts is listed at its first."""
     none, place = F.lit(None).cast("string"), _name_place(F.col("before"))
-    has = lambda w: F.col("before").rlike(f"(^| )(?:{w}) ")
+    has = _holds(F.col("before"))
     common = ["project_id", F.col("path").alias("file"), place["line"].alias("line"), place["col"].alias("col"), "end_line", "end_col"]
     flags = [has("abstract").alias("is_abstract"), has("partial").alias("is_partial"), F.lit(False).alias("is_implicit"), F.lit(False).alias("is_accessor"), F.lit(True).alias("in_source"), F.col("arity").cast("int").alias("arity")]
     outer = F.array_join("outer_types", ".")
@@ -584,9 +607,9 @@ def parse(docs: DataFrame, whole: bool = True) -> Tables:
             tables["tokens"] = lexer.flat(rows)
         return tables[name]
 
-    views = {"tokens": lambda t: cut(t, "tokens", True), "statements": lambda t: cut(t, "statements", whole)}
+    views = {"tokens": lambda t: cut(t, "tokens", True), "statements": lambda t: cut(t, "statements", whole), "members": lambda t: members_among(t["tested"])}
     return Tables(views, {
-        "types": lambda t: type_declarations(t["statements"]), "members": lambda t: member_declarations(t["statements"], t["types"]),
+        "types": lambda t: type_declarations(t["statements"]), "tested": lambda t: tested_members(t["statements"], t["types"]),
         "functions": lambda t: local_functions(t["statements"], t["members"]), "places": lambda t: places(t["statements"], t["types"], t["members"]), "unread": rules.unread,
     })
 

@@ -303,3 +303,33 @@ def test_a_text_without_directives_and_holes_is_cut_alike():
     for text in ('class C { string s = "a\\"b"; /* x */ char c = \'\\\'\'; }\n', "a // b\n\t@\"x\"\"y\" 1.5f => ?? x", '"""raw "x" """ é_1 \x00'):
         fast, slow = lexer.cut(text), lexer.cut(text + "\n#")
         assert fast == slow and fast
+
+
+def test_blanks_before_a_token_are_part_of_its_match():
+    """Each blank and comment was a match of its own, so a text took twice as many matches as it has tokens."""
+    for text in (TRICKY, "", " ", "a ", "// a", "/* a", "/* a */ /", "\n x // b\n /* c */ y \n // d"):
+        assert "#" not in text and "$" not in text
+        matches = list(lexer._PLAIN.finditer(text))
+        assert len(matches) <= len(lexer.cut(text)) + 2 and "".join(m.group() for m in matches) == text
+    assert [(k, a, b) for k, a, b in lexer.cut("/* a */ x // b\n")] == [("word", 8, 9)]
+
+
+def test_what_kind_a_member_has_is_found_once(spark):
+    """A filter on the kind had all patterns tested in a join's condition, and again for the rows that met it."""
+    parsed = parse(spark, TRICKY)
+    tested = csharp.tested_members(parsed["statements"], parsed["types"])
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = tested._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count(csharp.METHOD) == 1 and plan.count(csharp.EVENT) == 2  # to tell the kind, and for its groups
+    # what is no member is left out of the written rows alone
+    rows = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.collect())
+    assert rows(csharp.member_declarations(parsed["statements"], parsed["types"])) == rows(parsed["members"]) == rows(tested.where("member_kind is not null")) != []
+
+
+def test_modifiers_are_words_of_what_stands_before_a_name(spark):
+    parsed = parse(spark, "class A { public static int a; protected internal int b; private protected int c; statics d; const int e = 1; abstract void F(); internal sealed partial class G { } }")
+    got = {r["name"]: (r["accessibility"], r["is_static"], r["is_abstract"], r["is_const"], r["is_partial"]) for r in csharp.symbols(parsed["types"], parsed["members"]).collect()}
+    assert got["a"] == ("public", True, False, False, False) and got["b"][0] == "protected_internal" and got["c"][0] == "private_protected" and got["d"] == ("private", False, False, False, False)
+    assert got["e"][1:4] == (True, False, True) and got["F"][2] and got["G"] == ("internal", False, False, False, True) and got["A"][0] == "internal"
