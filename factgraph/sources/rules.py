@@ -1,7 +1,7 @@
-"""Rules over parsed documents: each gives diagnostics, and one that fails doesn't take the others with it.
+"""Rules over parsed documents: each gives diagnostics, and a given one that fails doesn't take the others with it.
 
 A rule is a function of the tables of ``csharp.parse`` that returns rows of the diagnostics table.
-``RULES`` has those of this front end by name; more can be given to ``run``.
+``RULES`` has those of this front end by name; their failures are raised. More can be given to ``run``.
 """
 
 from __future__ import annotations
@@ -64,9 +64,10 @@ RULES: dict[str, Rule] = {"unused_locals": unused_locals, "unused_copies": unuse
 
 
 def run(parsed: dict[str, DataFrame], more: Mapping[str, Rule] = {}) -> tuple[DataFrame, dict[str, str]]:
-    """Diagnostics of all rules, and what went wrong by the name of each rule that failed.
+    """Diagnostics of all rules, and what went wrong by the name of each rule of ``more`` that failed.
 
-    Every rule's rows are written before the next one runs, so a failure is known to be that rule's.
+    Every rule's rows are written before the next one runs, so a failure is known to be that rule's.  A rule of
+    the front end that fails, or whose rows can't be written, is an error: fewer rows would look like the result.
     """
     found, failed = [], {}
     spark = parsed["tokens"].sparkSession
@@ -75,5 +76,7 @@ def run(parsed: dict[str, DataFrame], more: Mapping[str, Rule] = {}) -> tuple[Da
         try:
             found.append(cut_lineage(conform("diagnostics", rule(parsed))))
         except Exception as e:  # a rule may fail in any way
+            if name not in more:
+                raise
             failed[name] = f"{type(e).__name__}: {e}"[:500]
     return reduce(DataFrame.unionByName, found, spark.createDataFrame([], FACTS["diagnostics"])), failed
