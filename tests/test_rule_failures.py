@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from factgraph.plans import parsed
 from factgraph.sources import rules
 
-QUERIES = ["parsed_carried_spans", "parsed_cleanup", "parsed_diagnostics"]
+QUERIES = ["parsed_carried_spans", "parsed_cleanup", "parsed_diagnostics", "parsed_unanswered_smells"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
